@@ -17,8 +17,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from manyvec.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from manyvec.llm import rules
+
+    return rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op9_langid": op9_langid,
+    "op10_rules": op10_rules,
 }
 
 #: DuckDB SQL for the operators that SQL can express.
