@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from manyvec.llm.common import table
 
-BPE_RANKS = "byte_bpe_50k.tiktoken"
+BPE_RANKS, BPE_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from manyvec.llm import packing
+
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.pieces(docs, public_tokenizers.path(BPE_JSON), public_tokenizers.PATTERN))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from manyvec.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from manyvec.llm import langid
 
@@ -32,6 +48,8 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op5_packing": op5_packing,
+    "op6_quality": op6_quality,
     "op9_langid": op9_langid,
     "op10_rules": op10_rules,
 }
