@@ -17,6 +17,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from manyvec.llm import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +54,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_ann": op3_ann,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op9_langid": op9_langid,
