@@ -17,6 +17,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from manyvec.llm import pii
+
+    return pii.find(table(spark, sf_dir, "documents"), pii.fitted())
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from manyvec.llm import ann
 
@@ -54,6 +60,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
     "op3_ann": op3_ann,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
