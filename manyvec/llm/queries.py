@@ -29,6 +29,12 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from manyvec.llm import substrings
+
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,11 +68,37 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
     "op3_ann": op3_ann,
+    "op4_substrings": op4_substrings,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op9_langid": op9_langid,
     "op10_rules": op10_rules,
 }
 
+OP4_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+starts AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 12], chr(10)) AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM words WHERE len(w) >= 13)
+),
+gone AS (
+  SELECT doc_id, list(s) AS pos
+  FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY win) AS first FROM starts) WHERE doc_id > first GROUP BY doc_id
+),
+covered AS (
+  SELECT doc_id, list_distinct(flatten(list_transform(pos, lambda s: range(s, s + 13)))) AS c FROM gone
+),
+kept AS (
+  SELECT words.doc_id, len(w) AS n, len(coalesce(c, [])) AS r,
+         CASE WHEN c IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(c, i)) END AS k
+  FROM words LEFT JOIN covered USING (doc_id)
+)
+SELECT doc_id, n AS n_words, r AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
 #: DuckDB SQL for the operators that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_substrings": OP4_SQL,
+}
