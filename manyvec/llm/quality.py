@@ -4,12 +4,11 @@ One zstandard dictionary is trained on good labelled text, one on bad. A text is
 with each; the difference of the two sizes over their sum is the raw score, and a logistic curve fitted on
 labelled rows that the dictionaries have not seen makes it a probability. Only the text enters a score.
 
-The sample that fits the model is bounded: at most ``most_docs`` texts of each class, those with the smallest
-hash, of at most ``most_chars`` characters each. Everything else covers all rows and whole texts.
+The sample that fits the model is bounded: the texts of the ``most_docs`` labels of each class with the
+smallest hash, as far as they have at most ``most_chars`` characters. Everything else covers all rows and whole texts.
 
 Edge cases: null and empty text score as raw difference 0; held-out rows never teach; where a class has no
-labelled row, every score is the share of good labels (0.5 without labels); documents labelled twice teach
-twice; other columns are ignored.
+labelled row, every score is the share of good labels (0.5 without labels); a document teaches once for each distinct label; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,13 +83,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, most_chars: i
     """Dictionaries from three quarters of the sample, the curve from the rest."""
     import zstandard
 
-    labels = narrow(labels, "doc_id", "quality").where("quality in (0, 1) and doc_id is not null")
-    texts = narrow(docs, "doc_id", "text").where(~held_out(F.col("doc_id"))).where(F.length("text").between(1, most_chars))
-    rows = texts.join(labels, "doc_id").withColumn("h", F.xxhash64("doc_id", F.lit("quality sample")))
+    labels = narrow(labels, "doc_id", "quality").where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
+    labels = labels.withColumn("h", F.xxhash64("doc_id", F.lit("quality sample"))).distinct()
+    first = [labels.where(F.col("quality") == q).orderBy("h", "doc_id").limit(most_docs) for q in (0, 1)]
+    chosen = F.broadcast(first[0].union(first[1]))  # at most 2 * most_docs ids, so no text is shuffled
+    rows = narrow(docs, "doc_id", "text").where(F.length("text").between(1, most_chars)).join(chosen, "doc_id")
     parts: dict[tuple[int, bool], list[bytes]] = {(q, c): [] for q in (0, 1) for c in (False, True)}
-    for q in (0, 1):  # at most 2 * most_docs texts come to the driver
-        for r in rows.where(F.col("quality") == q).orderBy("h", "doc_id", "text").limit(most_docs).toLocalIterator():
-            parts[q, r["h"] % 4 == 0].append(r["text"].encode("utf-8", "surrogatepass"))
+    for r in sorted(rows.toLocalIterator(), key=lambda r: (r["h"], r["doc_id"], r["text"])):
+        parts[r["quality"], r["h"] % 4 == 0].append(r["text"].encode("utf-8", "surrogatepass"))
     n = {q: len(parts[q, False]) + len(parts[q, True]) for q in (0, 1)}
     if not all(parts.values()) or min(n.values()) < 8:
         share = (n[1] + 1) / (n[0] + n[1] + 2) if n[0] + n[1] else 0.5
