@@ -13,6 +13,7 @@ packs into nothing.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyvec.llm.common import narrow
+from manyvec.llm.common import narrow, splitter
 from manyvec.session import stored
 
 CAPACITY, END = 2048, 0
@@ -30,29 +31,39 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class PieceTokenizer:
-    """Ids of whole texts by the tokenizers library. The text is split by the pattern of the byte-level
-    pre-tokenizer, which never merges across a split; each distinct match goes through the library once."""
+    """Ids of whole texts by the tokenizers library. A text is split by the pattern of the byte-level
+    pre-tokenizer, across whose splits nothing merges; the library sees each distinct piece once."""
 
-    def __init__(self, path: str, pattern: str, most: int = 600_000):
+    def __init__(self, path: str, pattern: str, most: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split, self.most = regex.compile(pattern).findall, most
+        self.split, self.most = splitter(pattern), most
+        self.line_break, self.plain = self.ids("\n")[0], re.compile(r" ?\S+").fullmatch
         self.memo: dict[str, bytes] = {}
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.memo) > self.most:
             self.memo.clear()
         memo, split = self.memo, [self.split(t) for t in texts]
-        unknown = list({p for pieces in split for p in pieces if p not in memo})
-        for at in range(0, len(unknown), 20_000):
-            part = unknown[at : at + 20_000]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                memo[p] = np.array(e.ids, "<u4").tobytes()
+        unknown = set().union(*split).difference(memo)
+        # pieces with no white space but a leading blank are the lines of one text: the line break between
+        # them is a token of its own, which none of them contains
+        plain = list(filter(self.plain, unknown))
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = self.ids("\n".join(part))
+            cuts = [-1, *np.flatnonzero(ids == self.line_break).tolist(), len(ids)]
+            if len(cuts) == len(part) + 1:
+                data = ids.tobytes()
+                memo.update((p, data[4 * i + 4 : 4 * j]) for p, i, j in zip(part, cuts, cuts[1:]))
+        memo.update((p, self.ids(p).tobytes()) for p in unknown if p not in memo)
         return [b"".join(map(memo.__getitem__, pieces)) for pieces in split]
 
 
@@ -148,7 +159,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_tokens: int = 8_000_000
     schema = f"{PIECES}, sequence_id long, offset long"
     names = [f.split()[0] for f in PIECES.split(", ")]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
         bins, offsets = best_two_fit(pdf["length"].to_numpy(), capacity)
         return pdf[names].assign(sequence_id=key[0] * (1 << 32) + bins, offset=offsets)
