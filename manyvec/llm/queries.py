@@ -51,6 +51,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from manyvec.llm import jaccard
+
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from manyvec.llm import langid
 
@@ -71,6 +77,7 @@ QUERIES = {
     "op4_substrings": op4_substrings,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
+    "op8_jaccard": op8_jaccard,
     "op9_langid": op9_langid,
     "op10_rules": op10_rules,
 }
@@ -98,7 +105,28 @@ kept AS (
 SELECT doc_id, n AS n_words, r AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
 
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
+),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS i
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+links AS (SELECT x, y FROM pairs WHERE 100 * i >= 90 * (nx + ny - i)),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON reach.r = links.x
+)
+SELECT sets.doc_id, len(s) AS n_shingles, min(r) AS component_id FROM sets JOIN reach USING (doc_id) GROUP BY sets.doc_id, len(s)
+"""
+
 #: DuckDB SQL for the operators that SQL can express.
 ORACLES: dict[str, str] = {
     "op4_substrings": OP4_SQL,
+    "op8_jaccard": OP8_SQL,
 }
