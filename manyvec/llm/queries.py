@@ -51,6 +51,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from manyvec.llm import suffixes
+
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from manyvec.llm import jaccard
 
@@ -77,6 +83,7 @@ QUERIES = {
     "op4_substrings": op4_substrings,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
+    "op7_suffixes": op7_suffixes,
     "op8_jaccard": op8_jaccard,
     "op9_langid": op9_langid,
     "op10_rules": op10_rules,
@@ -105,6 +112,29 @@ kept AS (
 SELECT doc_id, n AS n_words, r AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
 
+OP7_SQL = r"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, len(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+starts AS (
+  SELECT doc_id, s, md5(substr(h, 2 * s + 1, 100)) AS win FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS s FROM bytes WHERE n >= 50)
+),
+gone AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY win) AS first FROM starts) WHERE doc_id > first
+),
+islands AS (
+  SELECT doc_id, min(s) AS a, max(s) + 50 AS b
+  FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g
+        FROM (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 50 THEN 0 ELSE 1 END AS new FROM gone))
+  GROUP BY doc_id, g
+),
+gaps AS (
+  SELECT doc_id, count(*) AS k, sum(b - a) AS r, list(a ORDER BY a) AS begins, list(b ORDER BY a) AS ends FROM islands GROUP BY doc_id
+)
+SELECT bytes.doc_id, n AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(k, 0) AS n_spans,
+       sha256(CASE WHEN k IS NULL THEN unhex(h) ELSE unhex(array_to_string(list_transform(range(0, k + 1),
+         lambda i: substr(h, 2 * (CASE WHEN i = 0 THEN 0 ELSE ends[i] END) + 1, 2 * ((CASE WHEN i = k THEN n ELSE begins[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE ends[i] END)))), '')) END) AS kept_sha256
+FROM bytes LEFT JOIN gaps USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
@@ -128,5 +158,6 @@ SELECT sets.doc_id, len(s) AS n_shingles, min(r) AS component_id FROM sets JOIN
 #: DuckDB SQL for the operators that SQL can express.
 ORACLES: dict[str, str] = {
     "op4_substrings": OP4_SQL,
+    "op7_suffixes": OP7_SQL,
     "op8_jaccard": OP8_SQL,
 }

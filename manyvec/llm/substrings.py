@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from manyvec.llm.common import Memo, narrow
-from manyvec.llm.exchange import U64, Sizes, deflate, inflate, isin_sorted, message_rows, messages, mix, packed, shared_keys, squeeze, total, unsqueeze, window_keys, with_answers
-from manyvec.session import stored
+from manyvec.llm.exchange import U64, Sizes, deflate, inflate, isin_sorted, message_rows, messages, mix, packed, shared_keys, squeeze, total, unpacked, unsqueeze, window_keys, with_answers
 
 WINDOW, BLOCK = 13, 7
 word_at = re.compile(r"[^\x20\x09-\x0D]+").finditer
@@ -246,6 +245,4 @@ def dedupe(docs: DataFrame) -> DataFrame:
             out.append(table.set_column(at, table.schema.field(at), pa.array(texts, table.schema.field(at).type)))
         return pa.concat_tables(out)
 
-    from manyvec.llm.exchange import unpacked
-
     return batches.select("batch", "data").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
