@@ -20,8 +20,10 @@ import operator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from manyvec.llm.common import SPACES, Memo, map_rows, narrow
 from manyvec.session import stored
@@ -120,6 +122,7 @@ def _grouped(stats: DataFrame, min_group: int) -> DataFrame:
         F.when(alone | pooled, F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null"))).otherwise("*").alias("lang_g"),
         F.when(alone, F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).otherwise("*").alias("source_g"),
     )
+    groups = F.broadcast(groups) if by.limit(20_001).count() <= 20_000 else groups
     return stats.join(groups, stats["lang"].eqNullSafe(F.col("l")) & stats["source"].eqNullSafe(F.col("s")), "left").drop("l", "s")
 
 
@@ -177,11 +180,37 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame
     return params
 
 
-def quality_rules(docs: DataFrame, level: float = 1 - 1e-7, min_group: int = 50, share: float = 0.75, steps: int = 5) -> DataFrame:
+def judged(rows: DataFrame, level: float = 1 - 1e-7, min_group: int = 50, share: float = 0.75, steps: int = 5) -> DataFrame:
+    """Adds base_failed, d2 and kept to rows that have lang, source and the counts of STATS."""
+    rows = _grouped(stored(rows, "stats").withColumns({f: F.expr(e) for f, (e, _) in FEATURES.items()}), min_group)
+    rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    out = _distances(rows, estimates(rows.where("not base_failed"), share, steps))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(level, P), F.lit(True)))
+
+
+def quality_rules(docs: DataFrame, **options) -> DataFrame:
     """Base counts, base_failed, the squared distance and ``kept`` for every document."""
-    stats = base_stats(docs).withColumns({f: F.expr(e) for f, (e, _) in FEATURES.items()})
-    rows = stored(_grouped(stored(stats, "stats"), min_group), "grouped")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = _distances(rows, estimates(rows.where(~failed), share, steps)).withColumn("base_failed", failed)
-    inlier = F.coalesce(F.col("d2") <= chi2_quantile(level, P), F.lit(True))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inlier).alias("kept"), F.col("d2").alias("distance2"))
+    out = judged(base_stats(docs), **options)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("d2").alias("distance2"))
+
+
+def keep(docs: DataFrame, **options) -> DataFrame:
+    """The given rows and columns, whatever their names, without those that the rules reject. The counts are laid
+    down beside the rows, so no text is shuffled."""
+    names = docs.columns
+    at = {c.lower(): i for i, c in reversed(list(enumerate(names)))}
+    plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
+    pick = lambda c: F.col(f"__c{at[c]}") if c in at else F.lit(None).cast("string")
+    plain = plain.select("*", pick("lang").alias("lang"), pick("source").alias("source"), pick("text").alias("text"))
+    fields = [x.split()[0] for x in STATS.split(", ")]
+
+    def run(batches):
+        hashes = word_hashes()
+        for batch in batches:
+            found = [text_stats(t, hashes) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            columns = [pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * len(fields)
+            kept = batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays(kept + columns, names=batch.schema.names[:-1] + fields)
+
+    schema = T.StructType(plain.schema.fields[:-1] + [T.StructField(f, T.LongType()) for f in fields])
+    return judged(plain.mapInArrow(run, schema), **options).where("kept").select(*[f"__c{i}" for i in range(len(names))]).toDF(*names)
