@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from manyvec.plans import retrieval  # noqa: F401  registers its queries
+from manyvec.plans.fixtures import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
