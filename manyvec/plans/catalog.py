@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from manyvec.plans import retrieval  # noqa: F401  registers its queries
+from manyvec.plans import retrieval, training  # noqa: F401  they register their queries
 from manyvec.plans.fixtures import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
