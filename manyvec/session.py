@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only where the session names no folder of its own (tests, one machine).
 LOCAL_SCRATCH = "file:///tmp/checkpoints/manyvec"
 
+#: Tables that ``stored`` wrote and that still exist.
+_held: list[str] = []
+
 
 def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings one."""
@@ -39,11 +42,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     ends here, so a lost executor costs a reread and no recomputation."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _held:
+        atexit.register(release, spark)
+    _held.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes the tables that ``stored`` has written so far, but for those that ``keep`` reads. For callers who
+    know that nothing else is still to be computed from them."""
+    files = keep.inputFiles() if keep is not None else []
+    for path in list(_held):
+        name = path.rsplit("/", 1)[-1]
+        if not any(f"/{name}/" in f for f in files):
+            _remove(spark, path)
+            _held.remove(path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
