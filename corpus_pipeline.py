@@ -1,7 +1,7 @@
 """A corpus pipeline of five of the operators, each stage working on all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-before the next. All but the last return the columns of ``docs``; an empty table passes through as such.
+before the next; a stage deletes the scratch tables of those before. All but the last return the columns of ``docs``; an empty table passes through as such.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from manyvec.llm import jaccard, packing, pii, rules, substrings
 from manyvec.llm.queries import BPE_JSON
-from manyvec.session import stored
+from manyvec.session import release, stored
 
 
 def recounted(docs: DataFrame) -> DataFrame:
@@ -22,26 +22,31 @@ def recounted(docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the rules reject. The verdict follows from a row's text, lang and source, so rows with null or
     repeated doc_id are judged each by itself."""
+    release(spark, docs)
     return rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: five words, similarity 0.8."""
+    release(spark, docs)
     return jaccard.keep_first(docs, n=5, percent=80)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document has."""
+    release(spark, docs)
     return recounted(substrings.dedupe(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind."""
+    release(spark, docs)
     return recounted(pii.redact(docs, pii.fitted()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the texts into token sequences."""
+    release(spark, docs)
     import public_tokenizers
 
     return packing.pack(packing.pieces(docs, public_tokenizers.path(BPE_JSON), public_tokenizers.PATTERN))
