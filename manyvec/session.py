@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only where the session names no folder of its own (tests, one machine).
 LOCAL_SCRATCH = "file:///tmp/checkpoints/manyvec"
 
-#: Tables that ``stored`` wrote and that still exist.
 _held: list[str] = []
 
 
@@ -49,13 +48,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Deletes the tables that ``stored`` has written so far, but for those that ``keep`` reads. For callers who
-    know that nothing else is still to be computed from them."""
+def held() -> list[str]:
+    """Tables that ``stored`` wrote and that still exist."""
+    return list(_held)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None, keep: DataFrame | None = None) -> None:
+    """Deletes scratch tables (all, or those named), but for those that ``keep`` reads. For callers who know that
+    nothing else is still to be computed from them."""
     files = keep.inputFiles() if keep is not None else []
-    for path in list(_held):
-        name = path.rsplit("/", 1)[-1]
-        if not any(f"/{name}/" in f for f in files):
+    for path in held() if paths is None else [p for p in paths if p in _held]:
+        if not any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in files):
             _remove(spark, path)
             _held.remove(path)
 
