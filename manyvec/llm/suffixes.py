@@ -33,6 +33,10 @@ from manyvec.llm.exchange import U64, Sizes, inflate, isin_sorted, messages, mix
 from manyvec.session import stored
 
 LENGTH, SEED, SPAN = 50, 24, 32
+#: Stands for a null doc_id within a batch.
+NO_ID = -(2**63)
+#: Bytes hashed at a time.
+CHUNK = 32_768
 RUNS = "bucket long, batch long, runs binary"
 
 
@@ -67,7 +71,7 @@ class Batch:
         names = [c.lower() for c in table.column_names]
         ids = table.column(names.index("doc_id")).to_pylist()
         self.texts = [(t or "").encode("utf-8", "surrogatepass") for t in table.column(names.index("text")).to_pylist()]
-        self.ids = np.array([-1 if d is None else d for d in ids], np.int64)
+        self.ids = np.array([NO_ID if d is None else d for d in ids], np.int64)
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
@@ -76,22 +80,28 @@ class Batch:
             self.begin = self.count = self.row = np.zeros(0, np.int64)
             self.key = np.zeros(0, U64)
             return
-        least = sliding_min(seed_hashes(self.data), LENGTH - SEED + 1)[:n]
-        row = np.repeat(np.arange(len(ids)), self.sizes)
-        inside = (row[:n] == row[LENGTH - 1 :]) & (self.ids[row[:n]] >= 0 if any(d is None for d in ids) else True)
-        new = np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:n] != row[: n - 1])])
+        least = np.empty(n, U64)
+        for at in range(0, n, CHUNK):  # pieces that stay in the processor's cache
+            piece = self.data[at : at + CHUNK + LENGTH - 1]
+            least[at : at + CHUNK] = sliding_min(seed_hashes(piece), LENGTH - SEED + 1)[: min(CHUNK, n - at)]
+        new = np.empty(n, bool)
+        new[0] = True
+        np.not_equal(least[1:], least[:-1], out=new[1:])
+        new[self.starts[(self.starts < n) & (self.sizes > 0)]] = True
         begin = np.flatnonzero(new)
         count = np.diff(np.append(begin, n))
+        filled = np.flatnonzero(self.sizes > 0)
+        row = filled[np.searchsorted(self.starts[filled], begin, side="right") - 1]
         # windows that cross into the next text end their run, as its last ones
-        fits = np.minimum(count, self.starts[row[begin]] + self.sizes[row[begin]] - LENGTH + 1 - begin)
-        good = (fits > 0) & inside[begin]
-        begin, count = begin[good], fits[good]
+        fits = np.minimum(count, self.starts[row] + self.sizes[row] - LENGTH + 1 - begin)
+        good = (fits > 0) & (self.ids[row] != NO_ID)
+        begin, count, row = begin[good], fits[good], row[good]
         pieces = -(-count // SPAN)
         first = np.repeat(begin, pieces)
         offset = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SPAN
         self.begin = first + offset
         self.count = np.minimum(SPAN, np.repeat(count, pieces) - offset)
-        self.key, self.row = least[self.begin], row[self.begin]
+        self.key, self.row = least[self.begin], np.repeat(row, pieces)
 
     def distinct(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the runs ``some``: (a number for each, equal for equal runs; a first run and the smallest doc_id by number)."""
@@ -189,35 +199,46 @@ class Files:
         self.file.close()
 
 
-def range_min(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """min(values[left:right]) for many ranges of at least one entry: blocks of 16, and doublings of their minima."""
-    width = 16
-    wide = np.full(-(-len(values) // width) * width, 255, np.uint8)
-    wide[: len(values)] = values
-    grid = wide.reshape(-1, width)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.ascontiguousarray(np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1]).ravel()
-    last = right - 1
-    lb, rb = left // width, last // width
-    out = np.minimum(behind[left], ahead[last])
-    table = [grid.min(axis=1)]
-    while 2 << len(table) - 1 <= len(grid):
-        step, above = 1 << len(table) - 1, table[-1]
-        table.append(np.minimum(above[:-step], above[step:]))
-    inner = rb - lb - 1
-    some = np.flatnonzero(inner > 0)
-    if len(some):
-        level = np.frexp(inner[some].astype(float))[1] - 1
-        for k in np.unique(level):
-            at = some[level == k]
-            out[at] = np.minimum(out[at], np.minimum(table[k][lb[at] + 1], table[k][rb[at] - (1 << int(k))]))
-    close = np.flatnonzero(lb == rb)
-    if len(close):
-        cells = left[close, None] + np.arange(width)
-        held = wide[np.minimum(cells, len(wide) - 1)]
-        held[cells > last[close, None]] = 255
-        out[close] = held.min(axis=1)
-    return out
+class RangeMin:
+    """min(values[left:right]) for many ranges of at least one entry: minima from each entry to either end of its block
+    of 16, and doublings of the blocks' minima. Blocks are columns, so each step runs over whole rows."""
+
+    WIDTH = 16
+
+    def __init__(self, values: np.ndarray):
+        blocks = -(-len(values) // self.WIDTH)
+        wide = np.full(blocks * self.WIDTH, 255, np.uint8)
+        wide[: len(values)] = values
+        self.wide = wide
+        grid = wide.reshape(blocks, self.WIDTH).T.copy()
+        self.ahead, self.behind = grid.copy(), grid
+        for i in range(1, self.WIDTH):
+            np.minimum(self.ahead[i], self.ahead[i - 1], out=self.ahead[i])
+            np.minimum(self.behind[-i - 1], self.behind[-i], out=self.behind[-i - 1])
+        self.table = [self.ahead[-1]]
+        while 2 << len(self.table) - 1 <= blocks:
+            step, above = 1 << len(self.table) - 1, self.table[-1]
+            self.table.append(np.minimum(above[:-step], above[step:]))
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        width, last = self.WIDTH, right - 1
+        lb, rb = left // width, last // width
+        out = np.minimum(self.behind[left % width, lb], self.ahead[last % width, rb])
+        inner = rb - lb - 1
+        some = np.flatnonzero(inner > 0)
+        if len(some):
+            level = np.frexp(inner[some].astype(float))[1] - 1
+            for k in np.flatnonzero(np.bincount(level)):
+                at = some[level == k]
+                out[at] = np.minimum(out[at], np.minimum(self.table[k][lb[at] + 1], self.table[k][rb[at] - (1 << int(k))]))
+        close = np.flatnonzero(inner < 0)
+        if len(close):
+            at, end = left[close], last[close]
+            least = self.wide[at].copy()
+            for step in range(1, width):
+                np.minimum(least, self.wide[np.minimum(at + step, end)], out=least)
+            out[close] = least
+        return out
 
 
 def collection_order(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,8 +264,8 @@ def collection_order(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray)
             break
         symbol = bwt[active]
         order = np.argsort(bwt, kind="stable")  # the suffixes one symbol longer, in their order
-        rank = np.empty(m, np.int64)
-        rank[order] = np.arange(m)
+        rank = np.empty(m, np.int32)
+        rank[order] = np.arange(m, dtype=np.int32)
         none = int((bwt == 0).sum())
         place = rank[active] - none  # among all suffixes that are not empty
         # neighbours in the order that share the first symbol: what they share is one more than the least
@@ -254,11 +275,12 @@ def collection_order(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray)
         has_above = (at > none) & (bwt[above] == symbol)
         below = order[np.minimum(at + 1, m - 1)]
         has_below = (at + 1 < m) & (bwt[below] == symbol)
+        least = RangeMin(lcp)
         up, down = np.zeros(len(active), np.uint8), np.zeros(len(active), np.uint8)
         k = np.flatnonzero(has_above)
-        up[k] = np.minimum(LENGTH, range_min(lcp, above[k] + 1, active[k] + 1).astype(np.int64) + 1)
+        up[k] = np.minimum(LENGTH - 1, least(above[k] + 1, active[k] + 1)) + 1
         k = np.flatnonzero(has_below)
-        down[k] = np.minimum(LENGTH, range_min(lcp, active[k] + 1, below[k] + 1).astype(np.int64) + 1)
+        down[k] = np.minimum(LENGTH - 1, least(active[k] + 1, below[k] + 1)) + 1
         # the final array holds the n empty suffixes first, then the others by rank
         fresh = n + place
         sort = np.argsort(fresh, kind="stable")
