@@ -71,16 +71,32 @@ class Backoff:
             return np.log(v / (total + 0.5))
 
         self.words = {w: logs(row, totals) for w, row in words.items()}
-        self.grams = {g: logs(row, gram_totals[len(g)]) for g, row in gram_counts.items()}
+        self.gram_row = {g: i for i, g in enumerate(gram_counts)}
+        self.gram_logs = np.array([logs(row, gram_totals[len(g)]) for g, row in gram_counts.items()]).reshape(-1, k)
 
-    def word(self, word: str) -> np.ndarray:
-        if (known := self.words.get(word)) is not None:
-            return known
+    def backoff(self, word: str) -> list[int]:
+        """Rows of the word's n-grams of the longest order that has a known one."""
+        look, marked = self.gram_row.get, f"<{word}>"
         for n in self.orders:
-            found = [v for g in grams(word, n) if (v := self.grams.get(g)) is not None]
+            found = [i for at in range(len(marked) - n + 1) if (i := look(marked[at : at + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+                return found
+        return []
+
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """A row of log frequencies for each word; zeros where nothing is known of it."""
+        out = np.zeros((len(words), len(self.langs)))
+        flat, starts, at = [], [], []
+        for i, w in enumerate(words):
+            if (known := self.words.get(w)) is not None:
+                out[i] = known
+            elif found := self.backoff(w):
+                at.append(i)
+                starts.append(len(flat))
+                flat += found
+        if at:
+            out[at] = np.add.reduceat(self.gram_logs[flat], starts) / np.diff([*starts, len(flat)])[:, None]
+        return out
 
     def scorer(self):
         """Row function text -> (lang, score). Word vectors seen lately are kept in a bounded table."""
@@ -89,21 +105,20 @@ class Backoff:
         slots: dict[str, int] = {}
         rows = np.zeros((most, k))
 
-        def slot(word: str) -> int:
-            i = slots[word] = len(slots)
-            rows[i] = self.word(word)
-            return i
-
         def score(text: str | None) -> tuple[str, float]:
             words = words_of((text or "").lower())
             if not words or not self.langs:
                 return UNKNOWN, 0.0
             if len(words) > most:
-                total = sum(n * self.word(w) for w, n in Counter(words).items())
+                counts = Counter(words)
+                total = np.array(list(counts.values())) @ self.vectors(list(counts))
             else:
                 if len(slots) + len(words) > most:
                     slots.clear()
-                total = rows[[i if (i := slots.get(w)) is not None else slot(w) for w in words]].sum(axis=0)
+                if new := list(dict.fromkeys(w for w in words if w not in slots)):
+                    rows[len(slots) : len(slots) + len(new)] = self.vectors(new)
+                    slots.update(zip(new, range(len(slots), len(slots) + len(new))))
+                total = rows[list(map(slots.__getitem__, words))].sum(axis=0)
             mean = total / len(words)
             best = int(np.argmax(mean))
             return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
