@@ -72,7 +72,7 @@ class Backoff:
 
         self.words = {w: logs(row, totals) for w, row in words.items()}
         self.gram_row = {g: i for i, g in enumerate(gram_counts)}
-        self.gram_logs = np.array([logs(row, gram_totals[len(g)]) for g, row in gram_counts.items()]).reshape(-1, k)
+        self.gram_logs = np.array([logs(row, gram_totals[len(g)]) for g, row in gram_counts.items()]).reshape(len(gram_counts), k)
 
     def backoff(self, word: str) -> list[int]:
         """Rows of the word's n-grams of the longest order that has a known one."""
