@@ -9,57 +9,64 @@ from manyvec.operators import metrics as M
 from manyvec.operators import scoring as S
 from manyvec.plans.fixtures import bags, d_tokens, degraded_tokens, metrics_sql, negatives, q_tokens, qrels, queries_and_docs, query, sql, vectors
 
-SCORE = F.round("score", 6).alias("score")
+
+def score():
+    return F.round("score", 6).alias("score")
+
+
+def means():
+    return [F.round(m, 6).alias(m) for m in M.NAMES]
+
+
 PQ = metrics_sql("ranked")
-MEANS = [F.round(m, 6).alias(m) for m in M.NAMES]
 
 
 @query(sql("SELECT round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, count(*) AS n_queries, (SELECT count(DISTINCT pid) FROM scores) AS n_docs FROM pq", PQ))
 def retrieval_metrics(spark, sf_dir):
     q, d = queries_and_docs(spark, sf_dir)
-    return M.evaluate(S.score_multi_vector(q, d), qrels(spark, sf_dir)).select(*MEANS, "n_queries", "n_docs")
+    return M.evaluate(S.score_multi_vector(q, d), qrels(spark, sf_dir)).select(*means(), "n_queries", "n_docs")
 
 
 @query(sql("SELECT qid, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(mrr, 6) AS mrr, n_rel FROM pq", PQ))
 def per_query_metrics(spark, sf_dir):
     q, d = queries_and_docs(spark, sf_dir)
-    return M.per_query(S.score_multi_vector(q, d), qrels(spark, sf_dir)).select("qid", *MEANS, "n_rel")
+    return M.per_query(S.score_multi_vector(q, d), qrels(spark, sf_dir)).select("qid", *means(), "n_rel")
 
 
 @query(sql("SELECT qid, pid, round(score, 6) AS score FROM scores"))
 def maxsim_scores(spark, sf_dir):
-    return S.score_multi_vector(*queries_and_docs(spark, sf_dir)).select("qid", "pid", SCORE)
+    return S.score_multi_vector(*queries_and_docs(spark, sf_dir)).select("qid", "pid", score())
 
 
 @query(sql("""SELECT qid, pid, round(sum(CASE WHEN n < longest THEN greatest(m, 0) ELSE m END), 6) AS score FROM (
   SELECT qid, pid, qtok, max(s) AS m FROM sims GROUP BY ALL) JOIN (
   SELECT pid, n, max(n) OVER (PARTITION BY pid // 16) AS longest FROM (SELECT pid, count(*) AS n FROM dt GROUP BY pid)) USING (pid) GROUP BY qid, pid"""))
 def maxsim_padded_batches(spark, sf_dir):
-    return S.score_multi_vector_padded(*queries_and_docs(spark, sf_dir), batch_size=16).select("qid", "pid", SCORE)
+    return S.score_multi_vector_padded(*queries_and_docs(spark, sf_dir), batch_size=16).select("qid", "pid", score())
 
 
 @query(sql("""SELECT qid, pid, round(sum(m), 6) AS score FROM (SELECT qid, pid, qtok, avg(s) AS m FROM (
   SELECT *, row_number() OVER (PARTITION BY qid, pid, qtok ORDER BY s DESC) AS r FROM sims) WHERE r <= 3 GROUP BY ALL) GROUP BY qid, pid"""))
 def topk_mean_scores(spark, sf_dir):
-    return S.score_multi_vector(*queries_and_docs(spark, sf_dir), reduction="topk_mean", top_k=3).select("qid", "pid", SCORE)
+    return S.score_multi_vector(*queries_and_docs(spark, sf_dir), reduction="topk_mean", top_k=3).select("qid", "pid", score())
 
 
 @query(sql("""SELECT qid, pid, round(sum(m), 6) AS score FROM (SELECT qid, pid, qtok, sum(exp((s - t) / 0.1) * s) / sum(exp((s - t) / 0.1)) AS m FROM (
   SELECT *, max(s) OVER (PARTITION BY qid, pid, qtok) AS t FROM sims) GROUP BY ALL) GROUP BY qid, pid"""))
 def smoothmax_scores(spark, sf_dir):
-    return S.score_multi_vector(*queries_and_docs(spark, sf_dir), reduction="smoothmax", temperature=0.1).select("qid", "pid", SCORE)
+    return S.score_multi_vector(*queries_and_docs(spark, sf_dir), reduction="smoothmax", temperature=0.1).select("qid", "pid", score())
 
 
 @query(sql("""SELECT qid, pid, round(sum(m), 6) AS score FROM (SELECT qid, pid, qtok, max(t) + 0.1 * ln(sum(exp((s - t) / 0.1))) AS m FROM (
   SELECT *, max(s) OVER (PARTITION BY qid, pid, qtok) AS t FROM sims) GROUP BY ALL) GROUP BY qid, pid"""))
 def log_sum_exp_scores(spark, sf_dir):
-    return S.score_multi_vector(*queries_and_docs(spark, sf_dir), reduction="lse", temperature=0.1).select("qid", "pid", SCORE)
+    return S.score_multi_vector(*queries_and_docs(spark, sf_dir), reduction="lse", temperature=0.1).select("qid", "pid", score())
 
 
 @query(sql("SELECT qid, pid, round(score / n, 6) AS score FROM scores JOIN (SELECT qid, count(*) FILTER (v[1] <> 0) AS n FROM qt GROUP BY qid) USING (qid)"))
 def length_normalized_scores(spark, sf_dir):
     q, d = queries_and_docs(spark, sf_dir)
-    return S.length_normalized(S.score_multi_vector(q, d), q).select("qid", "pid", SCORE)
+    return S.length_normalized(S.score_multi_vector(q, d), q).select("qid", "pid", score())
 
 
 @query(sql("""SELECT count(*) FILTER (x < -0.001 OR x > 1.001) AS n_outside, round(min(x), 6) AS lowest, round(max(x), 6) AS highest FROM (
@@ -74,7 +81,7 @@ def normalized_score_bounds(spark, sf_dir):
 def single_vector_scores(spark, sf_dir):
     v = vectors(spark, sf_dir)
     q, d = v.where("vec_id < 40").selectExpr("vec_id AS qid", "v"), v.where("vec_id >= 40").selectExpr("vec_id AS pid", "v")
-    return S.score("single", q, d).select("qid", "pid", SCORE)
+    return S.score("single", q, d).select("qid", "pid", score())
 
 
 @query(sql("SELECT qid, pid, rank FROM ranked"))
@@ -84,7 +91,7 @@ def full_ranking(spark, sf_dir):
 
 @query(sql("SELECT qid, rank, pid, round(score, 6) AS score FROM ranked WHERE rank <= 10"))
 def retrieve_top10(spark, sf_dir):
-    return S.retrieve(*queries_and_docs(spark, sf_dir), k=10).select("qid", "rank", "pid", SCORE)
+    return S.retrieve(*queries_and_docs(spark, sf_dir), k=10).select("qid", "rank", "pid", score())
 
 
 @query(sql("SELECT qid, pid AS best FROM ranked WHERE rank = 1"))
@@ -95,13 +102,13 @@ def argmax_document(spark, sf_dir):
 
 @query(sql("SELECT qid, pid, round(score, 6) AS score FROM scores WHERE pid = qid + 2"))
 def positive_pair_scores(spark, sf_dir):
-    return S.positive_scores(*queries_and_docs(spark, sf_dir), offset=2).select("qid", "pid", SCORE)
+    return S.positive_scores(*queries_and_docs(spark, sf_dir), offset=2).select("qid", "pid", score())
 
 
 @query(sql("SELECT negs.qid, negs.pid, round(score, 6) AS score FROM negs JOIN scores USING (qid, pid)"))
 def negative_pair_scores(spark, sf_dir):
     q, d = queries_and_docs(spark, sf_dir)
-    return S.negative_scores(q, negatives(spark, sf_dir), d).select("qid", "pid", SCORE)
+    return S.negative_scores(q, negatives(spark, sf_dir), d).select("qid", "pid", score())
 
 
 def conditions(spark, sf_dir):
@@ -126,7 +133,7 @@ tranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,
 
 @query(sql("SELECT condition, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(mrr, 6) AS mrr FROM means", *CONDITIONS))
 def condition_metrics(spark, sf_dir):
-    return M.evaluate(conditions(spark, sf_dir), qrels(spark, sf_dir), by=("condition",)).select("condition", *MEANS)
+    return M.evaluate(conditions(spark, sf_dir), qrels(spark, sf_dir), by=("condition",)).select("condition", *means())
 
 
 @query(sql("SELECT m.condition, round(m.ndcg - b.ndcg, 6) AS delta_ndcg, round(m.recall - b.recall, 6) AS delta_recall, round(m.mrr - b.mrr, 6) AS delta_mrr FROM means m, means b WHERE b.condition = 'degraded'", *CONDITIONS))
@@ -138,7 +145,7 @@ def condition_deltas(spark, sf_dir):
 @query(sql("SELECT m.condition, round(m.ndcg, 6) AS ndcg, round(m.recall, 6) AS recall, round(m.mrr, 6) AS mrr, round(m.ndcg - b.ndcg, 6) AS gain FROM means m, means b WHERE b.condition = 'degraded'", *CONDITIONS))
 def condition_summary(spark, sf_dir):
     out = M.summary(M.evaluate(conditions(spark, sf_dir), qrels(spark, sf_dir), by=("condition",)))
-    return out.select("condition", *MEANS, (F.round("gain", 6) + 0.0).alias("gain"))
+    return out.select("condition", *means(), (F.round("gain", 6) + 0.0).alias("gain"))
 
 
 @query(sql("SELECT round(avg(ndcg), 6) AS avg_ndcg FROM means", *CONDITIONS))

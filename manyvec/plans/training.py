@@ -8,7 +8,11 @@ from manyvec.operators import losses as L
 from manyvec.operators import scoring as S
 from manyvec.plans.fixtures import bags, d_tokens, degraded_tokens, negatives, q_tokens, qrels, queries_and_docs, query, sql, vectors
 
-LOSS = F.round("loss", 6).alias("loss")
+
+def loss():
+    return F.round("loss", 6).alias("loss")
+
+
 #: The batch: all ten queries with twelve documents; query i belongs to document i + 2.
 OFFSET = 2
 B = "b AS (SELECT qid, pid, score, pid = qid + 2 AS pos FROM scores WHERE pid < 12)"
@@ -39,7 +43,7 @@ def explicit(spark, sf_dir):
 
 @query(sql(f"SELECT round(loss, 6) AS loss FROM {ce('b', '0.5')}", B))
 def loss_in_batch(spark, sf_dir):
-    return L.in_batch(batch(spark, sf_dir), 0.5, OFFSET).select(LOSS)
+    return L.in_batch(batch(spark, sf_dir), 0.5, OFFSET).select(loss())
 
 
 @query(sql("SELECT qid, pid, round(CASE WHEN NOT pos AND score > 0.95 * max(score) FILTER (pos) OVER (PARTITION BY qid) THEN score * 0.5 ELSE score END, 6) AS score FROM b", B))
@@ -49,29 +53,29 @@ def negatives_down_weighted(spark, sf_dir):
 
 @query(sql(f"SELECT round(loss, 6) AS loss FROM {ce('f', '0.5')}", B, "f AS (SELECT qid, pid, pos, CASE WHEN NOT pos AND score > 0.95 * max(score) FILTER (pos) OVER (PARTITION BY qid) THEN score * 0.5 ELSE score END AS score FROM b)"))
 def loss_in_batch_filtered(spark, sf_dir):
-    return L.in_batch(batch(spark, sf_dir), 0.5, OFFSET, filtered=True).select(LOSS)
+    return L.in_batch(batch(spark, sf_dir), 0.5, OFFSET, filtered=True).select(loss())
 
 
 @query(sql(f"SELECT round(0.5 * {EXPLICIT} + 0.5 * {ce('b', '0.5')}, 6) AS loss", B, P))
 def loss_explicit_negatives(spark, sf_dir):
     pos, neg = explicit(spark, sf_dir)
-    return L.negatives(pos, neg, batch(spark, sf_dir), 0.5, OFFSET).select(LOSS)
+    return L.negatives(pos, neg, batch(spark, sf_dir), 0.5, OFFSET).select(loss())
 
 
 @query(sql(f"SELECT round(loss, 6) AS loss FROM {HARD}", B))
 def loss_pairwise(spark, sf_dir):
-    return L.pairwise(batch(spark, sf_dir), 0.5, OFFSET).select(LOSS)
+    return L.pairwise(batch(spark, sf_dir), 0.5, OFFSET).select(loss())
 
 
 @query(sql(f"SELECT round(0.75 * {EXPLICIT} + 0.25 * {HARD}, 6) AS loss", B, P))
 def loss_pairwise_negatives(spark, sf_dir):
     pos, neg = explicit(spark, sf_dir)
-    return L.pairwise_negatives(pos, neg, batch(spark, sf_dir), 0.5, OFFSET, weight=0.25).select(LOSS)
+    return L.pairwise_negatives(pos, neg, batch(spark, sf_dir), 0.5, OFFSET, weight=0.25).select(loss())
 
 
 @query(sql(f"SELECT round(avg({softplus('CASE WHEN pos THEN -score ELSE score END / 0.5')}), 6) AS loss FROM b", B))
 def loss_sigmoid(spark, sf_dir):
-    return L.sigmoid(batch(spark, sf_dir), 0.5, OFFSET).select(LOSS)
+    return L.sigmoid(batch(spark, sf_dir), 0.5, OFFSET).select(loss())
 
 
 SINGLE = "s AS (SELECT a.vec_id AS qid, b.vec_id - 40 AS pid, list_dot_product(a.v, b.v) AS score, b.vec_id - 40 = a.vec_id + 3 AS pos FROM e a, e b WHERE a.vec_id < 10 AND b.vec_id BETWEEN 40 AND 64)"
@@ -86,28 +90,28 @@ def single(spark, sf_dir):
 
 @query(sql(f"SELECT round(loss, 6) AS loss FROM {ce('s', '0.02')}", SINGLE))
 def loss_bi_in_batch(spark, sf_dir):
-    return L.in_batch(single(spark, sf_dir), 0.02, 3).select(LOSS)
+    return L.in_batch(single(spark, sf_dir), 0.02, 3).select(loss())
 
 
 @query(sql(f"SELECT round(({ce('s', '0.02')} + {ce('o', '0.02', 'pid')}) / 2, 6) AS loss", SINGLE, "o AS (SELECT * FROM s WHERE pid BETWEEN 3 AND 12)"))
 def loss_bi_symmetric(spark, sf_dir):
-    return L.symmetric(single(spark, sf_dir), 0.02, 3).select(LOSS)
+    return L.symmetric(single(spark, sf_dir), 0.02, 3).select(loss())
 
 
 @query(sql(f"SELECT round((1 - 0.5) * avg({softplus('(n.score - p.score) / 0.02')}) + 0.5 * {ce('s', '0.02')}, 6) AS loss FROM s p JOIN s n ON n.qid = p.qid AND n.pid IN (20, 21) WHERE p.pos", SINGLE))
 def loss_bi_negatives(spark, sf_dir):
     rows = single(spark, sf_dir)
-    return L.negatives(rows.where("pid = qid + 3"), rows.where("pid IN (20, 21)"), rows, 0.02, 3).select(LOSS)
+    return L.negatives(rows.where("pid = qid + 3"), rows.where("pid IN (20, 21)"), rows, 0.02, 3).select(loss())
 
 
 @query(sql(f"SELECT round(avg({softplus('((CASE WHEN one = x THEN two ELSE one END) - x) / 0.02')}), 6) AS loss FROM (SELECT qid, max(score) FILTER (pos) AS x, max(score) FILTER (r = 1) AS one, max(score) FILTER (r = 2) AS two FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS r FROM s) GROUP BY qid)", SINGLE))
 def loss_bi_pairwise(spark, sf_dir):
-    return L.pairwise(single(spark, sf_dir), 0.02, 3).select(LOSS)
+    return L.pairwise(single(spark, sf_dir), 0.02, 3).select(loss())
 
 
 @query(sql(f"SELECT round(avg(l), 6) AS loss FROM (SELECT blk, avg({softplus('CASE WHEN blk = 0 AND pos THEN -score ELSE score END / 0.02')}) AS l FROM (SELECT *, ((pid - 3 + 25) % 25) // 10 AS blk FROM s) WHERE blk < 2 GROUP BY blk)", SINGLE))
 def loss_bi_block_sigmoid(spark, sf_dir):
-    return L.block_sigmoid(single(spark, sf_dir), 0.02, 3).select(LOSS)
+    return L.block_sigmoid(single(spark, sf_dir), 0.02, 3).select(loss())
 
 
 DISTILL = """z AS (SELECT qid, pid, g.score / 0.07 AS s, c.score / 0.07 AS t FROM gscores g JOIN scores c USING (qid, pid)),
@@ -124,17 +128,17 @@ def both(spark, sf_dir):
 
 @query(sql("SELECT round(loss, 6) AS loss FROM distill", DISTILL))
 def loss_distillation(spark, sf_dir):
-    return L.distillation(*both(spark, sf_dir)).select(LOSS)
+    return L.distillation(*both(spark, sf_dir)).select(loss())
 
 
 @query(sql("SELECT round(loss, 6) AS loss FROM mp", DISTILL))
 def loss_multi_positive(spark, sf_dir):
-    return L.multi_positive(both(spark, sf_dir)[0], qrels(spark, sf_dir)).select(LOSS)
+    return L.multi_positive(both(spark, sf_dir)[0], qrels(spark, sf_dir)).select(loss())
 
 
 @query(sql("SELECT round(loss, 6) AS loss FROM ident", DISTILL))
 def loss_identity(spark, sf_dir):
-    return L.identity(d_tokens(spark, sf_dir), degraded_tokens(spark, sf_dir)).select(LOSS)
+    return L.identity(d_tokens(spark, sf_dir), degraded_tokens(spark, sf_dir)).select(loss())
 
 
 @query(sql("SELECT round(d.loss + 0.5 * m.loss + 0.05 * i.loss, 6) AS total, round(d.loss, 6) AS score_distill, round(m.loss, 6) AS qrels_rank, round(i.loss, 6) AS \"identity\" FROM distill d, mp m, ident i", DISTILL))
@@ -146,7 +150,7 @@ def loss_adapter_total(spark, sf_dir):
 @query("SELECT doc_id % 5 AS epoch, round(sum(n_chars / 1000) / count(*), 6) AS loss FROM documents GROUP BY 1")
 def epoch_losses(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id % 5 AS epoch", "n_chars / 1000 AS loss")
-    return L.epoch_mean(docs).select("epoch", LOSS)
+    return L.epoch_mean(docs).select("epoch", loss())
 
 
 @query("SELECT s AS step, round(CASE WHEN s < 10 THEN s / 10 ELSE greatest(0.1, (100 - s) / 90) END, 6) AS rate FROM range(0, 121) t(s)")

@@ -62,7 +62,7 @@ def page_paths(spark: SparkSession, folder: str, variant: str | None = None, pag
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(origin, h, w, c, data) with channels in red, green, blue order."""
     rows = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
-    turned = F.array_join(F.transform(F.sequence(F.lit(0), F.length("data") / 3 - 1), lambda i: F.concat(*[F.substr(F.hex("data"), (i * 6 + k).cast("int"), F.lit(2)) for k in (5, 3, 1)])), "")
+    turned = F.array_join(F.transform(F.sequence(F.lit(0), (F.length("data") / 3 - 1).cast("int")), lambda i: F.concat(*[F.substr(F.hex("data"), (i * 6 + k).cast("int"), F.lit(2)) for k in (5, 3, 1)])), "")
     return rows.select("origin", F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("c"), F.when(F.col("nChannels") == 3, F.unhex(turned)).otherwise(F.col("data")).alias("data"))
 
 
