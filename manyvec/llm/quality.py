@@ -1,13 +1,14 @@
 """Quality by compression: which of two dictionaries compresses a text better.
 
 One zstandard dictionary is trained on good labelled text, one on bad. A text is compressed block by block
-with each; the difference of the two sizes over their sum is the raw score, and a logistic curve fitted on
-labelled rows that the dictionaries have not seen makes it a probability. Only the text enters a score.
+with each; the difference of the two sizes over their sum is the raw score. A logistic curve fitted on labelled rows
+that the dictionaries have not seen makes a probability of it and of the compressed size per byte: text that
+repeats itself shrinks to nothing with either dictionary, so its difference alone says little. Only the text enters.
 
 The sample that fits the model is bounded: the texts of the ``most_docs`` labels of each class with the
 smallest hash, as far as they have at most ``most_chars`` characters. Everything else covers all rows and whole texts.
 
-Edge cases: null and empty text score as raw difference 0; held-out rows never teach; where a class has no
+Edge cases: null and empty text score as difference and ratio 0; held-out rows never teach; where a class has no
 labelled row, every score is the share of good labels (0.5 without labels); a document teaches once for each distinct label; other columns are ignored.
 """
 
@@ -29,12 +30,13 @@ THRESHOLD = 0.7
 class Model:
     good: bytes
     bad: bytes
-    slope: float
-    offset: float
+    #: of the difference, of the logarithm of the ratio, and the constant
+    weights: tuple[float, float, float]
     level: int = 3
 
-    def differ(self):
-        """Row function text -> normalised difference of compressed sizes, positive for good text."""
+    def measure(self):
+        """Row function text -> (normalised difference of compressed sizes, positive for good text; logarithm of the
+        compressed size per byte, which is low for text that repeats itself and so compresses alike with both)."""
         import zstandard
 
         def maker(data: bytes):
@@ -43,40 +45,43 @@ class Model:
             return zstandard.ZstdCompressor(dict_data=known, write_content_size=False, write_dict_id=False).compress
 
         if not self.good or not self.bad:
-            return lambda text: 0.0
+            return lambda text: (0.0, 0.0)
         good, bad = maker(self.good), maker(self.bad)
 
-        def difference(text: str | None) -> float:
-            g = b = 0
+        def measured(text: str | None) -> tuple[float, float]:
+            g = b = n = 0
             for at in range(0, len(text or ""), BLOCK):
                 block = text[at : at + BLOCK].encode("utf-8", "surrogatepass")
                 g += len(good(block))
                 b += len(bad(block))
-            return (b - g) / (b + g) if g else 0.0
+                n += len(block)
+            return ((b - g) / (b + g), math.log((g + b) / (2 * n))) if g else (0.0, 0.0)
 
-        return difference
+        return measured
 
-    def probability(self, difference: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * difference + self.offset))))
+    def probability(self, difference: float, ratio: float) -> float:
+        x = self.weights[0] * difference + self.weights[1] * ratio + self.weights[2]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def logistic(xs: list[float], ys: list[int], penalty: float = 1e-4) -> tuple[float, float]:
-    """Slope and offset by Newton steps."""
+def logistic(xs: list[tuple[float, float]], ys: list[int], penalty: float = 1e-4) -> tuple[float, float, float]:
+    """Weights of the two measures and the constant, by Newton steps."""
     import numpy as np
 
-    x, y = np.column_stack([np.array(xs), np.ones(len(xs))]), np.array(ys, float)
-    scale = max(1e-9, float(np.std(x[:, 0])))
-    x[:, 0] /= scale
-    w = np.zeros(2)
+    raw, y = np.array(xs, float), np.array(ys, float)
+    centre, scale = raw.mean(axis=0), np.maximum(raw.std(axis=0), 1e-9)
+    x = np.column_stack([(raw - centre) / scale, np.ones(len(raw))])
+    w = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) / len(y) + penalty * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x / len(y) + penalty * np.eye(2)
+        hess = (x * (p * (1 - p))[:, None]).T @ x / len(y) + penalty * np.eye(3)
         step = np.linalg.solve(hess, grad)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    slopes = w[:2] / scale
+    return float(slopes[0]), float(slopes[1]), float(w[2] - slopes @ centre)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, most_chars: int = 20_000, dict_bytes: int = 64 * 1024) -> Model:
@@ -94,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, most_chars: i
     n = {q: len(parts[q, False]) + len(parts[q, True]) for q in (0, 1)}
     if not all(parts.values()) or min(n.values()) < 8:
         share = (n[1] + 1) / (n[0] + n[1] + 2) if n[0] + n[1] else 0.5
-        return Model(b"", b"", 0.0, math.log(share / (1 - share)))
+        return Model(b"", b"", (0.0, 0.0, math.log(share / (1 - share))))
 
     def dictionary(samples: list[bytes]) -> bytes:
         small = [s[i : i + BLOCK] for s in samples for i in range(0, len(s), BLOCK)]
@@ -104,10 +109,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, most_chars: i
         except zstandard.ZstdError:  # too little to train on: the samples themselves serve as raw content
             return b"".join(small)[-size:]
 
-    model = Model(dictionary(parts[1, False]), dictionary(parts[0, False]), 0.0, 0.0)
-    difference = model.differ()
-    xs = [(difference(t.decode("utf-8", "surrogatepass")), q) for q in (0, 1) for t in parts[q, True]]
-    model.slope, model.offset = logistic([x for x, _ in xs], [q for _, q in xs])
+    model = Model(dictionary(parts[1, False]), dictionary(parts[0, False]), (0.0, 0.0, 0.0))
+    measured = model.measure()
+    xs = [(measured(t.decode("utf-8", "surrogatepass")), q) for q in (0, 1) for t in parts[q, True]]
+    model.weights = logistic([x for x, _ in xs], [q for _, q in xs])
     return model
 
 
@@ -117,10 +122,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def make():
         m = shared.value
-        difference = m.differ()
+        measured = m.measure()
 
         def row(d, text):
-            p = m.probability(difference(text))
+            p = m.probability(*measured(text))
             return d, is_held_out(d), p, int(p >= THRESHOLD)
 
         return row
