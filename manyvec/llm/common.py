@@ -41,6 +41,15 @@ def narrow(docs: DataFrame, *names: str) -> DataFrame:
     return renamed.select(*[(F.col(f"__c{have[n]}") if n in have else F.lit(None).cast("string")).alias(n) for n in names])
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Deals a plain scan over all cores where it has fewer partitions than there are: such an input is small, being at
+    most a partition a core. Larger scans, and inputs that already come from a shuffle, stay as they are."""
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.rdd().getNumPartitions() < cores else docs
+
+
 def map_rows(docs: DataFrame, make: Callable[[], Callable[..., tuple]], schema: T.StructType | str) -> DataFrame:
     """One output row per input row by an Arrow-batched function.
 
@@ -58,7 +67,7 @@ def map_rows(docs: DataFrame, make: Callable[[], Callable[..., tuple]], schema:
                 out = [row(*values) for values in zip(*(c.to_pylist() for c in part.columns))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)
 
 
 class Memo(dict):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyvec.llm.common import narrow, splitter
+from manyvec.llm.common import narrow, splitter, spread
 from manyvec.session import stored
 
 CAPACITY, END = 2048, 0
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, w
                         start, length, k = start + length, capacity, k + 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return narrow(docs, "doc_id", "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return spread(narrow(docs, "doc_id", "text")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
