@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from manyvec.llm.common import SPACES, Memo, map_rows, narrow
+from manyvec.llm.common import SPACES, Memo, map_rows, narrow, spread
 from manyvec.session import stored
 
 SYMBOLS = "#*$%&|<>"
@@ -111,8 +111,12 @@ def chi2_quantile(p: float, k: int) -> float:
     return high
 
 
-def _grouped(stats: DataFrame, min_group: int) -> DataFrame:
-    """Adds lang_g, source_g: the group whose estimate a row is held against."""
+#: With at most so many groups their rows of parameters are broadcast, else joined by key.
+MOST_GROUPS = 20_000
+
+
+def _grouped(stats: DataFrame, min_group: int) -> tuple[DataFrame, bool]:
+    """Adds lang_g, source_g: the group whose estimate a row is held against. Also tells whether the groups are few."""
     by = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
     by_lang = by.groupBy(F.col("lang").alias("l")).agg(F.sum(F.when(F.col("n") < min_group, F.col("n"))).alias("pooled"))
     groups = by.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left")
@@ -122,8 +126,10 @@ def _grouped(stats: DataFrame, min_group: int) -> DataFrame:
         F.when(alone | pooled, F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null"))).otherwise("*").alias("lang_g"),
         F.when(alone, F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).otherwise("*").alias("source_g"),
     )
-    groups = F.broadcast(groups) if by.limit(20_001).count() <= 20_000 else groups
-    return stats.join(groups, stats["lang"].eqNullSafe(F.col("l")) & stats["source"].eqNullSafe(F.col("s")), "left").drop("l", "s")
+    few = by.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
+    groups = F.broadcast(groups) if few else groups
+    joined = stats.join(groups, stats["lang"].eqNullSafe(F.col("l")) & stats["source"].eqNullSafe(F.col("s")), "left").drop("l", "s")
+    return joined, few
 
 
 def _inverted(moments: DataFrame, factor: float) -> DataFrame:
@@ -152,29 +158,28 @@ def _moments(rows: DataFrame) -> DataFrame:
     )
 
 
-def _distances(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Adds d2. The parameters have a row per group: broadcast while their count is small, else joined by key."""
-    small = params.limit(20_001).count() <= 20_000
-    joined = rows.join(F.broadcast(params) if small else params, ["lang_g", "source_g"], "left")
+def _distances(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
+    """Adds d2; the parameters have a row per group."""
+    joined = rows.join(F.broadcast(params) if few else params, ["lang_g", "source_g"], "left")
     gap = [F.col(f) - F.col("mu")[i] for i, f in enumerate(FEATURES)]
     d2 = sum((gap[i] * gap[j] * F.col("inverse")[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
     return joined.withColumn("d2", d2).drop("mu", "inverse")
 
 
-def estimates(rows: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame:
+def estimates(rows: DataFrame, few: bool = False, share: float = 0.75, steps: int = 5) -> DataFrame:
     """MCD parameters of each group from all its rows, from a start at medians and absolute deviations."""
     keys = ["lang_g", "source_g"]
     middle = rows.groupBy(*keys).agg(*[F.percentile_approx(f, 0.5, 2000).alias(f"m_{f}") for f in FEATURES])
-    off = rows.join(F.broadcast(middle) if middle.limit(20_001).count() <= 20_000 else middle, keys)
+    off = rows.join(F.broadcast(middle) if few else middle, keys)
     spread = off.groupBy(*keys).agg(*[F.first(f"m_{f}").alias(f"m_{f}") for f in FEATURES], *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 2000).alias(f"s_{f}") for f in FEATURES])
     m, s = [F.col(f"m_{f}") for f in FEATURES], [1.4826 * F.col(f"s_{f}") for f in FEATURES]
     start = spread.select(*keys, F.array(*m).alias("mu"), F.array(*[m[i] * m[j] + (s[i] * s[i] if i == j else 0) for i in range(P) for j in range(i, P)]).alias("cross"))
     params = stored(_inverted(start, 1.0), "mcd")
     factor = share / chi2_cdf(chi2_quantile(share, P), P + 2)
     for _ in range(steps):
-        near = _distances(rows, params)
+        near = _distances(rows, params, few)
         cut = near.groupBy(*keys).agg(F.percentile_approx("d2", share, 2000).alias("cut"))
-        cut = F.broadcast(cut) if params.limit(20_001).count() <= 20_000 else cut
+        cut = F.broadcast(cut) if few else cut
         half = near.join(cut, keys).where("d2 <= cut")
         params = stored(_inverted(_moments(half), factor), "mcd")
     return params
@@ -182,9 +187,9 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame
 
 def judged(rows: DataFrame, level: float = 1 - 1e-7, min_group: int = 50, share: float = 0.75, steps: int = 5) -> DataFrame:
     """Adds base_failed, d2 and kept to rows that have lang, source and the counts of STATS."""
-    rows = _grouped(stored(rows, "stats").withColumns({f: F.expr(e) for f, (e, _) in FEATURES.items()}), min_group)
+    rows, few = _grouped(stored(rows, "stats").withColumns({f: F.expr(e) for f, (e, _) in FEATURES.items()}), min_group)
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    out = _distances(rows, estimates(rows.where("not base_failed"), share, steps))
+    out = _distances(rows, estimates(rows.where("not base_failed"), few, share, steps), few)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(level, P), F.lit(True)))
 
 
@@ -213,4 +218,4 @@ def keep(docs: DataFrame, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays(kept + columns, names=batch.schema.names[:-1] + fields)
 
     schema = T.StructType(plain.schema.fields[:-1] + [T.StructField(f, T.LongType()) for f in fields])
-    return judged(plain.mapInArrow(run, schema), **options).where("kept").select(*[f"__c{i}" for i in range(len(names))]).toDF(*names)
+    return judged(spread(plain).mapInArrow(run, schema), **options).where("kept").select(*[f"__c{i}" for i in range(len(names))]).toDF(*names)
