@@ -74,17 +74,21 @@ class Batch:
         n = max(0, len(self.words) - BLOCK + 1)
         return (np.arange(n) - self.starts[self.row[:n]]) % BLOCK == 0
 
-    def prints(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96-bit fingerprints of the 13-word windows beginning at ``at``."""
-        second = np.zeros(len(at), U64)
-        first = np.zeros(len(at), U64)
-        f1 = np.random.default_rng(131).integers(1, 2**63, WINDOW, dtype=U64) * U64(2) + U64(1)
-        f2 = np.random.default_rng(132).integers(1, 2**63, WINDOW, dtype=U64) * U64(2) + U64(1)
+    def first_prints(self, at: np.ndarray) -> np.ndarray:
+        """The leading 64 bits of the fingerprints of the 13-word windows beginning at ``at``."""
+        return self._sum(at, 131, False)
+
+    def second_prints(self, at: np.ndarray) -> np.ndarray:
+        """Their other 32 bits."""
+        return (self._sum(at, 132, True) >> U64(32)).astype(np.uint32)
+
+    def _sum(self, at: np.ndarray, seed: int, folded: bool) -> np.ndarray:
+        total_ = np.zeros(len(at), U64)
+        factors = np.random.default_rng(seed).integers(1, 2**63, WINDOW, dtype=U64) * U64(2) + U64(1)
+        words = self.words ^ (self.words >> U64(33)) if folded else self.words
         for k in range(WINDOW):
-            w = self.words[at + k]
-            first += w * f1[k]
-            second += (w ^ (w >> U64(33))) * f2[k]
-        return mix(first), (mix(second) >> U64(32)).astype(np.uint32)
+            total_ += words[at + k] * factors[k]
+        return mix(total_)
 
 
 def _probe_messages(sizes: Sizes):
@@ -120,7 +124,7 @@ def _extended(sizes: Sizes, print_sizes: Sizes):
         n = len(b.whole)
         span = WINDOW - BLOCK + 1
         at = np.flatnonzero(b.whole & (upto[span : span + n] > upto[:n]))
-        first, second = b.prints(at)
+        first, second = b.first_prints(at), b.second_prints(at)
         doc = b.ids[b.row[at]]
         order = np.lexsort((doc, second, first))
         first, second, doc = first[order], second[order], doc[order]
@@ -156,21 +160,28 @@ def removed_words(table: pa.Table, answers: pd.DataFrame) -> tuple[Batch, np.nda
     """Which of the batch's words go: those in windows that an earlier document has, here or in another batch."""
     b = Batch(table)
     at = np.flatnonzero(b.whole)
-    first, second = b.prints(at)
+    first = b.first_prints(at)
     known = np.zeros(0, [("f", "<u8"), ("p", "<u4")])
     if len(answers):
-        known = np.concatenate([_pairs(inflate(k), unsqueeze(e, np.uint32)) for k, e in zip(answers["keys"], answers["extra"])])
+        known = np.unique(np.concatenate([_pairs(inflate(k), unsqueeze(e, np.uint32)) for k, e in zip(answers["keys"], answers["extra"])]))
+    firsts = known["f"].copy()
+    # only windows that occur again, here or elsewhere, need the rest of their fingerprint
+    order = np.argsort(first)
+    again = isin_sorted(first, firsts)
+    same = first[order[1:]] == first[order[:-1]]
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    at, first = at[again], first[again]
+    second = b.second_prints(at)
     gone = np.zeros(len(at), bool)
     if len(at):
-        if len(known):  # the first 64 bits choose, the rest confirms
-            known = np.unique(known)
-            firsts = known["f"]
+        if len(known):
             i = np.searchsorted(firsts, first)
-            while True:
-                ok = (i < len(firsts)) & (firsts[np.minimum(i, len(firsts) - 1)] == first) & ~gone
+            while True:  # equal leading bits stand side by side
+                last = np.minimum(i, len(firsts) - 1)
+                ok = (i < len(firsts)) & (firsts[last] == first) & ~gone
                 if not ok.any():
                     break
-                gone |= ok & (known["p"][np.minimum(i, len(firsts) - 1)] == second)
+                gone |= ok & (known["p"][last] == second)
                 i = i + 1
         doc = b.ids[b.row[at]]
         order = np.lexsort((doc, second, first))
