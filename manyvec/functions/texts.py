@@ -19,8 +19,15 @@ AUGMENTATION_TOKENS = {
 }
 VISUAL_PROMPTS = {
     "idefics3": "<|im_start|>User:<image>Describe the image.<end_of_utterance>\nAssistant:",
+    "modernvbert": "<|begin_of_text|>User:<image>Describe the image.<end_of_utterance>\nAssistant:",
     "paligemma": "<image><bos>Describe the image.",
+    "qwen2": "<|im_start|>user\n<|vision_start|><|image_pad|><|vision_end|>Describe the image.<|im_end|><|endoftext|>",
+    "qwen2_5": "<|im_start|>user\n<|vision_start|><|image_pad|><|vision_end|>Describe the image.<|im_end|><|endoftext|>",
+    "qwen3": "<|im_start|>user\n<|vision_start|><|image_pad|><|vision_end|>Describe the image.<|im_end|><|endoftext|>",
+    "qwen3_5": "<|im_start|>user\n<|vision_start|><|image_pad|><|vision_end|>Describe the image.<|im_end|><|endoftext|>",
 }
+IMAGE_TOKENS = {"idefics3": "<image>", "modernvbert": "<image>", "paligemma": "<image>", "qwen2": "<|image_pad|>", "qwen2_5": "<|image_pad|>", "qwen3": "<|image_pad|>", "qwen3_5": "<|image_pad|>"}
+QUERY_PREFIXES = {"qwen_omni": "Query: "}
 
 
 def augment_query(text: Column, token: str, prefix: str = "", suffix: str | None = None, times: int = 10) -> Column:
@@ -98,4 +105,14 @@ def run_stamp() -> Column:
 
 
 def result_name(stamp: Column, mode: Column, variant: Column) -> Column:
-    return F.concat_ws("_", stamp, mode, F.lit("singleview"), F.coalesce(variant, F.lit("clean"))).substr(F.lit(1), F.lit(1000))
+    return F.concat(stamp, F.lit("_"), mode, F.lit("_singleview_"), F.coalesce(variant, F.lit("clean")), F.lit(".json"))
+
+
+def analysis_name(stamp: Column, variant: Column) -> Column:
+    return F.concat(stamp, F.lit("_restoration_analysis_"), variant, F.lit(".json"))
+
+
+def without_special(tokens: Column, special: list[int]) -> Column:
+    """(index, id) of the tokens of a list that are not special."""
+    tagged = F.transform(tokens, lambda t, i: F.struct(i.alias("index"), t.alias("id")))
+    return F.filter(tagged, lambda x: ~x["id"].isin(special))

@@ -21,6 +21,11 @@ def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     return rows.orderBy(stable_hash(F.col(key), seed), key)
 
 
+def shuffled_places(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds ``place``: each row's number from 1 in the seeded order."""
+    return numbered(rows.withColumn("__h", _hash_number(key, seed)), "__h", "place", key).drop("__h")
+
+
 def _hash_number(key: str, seed: int) -> Column:
     """The seeded hash's leading 52 bits, a number to order by."""
     return F.conv(F.substring(stable_hash(F.col(key), seed), 1, 13), 16, 10).cast("double")

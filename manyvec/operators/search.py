@@ -7,6 +7,9 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from manyvec.operators import images, metrics, scoring
+from manyvec.operators.encoder import Encoder
+
 
 class Swarm:
     """Maximises an objective; c1, c2 and w weigh a particle's own best, the swarm's best and its motion."""
@@ -45,3 +48,32 @@ class Swarm:
             return np.array([found[i] for i in range(len(x))])
 
         return self.optimize_all(score)
+
+
+def restoration_objective(pages: DataFrame, queries: DataFrame, encoder: Encoder, std: float = 30.0, k: int = 5) -> Callable[[np.ndarray], float]:
+    """Scores (h, sigma): mean nDCG of pages (image rows) that were given noise and restored by both filters, encoded and
+    scored against bags of queries, query i belonging to page i. Parameters are held at h >= 1, sigma >= 0.1."""
+    degraded = images.Pipeline([("gaussian_noise", {"std": std})], images.EVERY)(pages)
+
+    def objective(params: np.ndarray) -> float:
+        h, sigma = max(1.0, float(params[0])), max(0.1, float(params[1]))
+        restored = images.Pipeline([("nlmeans", {"h": h}), ("gaussian", {"sigma": sigma})], images.EVERY)(degraded)
+        bags = encoded_images(restored, encoder)
+        scores = scoring.score_multi_vector(queries, bags)
+        return float(metrics.evaluate(scores, metrics.diagonal(scores), k).first()["ndcg"])
+
+    return objective
+
+
+def encoded_images(rows: DataFrame, encoder: Encoder) -> DataFrame:
+    """(pid, toks) of image rows; the encoder gets (h, w, c) arrays."""
+    import pandas as pd
+
+    shared = rows.sparkSession.sparkContext.broadcast(encoder)
+
+    def run(parts):
+        for pdf in parts:
+            arrays = [np.frombuffer(d, np.uint8).reshape(h, w, c) for h, w, c, d in zip(pdf["h"], pdf["w"], pdf["c"], pdf["data"])]
+            yield pd.DataFrame({"pid": pdf["id"], "toks": [m.tolist() for m in shared.value.encode(arrays)]})
+
+    return rows.mapInPandas(run, "pid long, toks array<array<double>>")

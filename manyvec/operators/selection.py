@@ -113,6 +113,16 @@ def split_variants(variants: DataFrame, held_out: str = "_".join(COMPONENTS), se
     return rows.select("variant", split.alias("split")).where("split is not null").unionByName(held)
 
 
+def with_answers(selected: DataFrame, queries: DataFrame) -> DataFrame:
+    """Selected queries (query_id, query) with language and answers; unknown ones keep nulls."""
+    return selected.select("query_id", "query").join(queries.select("query_id", "language", "raw_answers"), "query_id", "left")
+
+
+def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows in both."""
+    return a.intersect(b)
+
+
 def query_groups(queries: DataFrame, seed: int = 13) -> DataFrame:
     """Queries grouped by their answers: (group_key, group_hash, query_ids in order), numbered by hash, then key."""
     rows = queries.withColumn("group_key", F.col("raw_answers").cast("string"))

@@ -161,10 +161,10 @@ def fixed_grids(spark, sf_dir):
 
 @query("""WITH k AS (SELECT doc_id, i AS pos, i % 2 = 0 AS image FROM documents, range(0, 8) t(i) WHERE i < 4 * (1 + doc_id % 2)),
 b AS (SELECT doc_id, count(*) FILTER (image) // 2 AS blocks FROM k GROUP BY doc_id), o AS (SELECT doc_id, coalesce(sum(blocks) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
-SELECT doc_id, pos, CASE WHEN image THEN (pos // 2) // 2 + before END::BIGINT AS block, CASE WHEN image THEN (pos // 2) % 2 END::BIGINT AS local FROM k JOIN o USING (doc_id)""")
+SELECT doc_id, pos, (CASE WHEN image THEN (pos // 2) // 2 + before ELSE -1 END)::BIGINT AS block, (CASE WHEN image THEN (pos // 2) % 2 ELSE -1 END)::BIGINT AS local FROM k JOIN o USING (doc_id)""")
 def scattered_image_blocks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.expr("sequence(0L, 4 * (1 + doc_id % 2) - 1)")).alias("pos"))
-    return G.scatter_blocks(docs, "doc_id", F.col("pos") % 2 == 0, 2).select("doc_id", "pos", "block", "local")
+    return G.scatter_blocks(docs, "doc_id", F.col("pos") % 2 == 0, 2).select("doc_id", "pos", *[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("block", "local")])
 
 
 @query(sql("""SELECT pid, (y // 2) * 2 + x // 2 AS tok, list(round(p, 6) + 0.0::DOUBLE ORDER BY (y % 2) * 2 + x % 2, i) AS v FROM (

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from manyvec.functions import vectors as V
@@ -13,7 +12,7 @@ from manyvec.operators import metrics as M
 from manyvec.operators import scoring as S
 from manyvec.operators import search as P
 from manyvec.plans.algebra import six
-from manyvec.plans.fixtures import bags, d_tokens, degraded_tokens, qrels, queries_and_docs, query, sql, table, vectors
+from manyvec.plans.fixtures import bags, d_tokens, degraded_tokens, metrics_sql, qrels, queries_and_docs, query, sql, table, vectors
 
 MAPS = """pg AS (SELECT (vec_id - 40) // 6 AS page, (vec_id - 40) % 6 AS tok, v FROM e WHERE vec_id >= 40), fullp AS (SELECT page FROM pg GROUP BY page HAVING count(*) = 6),
 m AS (SELECT page, q.vec_id AS q_tok, tok % 3 AS x, tok // 3 AS y, list_dot_product(q.v, pg.v) AS sim FROM pg JOIN fullp USING (page), e q WHERE q.vec_id < 4)"""
@@ -204,3 +203,11 @@ def approximate_top10(spark, sf_dir):
 def encoded_queries(spark, sf_dir):
     out = encoder.encoded(table(spark, sf_dir, "benchmark"), "item_id", "text", encoder.HashingEncoder(16))
     return out.select("item_id", F.size("toks").cast("long").alias("n_tokens"))
+
+
+@query(sql("SELECT variant, adapted, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr, count(*) AS n_queries FROM (SELECT 'clean' AS variant, * FROM pq UNION ALL SELECT 'degraded', * FROM pq_g), (VALUES (false), (true)) v(adapted) GROUP BY ALL", metrics_sql("ranked"), metrics_sql("granked", "_g")))
+def adapter_by_variant(spark, sf_dir):
+    """A fresh adapter changes nothing, so raw and adapted metrics agree."""
+    q, d = queries_and_docs(spark, sf_dir)
+    out = A.evaluate_variants(A.Adapter(64), q, qrels(spark, sf_dir), {"clean": d, "degraded": bags(degraded_tokens(spark, sf_dir), "pid")})
+    return out.select("variant", "adapted", F.round("ndcg", 6).alias("ndcg"), F.round("mrr", 6).alias("mrr"), "n_queries")

@@ -231,3 +231,35 @@ def prefixed_columns(spark, sf_dir):
 def vqa_columns(spark, sf_dir):
     rows = docs(spark, sf_dir).select(F.lit(None).cast("string").alias("ucsf_id"), "doc_id", "lang")
     return D.vqa_reshaped(rows, {"lang": "language"}, ["ucsf_id", "doc_id"], "vqa")
+
+
+@query(with_corpus("SELECT d.doc_id AS query_id, d.lang AS query, language, coalesce(raw_answers, -1) AS raw_answers FROM documents d LEFT JOIN queries q ON q.query_id = d.doc_id"))
+def selected_queries_with_answers(spark, sf_dir):
+    chosen = docs(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.col("lang").alias("query"))
+    return X.with_answers(chosen, queries(spark, sf_dir)).withColumn("raw_answers", F.coalesce("raw_answers", F.lit(-1).cast("long")))
+
+
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
+def split_overlap(spark, sf_dir):
+    return X.overlap(docs(spark, sf_dir).select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY sha1('7:' || doc_id)[1:13], doc_id) AS place FROM documents")
+def shuffled_places(spark, sf_dir):
+    """A seeded shuffle: every row's place in it."""
+    return D.shuffled_places(docs(spark, sf_dir).select("doc_id"), "doc_id", 7)
+
+
+@query("SELECT doc_id, 'T_single_singleview_' || lang || '.json' AS result, 'T_restoration_analysis_' || lang || '.json' AS analysis FROM documents")
+def result_names(spark, sf_dir):
+    from manyvec.functions import texts as T
+
+    return docs(spark, sf_dir).select("doc_id", T.result_name(F.lit("T"), F.lit("single"), F.col("lang")).alias("result"), T.analysis_name(F.lit("T"), F.col("lang")).alias("analysis"))
+
+
+@query("SELECT doc_id, len(list_filter([doc_id % 5, doc_id % 3 + 100, 2], lambda x: x NOT IN (0, 1, 2))) AS n FROM documents")
+def special_tokens_dropped(spark, sf_dir):
+    from manyvec.functions import texts as T
+
+    ids = F.array(F.col("doc_id") % 5, F.col("doc_id") % 3 + 100, F.lit(2).cast("long"))
+    return docs(spark, sf_dir).select("doc_id", F.size(T.without_special(ids, [0, 1, 2])).cast("long").alias("n"))

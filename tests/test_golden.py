@@ -280,3 +280,23 @@ def test_encoder_plugs_in(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, None)], "id long, text string")
     out = {r["id"]: r["toks"] for r in encoder.encoded(rows, "id", "text", encoder.HashingEncoder(4)).collect()}
     assert len(out[1]) == 2 and out[2] == [] and np.linalg.norm(out[1][0]) == pytest.approx(1)
+
+
+def test_restoration_objective(spark):
+    from manyvec.operators import images
+
+    rng = np.random.default_rng(2)
+    shots = [np.kron(rng.integers(0, 255, (6, 6, 1)), np.ones((4, 4, 1))).astype(np.uint8) for _ in range(4)]
+    rows = spark.createDataFrame([(i, *s.shape, bytearray(s.tobytes())) for i, s in enumerate(shots)], images.IMAGE)
+    enc = encoder.RowEncoder(24)
+    queries = search.encoded_images(rows, enc).withColumnRenamed("pid", "qid")
+    assert search.restoration_objective(rows, queries, enc)([0.0, 0.0]) > 0.9
+
+
+def test_token_filter_and_patch_kinds(spark):
+    row = spark.range(1).select(T.without_special(F.array(*map(F.lit, [1, 100, 101, 102, 103, 2, 0])), [0, 1, 2]).alias("t"), *G.n_patches("single", F.lit(1), F.lit(1))).collect()[0]
+    assert [x["index"] for x in row["t"]] == [1, 2, 3, 4] and row[1:] == (1, 1)
+    with pytest.raises(NotImplementedError):
+        G.n_patches("omni", F.lit(1), F.lit(1))
+    with pytest.raises(ValueError):
+        T.payload(F.lit(1), F.lit(1))
