@@ -2,17 +2,18 @@
 
 Tables: queries (qid, toks array<array<double>>), docs (pid, toks). A pair of bags is one row, and its score one
 expression over the two arrays: nothing is exploded and no pair is shuffled. The query side is broadcast while its
-measured size is small; beyond that both sides are dealt into blocks that meet pairwise, each block once in memory."""
+measured bytes are few; beyond that both sides are dealt into blocks that meet pairwise, each block once in memory."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from manyvec.functions import vectors as V
 
-BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 64 << 20
 REDUCTIONS = ("max", "topk_mean", "smoothmax", "lse")
 
 
@@ -26,13 +27,27 @@ def unpack(bags: DataFrame, key: str) -> DataFrame:
     return bags.select(key, F.posexplode("toks").alias("tok", "v"))
 
 
+def measured_bytes(rows: DataFrame) -> int:
+    """What the rows hold, at 8 bytes a number; strings count by their length."""
+
+    def of(column: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType):
+            return F.aggregate(column, F.lit(0), lambda n, x: n + F.size(x)) * 8
+        if isinstance(kind, T.ArrayType):
+            return F.size(column) * 8
+        return F.length(column) if isinstance(kind, (T.StringType, T.BinaryType)) else F.lit(8)
+
+    each = sum((F.coalesce(of(F.col(f.name), f.dataType), F.lit(0)) for f in rows.schema.fields), F.lit(16))
+    return rows.agg(F.coalesce(F.sum(each), F.lit(0)).alias("n")).first()["n"]
+
+
 def pairs(left: DataFrame, right: DataFrame, blocks: int | None = None) -> DataFrame:
-    """Every left row with every right row. ``left`` is broadcast while it has at most BROADCAST_ROWS rows; a larger
-    one is dealt into blocks, and block pairs meet by an equi-join on their number, so no task holds a whole side."""
-    n = left.limit(BROADCAST_ROWS + 1).count()
-    if n <= BROADCAST_ROWS and blocks is None:
+    """Every left row with every right row. ``left`` is broadcast while it measures at most BROADCAST_BYTES; a larger
+    one is dealt into blocks of about that size, and block pairs meet by an equi-join on their number, so no task holds
+    a whole side."""
+    blocks = blocks or -(-measured_bytes(left) // BROADCAST_BYTES)
+    if blocks <= 1:
         return right.crossJoin(F.broadcast(left))
-    blocks = blocks or max(2, -(-left.count() // BROADCAST_ROWS))
     number = F.pmod(F.xxhash64(*left.columns), F.lit(blocks))
     return right.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(left.withColumn("__b", number), "__b").drop("__b")
 
