@@ -37,7 +37,8 @@ def cap_sources(rows: DataFrame, source: str, caps: dict[str, int], key: str, se
     free = rows.where(cap.isNull())
     by = W.partitionBy(source).orderBy(stable_hash(F.col(key), seed), key)
     held = rows.where(cap.isNotNull()).withColumn("__r", F.row_number().over(by))
-    return free.unionByName(held.where(F.col("__r") <= cap).drop("__r"))
+    held = held.where((F.col("__r") <= max(caps.values(), default=0)) & (F.col("__r") <= cap))  # the first bound is what Spark pushes down
+    return free.unionByName(held.drop("__r"))
 
 
 def head_split(rows: DataFrame, key: str, n: int, seed: int | None = None) -> DataFrame:
