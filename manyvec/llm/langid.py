@@ -107,7 +107,7 @@ class Backoff:
 
         def score(text: str | None) -> tuple[str, float]:
             words = words_of((text or "").lower())
-            if not words or not self.langs:
+            if not self.langs or not any(c.isalpha() for w in words for c in w):
                 return UNKNOWN, 0.0
             if len(words) > most:
                 counts = Counter(words)
