@@ -6,8 +6,12 @@ frequency of the word per language; a word the model doesn't know by its longest
 any language, else by shorter ones. The language with the largest sum wins; the score is its share under the
 softmax of the per-word means.
 
-The broadcast model has a proven bound: at most ``most_words`` words and ``most_grams`` n-grams (the most
-frequent), by at most ``most_langs`` languages. What is left out of the word table falls to the n-grams.
+The broadcast model has a proven bound: at most ``most_words`` words and ``most_grams`` n-grams, by at most
+``most_langs`` languages. Entries are chosen by their largest share in any language (an n-gram's among those of
+its order), so the size of a language doesn't count: at most 1 / s words of a language have a share of s or
+more, so among k languages each keeps all its words with a share of at least k / ``most_words`` (n-grams: k
+times the number of orders / ``most_grams``). What is left out of the word table falls to the n-grams; the
+totals that frequencies refer to are those of all counted rows, left out or not.
 
 Edge cases: null text or text without a letter gives ``und`` with score 0; without any learned language all
 texts give ``und``; equal sums go to the language first in order; rows with null lang teach nothing; words
@@ -29,6 +33,9 @@ from manyvec.llm.common import held_out, is_held_out, map_rows, narrow
 
 words_of = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
+#: Frequencies are smoothed by so many occurrences at the mean share over all languages: what a language with few
+#: texts hasn't shown is taken for about as frequent as elsewhere, not for more.
+PRIOR = 1000.0
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -52,23 +59,18 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 class Backoff:
-    def __init__(self, langs: list[str], words: dict[str, dict[int, int]], gram_counts: dict[str, dict[int, int]], orders: tuple[int, ...]):
+    def __init__(self, langs: list[str], words: dict[str, dict[int, int]], gram_counts: dict[str, dict[int, int]], orders: tuple[int, ...], word_totals: list[int], order_totals: dict[int, list[int]]):
+        """The totals are per language over all counted rows, not only over the words and n-grams given."""
         k = len(langs)
         self.langs, self.orders = langs, orders
-        totals = np.ones(k)
-        for row in words.values():
-            for lang, n in row.items():
-                totals[lang] += n
-        gram_totals = {n: np.ones(k) for n in orders}
-        for g, row in gram_counts.items():
-            for lang, n in row.items():
-                gram_totals[len(g)][lang] += n
+        totals = 1.0 + np.array(word_totals, float)
+        gram_totals = {n: 1.0 + np.array(order_totals[n], float) for n in orders}
 
         def logs(row, total):
-            v = np.full(k, 0.5)
+            v = np.zeros(k)
             for lang, n in row.items():
                 v[lang] += n
-            return np.log(v / (total + 0.5))
+            return np.log((v + PRIOR * (v / total).mean()) / (total + PRIOR))
 
         self.words = {w: logs(row, totals) for w, row in words.items()}
         self.gram_row = {g: i for i, g in enumerate(gram_counts)}
@@ -127,12 +129,14 @@ class Backoff:
 
 
 def fit(docs: DataFrame, orders: tuple[int, ...] = (5, 4, 3, 2, 1), most_words: int = 60_000, most_grams: int = 60_000, most_langs: int = 200) -> Backoff:
-    """Counts over all rows not held out; the most frequent entries, ties in order of the word, make the model."""
+    """Counts over all rows not held out; the entries with the largest share in a language make the model, ties by count and in order of the word."""
     docs = narrow(docs, "doc_id", "text", "lang")
     counts = word_counts(docs.where(~held_out(F.col("doc_id")))).persist()
-    langs = [r[0] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()]
-    langs.sort()
+    of_order = [F.sum(F.col("n") * F.greatest(F.length("word") + 3 - n, F.lit(0))).alias(f"n{n}") for n in orders]
+    sums = sorted(counts.groupBy("lang").agg(F.sum("n").alias("n"), *of_order).orderBy(F.desc("n"), "lang").limit(most_langs).collect(), key=lambda r: r["lang"])
+    langs = [r["lang"] for r in sums]
     number = {lang: i for i, lang in enumerate(langs)}
+    word_totals, order_totals = [r["n"] for r in sums], {n: [r[f"n{n}"] for r in sums] for n in orders}
 
     def gram_rows(batches):
         for batch in batches:
@@ -145,13 +149,16 @@ def fit(docs: DataFrame, orders: tuple[int, ...] = (5, 4, 3, 2, 1), most_words:
             rows = [(lang, g, n) for lang, c in by.items() for g, n in c.items()]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["lang", "word", "n"]).astype({"n": "int64"}), schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]), preserve_index=False)
 
-    def top(rows: DataFrame, most: int) -> dict[str, dict[int, int]]:
-        kept = rows.where(F.col("lang").isin(langs)).groupBy("word").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        return {r["word"]: {number[lang]: n for lang, n in r["by"].items()} for r in kept.orderBy(F.desc("n"), "word").limit(most).collect()}
+    def top(rows: DataFrame, size, totals: dict[int, list[int]], most: int) -> dict[str, dict[int, int]]:
+        """The entries with the largest share of their language's total for their size."""
+        known = docs.sparkSession.createDataFrame([(lang, size, float(n)) for size, row in totals.items() for lang, n in zip(langs, row)], "lang string, size int, total double")
+        shares = rows.withColumn("size", size).join(F.broadcast(known), ["lang", "size"]).withColumn("share", F.col("n") / F.col("total"))
+        kept = shares.groupBy("word").agg(F.max("share").alias("share"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+        return {r["word"]: {number[lang]: n for lang, n in r["by"].items()} for r in kept.orderBy(F.desc("share"), F.desc("n"), "word").limit(most).collect()}
 
-    words = top(counts, most_words)
+    words = top(counts, F.lit(0), {0: word_totals}, most_words)
     chars = counts.mapInArrow(gram_rows, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    model = Backoff(langs, words, top(chars, most_grams), orders)
+    model = Backoff(langs, words, top(chars, F.length("word"), order_totals, most_grams), orders, word_totals, order_totals)
     counts.unpersist()
     return model
 

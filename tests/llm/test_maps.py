@@ -225,6 +225,25 @@ def test_language_backs_off_and_handles_odd_rows(spark, docs, none):
     assert all(r["lang_pred"] == "und" for r in langid.identify(docs, langid.fit(none)).collect())
 
 
+def test_language_with_few_texts_keeps_its_words_and_draws_no_others(spark):
+    rng = random.Random(3)
+    big = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    small = ["".join(rng.choice("pqrstuvwxyz") for _ in range(6)) for _ in range(20)]
+    text = lambda words: " ".join([*rng.choices(words, k=12), "no"])
+    ids = [i for i in range(700) if not common.is_held_out(i)]
+    rows = [(d, text(big), "aa") for d in ids[:400]] + [(d, text(small), "bb") for d in ids[400:404]]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(train, most_words=60, most_grams=200)
+    seen = {w for _, t, lang in rows if lang == "bb" for w in t.split()}
+    assert seen <= set(model.words) and len(model.words) == 60 and len(model.gram_row) == 200
+    # totals are those of all counted rows, and one: 13 words a text, of which "no" is one
+    totals = np.array([13 * 400 + 1, 13 * 4 + 1])
+    shares = np.array([400, 4]) / totals
+    assert np.allclose(np.exp(model.words["no"]), (shares * totals + langid.PRIOR * shares.mean()) / (totals + langid.PRIOR))
+    probe = spark.createDataFrame([(i, text(big if i % 2 else small)) for i in range(40)], "doc_id long, text string")
+    assert all(r["lang_pred"] == ("aa" if r["doc_id"] % 2 else "bb") for r in langid.identify(probe, model).collect())
+
+
 # 10: rules
 
 
