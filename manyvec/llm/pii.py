@@ -84,11 +84,12 @@ ATOM = re.compile(r"[0-9]+|[^\W\d_]+|[^\S\n]+|.|\n", re.S)
 BRACKETED = r"\s?[\[({<]\s?(?:at|AT)\s?[\])}>]\s?", r"\s?[\[({<]\s?(?:dot|DOT)\s?[\])}>]\s?"
 AT, DOT = rf"(?:\s?@\s?|{BRACKETED[0]}|\s(?:at|AT)\s)", rf"(?:\.|{BRACKETED[1]}|\s(?:dot|DOT)\s)"
 HOST = "[A-Za-z0-9-]{1,63}"
-#: Where lattices are laid: chains of digit runs, and words around an at-sign in any disguise.
-ZONE = re.compile(
-    rf"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}(?:(?:\s?@\s?|{BRACKETED[0]}){HOST}(?:{DOT}{HOST}){{1,6}}|\s(?:at|AT)\s{HOST}(?:\s(?:dot|DOT)\s{HOST}){{1,6}})"
-    r"|(?<![0-9])[(+]{0,2}[0-9]{1,19}(?:[\x20().\-/]{1,3}[0-9]{1,19}){0,11}"
-)
+HOSTED = rf"[A-Za-z0-9._%+-]{{0,63}}(?:(?:\s?@\s?|{BRACKETED[0]}){HOST}(?:{DOT}{HOST}){{1,6}}|\s(?:at|AT)\s{HOST}(?:\s(?:dot|DOT)\s{HOST}){{1,6}})"
+#: Where lattices are laid: words around an at-sign in any disguise, and whole chains of digit runs, with the address
+#: that the last run may begin.
+ZONE = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9]{HOSTED}|(?<![0-9])[(+]{{0,2}}[0-9]{{1,19}}(?:[\x20().\-/]{{1,3}}[0-9]{{1,19}})*+(?P<tail>{HOSTED})?")
+#: What a span may be where a chain runs into an address: numbers alone, or an address from the start of its name.
+PLAIN = re.compile(rf"[0-9\x20().\-/+]+\Z|[A-Za-z0-9._%+-]{{1,64}}{AT}")
 TRIGGER = re.compile(r"[0-9@]|[\[({<]\s?(?:at|AT)\s?[\])}>]|\s(?:dot|DOT)\s")
 CUES = {  # fixed values: words that announce a kind
     "email": 0, "mail": 0, "contact": 0, "ip": 1, "host": 1, "server": 1, "card": 2, "visa": 2, "payment": 2,
@@ -142,20 +143,33 @@ def features(text: str, start: int, end: int) -> list[str]:
 
 def lattices(text: str, fixed: list[Span]):
     """For each zone: (boundaries, segments), a segment as (i, j, start, end) by boundary numbers."""
+    taken: list[list[int]] = []  # the fixed spans, overlapping ones as one
+    for start, end, _ in sorted(fixed):
+        if taken and start < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
+    first = 0
     for m in ZONE.finditer(text):
         lo, hi = m.span()
-        near = [s for s in fixed if s[0] < hi and s[1] > lo]
-        if any(s[0] <= lo and s[1] >= hi for s in near):
+        while first < len(taken) and taken[first][1] <= lo:
+            first += 1
+        if first < len(taken) and taken[first][0] <= lo and taken[first][1] >= hi:
             continue  # all of it is taken
         cuts = [lo] + [a.end() for a in ATOM.finditer(text, lo, hi)]
-        starts = [i for i, c in enumerate(cuts[:-1]) if text[c].isalnum() or text[c] in "(+"]
-        ends = [i for i, c in enumerate(cuts) if i and text[c - 1].isalnum()]
-        segments = [
-            (i, j, cuts[i], cuts[j])
-            for i in starts
-            for j in ends
-            if i < j <= i + MAX_ATOMS and not any(s[0] < cuts[j] and s[1] > cuts[i] for s in near) and (len(digits_of(text[cuts[i] : cuts[j]])) >= 6 or re.search(AT, text[cuts[i] : cuts[j]]) or text.count(".", cuts[i], cuts[j]) == 3)
-        ]
+        segments, at = [], first
+        for i, start in enumerate(cuts[:-1]):
+            while at < len(taken) and taken[at][1] <= start:
+                at += 1
+            if not (text[start].isalnum() or text[start] in "(+"):
+                continue
+            free = taken[at][0] if at < len(taken) else hi
+            for j in range(i + 1, min(i + MAX_ATOMS, len(cuts) - 1) + 1):
+                end = cuts[j]
+                if end > free:
+                    break
+                if text[end - 1].isalnum() and (not m["tail"] or PLAIN.match(text[start:end])) and (len(digits_of(text[start:end])) >= 6 or re.search(AT, text[start:end]) or text.count(".", start, end) == 3):
+                    segments.append((i, j, start, end))
         if segments:
             yield cuts, segments
 

@@ -137,6 +137,17 @@ def test_pii_long_texts_are_linear():
         assert model.spans(text)[1] == []
 
 
+def test_pii_finds_entities_anywhere_in_long_chains_of_numbers():
+    model = pii.fitted()
+    for count in range(30):
+        lead = "".join(f"{count + i:03} " for i in range(count))
+        for entity, kind in (("(555) 123-4567", 3), ("4111.1111.1111.1111", 2), ("13x at mail dot com", 0)):
+            text = f"{lead}{entity}"
+            assert (len(lead), len(text), kind) in model.spans(text)[1], text
+    row = " ".join(f"{i} (415) 555-26{i}" for i in range(10, 60))
+    assert [row[a:b] for a, b, _ in model.spans(row)[1]] == [f"(415) 555-26{i}" for i in range(10, 60)]
+
+
 # 5: packing
 
 
