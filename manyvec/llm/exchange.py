@@ -26,13 +26,15 @@ U64 = np.uint64
 
 
 def packed(docs: DataFrame, count: Callable[[str], int], batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(batch, n, data): all columns of ``docs`` as compressed Arrow batches, ``n`` the sum of ``count(text)``."""
+    """(batch, first, n, data): all columns of ``docs`` as compressed Arrow batches, ``n`` the sum of ``count(text)``.
+    Rows are numbered through the table: a batch's rows from ``first`` on, no number twice."""
     at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        first, made, held, size, total = TaskContext.get().partitionId() << 32, 0, [], 0, 0
+        part_id = TaskContext.get().partitionId()
+        made, row, held, size, total = part_id << 32, part_id << 36, [], 0, 0
         options = pa.ipc.IpcWriteOptions(compression="zstd")
 
         def flush():
@@ -40,7 +42,8 @@ def packed(docs: DataFrame, count: Callable[[str], int], batch_bytes: int = BATC
             with pa.ipc.new_stream(sink, held[0].schema, options=options) as out:
                 for b in held:
                     out.write_batch(b)
-            return pa.RecordBatch.from_pydict({"batch": [first + made], "n": [total], "data": [sink.getvalue().to_pybytes()]}, schema=pa.schema([("batch", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
+            values = {"batch": [made], "first": [row], "n": [total], "data": [sink.getvalue().to_pybytes()]}
+            return pa.RecordBatch.from_pydict(values, schema=pa.schema([("batch", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
 
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
@@ -51,11 +54,11 @@ def packed(docs: DataFrame, count: Callable[[str], int], batch_bytes: int = BATC
                 total += sum(count(t or "") for t in texts)
                 if size >= batch_bytes:
                     yield flush()
-                    made, held, size, total = made + 1, [], 0, 0
+                    made, row, held, size, total = made + 1, row + sum(b.num_rows for b in held), [], 0, 0
         if held:
             yield flush()
 
-    return stored(docs.mapInArrow(run, "batch long, n long, data binary"), "packed")
+    return stored(docs.mapInArrow(run, "batch long, first long, n long, data binary"), "packed")
 
 
 def unpacked(data: bytes) -> pa.Table:
@@ -115,7 +118,7 @@ def unsqueeze(data: bytes, kind) -> np.ndarray:
 class Sizes:
     """How many buckets, and how many bits of a key are sent, for so many keys in all."""
 
-    def __init__(self, keys: int, per_bucket: int = 1_500_000, spare_bits: int = 12):
+    def __init__(self, keys: int, per_bucket: int = 1_500_000, spare_bits: int = 8):
         self.bucket_bits = max(0, math.ceil(math.log2(max(1, keys) / per_bucket))) if keys > per_bucket else 0
         self.drop = max(0, 64 - math.ceil(math.log2(max(2, keys))) - spare_bits)
 

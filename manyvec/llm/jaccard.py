@@ -14,8 +14,10 @@
    and no pair within a class is repeated.
 
 Edge cases: null or wordless text has the empty set and links with nothing; fewer than n words make one
-shingle of all; rows with null doc_id get a null component; equal texts link; rows that share a doc_id are one node;
-an empty table gives an empty result; ``keep_first`` returns the given columns, whatever their names.
+shingle of all; rows with null doc_id get a null component; equal texts link; rows that share a doc_id are one node, which
+has the links of each of their texts; very long texts are read whole; sets of equal size are tried in the order of their
+documents; an empty table gives an empty result. ``keep_first`` judges row by row, so a shared doc_id joins nothing; it
+returns the given columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +33,11 @@ from pyspark.sql import functions as F
 
 from manyvec.llm.common import Memo, narrow
 from manyvec.llm.components import components
-from manyvec.llm.exchange import U64, Sizes, inflate, messages, mix, packed, shared_keys, total, unsqueeze, window_keys, with_answers
+from manyvec.llm.exchange import U64, Sizes, inflate, messages, packed, shared_keys, total, unpacked, unsqueeze, window_keys, with_answers
 from manyvec.session import stored
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-SETS = "doc_id long, n_shingles long, print binary, tokens binary"
+SETS = "doc_id long, row int, batch long, n_shingles long, print binary, tokens binary"
 _hashes: list[Memo] = []
 
 
@@ -80,13 +82,13 @@ def print_of(keys: np.ndarray) -> bytes:
 def _messages(n: int, sizes: Sizes):
     def make(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         t = Table(table, n)
-        sets, texts = t.distinct(), {}
-        for s, d in zip(t.sets, t.ids):  # copies of one set still speak for two documents
+        sets, rows = t.distinct(), {}
+        for i, (s, d) in enumerate(zip(t.sets, t.ids)):  # copies of one set still speak for two rows
             if d is not None and len(s):
-                texts.setdefault(s.tobytes(), set()).add(d)
+                rows.setdefault(s.tobytes(), []).append(i)
         if not sets:
             return np.zeros(0, U64), np.zeros(0, np.uint8)
-        weight = np.repeat(np.array([min(2, len(texts[s.tobytes()])) for s in sets]), [len(s) for s in sets])
+        weight = np.repeat(np.array([min(2, len(rows[s.tobytes()])) for s in sets]), [len(s) for s in sets])
         keys = sizes.short(np.concatenate(sets))
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
@@ -97,7 +99,8 @@ def _messages(n: int, sizes: Sizes):
 
 
 def _candidates(n: int, percent: int, sizes: Sizes):
-    """A row for each document; tokens only where enough of them are shared."""
+    """A row for each document; a print where enough of its shingles are shared, and with the first of equal sets its
+    shared tokens."""
 
     def work(batch: int, table: pa.Table, answers: pd.DataFrame) -> Iterator[pd.DataFrame]:
         t = Table(table, n)
@@ -107,12 +110,11 @@ def _candidates(n: int, percent: int, sizes: Sizes):
             scale = np.concatenate([unsqueeze(e, np.uint8) for e in answers["extra"]])
             order = np.argsort(known, kind="stable")
             known, scale = known[order], scale[order]
-        made: dict[bytes, tuple] = {}
+        made: dict[bytes, bytes | None] = {}
         rows = []
-        for d, s in zip(t.ids, t.sets):
-            key = s.tobytes()
-            if key not in made:
-                tokens = None
+        for i, (d, s) in enumerate(zip(t.ids, t.sets)):
+            key, tokens = s.tobytes(), None
+            if d is not None and key not in made:
                 if len(s) and len(known):
                     short = sizes.short(s)
                     at = np.searchsorted(known, short)
@@ -121,9 +123,9 @@ def _candidates(n: int, percent: int, sizes: Sizes):
                     if hit.sum() >= need(len(s), -(-percent * len(s) // 100), percent):
                         # the frequency leads, so the order of numbers is the global order, rarest first
                         tokens = np.sort((scale[at[hit]].astype(U64) << U64(56)) | (s[hit] >> U64(8))).tobytes()
-                made[key] = len(s), print_of(s) if tokens else None, tokens
-            rows.append((d, *made[key]))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "print", "tokens"]).astype({"doc_id": "Int64"})
+                made[key] = print_of(s) if tokens else None
+            rows.append((d, i, batch, len(s), made[key] if d is not None else None, tokens))
+        yield pd.DataFrame(rows, columns=["doc_id", "row", "batch", "n_shingles", "print", "tokens"]).astype({"doc_id": "Int64"})
 
     return work
 
@@ -231,71 +233,82 @@ def spanning_links(items: list[tuple[int, int, np.ndarray, int]], percent: int)
 
 
 def _joiner(percent: int):
+    """Links within each candidate of a group, from document to document; each set comes as its first document."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         links = []
         for _, part in pdf.groupby("candidate", sort=False):
-            part = part.drop_duplicates("doc_id")
-            items = [(d, n, np.frombuffer(t, U64)[::-1], c) for d, n, t, c in zip(part["doc_id"].tolist(), part["n_shingles"].tolist(), part["tokens"], part["class"].tolist())]
-            links += spanning_links(items, percent)
+            part = part.drop_duplicates("node").sort_values(["n_shingles", "rep", "node"])
+            reps = part["rep"].tolist()
+            items = [(i, n, np.frombuffer(t, U64)[::-1], c) for i, (n, t, c) in enumerate(zip(part["n_shingles"].tolist(), part["tokens"], part["class"].tolist()))]
+            links += [(reps[i], reps[j]) for i, j in spanning_links(items, percent)]
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def classes(docs: DataFrame, n: int = 3, percent: int = 90, block_tokens: int = 1_000_000, pivots: int = 8) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
-    batches = packed(narrow(docs, "doc_id", "text"), lambda t: len(t) // 4)
-    sizes = Sizes(total(batches))
-    answers = shared_keys(messages(batches, _messages(n, sizes), sizes))
-    every = stored(with_answers(batches, answers, _candidates(n, percent, sizes), SETS), "sets")
-    found = every.where("tokens is not null and doc_id is not null")
-    # equal sets become their smallest document
-    equal = stored(found.groupBy("print").agg(F.min("doc_id").alias("rep")), "equal")
-    same = found.select("doc_id", "print").join(equal, "print").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = found.join(equal.withColumnRenamed("rep", "doc_id"), ["print", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).drop("print")
-    reps = stored(reps, "reps")
+def _linked(every: DataFrame, percent: int, block_tokens: int, pivots: int) -> DataFrame:
+    """(node, component) over the ids of ``every`` (id, n_shingles, print, tokens), for those with a print."""
+    found = every.where("print is not null and id is not null")
+    # equal sets become one, with a number of its own and its smallest document
+    reps = found.groupBy("print").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("n_shingles").alias("n_shingles"), F.first("tokens", ignorenulls=True).alias("tokens"))
+    reps = stored(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
+    copied = reps.where("rep < last").select("print", "rep")
+    same = found.select("id", "print").join(copied, "print").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     def prefixes(parts):
         for pdf in parts:
-            rows = [(d, t) for d, size, data in zip(pdf["doc_id"], pdf["n_shingles"], pdf["tokens"]) for t in _prefix(size, data, percent)]
-            yield pd.DataFrame(rows, columns=["doc_id", "token"]).astype("int64")
-
-    tokens = stored(reps.select("doc_id", "n_shingles", "tokens").mapInPandas(prefixes, "doc_id long, token long"), "prefixes")
-    first = tokens.groupBy("token").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b < most")
-    near = components(tokens.join(first, "token").select(F.col("doc_id").alias("a"), "b"))
-    near = stored(near, "near").select(F.col("node").alias("doc_id"), F.col("component").alias("candidate"))
-    sets = stored(reps.join(near, "doc_id").withColumn("size", F.length("tokens") / 8), "candidates")
-    per = sets.groupBy("candidate").agg(F.sum("size").alias("all"), F.count("*").alias("docs"))
+            rows = [(d, t) for d, size, data in zip(pdf["node"], pdf["n_shingles"], pdf["tokens"]) for t in _prefix(size, data, percent)]
+            yield pd.DataFrame(rows, columns=["node", "token"]).astype("int64")
+
+    tokens = stored(reps.select("node", "n_shingles", "tokens").mapInPandas(prefixes, "node long, token long"), "prefixes")
+    first = tokens.groupBy("token").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most")
+    near = components(tokens.join(first, "token").select(F.col("node").alias("a"), "b"))
+    near = near.select("node", F.col("component").alias("candidate"))
+    sets = stored(reps.select("node", "rep", "n_shingles", "tokens").join(near, "node").withColumns({"size": F.length("tokens") / 8, "class": F.col("rep")}), "candidates")
+    per = sets.groupBy("candidate").agg(F.sum("size").alias("all"))
     per = per.withColumn("blocks", F.ceil(F.col("all") / block_tokens))
     whole = per.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("n")).first()["n"]
     bins = max(1, int(whole // block_tokens) + 1) * 4
     large = stored(per.where("blocks > 1"), "large")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     schema = "a long, b long"
-    small = sets.join(large.select("candidate"), "candidate", "left_anti").withColumn("class", F.col("doc_id"))
-    links = small.select("candidate", "doc_id", "n_shingles", "tokens", "class", F.pmod(F.xxhash64("candidate"), F.lit(bins)).alias("g")).groupBy("g").applyInPandas(_joiner(percent), schema)
+    rows = ["candidate", "node", "rep", "n_shingles", "tokens", "class"]
+    small = sets.join(large.select("candidate"), "candidate", "left_anti")
+    links = small.select(*rows, F.pmod(F.xxhash64("candidate"), F.lit(bins)).alias("g")).groupBy("g").applyInPandas(_joiner(percent), schema)
     if large.limit(1).count():
-        big = stored(sets.join(large.select("candidate", "blocks", "docs"), "candidate").withColumn("class", F.col("doc_id")).withColumn("block", block), "big")
-        rows = ["candidate", "doc_id", "n_shingles", "tokens", "class"]
+        big = stored(sets.join(large.select("candidate", "blocks"), "candidate").withColumn("block", block), "big")
         # the component's first sets, a few of a known number, go to each block
-        order = W.partitionBy("candidate").orderBy("doc_id")
+        order = W.partitionBy("candidate").orderBy("node")
         lead = big.select(*rows, "blocks").withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).drop("r")
         lead = lead.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
         within = big.select(*rows, "block").unionByName(lead.select(*rows, "block"))
         inner = stored(within.groupBy("candidate", "block").applyInPandas(_joiner(percent), schema), "links")
         merged = components(inner)
-        labelled = big.drop("class").join(merged.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").withColumn("class", F.coalesce("c", "doc_id")).drop("c")
+        labelled = big.drop("class").join(merged.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("class", F.coalesce("c", "rep")).drop("c")
         labelled = stored(labelled, "labelled")
         by = labelled.groupBy("candidate", "class").agg(F.count("*").alias("m"))
         largest = by.groupBy("candidate").agg(F.max_by("class", F.struct("m", -F.col("class"))).alias("main"))
         rest = labelled.join(largest, "candidate").where(F.col("class") != F.col("main"))
         open_ = stored(rest.groupBy("candidate").agg(F.sum("size").alias("open")).withColumn("parts", F.ceil(F.col("open") / block_tokens)), "open")
-        rest = rest.join(open_, "candidate").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("parts")))
+        rest = rest.join(open_, "candidate").withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")))
         rest = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
         others = labelled.join(open_, "candidate").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
         meet = rest.select(*rows, "part", "block").unionByName(others.select(*rows, "part", "block"))
         links = links.union(inner).union(meet.groupBy("candidate", "part", "block").applyInPandas(_joiner(percent), schema))
-    linked = stored(components(links.union(same)), "components")
+    return components(links.union(same))
+
+
+def _sets(batches: DataFrame, n: int, percent: int) -> DataFrame:
+    sizes = Sizes(total(batches))
+    answers = shared_keys(messages(batches, _messages(n, sizes), sizes))
+    return stored(with_answers(batches, answers, _candidates(n, percent, sizes), SETS), "sets")
+
+
+def classes(docs: DataFrame, n: int = 3, percent: int = 90, block_tokens: int = 1_000_000, pivots: int = 8) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    every = _sets(packed(narrow(docs, "doc_id", "text"), lambda t: len(t) // 4), n, percent)
+    linked = _linked(every.withColumnRenamed("doc_id", "id"), percent, block_tokens, pivots)
     named = linked.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
     return every.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
@@ -308,11 +321,24 @@ def _prefix(size: int, data: bytes, percent: int) -> np.ndarray:
     return tokens[: max(0, length)].astype(np.int64)
 
 
-def keep_first(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """The given rows and columns of one document of each component: that with the smallest doc_id (of rows
-    that share it, one); documents with null doc_id stay."""
-    found = classes(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    names = docs.columns
-    key = names[[c.lower() for c in names].index("doc_id")]
-    kept = docs.join(found, F.col(key) == F.col("__keep"), "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+def keep_first(docs: DataFrame, n: int = 3, percent: int = 90, block_tokens: int = 1_000_000, pivots: int = 8) -> DataFrame:
+    """The given rows and columns, one row of each component of linked rows: that with the smallest doc_id, of those the
+    first as they are laid down. Rows with null doc_id stay. Only numbers of rows that go reach the texts."""
+    batches = packed(docs, lambda t: len(t) // 4)
+    every = _sets(batches, n, percent)
+    numbered = every.where("print is not null").join(batches.select("batch", "first"), "batch").withColumn("id", F.col("first") + F.col("row"))
+    linked = _linked(numbered.select("id", "n_shingles", "print", "tokens"), percent, block_tokens, pivots)
+    rows = numbered.select("id", "doc_id", "batch", "row").join(linked.withColumnRenamed("node", "id"), "id")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("keep"))
+    gone = rows.join(first, "component").where("id <> keep.id").groupBy("batch").agg(F.collect_list("row").alias("rows"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [unpacked(data) for data in left.column("data").to_pylist()]
+        lost = [i for part in right.column("rows").to_pylist() for i in part]
+        if lost:
+            stay = np.ones(sum(t.num_rows for t in out), bool)
+            stay[lost] = False
+            return pa.concat_tables(out).filter(pa.array(stay))
+        return pa.concat_tables(out)
+
+    return batches.select("batch", "data").groupBy("batch").cogroup(gone.groupBy("batch")).applyInArrow(run, docs.schema)

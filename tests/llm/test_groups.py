@@ -240,13 +240,35 @@ def test_trie_finds_a_partner_exactly_when_there_is_one():
         assert (found in linked) if linked else found is None
 
 
+@pytest.mark.parametrize("flip", [False, True])
+def test_a_shared_doc_id_has_the_links_of_each_of_its_texts(spark, flip):
+    a, b = (" ".join(f"{k}{i}" for i in range(120)) for k in "ab")
+    rows = [(1, a), (2, b), (5, a + " x"), (5, b + " y")][:: -1 if flip else 1]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = sorted(plain_classes(rows, 3, 90))
+    assert {r[2] for r in want} == {1} and sorted(map(tuple, jaccard.classes(df).collect())) == want
+
+
+def plain_kept(rows, n, percent):
+    """Rows that stay, each judged as a row of its own."""
+    order = sorted((i for i, r in enumerate(rows) if r[0] is not None), key=lambda i: rows[i][0])
+    low = plain_classes([(k, rows[i][1]) for k, i in enumerate(order)], n, percent)
+    return Counter((rows[order[k]][0], rows[order[k]][1]) for k, _, c in low if c == k) + Counter((r[0], r[1]) for r in rows if r[0] is None)
+
+
 def test_keep_first_keeps_one_of_each_group(docs, odd):
     out = jaccard.keep_first(docs, 5, 80)
-    low = {d: c for d, _, c in plain_classes(odd, 5, 80)}
     assert out.columns == docs.columns
-    want = Counter(d for d in low if d is not None and low[d] == d)
-    want[None] = sum(r[0] is None for r in odd)
-    assert Counter(r["doc_id"] for r in out.collect()) == want
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == plain_kept(odd, 5, 80)
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_keep_first_judges_rows_that_share_a_doc_id_by_their_texts(spark, flip):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(120)) for k in "abc")
+    rows = [(5, a), (5, b), (5, a + " x"), (6, b + " y"), (7, c), (None, a), (8, None), (8, None)][:: -1 if flip else 1]
+    df = spark.createDataFrame([(d, t, d) for d, t in rows], "doc_id long, text string, __keep long").coalesce(1)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_first(df, 5, 80).collect()]
+    assert len(kept) == 6 and {(5, b), (7, c), (None, a), (8, None)} < set(kept)
 
 
 def test_components(spark):
@@ -301,7 +323,7 @@ def test_pipeline_against_plain_stages(spark, odd):
     assert {r["doc_id"] for r in one.collect()} == {d for d, k in verdict.items() if k}
     two = corpus_pipeline.stored(stages["near_duplicates"](spark, one, ""), "two")
     held = [tuple(r) for r in one.collect()]
-    assert {r["doc_id"] for r in two.collect()} == {d for d, _, c in plain_classes(held, 5, 80) if d == c}
+    assert Counter((r["doc_id"], r["text"]) for r in two.collect()) == plain_kept(held, 5, 80)
     three = corpus_pipeline.stored(stages["repeats"](spark, two, ""), "three")
     held = [tuple(r) for r in two.collect()]
     gone = plain_repeats(held, words, 13)
