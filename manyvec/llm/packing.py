@@ -6,8 +6,10 @@ with the longest piece left and is filled greedily with the longest that fits; t
 exchanged for the two unpacked pieces that fit the widened gap best, where they fit it more tightly.
 
 Edge cases: null text counts as empty, which is the single end token; a piece of full length is a sequence
-of its own; repeated rows are packed as often as they occur; other columns are ignored; an empty table
-packs into nothing.
+of its own; very long texts are cut into as many pieces as they need; pieces of one length are alike, so ties change
+nothing but the numbers; repeated rows and rows with null or shared doc_id are packed as often as they occur, dealt
+row by row; a text that holds the string of a special token gets that token's id, as the library does; other
+columns are ignored; an empty table packs into nothing.
 """
 
 from __future__ import annotations
@@ -32,14 +34,15 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 class PieceTokenizer:
     """Ids of whole texts by the tokenizers library. A text is split by the pattern of the byte-level
-    pre-tokenizer, across whose splits nothing merges; the library sees each distinct piece once."""
+    pre-tokenizer, across whose splits nothing merges; the library sees each distinct piece once. A text with the string
+    of an added token goes to the library whole, which looks for these before it splits."""
 
     def __init__(self, path: str, pattern: str, most: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)").search
         self.split, self.most = splitter(pattern), most
         self.line_break, self.plain = self.ids("\n")[0], re.compile(r" ?\S+").fullmatch
         self.memo: dict[str, bytes] = {}
@@ -51,7 +54,7 @@ class PieceTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.memo) > self.most:
             self.memo.clear()
-        memo, split = self.memo, [self.split(t) for t in texts]
+        memo, split = self.memo, [[] if self.added(t) else self.split(t) for t in texts]
         unknown = set().union(*split).difference(memo)
         # pieces with no white space but a leading blank are the lines of one text: the line break between
         # them is a token of its own, which none of them contains
@@ -64,7 +67,7 @@ class PieceTokenizer:
                 data = ids.tobytes()
                 memo.update((p, data[4 * i + 4 : 4 * j]) for p, i, j in zip(part, cuts, cuts[1:]))
         memo.update((p, self.ids(p).tobytes()) for p in unknown if p not in memo)
-        return [b"".join(map(memo.__getitem__, pieces)) for pieces in split]
+        return [self.ids(t).tobytes() if self.added(t) else b"".join(map(memo.__getitem__, pieces)) for t, pieces in zip(texts, split)]
 
 
 @lru_cache(maxsize=2)
@@ -160,9 +163,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_tokens: int = 8_000_000
     names = [f.split()[0] for f in PIECES.split(", ")]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
+        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32", "start"], kind="stable")
         bins, offsets = best_two_fit(pdf["length"].to_numpy(), capacity)
         return pdf[names].assign(sequence_id=key[0] * (1 << 32) + bins, offset=offsets)
 
-    dealt = cut.select(*names, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("g"))
+    # by the place in the stored table, which a rerun finds again: no key, null or shared, is heavy
+    dealt = cut.select(*names, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("g"))
     return dealt.groupBy("g").applyInPandas(run, schema)

@@ -20,7 +20,7 @@ def odd_rows(seed=5):
     rows += [(20, base[0], "en", "a"), (21, base[0], "en", "a"), (22, base[1] + " tail", "en", "a")]
     words = base[2].split(" ")
     rows += [(23, " ".join(words[:-2] + ["other"] + words[-1:]), "en", "b"), (24, prose(rng, 30) + " " + passage + " " + prose(rng, 30), "de", "b"), (25, passage + " end", "de", "b")]
-    rows += [(30, None, "en", "a"), (31, "", "en", "a"), (32, " \n\t ", None, None), (33, "one", "en", "a"), (34, "one two", "en", "a"), (35, "é ñ ü 漢字 \U0001f600 ", "fr", "c")]
+    rows += [(30, None, "en", "a"), (31, "", "en", "a"), (32, " \n\t ", None, None), (33, "one", "en", "a"), (34, "one two", "en", "a"), (36, "an <|endoftext|> within", "en", "a"), (35, "é ñ ü 漢字 \U0001f600 ", "fr", "c")]
     rows += [(40, "a" * 30_000, "en", "a"), (41, prose(rng, 9000), "en", "a"), (42, "x " * 5000, "en", "a")]
     rows += [(50, base[3], "en", "a"), (50, base[3], "en", "a"), (50, base[4], "en", "a"), (None, base[5], "en", "a"), (None, None, None, None), (-1, base[6], "en", "a")]
     return rows

@@ -155,7 +155,6 @@ def test_packing_holds_every_token_once(docs, odd, none):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     cut = packing.pieces(docs, JSON, P.PATTERN, with_ids=True)
     by = defaultdict(list)
     for r in cut.collect():
@@ -184,6 +183,23 @@ def test_packing_holds_every_token_once(docs, odd, none):
     assert packing.pack(packing.pieces(none, JSON, P.PATTERN)).count() == 0
 
 
+def test_packing_of_special_strings_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    library, tok = Tokenizer.from_file(JSON), packing.tokenizer(JSON, P.PATTERN)
+    texts = ["hi <|endoftext|> there", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext| >", "plain"]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in tok.batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert tok.batch(texts[:1])[0] == np.array([5303, 220, 50256, 612], "<u4").tobytes()
+
+
+def test_packing_deals_rows_without_ids_over_all_groups(spark):
+    df = spark.createDataFrame([(None, "same text " * 40)] * 300, "doc_id long, text string").repartition(3)
+    cut = packing.pieces(df, JSON, P.PATTERN)
+    out = packing.pack(cut, group_tokens=3000).collect()
+    sizes = Counter(r["sequence_id"] >> 32 for r in out)
+    assert len(out) == 300 and len(sizes) > 4 and max(sizes.values()) < 150
+
+
 def test_best_two_fit_beats_greedy():
     """[60, 35] leaves 5; exchanging the 35 for 20 + 20 fills the sequence."""
     bins, offsets = packing.best_two_fit(np.array([60, 35, 20, 20]), 100)
