@@ -5,22 +5,32 @@ occurs. So each text is cut into runs of 50-byte windows with one minimizer, whi
 at most ``SPAN`` windows long; windows that are equal end up in runs with equal minimizers. Minimizers that no second
 document has are dropped (see ``exchange``), equal runs of a batch are sent once, and runs go to buckets by minimizer.
 
-A bucket holds a collection of short strings. Its suffix order is built column by column from the right: each round
-inserts one symbol of every string, at the place that the last round's transform gives it, and updates the common
-prefix lengths of the neighbours it parts. The transform, the prefix lengths and the origin of each suffix are kept
-in sequential files: a round reads the last one's from front to back and writes the next. Suffixes whose
-neighbours share 50 bytes are equal windows; each group's smallest doc_id keeps them.
+A minimizer that ``HOT`` documents or more have is split further by a second minimizer of each window, so one common
+passage doesn't fill one bucket.
+
+A bucket holds a collection of short strings, equal ones once, with the documents that have them as membership. A string
+enters the transform as two documents of 16-bit symbols, its even and its odd reading: a window is 25 symbols of one of
+them, and there are half as many rounds. The suffix order is built column by column from the right: each round inserts
+one symbol of every document, at the place that the last round's transform gives it, and updates the common prefix
+lengths of the neighbours it parts. The transform, the prefix lengths and the origin of each suffix lie in sequential
+files of the shared folder: a round reads the last one's block by block, counting symbols as it goes, and writes the
+next. In memory are only a block, the places of the documents and a count for each symbol. Suffixes whose neighbours
+share 25 symbols are equal windows; each group's smallest doc_id keeps them.
 
 Edge cases: null text is empty; rows with null doc_id keep all bytes and are no reference; rows that share a doc_id
 don't remove each other's bytes; texts under 50 bytes are kept; long texts are read whole, and periodic ones give
-runs no longer than others; an empty table gives an empty result; ``dedupe`` returns the given columns.
+runs no longer than others; equal windows of one smallest doc_id all stay (ties); an empty table gives an empty result;
+``dedupe`` returns the given columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
+import os
 import tempfile
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
@@ -29,15 +39,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manyvec.llm.common import narrow
-from manyvec.llm.exchange import U64, Sizes, inflate, isin_sorted, messages, mix, packed, shared_keys, squeeze, total, unpacked, unsqueeze, with_answers
-from manyvec.session import stored
+from manyvec.llm.exchange import U64, Sizes, inflate, messages, mix, packed, shared_keys, squeeze, total, unpacked, unsqueeze, with_answers
+from manyvec.session import scratch_root, stored
 
 LENGTH, SEED, SPAN = 50, 24, 32
+#: Documents from which on a minimizer counts as hot.
+HOT = 4096
+#: Symbols of a window, and entries of the transform that a round holds at a time.
+SYMBOLS, BLOCK = LENGTH // 2, 1 << 17
 #: Stands for a null doc_id within a batch.
 NO_ID = -(2**63)
 #: Bytes hashed at a time.
 CHUNK = 32_768
 RUNS = "bucket long, batch long, runs binary"
+#: Arrays of a message. For each distinct string: length, occurrences, smallest doc_id, key; for each occurrence: its place
+#: in the batch, and whether its doc_id is larger than that; then the bytes.
+SENT = ("u1", "<u4", "<i8", "<u8", "<u4", "u1", "u1")
+#: Arrays of an answer, for each occurrence that loses windows: place, number of windows, a bit for each that goes.
+GONE = ("<u4", "u1", "<u4")
 
 
 def seed_hashes(data: np.ndarray) -> np.ndarray:
@@ -103,34 +122,35 @@ class Batch:
         self.count = np.minimum(SPAN, np.repeat(count, pieces) - offset)
         self.key, self.row = least[self.begin], np.repeat(row, pieces)
 
-    def distinct(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the runs ``some``: (a number for each, equal for equal runs; a first run and the smallest doc_id by number)."""
-        begin, count = self.begin[some], self.count[some]
-        wide = np.zeros((len(some), LENGTH - 1 + SPAN + 1), np.uint8)
-        held = np.append(self.data, np.zeros(wide.shape[1], np.uint8))
-        for at in range(0, len(some), 100_000):
-            part = slice(at, at + 100_000)
-            cells = held[begin[part, None] + np.arange(wide.shape[1] - 1)]
-            cells[np.arange(wide.shape[1] - 1) >= (count[part, None] + LENGTH - 1)] = 0
-            wide[part, :-1], wide[part, -1] = cells, count[part]
-        bytes_of = np.ascontiguousarray(wide).view([("", f"V{wide.shape[1]}")]).ravel()
-        doc = self.ids[self.row[some]]
-        order = np.lexsort((doc, _hash_rows(wide)))
-        same = bytes_of[order[1:]] == bytes_of[order[:-1]]
-        new = np.concatenate([[True], ~same])[: len(order)]
-        number = np.empty(len(some), np.int64)
-        number[order] = np.cumsum(new) - 1
-        firsts = order[new]
-        return number, some[firsts], np.minimum.reduceat(doc[order], np.flatnonzero(new)) if len(order) else doc
-
-
-def _hash_rows(wide: np.ndarray) -> np.ndarray:
-    factors = np.random.default_rng(25).integers(1, 2**63, wide.shape[1], dtype=U64) * U64(2) + U64(1)
-    h = np.zeros(len(wide), U64)
-    for i in range(wide.shape[1]):
-        h += wide[:, i] * factors[i]
-        h ^= h << U64(7)
-    return mix(h)
+    def split(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The runs ``some`` parted where a second minimizer of their windows changes: (begin, count, row, key)."""
+        size = self.count[some] + LENGTH - 1
+        start = np.cumsum(size) - size
+        run = np.repeat(np.arange(len(some)), size)
+        at = self.begin[some][run] + np.arange(len(run)) - start[run]
+        least = sliding_min(mix(seed_hashes(self.data[at]) ^ U64(0xD6E8FEB86659FD93)), LENGTH - SEED + 1)
+        n = len(least)
+        new = np.zeros(n, bool)
+        new[1:] = least[1:] != least[:-1]
+        new[start] = True
+        new &= (np.arange(n) - start[run[:n]]) < self.count[some][run[:n]]
+        first = np.flatnonzero(new)
+        own = run[first]
+        last = np.minimum(np.append(first[1:], n), start[own] + self.count[some][own])
+        return at[first], last - first, self.row[some][own], mix(self.key[some][own] ^ least[first])
+
+
+def pack_arrays(arrays: list[np.ndarray], layout: tuple[str, ...]) -> bytes:
+    head = np.array([len(a) for a in arrays], "<i8").tobytes()
+    return squeeze(np.frombuffer(head + b"".join(np.asarray(a).astype(t).tobytes() for a, t in zip(arrays, layout)), np.uint8))
+
+
+def unpack_arrays(data: bytes, layout: tuple[str, ...]) -> list[np.ndarray]:
+    raw, at, out = unsqueeze(data, np.uint8).tobytes(), 8 * len(layout), []
+    for n, t in zip(np.frombuffer(raw[:at], "<i8").tolist(), layout):
+        out.append(np.frombuffer(raw, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return out
 
 
 def _seed_messages(sizes: Sizes):
@@ -148,57 +168,87 @@ def _seed_messages(sizes: Sizes):
     return make
 
 
-def _shared(b: Batch, answers: pd.DataFrame, sizes: Sizes) -> np.ndarray:
-    if not len(answers):
-        return np.zeros(0, np.int64)
-    hits = np.sort(np.concatenate([inflate(k) for k in answers["keys"]]))
-    return np.flatnonzero(isin_sorted(sizes.short(b.key), hits))
+def _shared(b: Batch, answers: pd.DataFrame, sizes: Sizes, limit: int) -> tuple[np.ndarray, ...]:
+    """(begin, count, row, key) of the runs whose minimizer a second document has."""
+    known = np.concatenate([np.zeros(0, U64), *(inflate(k) for k in answers["keys"])])
+    scale = np.concatenate([np.zeros(0, np.uint8), *(unsqueeze(e, np.uint8) for e in answers["extra"])])
+    order = np.argsort(known, kind="stable")
+    known, scale = known[order], scale[order]
+    short = sizes.short(b.key)
+    at = np.searchsorted(known, short)
+    at[at == len(known)] = 0
+    hit = np.flatnonzero(known[at] == short) if len(known) else np.zeros(0, np.int64)
+    hot = scale[at[hit]] >= 8 * np.log2(limit)
+    plain = hit[~hot]
+    parts = [(b.begin[plain], b.count[plain], b.row[plain], b.key[plain])]
+    if hot.any():
+        parts.append(b.split(hit[hot]))
+    return tuple(map(np.concatenate, zip(*parts)))
 
 
-def _run_messages(sizes: Sizes, buckets: int):
-    """Distinct runs with shared minimizers, each with its smallest doc_id: lengths, bytes, ids and keys."""
+def _run_messages(sizes: Sizes, buckets: int, limit: int):
+    """Distinct runs with shared minimizers and where they occur, see ``SENT``."""
 
     def work(batch: int, table: pa.Table, answers: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        b = Batch(table)
-        some = _shared(b, answers, sizes)
-        if not len(some):
+        if not len(answers):
             return
-        _, first, doc = b.distinct(some)
-        bucket = (mix(b.key[first].copy()) % U64(buckets)).astype(np.int64)
+        b = Batch(table)
+        begin, count, row, key = _shared(b, answers, sizes, limit)
+        doc, raw, seen = b.ids[row], b.data.tobytes(), {}
+        number = np.array([seen.setdefault(raw[s : s + n], len(seen)) for s, n in zip(begin.tolist(), (count + LENGTH - 1).tolist())], np.int64)
+        strings = list(seen)
+        order = np.lexsort((begin, doc, number))
+        number, begin, doc, key = number[order], begin[order], doc[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else np.zeros(0, np.int64)
+        occurs = np.diff(np.append(first, len(number)))
+        later = doc > np.repeat(doc[first], occurs)
+        bucket = (mix(key[first]) % U64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
         rows = []
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(edges)):
-            mine = order[edges[k] : edges[k + 1]]
-            begin, count = b.begin[first[mine]], b.count[first[mine]]
-            text = b"".join(b.data[s : s + c + LENGTH - 1].tobytes() for s, c in zip(begin.tolist(), count.tolist()))
-            head = np.concatenate([[len(mine)], count, doc[mine], first[mine], b.key[first[mine]].view(np.int64)])
-            rows.append((int(k), batch, squeeze(np.concatenate([head.astype("<i8").view(np.uint8), np.frombuffer(text, np.uint8)]))))
+            mine = by[edges[k] : edges[k + 1]]
+            at = np.repeat(first[mine] - np.cumsum(occurs[mine]) + occurs[mine], occurs[mine]) + np.arange(occurs[mine].sum())
+            text = [strings[i] for i in mine.tolist()]
+            arrays = [np.array(list(map(len, text))), occurs[mine], doc[first[mine]], key[first[mine]], begin[at], later[at], np.frombuffer(b"".join(text), np.uint8)]
+            rows.append((int(k), batch, pack_arrays(arrays, SENT)))
         yield pd.DataFrame(rows, columns=["bucket", "batch", "runs"])
 
     return work
 
 
 class Files:
-    """Arrays of one round in a sequential file of the task's own; the next round reads them in order."""
+    """The arrays of a round in a sequential file, block after block; the next round reads them in order. Files lie,
+    unnamed, in ``folder``, so they end with the task; where that is no mounted folder, in memory."""
 
-    def __init__(self):
-        self.file, self.shapes = tempfile.TemporaryFile(), []
+    def __init__(self, folder: str | None = None):
+        self.file = tempfile.TemporaryFile(dir=folder) if folder else io.BytesIO()
+        self.blocks: list[int] = []
 
-    def write(self, *arrays: np.ndarray) -> None:
-        self.file.seek(0)
-        self.shapes = [(a.dtype, len(a)) for a in arrays]
-        for a in arrays:
-            self.file.write(memoryview(np.ascontiguousarray(a)).cast("B") if len(a) else b"")
+    def write(self, bwt: np.ndarray, lcp: np.ndarray, origin: np.ndarray) -> None:
+        for at in range(0, len(bwt), BLOCK):
+            part = bwt[at : at + BLOCK], lcp[at : at + BLOCK], origin[at : at + BLOCK]
+            self.blocks.append(len(part[0]))
+            for a in part:
+                self.file.write(a.tobytes())
 
-    def read(self) -> list[np.ndarray]:
+    def read(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         self.file.seek(0)
-        return [np.frombuffer(self.file.read(kind.itemsize * n), kind) for kind, n in self.shapes]
+        for n in self.blocks:
+            raw = self.file.read(7 * n)
+            yield np.frombuffer(raw, np.uint16, n), np.frombuffer(raw, np.uint8, n, 2 * n), np.frombuffer(raw, np.uint32, n, 3 * n)
 
     def close(self) -> None:
         self.file.close()
 
 
+def mounted(root: str) -> str | None:
+    """The shared folder as a path of this machine, if it is one."""
+    url = urlparse(root)
+    path = url.path if url.scheme in ("", "file") else ""
+    return path if path and os.path.isdir(path) else None
+
+
 class RangeMin:
     """min(values[left:right]) for many ranges of at least one entry: minima from each entry to either end of its block
     of 16, and doublings of the blocks' minima. Blocks are columns, so each step runs over whole rows."""
@@ -241,171 +291,204 @@ class RangeMin:
         return out
 
 
-def collection_order(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, suffix length, prefix shared with the suffix before, at most LENGTH) in suffix order, for all
-    non-empty suffixes of the strings; equal suffixes stand in order of insertion.
-
-    Round j inserts each string's suffix of length j. The transform has, at each suffix's place, the symbol before
-    it, or 0 where the string begins. The symbol that round j adds stands at the place of the suffix of length
-    j - 1, and by the rank of that symbol up to that place the suffix of length j finds its own."""
-    files = Files()
-    rounds = int(lengths.max()) if len(lengths) else 0
+class Scan:
+    """What a round keeps while it reads the last transform from front to back: for each symbol how often it came, the
+    least prefix length since it last came, and which of the round's insertions came with it last."""
+
+    def __init__(self, active: np.ndarray, most: int):
+        self.active, self.most = active, most
+        self.seen, self.carry, self.last = np.zeros(1 << 16, np.int64), np.full(1 << 16, 255, np.uint8), np.full(1 << 16, -1, np.int64)
+        self.symbol, self.before = np.zeros(len(active), np.int64), np.zeros(len(active), np.int64)
+        #: prefix shared with the neighbour before and after, for each active place
+        self.up, self.down = np.zeros(len(active), np.uint8), np.zeros(len(active), np.uint8)
+        self.at = 0
+
+    def block(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
+        n, at = len(bwt), self.at
+        self.at += n
+        order = np.argsort(bwt, kind="stable")
+        ordered = bwt[order]
+        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        kinds = ordered[edge].astype(np.int64)
+        head = np.minimum.accumulate(lcp)[order[edge]]
+        reach = np.minimum(self.carry[kinds], head)  # from each symbol's last place to its first one here
+        waiting = self.last[kinds]
+        some = waiting >= 0
+        self.down[waiting[some]] = np.minimum(self.most - 1, reach[some]) + 1
+        lo, hi = np.searchsorted(self.active, (at, at + n))
+        ends = np.append(edge[1:], n) - 1
+        number = np.full(n, -1, np.int64)
+        if hi > lo:
+            mine = np.arange(lo, hi)
+            place = self.active[lo:hi] - at
+            number[place] = mine
+            rank = np.empty(n, np.int64)
+            rank[order] = np.arange(n)
+            own = rank[place]
+            kind = np.searchsorted(edge, own, side="right") - 1
+            self.symbol[mine] = bwt[place]
+            self.before[mine] = self.seen[kinds[kind]] + own - edge[kind]
+            least = RangeMin(lcp)
+            first = own == edge[kind]
+            k = np.flatnonzero(~first)
+            self.up[mine[k]] = np.minimum(self.most - 1, least(order[own[k] - 1] + 1, place[k] + 1)) + 1
+            k = np.flatnonzero(first & (self.seen[kinds[kind]] > 0))
+            self.up[mine[k]] = np.minimum(self.most - 1, reach[kind[k]]) + 1
+            k = np.flatnonzero(own < ends[kind])
+            self.down[mine[k]] = np.minimum(self.most - 1, least(place[k] + 1, order[own[k] + 1] + 1)) + 1
+        tail = np.append(np.minimum.accumulate(lcp[::-1])[::-1][1:], 255)
+        np.minimum(self.carry, lcp.min(), out=self.carry)
+        self.carry[kinds] = tail[order[ends]]
+        self.last[kinds] = number[order[ends]]
+        self.seen[kinds] += np.diff(np.append(edge, n))
+
+
+def collection_order(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = SYMBOLS, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``symbols`` at which a suffix begins, prefix shared with the suffix before, at most ``most``) in suffix
+    order, for all non-empty suffixes of the documents; equal suffixes stand in order of insertion.
+
+    Round j inserts each document's suffix of length j. The transform has, at each suffix's place, the symbol before
+    it, or 0 where the document begins. The symbol that round j adds stands at the place of the suffix of length
+    j - 1, and by the count of that symbol up to that place the suffix of length j finds its own."""
     n = len(lengths)
-    if not rounds:
-        return np.zeros(0, np.int32), np.zeros(0, np.int16), np.zeros(0, np.uint8)
-    # round 0: the empty suffixes, in the strings' order; symbols are raised by 1 so that 0 means none
-    bwt = data[starts + lengths - 1].astype(np.uint16) + 1
-    files.write(bwt, np.zeros(n, np.uint8), np.arange(n, dtype=np.int32), np.zeros(n, np.int16))
-    for j in range(1, rounds + 1):
-        bwt, lcp, string, length = files.read()
-        m = len(bwt)
-        active = np.flatnonzero((length == j - 1) & (bwt > 0))  # in suffix order, where the last round inserted
-        if not len(active):
-            break
-        symbol = bwt[active]
-        order = np.argsort(bwt, kind="stable")  # the suffixes one symbol longer, in their order
-        rank = np.empty(m, np.int32)
-        rank[order] = np.arange(m, dtype=np.int32)
-        none = int((bwt == 0).sum())
-        place = rank[active] - none  # among all suffixes that are not empty
-        # neighbours in the order that share the first symbol: what they share is one more than the least
-        # between them in the last round's order
-        at = rank[active]
-        above = order[np.maximum(at - 1, 0)]
-        has_above = (at > none) & (bwt[above] == symbol)
-        below = order[np.minimum(at + 1, m - 1)]
-        has_below = (at + 1 < m) & (bwt[below] == symbol)
-        least = RangeMin(lcp)
-        up, down = np.zeros(len(active), np.uint8), np.zeros(len(active), np.uint8)
-        k = np.flatnonzero(has_above)
-        up[k] = np.minimum(LENGTH - 1, least(above[k] + 1, active[k] + 1)) + 1
-        k = np.flatnonzero(has_below)
-        down[k] = np.minimum(LENGTH - 1, least(active[k] + 1, below[k] + 1)) + 1
-        # the final array holds the n empty suffixes first, then the others by rank
-        fresh = n + place
-        sort = np.argsort(fresh, kind="stable")
-        fresh, up, down, own = fresh[sort], up[sort], down[sort], string[active[sort]]
-        size = m + len(active)
-        old = np.ones(size, bool)
-        old[fresh] = False
-        nb, nl, ns, nh = np.empty(size, np.uint16), np.empty(size, np.uint8), np.empty(size, np.int32), np.empty(size, np.int16)
-        nb[old], nl[old], ns[old], nh[old] = bwt, lcp, string, length
-        before = lengths[own] > j
-        prior = np.where(before, data[np.maximum(starts[own] + lengths[own] - j - 1, 0)].astype(np.uint16) + 1, 0)
-        nb[fresh], nl[fresh], ns[fresh], nh[fresh] = prior, up, own, j
-        follow = fresh + 1
-        inside = (follow < size) & old[np.minimum(follow, size - 1)]
-        nl[follow[inside]] = down[inside]
-        # the symbol of the last round's place is used up
-        files.write(nb, nl, ns, nh)
-    bwt, lcp, string, length = files.read()
-    files.close()
-    return string[n:], length[n:], lcp[n:]
-
-
-def _earlier(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each batch's runs, a bit for each window that a smaller doc_id has."""
-    counts, docs, firsts, keys, texts, owners = [], [], [], [], [], []
-    for i, runs in enumerate(pdf["runs"]):
-        raw = unsqueeze(runs, np.uint8)
-        n = int(raw[:8].view("<i8")[0])
-        head = raw[8 : 8 + 32 * n].view("<i8").reshape(4, n)
-        for held, part in zip((counts, docs, firsts, keys), head):
-            held.append(part)
-        texts.append(raw[8 + 32 * n :])
-        owners.append(np.full(n, i))
-    count, doc, first, key, owner, data = map(np.concatenate, (counts, docs, firsts, keys, owners, texts))
-    length = count + LENGTH - 1
+    last = Files(folder)
+    bwt = symbols[starts + lengths - 1].astype(np.uint16) + np.uint16(1)
+    # round 0: the empty suffixes, in the documents' order
+    last.write(bwt, np.zeros(n, np.uint8), np.zeros(n, np.uint32))
+    totals = np.bincount(bwt, minlength=1 << 16)
+    active, own = np.arange(n), np.arange(n)
+    for j in range(1, int(lengths.max()) + 1 if n else 1):
+        scan = Scan(active, most)
+        for b, p, _ in last.read():
+            scan.block(b, p)
+        smaller = np.cumsum(totals) - totals - totals[0]  # symbols before each, without the 0
+        fresh = n + smaller[scan.symbol] + scan.before
+        order = np.argsort(fresh)
+        fresh, own, up, down = fresh[order], own[order], scan.up[order], scan.down[order]
+        rest = lengths[own] - j
+        prior = np.where(rest > 0, symbols[np.maximum(starts[own] + rest - 1, 0)].astype(np.uint16) + np.uint16(1), np.uint16(0)).astype(np.uint16)
+        origin = (starts[own] + rest).astype(np.uint32)
+        gap = fresh - np.arange(len(fresh))  # the old entry before which it comes
+        following, at = Files(folder), 0
+        for b, p, o in last.read():
+            lo, hi = np.searchsorted(gap, (at, at + len(b)))
+            here = gap[lo:hi] - at
+            p = p.copy()
+            p[here] = down[lo:hi]
+            old = np.ones(len(b) + hi - lo, bool)
+            old[here + np.arange(hi - lo)] = False
+            merged = []
+            for before, new in ((b, prior), (p, up), (o, origin)):
+                whole = np.empty(len(old), before.dtype)
+                whole[old], whole[~old] = before, new[lo:hi]
+                merged.append(whole)
+            following.write(*merged)
+            at += len(b)
+        lo = int(np.searchsorted(gap, at))
+        following.write(prior[lo:], up[lo:], origin[lo:])
+        last.close()
+        last = following
+        totals += np.bincount(prior, minlength=1 << 16)
+        active, own = fresh[prior > 0], own[prior > 0]
+    parts = [(o, p) for _, p, o in last.read()]
+    last.close()
+    return np.concatenate([np.zeros(0, np.uint32), *(o for o, _ in parts)])[n:], np.concatenate([np.zeros(0, np.uint8), *(p for _, p in parts)])[n:]
+
+
+def least_owners(strings: list[bytes], owner: np.ndarray, folder: str | None) -> np.ndarray:
+    """For each string, the smallest owner of each of its windows, from the groups of the collection's transform."""
+    size = np.array(list(map(len, strings)), np.int64)
+    begin = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(strings) + b"\0", np.uint8).astype(np.uint16)
+    pairs = (data[:-1] << 8) | data[1:]  # no byte of UTF-8 is 255, so one more still fits
+    # documents: the even and the odd reading of each string
+    length = np.stack([size // 2, (size - 1) // 2], axis=1).ravel()
     start = np.cumsum(length) - length
-    # equal runs of different batches are one string of the collection
-    print_ = np.zeros(len(count), U64)
-    prefix = np.concatenate([[U64(0)], np.cumsum(mix(data.astype(U64) + U64(1)) * _powers(length, start, len(data)), dtype=U64)])
-    print_ = mix((prefix[start + length] - prefix[start]) + count.astype(U64))
-    order = np.lexsort((doc, print_, key))
-    k, p = key[order], print_[order]
-    differ = np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])])
-    for i in np.flatnonzero(~differ):  # equal prints are confirmed by the bytes
-        a, b = order[i - 1], order[i]
-        if length[a] != length[b] or data[start[a] : start[a] + length[a]].tobytes() != data[start[b] : start[b] + length[b]].tobytes():
-            differ[i] = True
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(differ) - 1
-    one = order[differ]
-    least = doc[one]  # the smallest doc_id of each string
-    # strings whose minimizer no other string has can share no window with another
-    ones_key = key[one]
-    edge = np.concatenate([[True], ones_key[1:] != ones_key[:-1]])
-    group = np.cumsum(edge) - 1
-    alone = np.bincount(group)[group] == 1
-    full = (U64(1) << count[one].astype(U64)) - U64(1)
-    by_window = np.repeat(least[:, None], SPAN, axis=1)
-    some = np.flatnonzero(~alone)
-    if len(some):
-        string, size, lcp = collection_order(data, start[one[some]], length[one[some]])
-        same = np.cumsum(lcp < LENGTH)
-        window = np.flatnonzero(size >= LENGTH)
-        same, string, size = same[window], string[window].astype(np.int64), size[window].astype(np.int64)
-        own = least[some][string]
-        begins = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
-        lowest = np.minimum.reduceat(own, begins)[np.cumsum(np.concatenate([[True], same[1:] != same[:-1]])) - 1]
-        by_window[some[string], length[one[some]][string] - size] = lowest
-    later = by_window[number] < doc[:, None]
-    mask = (later.astype(U64) << np.arange(SPAN, dtype=U64)).sum(axis=1, dtype=U64) & full[number]
-    rows = []
-    for i, batch in enumerate(pdf["batch"]):
-        mine = np.flatnonzero((owner == i) & (mask > 0))
-        if len(mine):
-            rows.append((batch, squeeze(first[mine]), squeeze(mask[mine])))
-    return pd.DataFrame(rows, columns=["batch", "keys", "extra"])
-
-
-def _powers(length: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
-    """A factor for each place within a string."""
-    factors = np.random.default_rng(26).integers(1, 2**63, LENGTH + SPAN, dtype=U64) * U64(2) + U64(1)
-    return factors[np.arange(n) - np.repeat(start, length)]
-
-
-def removed_bytes(table: pa.Table, answers: pd.DataFrame, sizes: Sizes) -> tuple[Batch, np.ndarray]:
-    """Which of the batch's bytes go."""
-    b = Batch(table)
-    cover = np.zeros(len(b.data) + 1, np.int64)
-    hits, masks = answers[answers["kind"] == 1], answers[answers["kind"] == 2]
-    some = _shared(b, hits, sizes)
-    if len(some):
-        number, first, least = b.distinct(some)
-        by_first = np.zeros(len(b.begin), U64)
-        for k, e in zip(masks["keys"], masks["extra"]):
-            by_first[unsqueeze(k, "<i8")] = unsqueeze(e, "<u8")
-        count = b.count[some]
-        mask = by_first[first][number]
-        mask[b.ids[b.row[some]] > least[number]] = ~U64(0)
-        bits = (mask[:, None] >> np.arange(SPAN, dtype=U64) & U64(1)).astype(bool) & (np.arange(SPAN) < count[:, None])
-        run, window = np.nonzero(bits)
-        at = b.begin[some][run] + window
-        cover[at] += 1
+    doc = np.repeat(np.arange(len(length)), length)
+    offset = 2 * (np.arange(len(doc)) - start[doc]) + doc % 2
+    origin, lcp = collection_order(pairs[begin[doc // 2] + offset], start, length, folder=folder)
+    out = np.repeat(owner[:, None], SPAN, axis=1)
+    if len(origin):
+        group = np.cumsum(lcp < SYMBOLS)
+        string, place = doc[origin] // 2, offset[origin]
+        window = np.flatnonzero(place + LENGTH <= size[string])
+        group, string, place = group[window], string[window], place[window]
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        out[string, place] = np.repeat(np.minimum.reduceat(owner[string], first), np.diff(np.append(first, len(group))))
+    return out
+
+
+def _earlier(root: str):
+    """For each batch, the windows that a smaller doc_id has, see ``GONE``."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        folder = mounted(root)
+        seen: dict[bytes, int] = {}
+        sent, numbers = [], []
+        for data in pdf["runs"]:
+            size, occurs, least, _, begin, later, text = unpack_arrays(data, SENT)
+            raw, ends = text.tobytes(), np.cumsum(size.astype(np.int64))
+            numbers.append(np.array([seen.setdefault(raw[j - n : j], len(seen)) for n, j in zip(size.tolist(), ends.tolist())], np.int64))
+            sent.append((size, occurs, least, begin, later))
+        owner = np.full(len(seen), np.iinfo(np.int64).max)
+        for number, (_, _, least, _, _) in zip(numbers, sent):
+            np.minimum.at(owner, number, least)
+        windows = least_owners(list(seen), owner, folder)
+        bits = U64(1) << np.arange(SPAN, dtype=U64)
+        rows = []
+        for batch, number, (size, occurs, least, begin, later) in zip(pdf["batch"], numbers, sent):
+            count = size.astype(np.int64) - LENGTH + 1
+            inside = np.arange(SPAN) < count[:, None]
+            mine = ((windows[number] < least[:, None]) & inside) @ bits  # for the smallest doc_id of the batch
+            every = (windows[number] <= least[:, None]) & inside  # larger ones lose these
+            mask = np.where(later.astype(bool), np.repeat(every @ bits, occurs), np.repeat(mine, occurs))
+            some = np.flatnonzero(mask)
+            if len(some):
+                order = some[np.argsort(begin[some], kind="stable")]
+                rows.append((batch, pack_arrays([begin[order], np.repeat(count, occurs)[order], mask[order]], GONE)))
+        return pd.DataFrame(rows, columns=["batch", "gone"])
+
+    return run
+
+
+def removed_bytes(table: pa.Table, answers: pd.DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The batch's texts, and which of their bytes go."""
+    names = [c.lower() for c in table.column_names]
+    texts = [(t or "").encode("utf-8", "surrogatepass") for t in table.column(names.index("text")).to_pylist()]
+    cover = np.zeros(sum(map(len, texts)) + 1, np.int64)
+    for data in answers["gone"]:
+        begin, count, mask = unpack_arrays(data, GONE)
+        whole = mask == (U64(1) << count.astype(U64)) - U64(1)
+        np.add.at(cover, begin[whole], 1)
+        np.add.at(cover, begin[whole].astype(np.int64) + count[whole] + LENGTH - 1, -1)
+        some = np.flatnonzero(~whole)
+        run, window = np.nonzero(mask[some, None] >> np.arange(SPAN, dtype=np.uint32) & 1)
+        at = begin[some][run].astype(np.int64) + window
+        np.add.at(cover, at, 1)
         np.add.at(cover, at + LENGTH, -1)
-    return b, np.cumsum(cover[:-1]) > 0
+    return texts, np.cumsum(cover[:-1]) > 0
 
 
-def _answers(docs: DataFrame, bucket_bytes: int) -> tuple[DataFrame, DataFrame, Sizes]:
+def _answers(docs: DataFrame, bucket_bytes: int, hot: int) -> tuple[DataFrame, DataFrame]:
     batches = packed(docs, len)
     n = total(batches)
     sizes, buckets = Sizes(n // 8), max(1, n // bucket_bytes)
-    hits = stored(shared_keys(messages(batches, _seed_messages(sizes), sizes)), "seeds")
-    runs = with_answers(batches, hits, _run_messages(sizes, buckets), RUNS)
-    masks = runs.groupBy("bucket").applyInPandas(_earlier, "batch long, keys binary, extra binary")
-    return batches, hits.withColumn("kind", F.lit(1)).unionByName(masks.withColumn("kind", F.lit(2))), sizes
+    hits = shared_keys(messages(batches, _seed_messages(sizes), sizes))
+    runs = with_answers(batches, hits, _run_messages(sizes, buckets, hot), RUNS)
+    return batches, runs.groupBy("bucket").applyInPandas(_earlier(scratch_root(docs.sparkSession)), "batch long, gone binary")
 
 
-def digests(docs: DataFrame, bucket_bytes: int = 2_000_000) -> DataFrame:
+def digests(docs: DataFrame, bucket_bytes: int = 2_000_000, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    batches, answers, sizes = _answers(narrow(docs, "doc_id", "text"), bucket_bytes)
+    batches, answers = _answers(narrow(docs, "doc_id", "text"), bucket_bytes, hot)
 
     def work(batch: int, table: pa.Table, found: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        b, gone = removed_bytes(table, found, sizes)
-        rows = []
-        for d, text, s, n in zip(table.column(0).to_pylist(), b.texts, b.starts.tolist(), b.sizes.tolist()):
+        texts, gone = removed_bytes(table, found)
+        rows, s = [], 0
+        for d, text in zip(table.column(0).to_pylist(), texts):
+            n = len(text)
             mine = gone[s : s + n]
+            s += n
             lost = int(mine.sum())
             spans = int((mine[1:] & ~mine[:-1]).sum() + mine[0]) if lost else 0
             kept = np.frombuffer(text, np.uint8)[~mine].tobytes() if lost else text
@@ -415,19 +498,20 @@ def digests(docs: DataFrame, bucket_bytes: int = 2_000_000) -> DataFrame:
     return with_answers(batches, answers, work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def dedupe(docs: DataFrame, bucket_bytes: int = 2_000_000) -> DataFrame:
+def dedupe(docs: DataFrame, bucket_bytes: int = 2_000_000, hot: int = HOT) -> DataFrame:
     """The same rows and columns, repeated bytes cut from ``text``; a character that loses a byte goes."""
-    batches, answers, sizes = _answers(docs, bucket_bytes)
+    batches, answers = _answers(docs, bucket_bytes, hot)
     at = [c.lower() for c in docs.columns].index("text")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for data in left.column("data").to_pylist():
             table = unpacked(data)
-            b, gone = removed_bytes(table, right.to_pandas(), sizes)
+            held, gone = removed_bytes(table, right.to_pandas())
+            ends = np.cumsum([len(x) for x in held])
             texts = [
-                None if t is None else np.frombuffer(own, np.uint8)[~gone[s : s + n]].tobytes().decode("utf-8", "ignore")
-                for t, own, s, n in zip(table.column(at).to_pylist(), b.texts, b.starts, b.sizes)
+                None if t is None else np.frombuffer(own, np.uint8)[~gone[e - len(own) : e]].tobytes().decode("utf-8", "ignore")
+                for t, own, e in zip(table.column(at).to_pylist(), held, ends)
             ]
             out.append(table.set_column(at, table.schema.field(at), pa.array(texts, table.schema.field(at).type)))
         return pa.concat_tables(out)

@@ -156,23 +156,43 @@ def test_dedupe_keeps_rows_columns_and_white_space(spark, docs):
     assert [r["text"] for r in same_][0::2] == [text, None] and same_[1]["text"] == "head\t"
 
 
-def test_collection_order():
-    """The transform's suffix order and common prefixes against sorting all suffixes."""
+def test_collection_order(monkeypatch, tmp_path):
+    """The transform's suffix order and common prefixes against sorting all suffixes, over blocks of a few entries."""
+    monkeypatch.setattr(suffixes, "BLOCK", 7)
     rng = random.Random(2)
-    for trial in range(80):
-        strings = ["".join(rng.choice("ab" if trial % 2 else "abcd") for _ in range(rng.randint(1, 70))).encode() for _ in range(rng.randint(1, 9))]
-        strings += strings[: trial % 3]
-        size = np.array([len(s) for s in strings])
-        string, length, shared = suffixes.collection_order(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size)
-        got = [strings[a][len(strings[a]) - b :] for a, b in zip(string, length)]
-        assert got == sorted(s[i:] for s in strings for i in range(len(s)))
+    for trial in range(60):
+        docs = [[rng.choice((0, 1) if trial % 2 else (0, 7, 300, 65000)) for _ in range(rng.randint(1, 40))] for _ in range(rng.randint(1, 9))]
+        docs += docs[: trial % 3]
+        size = np.array([len(s) for s in docs])
+        start = np.cumsum(size) - size
+        origin, shared = suffixes.collection_order(np.array([x for d in docs for x in d], np.uint16), start, size, 5 if trial % 5 else 60, str(tmp_path) if trial % 2 else None)
+        at = [int(np.searchsorted(start, o, side="right")) - 1 for o in origin]
+        got = [docs[i][o - start[i] :] for i, o in zip(at, origin.tolist())]
+        assert len(set(origin.tolist())) == len(got) and got == sorted(d[i:] for d in docs for i in range(len(d)))
         for a, b, n in zip(got, got[1:], shared[1:]):
             k = 0
-            while k < min(len(a), len(b), suffixes.LENGTH) and a[k] == b[k]:
+            while k < min(len(a), len(b), 5 if trial % 5 else 60) and a[k] == b[k]:
                 k += 1
             assert k == n
 
 
+def test_byte_repeats_come_through_the_transform(spark, docs, monkeypatch):
+    """Without the buckets' answers nothing goes, not even within a batch; without the transform no window finds another
+    string's owner."""
+    passage = b"the passage that both of these texts share, as they are, and that goes"
+    strings = [b"x" * 5 + passage, passage + b"y" * 5]
+    found = suffixes.least_owners(strings, np.array([4, 3]), None)
+    assert found[0, :26].tolist() == [4] * 5 + [3] * 21 and found[1, :21].tolist() == [3] * 21
+    monkeypatch.setattr(suffixes, "collection_order", lambda *_, **__: (np.zeros(0, np.uint32), np.zeros(0, np.uint8)))
+    assert (suffixes.least_owners(strings, np.array([4, 3]), None)[0] == 4).all()
+    monkeypatch.setattr(suffixes, "_earlier", lambda root: lambda pdf: pdf[["batch"]].assign(gone=b"").head(0))
+    assert {r["n_removed"] for r in suffixes.digests(docs).collect()} == {0}
+
+
+def test_byte_repeats_with_hot_minimizers(odd, docs):
+    assert sorted(map(tuple, suffixes.digests(docs, bucket_bytes=5000, hot=2).collect()), key=key) == sorted(byte_digests(odd), key=key)
+
+
 # 8: joins
 
 
