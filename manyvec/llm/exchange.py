@@ -115,6 +115,20 @@ def unsqueeze(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def pack_arrays(arrays: list[np.ndarray], layout: tuple[str, ...]) -> bytes:
+    """Arrays of the kinds in ``layout``, their lengths first, compressed."""
+    head = np.array([len(a) for a in arrays], "<i8").tobytes()
+    return squeeze(np.frombuffer(head + b"".join(np.asarray(a).astype(t).tobytes() for a, t in zip(arrays, layout)), np.uint8))
+
+
+def unpack_arrays(data: bytes, layout: tuple[str, ...]) -> list[np.ndarray]:
+    raw, at, out = unsqueeze(data, np.uint8).tobytes(), 8 * len(layout), []
+    for n, t in zip(np.frombuffer(raw[:at], "<i8").tolist(), layout):
+        out.append(np.frombuffer(raw, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return out
+
+
 class Sizes:
     """How many buckets, and how many bits of a key are sent, for so many keys in all."""
 
@@ -198,9 +212,15 @@ def with_answers(batches: DataFrame, answers: DataFrame, work: Callable[[int, pa
     return batches.select("batch", "data").groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, schema)
 
 
-def isin_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+def answered(answers: pd.DataFrame, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the shortened keys an answer of ``shared_keys`` names, and the scale of each of these."""
+    known = np.concatenate([np.zeros(0, U64), *(inflate(k) for k in answers["keys"])])
+    scale = np.concatenate([np.zeros(0, np.uint8), *(unsqueeze(e, np.uint8) for e in answers["extra"])])
+    order = np.argsort(known, kind="stable")
+    known, scale = known[order], scale[order]
     if not len(known):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(known, values)
+        return np.zeros(0, np.int64), scale
+    at = np.searchsorted(known, short)
     at[at == len(known)] = 0
-    return known[at] == values
+    hit = np.flatnonzero(known[at] == short)
+    return hit, scale[at[hit]]

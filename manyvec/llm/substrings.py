@@ -2,16 +2,20 @@
 
 The reference index holds each document's non-overlapping blocks of ``BLOCK`` = 7 words. Any 13 consecutive words
 contain exactly one such block of the document they are read from, so probing the index with every rolling
-7-word window of every document finds each repeated window. A hit is extended on both sides to all 13-word windows
-around it; these are compared by 96-bit fingerprints, and neighbouring repeats join to maximal exact repeats. The
-smallest doc_id that has a window keeps it; any other document loses the words it covers.
+7-word window of every document finds each repeated window. A hit is extended on both sides, by every way to part the
+6 words that are missing: where a reference block stands between the same words, word for word, the 13 are a repeat of
+its document. Neighbouring repeats join to maximal exact repeats. The smallest doc_id that has a window keeps it;
+any other document loses the words it covers.
 
-Index and probes meet as compressed keys (see ``exchange``); texts never leave their batch, and hits only
-are extended.
+Index and probes meet as compressed keys (see ``exchange``). Only hits go on, as the words from 6 before to 6 after the
+block, equal ones of a batch once; they meet in buckets by block. A block that ``HOT`` documents or more have is
+extended before it is sent: each 13 words around it go to a bucket of their own, so a common line fills none. Whole texts
+never leave their batch.
 
 Edge cases: null text has no words; rows with null doc_id keep all words and are no reference; rows that share a
-doc_id don't remove each other's words; texts under 13 words are kept; long texts are read whole; an empty table
-gives an empty result. ``dedupe`` returns the given columns, whatever their names.
+doc_id don't remove each other's words; texts under 13 words are kept; long texts are read whole; windows of one
+smallest doc_id all stay (ties); an empty table gives an empty result. ``dedupe`` returns the given columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,9 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from manyvec.llm.common import Memo, narrow
-from manyvec.llm.exchange import U64, Sizes, deflate, inflate, isin_sorted, message_rows, messages, mix, packed, shared_keys, squeeze, total, unpacked, unsqueeze, window_keys, with_answers
+from manyvec.llm.exchange import U64, Sizes, answered, messages, mix, pack_arrays, packed, shared_keys, total, unpack_arrays, unpacked, window_keys, with_answers
 
 WINDOW, BLOCK = 13, 7
+SIDE = WINDOW - BLOCK
+#: Documents from which on a block counts as hot.
+HOT = 4096
+#: Arrays of a message. For each distinct passage: bytes, occurrences, smallest doc_id that has it around a reference
+#: block; for each occurrence: its first word in the batch, its doc_id; then the bytes.
+SENT = ("<u2", "<u4", "<i8", "<u4", "<i8", "u1")
+#: Of passages with long words, lengths are sent wider.
+WIDE = ("<u4", *SENT[1:])
+#: Arrays of an answer, for each occurrence that loses windows: first word, a bit for each window that goes.
+GONE = ("<u4", "u1")
+NONE = np.iinfo(np.int64).max
 word_at = re.compile(r"[^\x20\x09-\x0D]+").finditer
 _hashes: list[Memo] = []
 
@@ -49,18 +64,17 @@ class Batch:
         names = [n.lower() for n in table.column_names]
         ids = table.column(names.index("doc_id")).to_pylist()
         hashed, sizes = [], []
+        self.text: list[bytes] = []
         for d, text in zip(ids, table.column(names.index("text")).to_pylist()):
             words = words_of(text) if d is not None else []
             sizes.append(len(words))
+            self.text += words
             hashed.append(np.fromiter(map(look, words), U64, len(words)))
         self.words = np.concatenate(hashed) if hashed else np.zeros(0, U64)
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.row = np.repeat(np.arange(len(ids)), self.sizes)
         self.ids = np.array([-1 if d is None else d for d in ids], np.int64)
-        n = len(self.words)
-        #: where a 13-word window lies within one document
-        self.whole = self.row[WINDOW - 1 :] == self.row[: max(0, n - WINDOW + 1)] if n >= WINDOW else np.zeros(0, bool)
 
     def probes(self) -> tuple[np.ndarray, np.ndarray]:
         """(key at each word, whether its 7 words lie within one document of at least 13)."""
@@ -74,22 +88,6 @@ class Batch:
         n = max(0, len(self.words) - BLOCK + 1)
         return (np.arange(n) - self.starts[self.row[:n]]) % BLOCK == 0
 
-    def first_prints(self, at: np.ndarray) -> np.ndarray:
-        """The leading 64 bits of the fingerprints of the 13-word windows beginning at ``at``."""
-        return self._sum(at, 131, False)
-
-    def second_prints(self, at: np.ndarray) -> np.ndarray:
-        """Their other 32 bits."""
-        return (self._sum(at, 132, True) >> U64(32)).astype(np.uint32)
-
-    def _sum(self, at: np.ndarray, seed: int, folded: bool) -> np.ndarray:
-        total_ = np.zeros(len(at), U64)
-        factors = np.random.default_rng(seed).integers(1, 2**63, WINDOW, dtype=U64) * U64(2) + U64(1)
-        words = self.words ^ (self.words >> U64(33)) if folded else self.words
-        for k in range(WINDOW):
-            total_ += words[at + k] * factors[k]
-        return mix(total_)
-
 
 def _probe_messages(sizes: Sizes):
     def make(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -109,95 +107,99 @@ def _probe_messages(sizes: Sizes):
     return make
 
 
-def _extended(sizes: Sizes, print_sizes: Sizes):
-    """From anchor hits to the fingerprints of the windows around them, each with its smallest doc_id."""
+def _extended(sizes: Sizes, buckets: int, hot: int):
+    """The passages around hits, see ``SENT``."""
 
     def work(batch: int, table: pa.Table, answers: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if not len(answers):
             return
         b = Batch(table)
         keys, inside = b.probes()
-        hits = np.sort(np.concatenate([inflate(k) for k in answers["keys"]]))
-        hit = np.zeros(len(b.words) + 1, np.int64)
-        hit[:-1][: len(keys)] = inside & isin_sorted(sizes.short(keys), hits)
-        upto = np.concatenate([[0], np.cumsum(hit)])
-        n = len(b.whole)
-        span = WINDOW - BLOCK + 1
-        at = np.flatnonzero(b.whole & (upto[span : span + n] > upto[:n]))
-        first, second = b.first_prints(at), b.second_prints(at)
-        doc = b.ids[b.row[at]]
-        order = np.lexsort((doc, second, first))
-        first, second, doc = first[order], second[order], doc[order]
-        new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])[: len(first)]
-        extra = np.zeros(int(new.sum()), [("print", "<u4"), ("doc", "<i8")])
-        extra["print"], extra["doc"] = second[new], doc[new]
-        yield from message_rows(batch, first[new], extra, print_sizes, dropped=False)
+        at = np.flatnonzero(inside)
+        hit, scale = answered(answers, sizes.short(keys[at]))
+        at, row = at[hit], b.row[at[hit]]
+        left = np.minimum(SIDE, at - b.starts[row])
+        right = np.minimum(SIDE, b.starts[row] + b.sizes[row] - at - BLOCK)
+        reference, key = b.anchors()[at], keys[at]
+        begin, width = at - left, left + BLOCK + right
+        if (many := (scale >= 8 * np.log2(hot)) & (width >= WINDOW)).any():
+            windows = width[many] - WINDOW + 1
+            each = np.repeat(begin[many], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            whole = window_keys(b.words, WINDOW, 131)
+            begin, width = np.append(begin[~many], each), np.append(width[~many], np.full(len(each), WINDOW))
+            row, reference = np.append(row[~many], np.repeat(row[many], windows)), np.append(reference[~many], np.repeat(reference[many], windows))
+            key = np.append(key[~many], whole[each])
+        bucket, doc, text = (mix(key.copy()) % U64(buckets)).astype(np.int64), b.ids[row], b.text
+        order = np.argsort(bucket, kind="stable")
+        order = order[width[order] >= WINDOW]
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
+        for k in np.flatnonzero(np.diff(edges)):
+            mine = order[edges[k] : edges[k + 1]]
+            seen: dict[bytes, int] = {}
+            number = np.array([seen.setdefault(b" ".join(text[i : i + n]), len(seen)) for i, n in zip(begin[mine].tolist(), width[mine].tolist())], np.int64)
+            owner = np.full(len(seen), NONE)
+            grid = reference[mine]
+            np.minimum.at(owner, number[grid], doc[mine][grid])
+            by = np.argsort(number, kind="stable")
+            size = np.array(list(map(len, seen)))
+            layout = SENT if size.max() < 1 << 16 else WIDE
+            arrays = [size, np.bincount(number), owner, begin[mine][by], doc[mine][by], np.frombuffer(b"".join(seen), np.uint8)]
+            rows.append((int(k), batch, layout == WIDE, pack_arrays(arrays, layout)))
+        yield pd.DataFrame(rows, columns=["bucket", "batch", "wide", "passages"])
 
     return work
 
 
-def _earlier(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Answers for each batch: fingerprints that a smaller doc_id of another batch has."""
-    lists, extras = [inflate(k) for k in pdf["keys"]], [unsqueeze(e, [("print", "<u4"), ("doc", "<i8")]) for e in pdf["extra"]]
-    first, extra = np.concatenate(lists), np.concatenate(extras)
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    order = np.lexsort((extra["doc"], extra["print"], first))
-    f, p, d, o = first[order], extra["print"][order], extra["doc"][order], owner[order]
-    new = np.concatenate([[True], (f[1:] != f[:-1]) | (p[1:] != p[:-1])])
-    later = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
+def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each batch, the windows around hits that a smaller doc_id has around a reference block, see ``GONE``."""
+    known: dict[bytes, int] = {}
+    sent = []
+    for wide, data in zip(pdf["wide"], pdf["passages"]):
+        size, occurs, owner, begin, doc, text = unpack_arrays(data, WIDE if wide else SENT)
+        raw, windows, at = text.tobytes(), np.full((len(size), SIDE + 1), -1, np.int64), 0
+        for i, n in enumerate(size.tolist()):
+            words = raw[at : at + n].split(b" ")
+            at += n
+            for k in range(len(words) - WINDOW + 1):  # k words fewer on the left
+                windows[i, k] = known.setdefault(b" ".join(words[k : k + WINDOW]), len(known))
+        sent.append((windows, occurs, owner, begin, doc))
+    least = np.full(len(known) + 1, NONE)  # the last is for what is no window
+    for windows, _, owner, _, _ in sent:
+        has = owner < NONE
+        np.minimum.at(least, windows[has].ravel(), np.repeat(owner[has], SIDE + 1))
+        least[-1] = NONE
     rows = []
-    f, p, o = f[later], p[later], o[later]
-    by = np.argsort(o, kind="stable")
-    edges = np.searchsorted(o[by], np.arange(len(lists) + 1))
-    for i, batch in enumerate(pdf["batch"]):
-        mine = by[edges[i] : edges[i + 1]]
-        if len(mine):
-            rows.append((batch, deflate(f[mine]), squeeze(p[mine])))
-    return pd.DataFrame(rows, columns=["batch", "keys", "extra"])
-
-
-def removed_words(table: pa.Table, answers: pd.DataFrame) -> tuple[Batch, np.ndarray]:
-    """Which of the batch's words go: those in windows that an earlier document has, here or in another batch."""
-    b = Batch(table)
-    at = np.flatnonzero(b.whole)
-    first = b.first_prints(at)
-    known = np.zeros(0, [("f", "<u8"), ("p", "<u4")])
-    if len(answers):
-        known = np.unique(np.concatenate([_pairs(inflate(k), unsqueeze(e, np.uint32)) for k, e in zip(answers["keys"], answers["extra"])]))
-    firsts = known["f"].copy()
-    # only windows that occur again, here or elsewhere, need the rest of their fingerprint
-    order = np.argsort(first)
-    again = isin_sorted(first, firsts)
-    same = first[order[1:]] == first[order[:-1]]
-    again[order[1:][same]] = again[order[:-1][same]] = True
-    at, first = at[again], first[again]
-    second = b.second_prints(at)
-    gone = np.zeros(len(at), bool)
-    if len(at):
-        if len(known):
-            i = np.searchsorted(firsts, first)
-            while True:  # equal leading bits stand side by side
-                last = np.minimum(i, len(firsts) - 1)
-                ok = (i < len(firsts)) & (firsts[last] == first) & ~gone
-                if not ok.any():
-                    break
-                gone |= ok & (known["p"][last] == second)
-                i = i + 1
-        doc = b.ids[b.row[at]]
-        order = np.lexsort((doc, second, first))
-        f, p, d = first[order], second[order], doc[order]
-        new = np.concatenate([[True], (f[1:] != f[:-1]) | (p[1:] != p[:-1])])
-        gone[order] |= d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
-    cover = np.zeros(len(b.words) + 1, np.int64)
-    cover[at[gone]] += 1
-    np.add.at(cover, at[gone] + WINDOW, -1)
-    return b, np.cumsum(cover[:-1]) > 0
-
-
-def _pairs(f: np.ndarray, p: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(f), [("f", "<u8"), ("p", "<u4")])
-    out["f"], out["p"] = f, p
-    return out
+    for batch, (windows, occurs, _, begin, doc) in zip(pdf["batch"], sent):
+        later = np.repeat(least[windows], occurs, axis=0) < doc[:, None]
+        some = np.flatnonzero(later.any(axis=1))
+        if len(some):
+            order = some[np.argsort(begin[some], kind="stable")]
+            rows.append((batch, pack_arrays([begin[order], np.packbits(later[order], axis=1, bitorder="little").ravel()], GONE)))
+    return pd.DataFrame(rows, columns=["batch", "gone"])
+
+
+class Cut:
+    """A batch's rows and which of their words go."""
+
+    def __init__(self, table: pa.Table, answers: pd.DataFrame):
+        names = [n.lower() for n in table.column_names]
+        ids = table.column(names.index("doc_id")).to_pylist()
+        self.words = [words_of(t) for t in table.column(names.index("text")).to_pylist()]
+        sizes = np.array([len(w) if d is not None else 0 for w, d in zip(self.words, ids)], np.int64)
+        self.ends = np.cumsum(sizes)
+        cover = np.zeros(int(sizes.sum()) + 1, np.int64)
+        for data in answers["gone"]:
+            begin, bits = unpack_arrays(data, GONE)
+            passage, k = np.nonzero(bits[:, None] >> np.arange(SIDE + 1, dtype=np.uint8) & 1)
+            at = begin[passage].astype(np.int64) + k
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + WINDOW, -1)
+        self.gone, self.sizes = np.cumsum(cover[:-1]) > 0, sizes
+
+    def marks(self, i: int) -> np.ndarray:
+        """For the words of row i, whether they go; nothing for rows that keep all without a look."""
+        return self.gone[self.ends[i] - self.sizes[i] : self.ends[i]]
 
 
 def cut_words(text: str, gone: np.ndarray) -> str:
@@ -214,25 +216,24 @@ def cut_words(text: str, gone: np.ndarray) -> str:
     return "".join(out) + text[at:]
 
 
-def _answers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _answers(docs: DataFrame, bucket_words: int, hot: int) -> tuple[DataFrame, DataFrame]:
     batches = packed(docs, lambda t: len(t) // 4)
     n = total(batches)
-    probes, prints = Sizes(n), Sizes(n // 2)
+    probes, buckets = Sizes(n), max(1, n // bucket_words)
     hits = shared_keys(messages(batches, _probe_messages(probes), probes), needs=128)
-    extended = with_answers(batches, hits, _extended(probes, prints), "bucket long, batch long, keys binary, extra binary")
-    return batches, extended.groupBy("bucket").applyInPandas(_earlier, "batch long, keys binary, extra binary")
+    extended = with_answers(batches, hits, _extended(probes, buckets, hot), "bucket long, batch long, wide boolean, passages binary")
+    return batches, extended.groupBy("bucket").applyInPandas(_repeats, "batch long, gone binary")
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, bucket_words: int = 1_000_000, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
-    batches, answers = _answers(narrow(docs, "doc_id", "text"))
+    batches, answers = _answers(narrow(docs, "doc_id", "text"), bucket_words, hot)
 
     def work(batch: int, table: pa.Table, found: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        b, gone = removed_words(table, found)
+        cut = Cut(table, found)
         rows = []
-        for i, (d, text) in enumerate(zip(table.column(0).to_pylist(), table.column(1).to_pylist())):
-            words = words_of(text)
-            mine = gone[b.starts[i] : b.starts[i] + b.sizes[i]]
+        for i, (d, words) in enumerate(zip(table.column(0).to_pylist(), cut.words)):
+            mine = cut.marks(i)
             kept = [w for w, g in zip(words, mine) if not g] if mine.any() else words
             rows.append((d, len(words), int(mine.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
         out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
@@ -241,19 +242,18 @@ def digests(docs: DataFrame) -> DataFrame:
     return with_answers(batches, answers, work, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedupe(docs: DataFrame) -> DataFrame:
+def dedupe(docs: DataFrame, bucket_words: int = 1_000_000, hot: int = HOT) -> DataFrame:
     """The same rows and columns, repeated words cut from ``text``; the white space of the rest stays."""
-    batches, answers = _answers(docs)
+    batches, answers = _answers(docs, bucket_words, hot)
     at = [c.lower() for c in docs.columns].index("text")
-    schema = docs.schema
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for data in left.column("data").to_pylist():
             table = unpacked(data)
-            b, gone = removed_words(table, right.to_pandas())
-            texts = [t if t is None else cut_words(t, gone[s : s + n]) for t, s, n in zip(table.column(at).to_pylist(), b.starts, b.sizes)]
+            cut = Cut(table, right.to_pandas())
+            texts = [t if t is None else cut_words(t, cut.marks(i)) for i, t in enumerate(table.column(at).to_pylist())]
             out.append(table.set_column(at, table.schema.field(at), pa.array(texts, table.schema.field(at).type)))
         return pa.concat_tables(out)
 
-    return batches.select("batch", "data").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
+    return batches.select("batch", "data").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, docs.schema)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manyvec.llm.common import narrow
-from manyvec.llm.exchange import U64, Sizes, inflate, messages, mix, packed, shared_keys, squeeze, total, unpacked, unsqueeze, with_answers
+from manyvec.llm.exchange import U64, Sizes, answered, messages, mix, pack_arrays, packed, shared_keys, total, unpack_arrays, unpacked, with_answers
 from manyvec.session import scratch_root, stored
 
 LENGTH, SEED, SPAN = 50, 24, 32
@@ -140,19 +140,6 @@ class Batch:
         return at[first], last - first, self.row[some][own], mix(self.key[some][own] ^ least[first])
 
 
-def pack_arrays(arrays: list[np.ndarray], layout: tuple[str, ...]) -> bytes:
-    head = np.array([len(a) for a in arrays], "<i8").tobytes()
-    return squeeze(np.frombuffer(head + b"".join(np.asarray(a).astype(t).tobytes() for a, t in zip(arrays, layout)), np.uint8))
-
-
-def unpack_arrays(data: bytes, layout: tuple[str, ...]) -> list[np.ndarray]:
-    raw, at, out = unsqueeze(data, np.uint8).tobytes(), 8 * len(layout), []
-    for n, t in zip(np.frombuffer(raw[:at], "<i8").tolist(), layout):
-        out.append(np.frombuffer(raw, t, n, at))
-        at += n * np.dtype(t).itemsize
-    return out
-
-
 def _seed_messages(sizes: Sizes):
     def make(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         b = Batch(table)
@@ -170,15 +157,8 @@ def _seed_messages(sizes: Sizes):
 
 def _shared(b: Batch, answers: pd.DataFrame, sizes: Sizes, limit: int) -> tuple[np.ndarray, ...]:
     """(begin, count, row, key) of the runs whose minimizer a second document has."""
-    known = np.concatenate([np.zeros(0, U64), *(inflate(k) for k in answers["keys"])])
-    scale = np.concatenate([np.zeros(0, np.uint8), *(unsqueeze(e, np.uint8) for e in answers["extra"])])
-    order = np.argsort(known, kind="stable")
-    known, scale = known[order], scale[order]
-    short = sizes.short(b.key)
-    at = np.searchsorted(known, short)
-    at[at == len(known)] = 0
-    hit = np.flatnonzero(known[at] == short) if len(known) else np.zeros(0, np.int64)
-    hot = scale[at[hit]] >= 8 * np.log2(limit)
+    hit, scale = answered(answers, sizes.short(b.key))
+    hot = scale >= 8 * np.log2(limit)
     plain = hit[~hot]
     parts = [(b.begin[plain], b.count[plain], b.row[plain], b.key[plain])]
     if hot.any():

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from manyvec.llm import ann, components, jaccard, queries, substrings, suffixes
+from manyvec.llm import ann, components, exchange, jaccard, queries, substrings, suffixes
 from tests.comparing import same
 
 
@@ -124,6 +124,21 @@ def test_word_repeats(docs, odd, none):
     assert substrings.digests(none).count() == 0
 
 
+def test_word_repeats_with_hot_blocks_and_small_buckets(docs, odd):
+    assert sorted(map(tuple, substrings.digests(docs, bucket_words=500, hot=2).collect()), key=key) == sorted(word_digests(odd), key=key)
+
+
+def test_word_repeats_come_through_the_anchors(docs, odd, monkeypatch):
+    """Without the answers to probes nothing goes, not even within a batch; nor without the extension of hits."""
+    assert any(r[2] for r in word_digests(odd))
+    true = substrings.shared_keys
+    monkeypatch.setattr(substrings, "_repeats", lambda pdf: pdf[["batch"]].assign(gone=b"").head(0))
+    assert {r["n_removed"] for r in substrings.digests(docs).collect()} == {0}
+    monkeypatch.undo()
+    monkeypatch.setattr(substrings, "shared_keys", lambda *a, **k: true(*a, **k).where("false"))
+    assert {r["n_removed"] for r in substrings.digests(docs).collect()} == {0}
+
+
 def test_byte_repeats(docs, odd, none):
     assert sorted(map(tuple, suffixes.digests(docs, bucket_bytes=5000).collect()), key=key) == sorted(byte_digests(odd), key=key)
     assert suffixes.digests(none).count() == 0
@@ -131,15 +146,12 @@ def test_byte_repeats(docs, odd, none):
 
 def test_repeats_across_many_batches(spark, monkeypatch):
     """Small batches and buckets, so that windows meet across them."""
-    from manyvec.llm import exchange
-
     rng = random.Random(4)
     pool = ["".join(rng.choice("abcdef ") for _ in range(90)) for _ in range(12)]
     rows = [(i, " ".join(rng.choice(pool) if rng.random() < 0.5 else "".join(rng.choice("abc ") for _ in range(60)) for _ in range(rng.randint(1, 6)))) for i in range(80)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     small = exchange.packed
-    monkeypatch.setattr(exchange, "BATCH_BYTES", 700)
     for module in (substrings, suffixes):
         monkeypatch.setattr(module, "packed", lambda d, count: small(d, count, 700))
     assert sorted(map(tuple, substrings.digests(df).collect())) == sorted(word_digests(rows))
@@ -313,7 +325,11 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
-def test_queries_match_sql(spark, duck, sf_dir, name):
+def test_queries_match_sql(spark, duck, sf_dir, name, monkeypatch):
+    """Over batches of 200 KB, so the small table has a dozen of them."""
+    small = exchange.packed
+    for module in (substrings, suffixes, jaccard):
+        monkeypatch.setattr(module, "packed", lambda d, count: small(d, count, 200_000))
     same(queries.QUERIES[name](spark, sf_dir), duck.sql(queries.ORACLES[name]))
 
 
