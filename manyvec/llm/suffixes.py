@@ -8,14 +8,15 @@ document has are dropped (see ``exchange``), equal runs of a batch are sent once
 A minimizer that ``HOT`` documents or more have is split further by a second minimizer of each window, so one common
 passage doesn't fill one bucket.
 
-A bucket holds a collection of short strings, equal ones once, with the documents that have them as membership. A string
-enters the transform as two documents of 16-bit symbols, its even and its odd reading: a window is 25 symbols of one of
-them, and there are half as many rounds. The suffix order is built column by column from the right: each round inserts
+A bucket holds a collection of short strings, equal ones once, with the documents that have them as membership; a string
+that is the only one with its minimizer needs no more than that. The others enter the transform. A symbol
+is ``WIDE`` = 5 bytes, numbered in their order; a string enters the transform as five documents, which begin at its first
+five bytes. So a window is 10 symbols of one of them, and a fifth of the rounds does. The suffix order is built column by column from the right: each round inserts
 one symbol of every document, at the place that the last round's transform gives it, and updates the common prefix
 lengths of the neighbours it parts. The transform, the prefix lengths and the origin of each suffix lie in sequential
 files of the shared folder: a round reads the last one's block by block, counting symbols as it goes, and writes the
 next. In memory are only a block, the places of the documents and a count for each symbol. Suffixes whose neighbours
-share 25 symbols are equal windows; each group's smallest doc_id keeps them.
+share 10 symbols are equal windows; each group's smallest doc_id keeps them.
 
 Edge cases: null text is empty; rows with null doc_id keep all bytes and are no reference; rows that share a doc_id
 don't remove each other's bytes; texts under 50 bytes are kept; long texts are read whole, and periodic ones give
@@ -45,8 +46,8 @@ from manyvec.session import scratch_root, stored
 LENGTH, SEED, SPAN = 50, 24, 32
 #: Documents from which on a minimizer counts as hot.
 HOT = 4096
-#: Symbols of a window, and entries of the transform that a round holds at a time.
-SYMBOLS, BLOCK = LENGTH // 2, 1 << 17
+#: Bytes of a symbol, symbols of a window, and entries of the transform that a round holds at a time.
+WIDE, SYMBOLS, BLOCK = 5, LENGTH // 5, 1 << 18
 #: Stands for a null doc_id within a batch.
 NO_ID = -(2**63)
 #: Bytes hashed at a time.
@@ -198,28 +199,31 @@ def _run_messages(sizes: Sizes, buckets: int, limit: int):
 
 
 class Files:
-    """The arrays of a round in a sequential file, block after block; the next round reads them in order. Files lie,
-    unnamed, in ``folder``, so they end with the task; where that is no mounted folder, in memory."""
+    """The arrays of a round in sequential files, one for each kind; the next round reads them front to back, ``BLOCK``
+    entries at a time. Files lie, unnamed, in ``folder``, so they end with the task; where that is no mounted folder,
+    in memory."""
+
+    KINDS = (np.dtype(np.uint32), np.dtype(np.uint8), np.dtype(np.uint32))
 
     def __init__(self, folder: str | None = None):
-        self.file = tempfile.TemporaryFile(dir=folder) if folder else io.BytesIO()
-        self.blocks: list[int] = []
+        self.files = [tempfile.TemporaryFile(dir=folder) if folder else io.BytesIO() for _ in self.KINDS]
 
     def write(self, bwt: np.ndarray, lcp: np.ndarray, origin: np.ndarray) -> None:
-        for at in range(0, len(bwt), BLOCK):
-            part = bwt[at : at + BLOCK], lcp[at : at + BLOCK], origin[at : at + BLOCK]
-            self.blocks.append(len(part[0]))
-            for a in part:
-                self.file.write(a.tobytes())
-
-    def read(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        self.file.seek(0)
-        for n in self.blocks:
-            raw = self.file.read(7 * n)
-            yield np.frombuffer(raw, np.uint16, n), np.frombuffer(raw, np.uint8, n, 2 * n), np.frombuffer(raw, np.uint32, n, 3 * n)
+        for file, a in zip(self.files, (bwt, lcp, origin)):
+            file.write(a.data if len(a) else b"")
+
+    def read(self, kinds: int = 3) -> Iterator[list[np.ndarray]]:
+        for file in self.files[:kinds]:
+            file.seek(0)
+        while True:
+            part = [np.frombuffer(f.read(BLOCK * k.itemsize), k) for f, k in zip(self.files[:kinds], self.KINDS)]
+            if not len(part[0]):
+                return
+            yield part
 
     def close(self) -> None:
-        self.file.close()
+        for file in self.files:
+            file.close()
 
 
 def mounted(root: str) -> str | None:
@@ -245,10 +249,12 @@ class RangeMin:
         for i in range(1, self.WIDTH):
             np.minimum(self.ahead[i], self.ahead[i - 1], out=self.ahead[i])
             np.minimum(self.behind[-i - 1], self.behind[-i], out=self.behind[-i - 1])
-        self.table = [self.ahead[-1]]
-        while 2 << len(self.table) - 1 <= blocks:
-            step, above = 1 << len(self.table) - 1, self.table[-1]
-            self.table.append(np.minimum(above[:-step], above[step:]))
+        levels = max(1, blocks.bit_length())
+        self.table = np.full((levels, blocks), 255, np.uint8)
+        self.table[0] = self.ahead[-1]
+        for k in range(1, levels):
+            step = 1 << (k - 1)
+            np.minimum(self.table[k - 1, : blocks - 2 * step + 1], self.table[k - 1, step : blocks - step + 1], out=self.table[k, : blocks - 2 * step + 1])
 
     def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         width, last = self.WIDTH, right - 1
@@ -257,27 +263,36 @@ class RangeMin:
         inner = rb - lb - 1
         some = np.flatnonzero(inner > 0)
         if len(some):
-            level = np.frexp(inner[some].astype(float))[1] - 1
-            for k in np.flatnonzero(np.bincount(level)):
-                at = some[level == k]
-                out[at] = np.minimum(out[at], np.minimum(self.table[k][lb[at] + 1], self.table[k][rb[at] - (1 << int(k))]))
+            n = inner[some]
+            k = self.log[n] if n.max() < len(self.log) else np.frexp(n.astype(float))[1] - 1
+            at, end = lb[some] + 1, rb[some]
+            out[some] = np.minimum(out[some], np.minimum(self.table[k, at], self.table[k, end - (1 << k)]))
         close = np.flatnonzero(inner < 0)
         if len(close):
             at, end = left[close], last[close]
             least = self.wide[at].copy()
-            for step in range(1, width):
+            for step in range(1, int((end - at).max()) + 1):
                 np.minimum(least, self.wide[np.minimum(at + step, end)], out=least)
             out[close] = least
         return out
 
+    log = np.frexp(np.arange(1 << 14).astype(float))[1].astype(np.int64) - 1
+
+
+def stable_order(values: np.ndarray) -> np.ndarray:
+    """Stable order of 32-bit numbers, by counting their halves."""
+    order = np.argsort(values.astype(np.uint16), kind="stable")
+    high = (values >> np.uint32(16)).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
 
 class Scan:
     """What a round keeps while it reads the last transform from front to back: for each symbol how often it came, the
     least prefix length since it last came, and which of the round's insertions came with it last."""
 
-    def __init__(self, active: np.ndarray, most: int):
+    def __init__(self, active: np.ndarray, kinds: int, most: int):
         self.active, self.most = active, most
-        self.seen, self.carry, self.last = np.zeros(1 << 16, np.int64), np.full(1 << 16, 255, np.uint8), np.full(1 << 16, -1, np.int64)
+        self.seen, self.carry, self.last = np.zeros(kinds, np.int64), np.full(kinds, 255, np.uint8), np.full(kinds, -1, np.int64)
         self.symbol, self.before = np.zeros(len(active), np.int64), np.zeros(len(active), np.int64)
         #: prefix shared with the neighbour before and after, for each active place
         self.up, self.down = np.zeros(len(active), np.uint8), np.zeros(len(active), np.uint8)
@@ -286,7 +301,7 @@ class Scan:
     def block(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
         n, at = len(bwt), self.at
         self.at += n
-        order = np.argsort(bwt, kind="stable")
+        order = stable_order(bwt)
         ordered = bwt[order]
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         kinds = ordered[edge].astype(np.int64)
@@ -331,22 +346,22 @@ def collection_order(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarra
     it, or 0 where the document begins. The symbol that round j adds stands at the place of the suffix of length
     j - 1, and by the count of that symbol up to that place the suffix of length j finds its own."""
     n = len(lengths)
-    last = Files(folder)
-    bwt = symbols[starts + lengths - 1].astype(np.uint16) + np.uint16(1)
+    last, kinds = Files(folder), int(symbols.max()) + 2 if n else 1
+    bwt = symbols[starts + lengths - 1].astype(np.uint32) + np.uint32(1)
     # round 0: the empty suffixes, in the documents' order
     last.write(bwt, np.zeros(n, np.uint8), np.zeros(n, np.uint32))
-    totals = np.bincount(bwt, minlength=1 << 16)
+    totals = np.bincount(bwt, minlength=kinds)
     active, own = np.arange(n), np.arange(n)
     for j in range(1, int(lengths.max()) + 1 if n else 1):
-        scan = Scan(active, most)
-        for b, p, _ in last.read():
+        scan = Scan(active, kinds, most)
+        for b, p in last.read(2):
             scan.block(b, p)
         smaller = np.cumsum(totals) - totals - totals[0]  # symbols before each, without the 0
         fresh = n + smaller[scan.symbol] + scan.before
         order = np.argsort(fresh)
         fresh, own, up, down = fresh[order], own[order], scan.up[order], scan.down[order]
         rest = lengths[own] - j
-        prior = np.where(rest > 0, symbols[np.maximum(starts[own] + rest - 1, 0)].astype(np.uint16) + np.uint16(1), np.uint16(0)).astype(np.uint16)
+        prior = np.where(rest > 0, symbols[np.maximum(starts[own] + rest - 1, 0)].astype(np.uint32) + np.uint32(1), np.uint32(0)).astype(np.uint32)
         origin = (starts[own] + rest).astype(np.uint32)
         gap = fresh - np.arange(len(fresh))  # the old entry before which it comes
         following, at = Files(folder), 0
@@ -368,7 +383,7 @@ def collection_order(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarra
         following.write(prior[lo:], up[lo:], origin[lo:])
         last.close()
         last = following
-        totals += np.bincount(prior, minlength=1 << 16)
+        totals += np.bincount(prior, minlength=kinds)
         active, own = fresh[prior > 0], own[prior > 0]
     parts = [(o, p) for _, p, o in last.read()]
     last.close()
@@ -379,18 +394,22 @@ def least_owners(strings: list[bytes], owner: np.ndarray, folder: str | None) ->
     """For each string, the smallest owner of each of its windows, from the groups of the collection's transform."""
     size = np.array(list(map(len, strings)), np.int64)
     begin = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(strings) + b"\0", np.uint8).astype(np.uint16)
-    pairs = (data[:-1] << 8) | data[1:]  # no byte of UTF-8 is 255, so one more still fits
-    # documents: the even and the odd reading of each string
-    length = np.stack([size // 2, (size - 1) // 2], axis=1).ravel()
+    data = np.frombuffer(b"".join(strings) + bytes(WIDE - 1), np.uint8).astype(U64)
+    n = len(data) - WIDE + 1
+    wide = np.zeros(n, U64)
+    for i in range(WIDE):
+        wide = (wide << U64(8)) | data[i : i + n]
+    numbers = np.unique(wide, return_inverse=True)[1].astype(np.uint32)
+    # documents: the readings of each string from its first bytes on
+    length = ((size[:, None] - np.arange(WIDE)) // WIDE).ravel()
     start = np.cumsum(length) - length
     doc = np.repeat(np.arange(len(length)), length)
-    offset = 2 * (np.arange(len(doc)) - start[doc]) + doc % 2
-    origin, lcp = collection_order(pairs[begin[doc // 2] + offset], start, length, folder=folder)
+    offset = WIDE * (np.arange(len(doc)) - start[doc]) + doc % WIDE
+    origin, lcp = collection_order(numbers[begin[doc // WIDE] + offset], start, length, folder=folder)
     out = np.repeat(owner[:, None], SPAN, axis=1)
     if len(origin):
         group = np.cumsum(lcp < SYMBOLS)
-        string, place = doc[origin] // 2, offset[origin]
+        string, place = doc[origin] // WIDE, offset[origin]
         window = np.flatnonzero(place + LENGTH <= size[string])
         group, string, place = group[window], string[window], place[window]
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -404,16 +423,22 @@ def _earlier(root: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         folder = mounted(root)
         seen: dict[bytes, int] = {}
-        sent, numbers = [], []
+        sent, numbers, keys = [], [], []
         for data in pdf["runs"]:
-            size, occurs, least, _, begin, later, text = unpack_arrays(data, SENT)
+            size, occurs, least, key, begin, later, text = unpack_arrays(data, SENT)
             raw, ends = text.tobytes(), np.cumsum(size.astype(np.int64))
             numbers.append(np.array([seen.setdefault(raw[j - n : j], len(seen)) for n, j in zip(size.tolist(), ends.tolist())], np.int64))
             sent.append((size, occurs, least, begin, later))
+            keys.append(key)
         owner = np.full(len(seen), np.iinfo(np.int64).max)
         for number, (_, _, least, _, _) in zip(numbers, sent):
             np.minimum.at(owner, number, least)
-        windows = least_owners(list(seen), owner, folder)
+        # a string without another of its minimizer has no window in common with any but itself: its members decide
+        first = np.unique(np.concatenate(numbers), return_index=True)[1]
+        kind, many = np.unique(np.concatenate(keys)[first], return_inverse=True, return_counts=True)[1:]
+        windows = np.repeat(owner[:, None], SPAN, axis=1)
+        strings, some = list(seen), np.flatnonzero(many[kind] > 1)
+        windows[some] = least_owners([strings[i] for i in some.tolist()], owner[some], folder)
         bits = U64(1) << np.arange(SPAN, dtype=U64)
         rows = []
         for batch, number, (size, occurs, least, begin, later) in zip(pdf["batch"], numbers, sent):

@@ -173,11 +173,11 @@ def test_collection_order(monkeypatch, tmp_path):
     monkeypatch.setattr(suffixes, "BLOCK", 7)
     rng = random.Random(2)
     for trial in range(60):
-        docs = [[rng.choice((0, 1) if trial % 2 else (0, 7, 300, 65000)) for _ in range(rng.randint(1, 40))] for _ in range(rng.randint(1, 9))]
+        docs = [[rng.choice((0, 1) if trial % 2 else (0, 7, 300, 65535, 65536, 200000)) for _ in range(rng.randint(1, 40))] for _ in range(rng.randint(1, 9))]
         docs += docs[: trial % 3]
         size = np.array([len(s) for s in docs])
         start = np.cumsum(size) - size
-        origin, shared = suffixes.collection_order(np.array([x for d in docs for x in d], np.uint16), start, size, 5 if trial % 5 else 60, str(tmp_path) if trial % 2 else None)
+        origin, shared = suffixes.collection_order(np.array([x for d in docs for x in d], np.uint32), start, size, 5 if trial % 5 else 60, str(tmp_path) if trial % 2 else None)
         at = [int(np.searchsorted(start, o, side="right")) - 1 for o in origin]
         got = [docs[i][o - start[i] :] for i, o in zip(at, origin.tolist())]
         assert len(set(origin.tolist())) == len(got) and got == sorted(d[i:] for d in docs for i in range(len(d)))
