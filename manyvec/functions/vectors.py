@@ -15,6 +15,11 @@ def zero() -> Column:
     return F.lit(0.0)
 
 
+def let(value: Column, make) -> Column:
+    """``make`` of a value that is computed once, also where it stands within a lambda."""
+    return F.transform(F.array(value), make)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), zero(), lambda s, x: s + x)
 
@@ -25,7 +30,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column, eps: float = EPS) -> Column:
     """Unit length; vectors shorter than ``eps`` are divided by ``eps``, so zero stays zero."""
-    return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(eps)))
+    return let(F.greatest(norm(v), F.lit(eps)), lambda n: F.transform(v, lambda x: x / n))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -97,8 +102,7 @@ def repad(toks: Column, to: Column, dim: Column, side: str = "right") -> Column:
 
 
 def log_sum_exp(xs: Column) -> Column:
-    top = F.array_max(xs)
-    return top + F.log(F.aggregate(xs, zero(), lambda s, x: s + F.exp(x - top)))
+    return let(xs, lambda held: let(F.array_max(held), lambda top: top + F.log(F.aggregate(held, zero(), lambda s, x: s + F.exp(x - top)))))
 
 
 def softplus(z: Column) -> Column:

@@ -78,21 +78,20 @@ def training_set(mined: DataFrame, num_negatives: int = 3) -> DataFrame:
 
 def whole_batches(rows: DataFrame, dataset: str, key: str, size: int) -> DataFrame:
     """Each dataset cut to a multiple of ``size`` rows, in the order of ``key``."""
-    by = W.partitionBy(dataset)
-    held = rows.withColumns({"__r": F.row_number().over(by.orderBy(key)), "__n": F.count("*").over(by)})
+    held = numbered(rows, key, "__r", by=(dataset,)).join(rows.groupBy(dataset).agg(F.count("*").alias("__n")), dataset)
     return held.where(F.col("__r") <= F.floor(F.col("__n") / size) * size).drop("__r", "__n")
 
 
 def single_dataset_batches(rows: DataFrame, dataset: str, key: str, size: int, seed: int = 42, epoch: int = 0) -> DataFrame:
     """Adds ``batch``: full batches of one dataset each, rows and batches in an order that the seed and epoch decide."""
     now = seed + epoch
-    by = W.partitionBy(dataset)
-    held = rows.withColumns({"__r": F.row_number().over(by.orderBy(stable_hash(F.col(key), now), key)), "__n": F.count("*").over(by)})
+    held = rows.withColumns({"__h": _hash_number(key, now), "__s": stable_hash(F.col(key), now)})
+    held = numbered(held, "__h", "__r", "__s", key, by=(dataset,)).join(rows.groupBy(dataset).agg(F.count("*").alias("__n")), dataset)
     held = held.withColumn("__own", F.floor((F.col("__r") - 1) / size)).where(F.col("__own") < F.floor(F.col("__n") / size))
     tag = F.concat_ws("/", dataset, F.col("__own").cast("string"))
     held = held.withColumn("__tag", tag)
     tags = numbered(held.select("__tag").distinct().withColumn("__h", _hash_number("__tag", now)), "__h", "__b", "__tag")
-    return held.join(tags.select("__tag", (F.col("__b") - 1).alias("batch")), "__tag").drop("__r", "__n", "__own", "__tag")
+    return held.join(tags.select("__tag", (F.col("__b") - 1).alias("batch")), "__tag").drop("__r", "__n", "__h", "__s", "__own", "__tag")
 
 
 def sampled_list(items: Column, key: Column, n: int = 3, seed: int = 42) -> Column:

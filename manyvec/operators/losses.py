@@ -1,7 +1,8 @@
 """Contrastive and distillation losses as aggregates over a long score table (qid, pid, score).
 
-``offset`` says that query i belongs to document i + offset. Every loss is one or two grouped aggregates by qid;
-sums of exponentials are taken against the group's maximum. All return one row with ``loss``."""
+``offset`` says that query i belongs to document i + offset. Sums of exponentials are taken against a maximum: first
+within ``PARTS`` parts of each group, which are dealt by hash so that few queries still fill many tasks, then over the
+parts' rows. All return one row with ``loss``."""
 
 from __future__ import annotations
 
@@ -12,6 +13,26 @@ from pyspark.sql import functions as F
 from manyvec.functions import vectors as V
 
 
+#: Parts that a group's rows are dealt into.
+PARTS = 64
+
+
+def _parted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("__part", F.pmod(F.xxhash64("qid", "pid"), F.lit(PARTS)))
+
+
+def _whole(parts: DataFrame, group: str, tops: dict[str, tuple[str, ...]], *plain: str) -> DataFrame:
+    """One row a group from those of its parts: each maximum, the sums that are relative to it, and plain sums."""
+    names = [n for top, sums in tops.items() for n in (top, *sums)]
+    rows = parts.groupBy(group).agg(F.collect_list(F.struct(*names)).alias("__p"), *[F.max(t).alias(t) for t in tops], *[F.sum(n).alias(n) for n in plain])
+
+    def over_all(top: str, name: str) -> Column:
+        part = lambda p: F.coalesce(p[name] * F.exp(p[top] - F.col(top)), V.zero())
+        return F.aggregate("__p", V.zero(), lambda s, p: s + part(p)).alias(name)
+
+    return rows.select(group, *tops, *plain, *[over_all(top, n) for top, sums in tops.items() for n in sums])
+
+
 def _positive(offset: int) -> Column:
     return F.col("pid") == F.col("qid") + offset
 
@@ -25,16 +46,17 @@ def _check(temperature: float, weight: float = 0.5) -> None:
 
 def down_weight_negatives(scores: DataFrame, offset: int = 0, threshold: float = 0.95, factor: float = 0.5) -> DataFrame:
     """Off-positive scores above ``threshold`` times the positive one are multiplied by ``factor``."""
-    own = F.max(F.when(_positive(offset), F.col("score"))).over(W.partitionBy("qid"))
+    own = scores.where(_positive(offset)).groupBy("qid").agg(F.max("score").alias("__pos"))
     high = ~_positive(offset) & (F.col("score") > threshold * F.col("__pos"))
-    return scores.withColumn("__pos", own).withColumn("score", F.when(high, F.col("score") * factor).otherwise(F.col("score"))).drop("__pos")
+    return scores.join(own, "qid", "left").withColumn("score", F.when(high, F.col("score") * factor).otherwise(F.col("score"))).drop("__pos")
 
 
 def _cross_entropy(rows: DataFrame, group: str, positive: Column) -> DataFrame:
     """Mean of log-sum-exp minus the positive, over groups of ``x``."""
-    top = rows.withColumn("__top", F.max("x").over(W.partitionBy(group)))
-    each = top.groupBy(group).agg((F.first("__top") + F.log(F.sum(F.exp(F.col("x") - F.col("__top")))) - F.sum(F.when(positive, F.col("x")))).alias("l"))
-    return each.agg(F.avg("l").alias("loss"))
+    top = _parted(rows).withColumn("__top", F.max("x").over(W.partitionBy(group, "__part")))
+    parts = top.groupBy(group, "__part").agg(F.max("__top").alias("m"), F.sum(F.exp(F.col("x") - F.col("__top"))).alias("z"), F.sum(F.when(positive, F.col("x"))).alias("own"))
+    each = _whole(parts, group, {"m": ("z",)}, "own")
+    return each.agg(F.avg(F.col("m") + F.log("z") - F.col("own")).alias("loss"))
 
 
 def in_batch(scores: DataFrame, temperature: float = 0.02, offset: int = 0, filtered: bool = False) -> DataFrame:
@@ -48,7 +70,7 @@ def symmetric(scores: DataFrame, temperature: float = 0.02, offset: int = 0) ->
     """Mean of both directions; the documents' direction covers those that have a query."""
     _check(temperature)
     rows = scores.withColumn("x", F.col("score") / temperature)
-    owned = rows.join(F.broadcast(rows.select((F.col("qid") + offset).alias("pid")).distinct()), "pid", "left_semi")
+    owned = rows.join(rows.select((F.col("qid") + offset).alias("pid")).distinct(), "pid", "left_semi")
     a, b = _cross_entropy(rows, "qid", _positive(offset)), _cross_entropy(owned, "pid", _positive(offset))
     return a.union(b).agg(F.avg("loss").alias("loss"))
 
@@ -76,11 +98,12 @@ def pairwise(scores: DataFrame, temperature: float = 1.0, offset: int = 0) -> Da
     """Softplus of the hardest in-batch document over the positive; where the highest score equals the positive's,
     the second highest takes its place."""
     _check(temperature)
-    by = W.partitionBy("qid").orderBy(F.col("score").desc(), "pid")
-    rows = scores.withColumn("__r", F.row_number().over(by))
-    each = rows.groupBy("qid").agg(
-        F.max(F.when(_positive(offset), F.col("score"))).alias("pos"), F.max(F.when(F.col("__r") == 1, F.col("score"))).alias("one"), F.max(F.when(F.col("__r") == 2, F.col("score"))).alias("two")
-    )
+    by = W.partitionBy("qid", "__part").orderBy(F.col("score").desc(), "pid")
+    rows = _parted(scores).withColumn("__r", F.row_number().over(by)).where((F.col("__r") <= 2) | _positive(offset))
+    # the two highest of each part hold those of the whole
+    top = F.slice(F.sort_array(F.collect_list(F.when(F.col("__r") <= 2, F.col("score"))), asc=False), 1, 2)
+    each = rows.groupBy("qid").agg(F.max(F.when(_positive(offset), F.col("score"))).alias("pos"), top.alias("top"))
+    each = each.select("pos", F.get("top", F.lit(0)).alias("one"), F.get("top", F.lit(1)).alias("two"))
     hardest = F.when(F.col("one") == F.col("pos"), F.col("two")).otherwise(F.col("one"))
     return each.agg(F.avg(V.softplus((hardest - F.col("pos")) / temperature)).alias("loss"))
 
@@ -113,23 +136,29 @@ def block_sigmoid(scores: DataFrame, temperature: float = 0.02, offset: int = 0)
 def distillation(student: DataFrame, teacher: DataFrame, temperature: float = 0.07) -> DataFrame:
     """KL(teacher || student) of the softmaxes over documents, summed over pairs and averaged over queries, times T squared."""
     _check(temperature)
-    by = W.partitionBy("qid")
+    by = W.partitionBy("qid", "__part")
     rows = student.select("qid", "pid", (F.col("score") / temperature).alias("s")).join(teacher.select("qid", "pid", (F.col("score") / temperature).alias("t")), ["qid", "pid"], "full")
-    rows = rows.withColumns({"ms": F.max("s").over(by), "mt": F.max("t").over(by)})
-    rows = rows.withColumns({"zs": F.col("ms") + F.log(F.sum(F.exp(F.col("s") - F.col("ms"))).over(by)), "zt": F.col("mt") + F.log(F.sum(F.exp(F.col("t") - F.col("mt"))).over(by))})
-    log_s, log_t = F.col("s") - F.col("zs"), F.col("t") - F.col("zt")
-    shapes = F.count_if(F.col("s").isNull() | F.col("t").isNull())
-    total = F.sum(F.exp(log_t) * (log_t - log_s)) / F.countDistinct("qid") * temperature**2
-    return rows.agg(F.when(shapes == 0, total).otherwise(F.raise_error(F.lit("score shapes must match"))).alias("loss"))
+    rows = _parted(rows).withColumns({"ms": F.max("s").over(by), "mt": F.max("t").over(by)})
+    weight = F.exp(F.col("t") - F.col("mt"))
+    parts = rows.groupBy("qid", "__part").agg(
+        F.max("ms").alias("ms"), F.max("mt").alias("mt"), F.sum(F.exp(F.col("s") - F.col("ms"))).alias("zs"), F.sum(weight).alias("zt"),
+        F.sum(weight * (F.col("t") - F.col("s"))).alias("gap"), F.count_if(F.col("s").isNull() | F.col("t").isNull()).alias("odd"),
+    )
+    each = _whole(parts, "qid", {"ms": ("zs",), "mt": ("zt", "gap")}, "odd")
+    shapes = F.sum("odd")
+    # the sum of p (log p - log q), with both normalisations taken out of it
+    total = F.avg(F.col("gap") / F.col("zt") - F.col("mt") - F.log("zt") + F.col("ms") + F.log("zs")) * temperature**2
+    return each.agg(F.when(shapes == 0, total).otherwise(F.raise_error(F.lit("score shapes must match"))).alias("loss"))
 
 
 def multi_positive(scores: DataFrame, qrels: DataFrame) -> DataFrame:
     """Mean over queries with a ranked positive of log-sum-exp of all scores minus that of the positives; 0 without any."""
     marks = qrels.select("qid", "pid").distinct().withColumn("rel", F.lit(True))
-    rows = scores.join(marks, ["qid", "pid"], "left").withColumn("__top", F.max("score").over(W.partitionBy("qid")))
+    rows = _parted(scores.join(marks, ["qid", "pid"], "left")).withColumn("__top", F.max("score").over(W.partitionBy("qid", "__part")))
     e = F.exp(F.col("score") - F.col("__top"))
-    each = rows.groupBy("qid").agg(F.sum(e).alias("every"), F.sum(F.when(F.col("rel"), e)).alias("own"))
-    return each.agg(F.coalesce(F.avg(F.log(F.col("every") / F.col("own"))), F.lit(0.0)).alias("loss"))
+    parts = rows.groupBy("qid", "__part").agg(F.max("__top").alias("m"), F.sum(e).alias("every"), F.sum(F.when(F.col("rel"), e)).alias("own"), F.count("rel").alias("n"))
+    each = _whole(parts, "qid", {"m": ("every", "own")}, "n")
+    return each.agg(F.coalesce(F.avg(F.when(F.col("n") > 0, F.log(F.col("every") / F.col("own")))), F.lit(0.0)).alias("loss"))
 
 
 def identity(original: DataFrame, adapted: DataFrame) -> DataFrame:

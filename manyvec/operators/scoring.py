@@ -64,13 +64,16 @@ def token_score(sims: Column, reduction: str, top_k: int = 3, temperature: float
     if reduction == "max":
         return F.array_max(sims)
     if reduction == "topk_mean":
-        top = F.slice(F.sort_array(sims, asc=False), 1, top_k)
-        return F.aggregate(top, V.zero(), lambda s, x: s + x) / F.size(top)
+        return V.let(F.slice(F.sort_array(sims, asc=False), 1, top_k), lambda top: F.aggregate(top, V.zero(), lambda s, x: s + x) / F.size(top))
     if reduction == "lse":
         return V.log_sum_exp(F.transform(sims, lambda x: x / temperature)) * temperature
-    peak = F.array_max(sims)
-    weight = lambda x: F.exp((x - peak) / temperature)
-    return F.aggregate(sims, V.zero(), lambda s, x: s + weight(x) * x) / F.aggregate(sims, V.zero(), lambda s, x: s + weight(x))
+
+    def weighted(held: Column, peak: Column) -> Column:
+        weight = lambda x: F.exp((x - peak) / temperature)
+        return F.aggregate(held, V.zero(), lambda s, x: s + weight(x) * x) / F.aggregate(held, V.zero(), lambda s, x: s + weight(x))
+
+    # the similarities and their maximum once a query token, not once for each use
+    return V.let(sims, lambda held: V.let(F.array_max(held), lambda peak: weighted(held, peak)))
 
 
 def similarities(query: Column, toks: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from manyvec.functions.texts import components, stable_hash
+from manyvec.operators.prefix import numbered
 
 COMPONENTS = ("PD", "MB", "GN", "JC", "LR", "CS")
 
@@ -128,7 +129,8 @@ def query_groups(queries: DataFrame, seed: int = 13) -> DataFrame:
     rows = queries.withColumn("group_key", F.col("raw_answers").cast("string"))
     groups = rows.groupBy("group_key").agg(F.sort_array(F.collect_list("query_id")).alias("query_ids"))
     groups = groups.withColumn("group_hash", stable_hash(F.col("group_key"), seed))
-    return groups.withColumn("place", F.row_number().over(W.orderBy("group_hash", "group_key")))
+    lead = F.conv(F.substring("group_hash", 1, 13), 16, 10).cast("double")
+    return numbered(groups.withColumn("__h", lead), "__h", "place", "group_hash", "group_key").withColumn("place", F.col("place").cast("int")).drop("__h")
 
 
 def split_groups(groups: DataFrame) -> DataFrame:

@@ -34,25 +34,35 @@ def vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
 
 
+#: Every vector has a part: of 41 in a row the first eight are two queries of four tokens, the others six documents
+#: of 3, 4, 5, 6, 7 and 8 tokens. So queries and documents grow with the table. In SQL, with // for whole division.
+IS_QUERY = "vec_id % 41 < 8"
+QID, Q_TOK = "vec_id // 41 * 2 + vec_id % 41 // 4", "vec_id % 41 % 4"
+NTH = "CASE WHEN vec_id % 41 < 11 THEN 0 WHEN vec_id % 41 < 15 THEN 1 WHEN vec_id % 41 < 20 THEN 2 WHEN vec_id % 41 < 26 THEN 3 WHEN vec_id % 41 < 33 THEN 4 ELSE 5 END"
+PID, D_TOK = f"vec_id // 41 * 6 + ({NTH})", f"vec_id % 41 - 8 - 3 * ({NTH}) - (({NTH}) * (({NTH}) - 1)) // 2"
+
+
+def of(sql: str, name: str) -> str:
+    return sql.replace("//", "div") + f" AS {name}"
+
+
 def q_tokens(spark, sf_dir) -> DataFrame:
-    """The first 40 vectors as 10 queries of 4 tokens: the fixture's definition, not a sample of a larger query."""
-    return vectors(spark, sf_dir).where("vec_id < 40").selectExpr("vec_id div 4 AS qid", "vec_id % 4 AS tok", "v", "label")
+    """The queries' vectors, four tokens each."""
+    return vectors(spark, sf_dir).where(IS_QUERY).selectExpr(of(QID, "qid"), of(Q_TOK, "tok"), "v", "label")
 
 
 def d_tokens(spark, sf_dir) -> DataFrame:
     """All other vectors as ragged documents of 3 to 8 tokens."""
-    rows = vectors(spark, sf_dir).where("vec_id >= 40").selectExpr("vec_id div 8 - 5 AS pid", "vec_id % 8 AS tok", "v", "label")
-    return rows.where("tok < 3 + pid % 6")
+    return vectors(spark, sf_dir).where(f"NOT {IS_QUERY}").selectExpr(of(PID, "pid"), of(D_TOK, "tok"), "v", "label")
 
 
 def degraded_tokens(spark, sf_dir) -> DataFrame:
     """Each document token mixed with half the next vector, at unit length."""
     every = vectors(spark, sf_dir)
     following = every.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("next"))
-    rows = every.where("vec_id >= 40").join(following, "vec_id", "left")
+    rows = every.where(f"NOT {IS_QUERY}").join(following, "vec_id", "left")
     mixed = F.when(F.col("next").isNull(), F.col("v")).otherwise(V.add(F.col("v"), V.scale(F.col("next"), 0.5)))
-    rows = rows.select(F.expr("vec_id div 8 - 5").alias("pid"), F.expr("vec_id % 8").alias("tok"), V.l2_normalize(mixed).alias("v"), "label")
-    return rows.where("tok < 3 + pid % 6")
+    return rows.select(F.expr(of(PID, "pid")), F.expr(of(D_TOK, "tok")), V.l2_normalize(mixed).alias("v"), "label")
 
 
 def bags(tokens: DataFrame, key: str) -> DataFrame:
@@ -66,7 +76,7 @@ def queries_and_docs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def qrels(spark, sf_dir) -> DataFrame:
     q = q_tokens(spark, sf_dir).where("tok = 0").select("qid", "label")
     d = d_tokens(spark, sf_dir).where("tok = 0").select("pid", "label")
-    return d.join(F.broadcast(q), "label").select("qid", "pid")  # ten queries
+    return d.join(q, "label").select("qid", "pid")
 
 
 def negatives(spark, sf_dir) -> DataFrame:
@@ -76,12 +86,12 @@ def negatives(spark, sf_dir) -> DataFrame:
     return q.select("qid", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("j"), "n").selectExpr("qid", "(qid * 7 + j) % n AS pid", "cast(j - 1 as bigint) AS neg")
 
 
-BASE = """
+BASE = f"""
 e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
-qt AS (SELECT vec_id // 4 AS qid, vec_id % 4 AS tok, v, label FROM e WHERE vec_id < 40),
-dt AS (SELECT * FROM (SELECT vec_id // 8 - 5 AS pid, vec_id % 8 AS tok, v, label FROM e WHERE vec_id >= 40) WHERE tok < 3 + pid % 6),
-mixed AS (SELECT a.vec_id, a.label, CASE WHEN b.v IS NULL THEN a.v ELSE list_transform(a.v, lambda x, i: x + 0.5::DOUBLE * b.v[i]) END AS m FROM e a LEFT JOIN e b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id >= 40),
-gt AS (SELECT * FROM (SELECT vec_id // 8 - 5 AS pid, vec_id % 8 AS tok, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS v, label FROM mixed) WHERE tok < 3 + pid % 6),
+qt AS (SELECT {QID} AS qid, {Q_TOK} AS tok, v, label FROM e WHERE {IS_QUERY}),
+dt AS (SELECT {PID} AS pid, {D_TOK} AS tok, v, label FROM e WHERE NOT {IS_QUERY}),
+mixed AS (SELECT a.vec_id, a.label, CASE WHEN b.v IS NULL THEN a.v ELSE list_transform(a.v, lambda x, i: x + 0.5::DOUBLE * b.v[i]) END AS m FROM e a LEFT JOIN e b ON b.vec_id = a.vec_id + 1),
+gt AS (SELECT {PID} AS pid, {D_TOK} AS tok, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS v, label FROM mixed WHERE NOT {IS_QUERY}),
 qrels AS (SELECT qid, pid FROM qt JOIN dt ON qt.label = dt.label WHERE qt.tok = 0 AND dt.tok = 0),
 sims AS (SELECT qid, qt.tok AS qtok, pid, dt.tok AS dtok, list_dot_product(qt.v, dt.v) AS s FROM qt, dt),
 gsims AS (SELECT qid, qt.tok AS qtok, pid, gt.tok AS dtok, list_dot_product(qt.v, gt.v) AS s FROM qt, gt),

@@ -14,16 +14,16 @@ from manyvec.operators import search as P
 from manyvec.plans.algebra import six
 from manyvec.plans.fixtures import bags, d_tokens, degraded_tokens, metrics_sql, qrels, queries_and_docs, query, sql, table, vectors
 
-MAPS = """pg AS (SELECT (vec_id - 40) // 6 AS page, (vec_id - 40) % 6 AS tok, v FROM e WHERE vec_id >= 40), fullp AS (SELECT page FROM pg GROUP BY page HAVING count(*) = 6),
-m AS (SELECT page, q.vec_id AS q_tok, tok % 3 AS x, tok // 3 AS y, list_dot_product(q.v, pg.v) AS sim FROM pg JOIN fullp USING (page), e q WHERE q.vec_id < 4)"""
+MAPS = """pg AS (SELECT vec_id // 6 AS page, vec_id % 6 AS tok, v FROM e), fullp AS (SELECT page FROM pg GROUP BY page HAVING count(*) = 6),
+m AS (SELECT page, q.vec_id AS q_tok, tok % 3 AS x, tok // 3 AS y, list_dot_product(q.v, pg.v) AS sim FROM pg JOIN fullp USING (page), e q WHERE q.vec_id % 41 < 8)"""
 
 
 def page_maps(spark, sf_dir, tile_side=None):
-    """Pages of six tokens on a 3 x 2 grid; four query tokens for each."""
+    """All vectors as pages of six tokens, a 3 x 2 grid (fewer make no grid), with the tokens of all queries."""
     every = vectors(spark, sf_dir)
-    pages = bags(every.where("vec_id >= 40").selectExpr("(vec_id - 40) div 6 AS page", "(vec_id - 40) % 6 AS tok", "v"), "page").where(F.size("toks") == 6)
-    q = every.where("vec_id < 4").select(F.col("vec_id").alias("q_tok"), F.col("v").alias("q"))
-    return maps.similarity_maps(pages.select("page").crossJoin(F.broadcast(q)), pages, 3, 2, tile_side)  # four query tokens
+    pages = bags(every.selectExpr("vec_id div 6 AS page", "vec_id % 6 AS tok", "v"), "page").where(F.size("toks") == 6)
+    q = every.where("vec_id % 41 < 8").select(F.col("vec_id").alias("q_tok"), F.col("v").alias("q"))
+    return maps.similarity_maps(S.pairs(q, pages.select("page")), pages, 3, 2, tile_side)
 
 
 @query(sql("SELECT page, q_tok, x, y, round(sim, 6) AS sim FROM m", MAPS))
@@ -31,16 +31,16 @@ def similarity_maps(spark, sf_dir):
     return page_maps(spark, sf_dir).select("page", "q_tok", "x", "y", F.round("sim", 6).alias("sim"))
 
 
-TILED = """t AS (SELECT (vec_id - 40) // 16 AS page, (vec_id - 40) % 16 AS tok, v FROM e WHERE vec_id >= 40), ft AS (SELECT page FROM t GROUP BY page HAVING count(*) = 16)"""
+TILED = """t AS (SELECT vec_id // 16 AS page, vec_id % 16 AS tok, v FROM e), ft AS (SELECT page FROM t GROUP BY page HAVING count(*) = 16)"""
 
 
-@query(sql("SELECT page, q.vec_id AS q_tok, ((tok // 4) % 2) * 2 + (tok % 4) % 2 AS x, ((tok // 4) // 2) * 2 + (tok % 4) // 2 AS y, round(list_dot_product(q.v, t.v), 6) AS sim FROM t JOIN ft USING (page), e q WHERE q.vec_id < 2", TILED))
+@query(sql("SELECT page, q.vec_id AS q_tok, ((tok // 4) % 2) * 2 + (tok % 4) % 2 AS x, ((tok // 4) // 2) * 2 + (tok % 4) // 2 AS y, round(list_dot_product(q.v, t.v), 6) AS sim FROM t JOIN ft USING (page), e q WHERE q.vec_id % 41 < 8", TILED))
 def tiled_similarity_maps(spark, sf_dir):
     """Pages of 16 tokens: four tiles of 2 x 2."""
     every = vectors(spark, sf_dir)
-    pages = bags(every.where("vec_id >= 40").selectExpr("(vec_id - 40) div 16 AS page", "(vec_id - 40) % 16 AS tok", "v"), "page").where(F.size("toks") == 16)
-    q = every.where("vec_id < 2").select(F.col("vec_id").alias("q_tok"), F.col("v").alias("q"))
-    return maps.similarity_maps(pages.select("page").crossJoin(F.broadcast(q)), pages, 4, 4, 2).select("page", "q_tok", "x", "y", F.round("sim", 6).alias("sim"))  # two query tokens
+    pages = bags(every.selectExpr("vec_id div 16 AS page", "vec_id % 16 AS tok", "v"), "page").where(F.size("toks") == 16)
+    q = every.where("vec_id % 41 < 8").select(F.col("vec_id").alias("q_tok"), F.col("v").alias("q"))
+    return maps.similarity_maps(S.pairs(q, pages.select("page")), pages, 4, 4, 2).select("page", "q_tok", "x", "y", F.round("sim", 6).alias("sim"))
 
 
 SCALED = "n AS (SELECT *, (sim - min(sim) OVER (PARTITION BY page, q_tok)) / (max(sim) OVER (PARTITION BY page, q_tok) - min(sim) OVER (PARTITION BY page, q_tok) + 1e-10) AS s, (sim - min(sim) OVER (PARTITION BY page)) / (max(sim) OVER (PARTITION BY page) - min(sim) OVER (PARTITION BY page) + 1e-10) AS g FROM m)"
@@ -157,13 +157,13 @@ def adapted_tokens_at_start(spark, sf_dir):
 
 
 def adapter_examples(spark, sf_dir):
-    """One training batch: ten queries, the clean pages as teachers of the degraded ones. A batch is one driver's."""
+    """One training batch: all queries, the clean pages as teachers of the degraded ones. A batch is one driver's."""
     q, d = queries_and_docs(spark, sf_dir)
     bad = bags(degraded_tokens(spark, sf_dir), "pid")
     scores = S.score_multi_vector(q, d).toPandas().pivot(index="qid", columns="pid", values="score").to_numpy()
     rel = qrels(spark, sf_dir).toPandas().groupby("qid")["pid"].agg(set)
     bag = lambda frame, key: [np.array([list(v) for v in t], float) for t in frame.orderBy(key).toPandas()["toks"]]
-    return A.Example(bag(q, "qid"), bag(bad, "pid"), scores, [rel.get(i, set()) for i in range(10)])
+    return A.Example(bag(q, "qid"), bag(bad, "pid"), scores, [rel.get(i, set()) for i in range(len(scores))])
 
 
 @query()
@@ -186,7 +186,7 @@ def swarm_search(spark, sf_dir):
         scored = rows.select("particle", "qid", "pid", S.late_interaction(F.col("q"), F.col("d"), "smoothmax", temperature=F.col("params")[0]).alias("score"))
         return M.per_query(scored, rel, by=("particle",)).groupBy("particle").agg(F.avg("ndcg").alias("score"))
 
-    best, score = P.Swarm([(0.01, 1.0)], particles=4, iters=2).optimize_frame(spark, objective)
+    best, score = P.Swarm([(0.01, 1.0)], particles=10, iters=20).optimize_frame(spark, objective)
     base.unpersist()
     return spark.createDataFrame([(float(best[0]), score)], "temperature double, ndcg double")
 

@@ -77,10 +77,10 @@ def normalized_score_bounds(spark, sf_dir):
     return out.select("n_outside", F.round("lowest", 6).alias("lowest"), F.round("highest", 6).alias("highest"))
 
 
-@query(sql("SELECT a.vec_id AS qid, b.vec_id AS pid, round(list_dot_product(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id < 40 AND b.vec_id >= 40"))
+@query(sql("SELECT a.vec_id AS qid, b.vec_id AS pid, round(list_dot_product(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 41 < 8 AND b.vec_id % 41 >= 8"))
 def single_vector_scores(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    q, d = v.where("vec_id < 40").selectExpr("vec_id AS qid", "v"), v.where("vec_id >= 40").selectExpr("vec_id AS pid", "v")
+    q, d = v.where("vec_id % 41 < 8").selectExpr("vec_id AS qid", "v"), v.where("vec_id % 41 >= 8").selectExpr("vec_id AS pid", "v")
     return S.score("single", q, d).select("qid", "pid", score())
 
 

@@ -169,12 +169,12 @@ def first_by_key(spark, sf_dir):
     return D.first_by_key(docs(spark, sf_dir).select("source", "lang", "doc_id"), "source", "doc_id")
 
 
-MINED = "gold AS (SELECT qid, min(pid) AS gold FROM qrels GROUP BY qid), top AS (SELECT qid, list(pid ORDER BY rank) AS t FROM ranked WHERE rank <= 20 GROUP BY qid), mined AS (SELECT qid, gold, list_contains(t, gold) AS gold_in_top, list_filter(t, lambda x: x <> gold) AS negatives FROM top JOIN gold USING (qid))"
+MINED = "gold AS (SELECT qid, min(pid) AS gold FROM qrels GROUP BY qid), top AS (SELECT qid, list(pid ORDER BY rank) AS t FROM ranked WHERE rank <= 100 GROUP BY qid), mined AS (SELECT qid, gold, list_contains(t, gold) AS gold_in_top, list_filter(t, lambda x: x <> gold) AS negatives FROM top JOIN gold USING (qid))"
 
 
 def mined(spark, sf_dir):
     scores = S.score_multi_vector(*queries_and_docs(spark, sf_dir))
-    return D.mine_negatives(scores, qrels(spark, sf_dir).groupBy("qid").agg(F.min("pid").alias("pid")), 20)
+    return D.mine_negatives(scores, qrels(spark, sf_dir).groupBy("qid").agg(F.min("pid").alias("pid")), 100)
 
 
 @query(sql("SELECT qid, gold, gold_in_top, negatives FROM mined", MINED))

@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from manyvec.operators import losses as L
 from manyvec.operators import scoring as S
-from manyvec.plans.fixtures import bags, d_tokens, degraded_tokens, negatives, q_tokens, qrels, queries_and_docs, query, sql, vectors
+from manyvec.plans.fixtures import IS_QUERY, bags, d_tokens, degraded_tokens, negatives, of, q_tokens, qrels, queries_and_docs, query, sql, vectors
 
 
 def loss():
     return F.round("loss", 6).alias("loss")
 
 
-#: The batch: all ten queries with twelve documents; query i belongs to document i + 2.
+#: The batch: all queries with all documents; query i belongs to document i + 2.
 OFFSET = 2
-B = "b AS (SELECT qid, pid, score, pid = qid + 2 AS pos FROM scores WHERE pid < 12)"
+B = "b AS (SELECT qid, pid, score, pid = qid + 2 AS pos FROM scores)"
 P = "p AS (SELECT qid, score AS ps FROM scores WHERE pid = qid + 2), n AS (SELECT negs.qid, score AS ns FROM negs JOIN scores USING (qid, pid))"
 
 
@@ -33,7 +33,7 @@ HARD = f"(SELECT avg({softplus('((CASE WHEN one = x THEN two ELSE one END) - x)
 
 def batch(spark, sf_dir):
     q, d = queries_and_docs(spark, sf_dir)
-    return S.score_multi_vector(q, d.where("pid < 12"))
+    return S.score_multi_vector(q, d)
 
 
 def explicit(spark, sf_dir):
@@ -78,13 +78,16 @@ def loss_sigmoid(spark, sf_dir):
     return L.sigmoid(batch(spark, sf_dir), 0.5, OFFSET).select(loss())
 
 
-SINGLE = "s AS (SELECT a.vec_id AS qid, b.vec_id - 40 AS pid, list_dot_product(a.v, b.v) AS score, b.vec_id - 40 = a.vec_id + 3 AS pos FROM e a, e b WHERE a.vec_id < 10 AND b.vec_id BETWEEN 40 AND 64)"
+#: Every query token as a query of its own, every other vector as a document.
+ONE_Q, ONE_D = "vec_id // 41 * 8 + vec_id % 41", "vec_id // 41 * 33 + vec_id % 41 - 8"
+SINGLE = f"""s AS (SELECT qid, pid, list_dot_product(a.v, b.v) AS score, pid = qid + 3 AS pos
+FROM (SELECT {ONE_Q} AS qid, v FROM e WHERE {IS_QUERY}) a, (SELECT {ONE_D} AS pid, v FROM e WHERE NOT {IS_QUERY}) b)"""
 
 
 def single(spark, sf_dir):
-    """Ten single-vector queries with 25 documents; query i belongs to document i + 3."""
+    """All single-vector queries with all documents; query i belongs to document i + 3."""
     v = vectors(spark, sf_dir)
-    q, d = v.where("vec_id < 10").selectExpr("vec_id AS qid", "v"), v.where("vec_id BETWEEN 40 AND 64").selectExpr("vec_id - 40 AS pid", "v")
+    q, d = v.where(IS_QUERY).selectExpr(of(ONE_Q, "qid"), "v"), v.where(f"NOT {IS_QUERY}").selectExpr(of(ONE_D, "pid"), "v")
     return S.score_single_vector(q, d)
 
 
@@ -93,15 +96,15 @@ def loss_bi_in_batch(spark, sf_dir):
     return L.in_batch(single(spark, sf_dir), 0.02, 3).select(loss())
 
 
-@query(sql(f"SELECT round(({ce('s', '0.02')} + {ce('o', '0.02', 'pid')}) / 2, 6) AS loss", SINGLE, "o AS (SELECT * FROM s WHERE pid BETWEEN 3 AND 12)"))
+@query(sql(f"SELECT round(({ce('s', '0.02')} + {ce('o', '0.02', 'pid')}) / 2, 6) AS loss", SINGLE, "o AS (SELECT * FROM s WHERE pid - 3 IN (SELECT qid FROM s))"))
 def loss_bi_symmetric(spark, sf_dir):
     return L.symmetric(single(spark, sf_dir), 0.02, 3).select(loss())
 
 
-@query(sql(f"SELECT round((1 - 0.5) * avg({softplus('(n.score - p.score) / 0.02')}) + 0.5 * {ce('s', '0.02')}, 6) AS loss FROM s p JOIN s n ON n.qid = p.qid AND n.pid IN (20, 21) WHERE p.pos", SINGLE))
+@query(sql(f"SELECT round((1 - 0.5) * avg({softplus('(n.score - p.score) / 0.02')}) + 0.5 * {ce('s', '0.02')}, 6) AS loss FROM s p JOIN s n ON n.qid = p.qid AND n.pid - n.qid IN (20, 21) WHERE p.pos", SINGLE))
 def loss_bi_negatives(spark, sf_dir):
     rows = single(spark, sf_dir)
-    return L.negatives(rows.where("pid = qid + 3"), rows.where("pid IN (20, 21)"), rows, 0.02, 3).select(loss())
+    return L.negatives(rows.where("pid = qid + 3"), rows.where("pid - qid IN (20, 21)"), rows, 0.02, 3).select(loss())
 
 
 @query(sql(f"SELECT round(avg({softplus('((CASE WHEN one = x THEN two ELSE one END) - x) / 0.02')}), 6) AS loss FROM (SELECT qid, max(score) FILTER (pos) AS x, max(score) FILTER (r = 1) AS one, max(score) FILTER (r = 2) AS two FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS r FROM s) GROUP BY qid)", SINGLE))
@@ -109,7 +112,7 @@ def loss_bi_pairwise(spark, sf_dir):
     return L.pairwise(single(spark, sf_dir), 0.02, 3).select(loss())
 
 
-@query(sql(f"SELECT round(avg(l), 6) AS loss FROM (SELECT blk, avg({softplus('CASE WHEN blk = 0 AND pos THEN -score ELSE score END / 0.02')}) AS l FROM (SELECT *, ((pid - 3 + 25) % 25) // 10 AS blk FROM s) WHERE blk < 2 GROUP BY blk)", SINGLE))
+@query(sql(f"SELECT round(avg(l), 6) AS loss FROM (SELECT blk, avg({softplus('CASE WHEN blk = 0 AND pos THEN -score ELSE score END / 0.02')}) AS l FROM (SELECT s.*, ((pid - 3 + c) % c) // b AS blk, c // b AS blocks FROM s, (SELECT count(DISTINCT qid) AS b, count(DISTINCT pid) AS c FROM s)) WHERE blk < blocks GROUP BY blk)", SINGLE))
 def loss_bi_block_sigmoid(spark, sf_dir):
     return L.block_sigmoid(single(spark, sf_dir), 0.02, 3).select(loss())
 

@@ -32,8 +32,11 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or LOCAL_SCRATCH where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """The folder all executors share: spark.checkpoint.dir, or LOCAL_SCRATCH where it is unset on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return root or LOCAL_SCRATCH
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

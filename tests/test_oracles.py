@@ -26,7 +26,7 @@ def test_contract_is_readable_without_a_session():
 
 def test_entry(spark):
     row = entry.entry(spark).collect()[0]
-    assert row["n_queries"] == 10 and 0 < row["ndcg"] <= 1
+    assert row["n_queries"] == 26 and 0 < row["ndcg"] <= 1
 
 
 def test_entry_survives_without_the_optional_parts(monkeypatch):
