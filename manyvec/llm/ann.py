@@ -9,9 +9,10 @@ with an error bound. Exact distances, in double precision, are computed for the
 every vector whose lower bound is not beyond the k-th of these. Every vector is coded and no list is capped.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, as query or
-candidate; vectors of different dimension are never compared; among rows with one vec_id that with the
-smallest components counts; null vec_ids take no part; ties in distance go to the smaller vec_id; with fewer than k candidates
-all are returned; other columns are ignored.
+candidate; vectors of different dimension are never compared; rows that share a vec_id are queries and candidates each
+by itself, only a query's own row is none of its candidates; null vec_ids take no part; ties in distance go to the smaller
+vec_id, then to the row laid down first; with fewer than k candidates all are returned; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,9 +87,10 @@ def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def nearest(ids: np.ndarray, codes: Codes, vectors: np.ndarray, query_id: int, query: np.ndarray, k: int, width: float) -> list[tuple[float, int]]:
+def nearest(ids: np.ndarray, rows: np.ndarray, codes: Codes, vectors: np.ndarray, own: int, query: np.ndarray, k: int, width: float) -> list[tuple[float, int, int]]:
+    """(distance, id, row) of the nearest, without the row ``own``."""
     guess, low = codes.estimates(query, width)
-    guess[ids == query_id] = low[ids == query_id] = np.inf
+    guess[rows == own] = low[rows == own] = np.inf
     first = min(4 * k, len(ids))
     near = np.argpartition(guess, first - 1)[:first]
     near = near[np.isfinite(guess[near])]
@@ -99,16 +101,16 @@ def nearest(ids: np.ndarray, codes: Codes, vectors: np.ndarray, query_id: int, q
         rest[near] = False
         more = np.flatnonzero(rest)
         near, exact = np.concatenate([near, more]), np.concatenate([exact, distances(vectors[more], query)])
-    best = np.lexsort((ids[near], exact))[:k]
-    return [(float(exact[i]), int(ids[near[i]])) for i in best]
+    best = np.lexsort((rows[near], ids[near], exact))[:k]
+    return [(float(exact[i]), int(ids[near[i]]), int(rows[near[i]])) for i in best]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(id, v array<double>, dim): one row for each usable vector."""
+    """(id, v array<double>, dim, row): each usable vector, with a number of its own."""
     rows = narrow(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where("id is not null and v is not null").where(finite & F.exists("v", lambda x: x != 0))
-    return rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    return rows.withColumns({"dim": F.size("v"), "row": F.monotonically_increasing_id()})
 
 
 def search(vectors: DataFrame, every: int = 100, k: int = 10, width: float = 2.0, vector_block: int = 8192, query_block: int = 2048) -> DataFrame:
@@ -116,20 +118,22 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, width: float = 2.0
     rows = stored(usable(vectors), "vectors")
     n = rows.agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).first()
     vb, qb = max(1, -(-n["n"] // vector_block)), max(1, -(-n["q"] // query_block))
-    number = lambda salt, most: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(most)).cast("int")
+    number = lambda salt, most: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(most)).cast("int")
     candidates = rows.withColumn("vb", number(1, vb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-    queries = rows.where(F.col("id") % every == 0).withColumn("qb", number(2, qb)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1))))
+    asked = rows.where(F.col("id") % every == 0).withColumn("qb", number(2, qb))
+    queries = asked.select(*[F.col(a).alias(b) for a, b in (("id", "query_id"), ("row", "own"), ("v", "query"), ("dim", "dim"), ("qb", "qb"))])
+    queries = queries.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1))))
 
     def meet(key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(v):
-            ids, matrix = v["id"].to_numpy(), np.array(v["v"].tolist(), float)
+            ids, rows, matrix = v["id"].to_numpy(), v["row"].to_numpy(), np.array(v["v"].tolist(), float)
             codes = Codes(matrix)
-            for query_id, query in zip(q["id"], q["v"]):
-                out += [(query_id, i, s) for s, i in nearest(ids, codes, matrix, query_id, np.asarray(query, float), k, width)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            for query_id, own, query in zip(q["query_id"], q["own"], q["query"]):
+                out += [(query_id, own, i, r, s) for s, i, r in nearest(ids, rows, codes, matrix, own, np.asarray(query, float), k, width)]
+        return pd.DataFrame(out, columns=["query_id", "own", "vec_id", "row", "score"]).astype({"query_id": "int64", "own": "int64", "vec_id": "int64", "row": "int64", "score": "float64"})
 
     keys = ["dim", "qb", "vb"]
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    by = W.partitionBy("query_id").orderBy("score", "vec_id")
+    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(meet, "query_id long, own long, vec_id long, row long, score double")
+    by = W.partitionBy("own").orderBy("score", "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
