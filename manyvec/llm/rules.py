@@ -1,16 +1,21 @@
 """Quality rules: base counts, and robust multivariate outliers per language and source.
 
 Each text gives exact counts and a transformed statistic vector. Within each (lang, source) group the
-minimum-covariance-determinant estimate (location and scatter of the half that lies closest together) is
-reached by concentration steps over all rows: distances under the present estimate, the h-quantile of each
-group, new moments of the rows below it. Every step is one distributed aggregation; only a parameter row
-per group leaves it. A document stays if it passes the base rule and its squared Mahalanobis distance is
-at most the chi-square cutoff.
+minimum-covariance-determinant estimate is sought: location and scatter of that share ``SHARE`` = 3/4 of the rows whose
+scatter has the least determinant. Three starts from all rows (medians with absolute deviations, plain moments,
+moments of squashed values) take two concentration steps each: distances under the present estimate, the quantile of
+each group, new moments of the rows below it. The start with the least determinant goes on until no group's
+determinant falls any more. The quantile is exact up to ``ACCURACY`` rows a group and off by at most one in so many
+ranks beyond. Every step is a distributed aggregation; only a parameter row a group leaves it. No direction of a
+scatter is taken for narrower than the least deviations in ``FEATURES``: eigenvalues below are raised to them, others
+stay, so the steps lower the determinant under that bound. A document stays if it passes the base rule and its
+squared Mahalanobis distance is at most the chi-square cutoff.
 
 Edge cases: null text has no words (fails the base rule); null lang or source form a group of their own;
-groups under ``min_group`` rows are pooled over the language, then over everything; constant statistics are
-harmless since each scatter has a floor; ties and repeated rows count as often as they occur; an empty table
-gives an empty result; other columns are ignored.
+groups under ``min_group`` rows are too few for a scatter of five statistics, so they are pooled over the language, then
+over everything, which the column ``pooled`` tells; constant statistics are harmless by the least deviations; rows
+at the quantile itself all count (ties), repeated rows as often as they occur; very long texts are counted whole; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +40,14 @@ STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 FEATURES = {
     "word_length": ("log(word_chars / greatest(n_words, 1) + 1)", 0.12),
     "symbols": ("log(1 + 100 * n_symbols / greatest(word_chars, 1))", 0.25),
-    "dup_lines": ("log(1 + 100 * n_dup_lines / greatest(n_lines, 1))", 1.2),
-    "repeats": ("log(1 + 100 * n_repeat_words / greatest(n_words, 1))", 1.0),
+    "dup_lines": ("log(1 + 100 * n_dup_lines / greatest(n_lines, 1))", 0.72),
+    "repeats": ("log(1 + 100 * n_repeat_words / greatest(n_words, 1))", 0.65),
     "same_next": ("log(1 + 100 * n_same_next / greatest(n_words, 1))", 0.6),
 }
 P = len(FEATURES)
-PARAMS = "lang_g string, source_g string, mu array<double>, inverse array<double>"
+KEYS = ("lang_g", "source_g")
+PARAMS = "lang_g string, source_g string, start int, mu array<double>, inverse array<double>, goal double"
+SHARE, ACCURACY = 0.75, 10_000
 
 
 def word_hashes() -> Memo:
@@ -132,9 +139,20 @@ def _grouped(stats: DataFrame, min_group: int) -> tuple[DataFrame, bool]:
     return joined, few
 
 
-def _inverted(moments: DataFrame, factor: float) -> DataFrame:
-    """A parameter row for each row of moments; the scatter gets the floors and the consistency factor."""
-    floors = np.diag([f * f for _, f in FEATURES.values()])
+def bounded(cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """(inverse, goal) of a scatter no direction of which is narrower than the least deviations. The goal is what
+    concentration lowers: the logarithm of the bounded scatter's determinant, and the trace of the scatter under it,
+    which is constant where nothing had to be raised."""
+    least = np.array([f for _, f in FEATURES.values()])
+    scaled = cov / np.outer(least, least)
+    values, axes = np.linalg.eigh((scaled + scaled.T) / 2)
+    raised = np.maximum(values, 1)
+    inverse = (axes / raised) @ axes.T / np.outer(least, least)
+    return inverse, float(np.log(raised).sum() + 2 * np.log(least).sum() + (values / raised).sum())
+
+
+def _inverted(moments: DataFrame, factor: float = 1.0) -> DataFrame:
+    """A parameter row for each row of moments."""
 
     def run(batches):
         for pdf in batches:
@@ -143,60 +161,82 @@ def _inverted(moments: DataFrame, factor: float) -> DataFrame:
                 mu = np.array(r.mu, float)
                 cross = np.zeros((P, P))
                 cross[np.triu_indices(P)] = r.cross
-                cov = cross + np.triu(cross, 1).T - np.outer(mu, mu)
-                out.append((r.lang_g, r.source_g, mu.tolist(), np.linalg.inv(cov * factor + floors).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["lang_g", "source_g", "mu", "inverse"])
+                inverse, goal = bounded((cross + np.triu(cross, 1).T - np.outer(mu, mu)) * factor)
+                out.append((r.lang_g, r.source_g, r.start, mu.tolist(), inverse.ravel().tolist(), goal))
+            yield pd.DataFrame(out, columns=["lang_g", "source_g", "start", "mu", "inverse", "goal"])
 
-    return moments.mapInPandas(run, PARAMS)
+    return moments.select(*KEYS, "start", "mu", "cross").mapInPandas(run, PARAMS)
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    x = [F.col(f) for f in FEATURES]
-    return rows.groupBy("lang_g", "source_g").agg(
-        F.array(*[F.avg(a) for a in x]).alias("mu"),
-        F.array(*[F.avg(x[i] * x[j]) for i in range(P) for j in range(i, P)]).alias("cross"),
-    )
+def _moments(rows: DataFrame, x: list, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.array(*[F.avg(a) for a in x]).alias("mu"), F.array(*[F.avg(x[i] * x[j]) for i in range(P) for j in range(i, P)]).alias("cross"))
 
 
-def _distances(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
-    """Adds d2; the parameters have a row per group."""
-    joined = rows.join(F.broadcast(params) if few else params, ["lang_g", "source_g"], "left")
+def _distances(rows: DataFrame, params: DataFrame, few: bool, *more: str) -> DataFrame:
+    """Adds d2; the parameters have a row a group, and a start where ``more`` says so."""
+    params = params.select(*KEYS, *more, "mu", "inverse")
+    joined = rows.join(F.broadcast(params) if few else params, list(KEYS), "left")
     gap = [F.col(f) - F.col("mu")[i] for i, f in enumerate(FEATURES)]
     d2 = sum((gap[i] * gap[j] * F.col("inverse")[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
     return joined.withColumn("d2", d2).drop("mu", "inverse")
 
 
-def estimates(rows: DataFrame, few: bool = False, share: float = 0.75, steps: int = 5) -> DataFrame:
-    """MCD parameters of each group from all its rows, from a start at medians and absolute deviations."""
-    keys = ["lang_g", "source_g"]
-    middle = rows.groupBy(*keys).agg(*[F.percentile_approx(f, 0.5, 2000).alias(f"m_{f}") for f in FEATURES])
-    off = rows.join(F.broadcast(middle) if few else middle, keys)
-    spread = off.groupBy(*keys).agg(*[F.first(f"m_{f}").alias(f"m_{f}") for f in FEATURES], *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 2000).alias(f"s_{f}") for f in FEATURES])
-    m, s = [F.col(f"m_{f}") for f in FEATURES], [1.4826 * F.col(f"s_{f}") for f in FEATURES]
-    start = spread.select(*keys, F.array(*m).alias("mu"), F.array(*[m[i] * m[j] + (s[i] * s[i] if i == j else 0) for i in range(P) for j in range(i, P)]).alias("cross"))
-    params = stored(_inverted(start, 1.0), "mcd")
-    factor = share / chi2_cdf(chi2_quantile(share, P), P + 2)
-    for _ in range(steps):
-        near = _distances(rows, params, few)
-        cut = near.groupBy(*keys).agg(F.percentile_approx("d2", share, 2000).alias("cut"))
-        cut = F.broadcast(cut) if few else cut
-        half = near.join(cut, keys).where("d2 <= cut")
-        params = stored(_inverted(_moments(half), factor), "mcd")
-    return params
-
-
-def judged(rows: DataFrame, level: float = 1 - 1e-7, min_group: int = 50, share: float = 0.75, steps: int = 5) -> DataFrame:
-    """Adds base_failed, d2 and kept to rows that have lang, source and the counts of STATS."""
+def starts(rows: DataFrame, few: bool) -> DataFrame:
+    """Parameters of three starts a group."""
+    hint = F.broadcast if few else lambda x: x
+    x = [F.col(f) for f in FEATURES]
+    middle = rows.groupBy(*KEYS).agg(*[F.percentile_approx(f, 0.5, ACCURACY).alias(f"m_{f}") for f in FEATURES])
+    middle = stored(middle, "medians")
+    m = [F.col(f"m_{f}") for f in FEATURES]
+    off = rows.join(hint(middle), list(KEYS)).groupBy(*KEYS).agg(*[F.percentile_approx(F.abs(a - b), 0.5, ACCURACY).alias(f"s_{f}") for a, b, f in zip(x, m, FEATURES)])
+    scale = stored(middle.join(off, list(KEYS)).select(*KEYS, *m, *[F.greatest(1.4826 * F.col(f"s_{f}"), F.lit(least)).alias(f"s_{f}") for f, (_, least) in FEATURES.items()]), "scales")
+    s = [F.col(f"s_{f}") for f in FEATURES]
+    plain = scale.select(*KEYS, F.array(*m).alias("mu"), F.array(*[m[i] * m[j] + (s[i] * s[i] if i == j else 0) for i in range(P) for j in range(i, P)]).alias("cross"))
+    squashed = _moments(rows.join(hint(scale), list(KEYS)), [F.tanh((a - b) / c) * c + b for a, b, c in zip(x, m, s)], *KEYS)
+    every = [plain, _moments(rows, x, *KEYS), squashed]
+    return _inverted(every[0].withColumn("start", F.lit(0)).union(every[1].withColumn("start", F.lit(1))).union(every[2].withColumn("start", F.lit(2))))
+
+
+def concentrated(rows: DataFrame, params: DataFrame, few: bool, share: float, factor: float = 1.0) -> DataFrame:
+    """One concentration step of each start."""
+    keys = [*KEYS, "start"]
+    near = _distances(rows, params, few, "start")
+    cut = near.groupBy(*keys).agg(F.percentile_approx("d2", share, ACCURACY).alias("cut"))
+    inner = near.join(F.broadcast(cut) if few else cut, keys).where("d2 <= cut")
+    return stored(_inverted(_moments(inner, [F.col(f) for f in FEATURES], *keys), factor), "mcd")
+
+
+def estimates(rows: DataFrame, few: bool = False, share: float = SHARE, trial: int = 2, most_steps: int = 100, tolerance: float = 1e-4) -> DataFrame:
+    """MCD parameters of each group from all its rows. ``most_steps`` only guards against a cycle of rounding."""
+    params = stored(starts(rows, few), "mcd")
+    for _ in range(trial):
+        params = concentrated(rows, params, few, share)
+    best = params.groupBy(*KEYS).agg(F.min_by(F.struct("start", "mu", "inverse", "goal"), F.struct("goal", "start")).alias("p"))
+    params = stored(best.select(*KEYS, "p.*"), "mcd")
+    for _ in range(most_steps):
+        following = concentrated(rows, params, few, share)
+        old = params.select(*KEYS, F.col("goal").alias("old"))
+        fell = following.join(old, list(KEYS)).agg(F.coalesce(F.max(F.col("old") - F.col("goal")), F.lit(0.0)).alias("x")).first()["x"]
+        params = following
+        if fell <= tolerance:
+            break
+    # what the inner share spreads too little, against the whole of a normal group
+    return concentrated(rows, params, few, share, share / chi2_cdf(chi2_quantile(share, P), P + 2))
+
+
+def judged(rows: DataFrame, level: float = 1 - 1e-7, min_group: int = 50, share: float = SHARE) -> DataFrame:
+    """Adds base_failed, d2, pooled and kept to rows that have lang, source and the counts of STATS."""
     rows, few = _grouped(stored(rows, "stats").withColumns({f: F.expr(e) for f, (e, _) in FEATURES.items()}), min_group)
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    out = _distances(rows, estimates(rows.where("not base_failed"), few, share, steps), few)
+    rows = rows.withColumns({"pooled": F.col("source_g") == "*", "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))})
+    learned = stored(rows.where("not base_failed").select(*KEYS, *FEATURES), "vectors")
+    out = _distances(rows, estimates(learned, few, share), few)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(level, P), F.lit(True)))
 
 
 def quality_rules(docs: DataFrame, **options) -> DataFrame:
-    """Base counts, base_failed, the squared distance and ``kept`` for every document."""
+    """Base counts, base_failed, kept, the squared distance and whether the group was pooled, for every document."""
     out = judged(base_stats(docs), **options)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("d2").alias("distance2"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("d2").alias("distance2"), "pooled")
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:
