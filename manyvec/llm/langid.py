@@ -6,16 +6,19 @@ frequency of the word per language; a word the model doesn't know by its longest
 any language, else by shorter ones. The language with the largest sum wins; the score is its share under the
 softmax of the per-word means.
 
-The broadcast model has a proven bound: at most ``most_words`` words and ``most_grams`` n-grams, by at most
-``most_langs`` languages. Entries are chosen by their largest share in any language (an n-gram's among those of
-its order), so the size of a language doesn't count: at most 1 / s words of a language have a share of s or
-more, so among k languages each keeps all its words with a share of at least k / ``most_words`` (n-grams: k
-times the number of orders / ``most_grams``). What is left out of the word table falls to the n-grams; the
-totals that frequencies refer to are those of all counted rows, left out or not.
+The broadcast model has a proven bound: at most ``most_words`` words and ``most_grams`` n-grams, and at most ``CELLS``
+numbers in either table, so with very many languages there are fewer entries but no language is left out. Entries are
+chosen by their largest share in any language (an n-gram's among those of its order), so the size of a language
+doesn't count: at most 1 / s words of a language have a share of s or more, so among k languages each keeps all its
+words with a share of at least k / ``most_words`` (n-grams: k times the number of orders / ``most_grams``). The least
+share that is taken follows from a histogram, so only chosen entries reach the driver. What is left out of the word
+table falls to the n-grams; the totals that frequencies refer to are those of all counted rows, left out or not.
 
 Edge cases: null text or text without a letter gives ``und`` with score 0; without any learned language all
-texts give ``und``; equal sums go to the language first in order; rows with null lang teach nothing; words
-are lower-cased maximal runs of letters; very long texts are scored whole; other columns are ignored.
+texts give ``und``; equal sums go to the language first in order; of entries with nearly equal shares at the limit those
+with the least hashes are taken; rows with null lang teach nothing; repeated rows teach as often as they occur; words
+are lower-cased maximal runs of letters; very long texts are scored whole; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manyvec.llm.common import held_out, is_held_out, map_rows, narrow
+from manyvec.session import stored
 
 words_of = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
 #: Frequencies are smoothed by so many occurrences at the mean share over all languages: what a language with few
 #: texts hasn't shown is taken for about as frequent as elsewhere, not for more.
 PRIOR = 1000.0
+#: Numbers in a table of the model.
+CELLS = 12_000_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -128,12 +134,12 @@ class Backoff:
         return score
 
 
-def fit(docs: DataFrame, orders: tuple[int, ...] = (5, 4, 3, 2, 1), most_words: int = 60_000, most_grams: int = 60_000, most_langs: int = 200) -> Backoff:
-    """Counts over all rows not held out; the entries with the largest share in a language make the model, ties by count and in order of the word."""
+def fit(docs: DataFrame, orders: tuple[int, ...] = (5, 4, 3, 2, 1), most_words: int = 60_000, most_grams: int = 60_000) -> Backoff:
+    """Counts over all rows not held out; the entries with the largest share in a language make the model."""
     docs = narrow(docs, "doc_id", "text", "lang")
-    counts = word_counts(docs.where(~held_out(F.col("doc_id")))).persist()
+    counts = stored(word_counts(docs.where(~held_out(F.col("doc_id")))), "words")
     of_order = [F.sum(F.col("n") * F.greatest(F.length("word") + 3 - n, F.lit(0))).alias(f"n{n}") for n in orders]
-    sums = sorted(counts.groupBy("lang").agg(F.sum("n").alias("n"), *of_order).orderBy(F.desc("n"), "lang").limit(most_langs).collect(), key=lambda r: r["lang"])
+    sums = sorted(counts.groupBy("lang").agg(F.sum("n").alias("n"), *of_order).collect(), key=lambda r: r["lang"])  # a row a language
     langs = [r["lang"] for r in sums]
     number = {lang: i for i, lang in enumerate(langs)}
     word_totals, order_totals = [r["n"] for r in sums], {n: [r[f"n{n}"] for r in sums] for n in orders}
@@ -153,13 +159,30 @@ def fit(docs: DataFrame, orders: tuple[int, ...] = (5, 4, 3, 2, 1), most_words:
         """The entries with the largest share of their language's total for their size."""
         known = docs.sparkSession.createDataFrame([(lang, size, float(n)) for size, row in totals.items() for lang, n in zip(langs, row)], "lang string, size int, total double")
         shares = rows.withColumn("size", size).join(F.broadcast(known), ["lang", "size"]).withColumn("share", F.col("n") / F.col("total"))
-        kept = shares.groupBy("word").agg(F.max("share").alias("share"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        return {r["word"]: {number[lang]: n for lang, n in r["by"].items()} for r in kept.orderBy(F.desc("share"), F.desc("n"), "word").limit(most).collect()}
+        kept = shares.groupBy("word").agg(F.max("share").alias("share"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+        kept = kept.withColumns({"bin": F.floor(F.log2("share") * 8).cast("int"), "part": F.pmod(F.xxhash64("word"), F.lit(4096)).cast("int")})
+        kept = stored(kept.select("word", "by", "bin", "part"), "entries")
+        room = min(most, CELLS // max(1, len(langs)))
+        bins = {r["bin"]: r["n"] for r in kept.groupBy("bin").agg(F.count("*").alias("n")).collect()}  # some hundred shares
+        choice = F.lit(False)
+        for share in sorted(bins, reverse=True):
+            if bins[share] > room:  # of this bin as much as there is room for
+                parts = kept.where(F.col("bin") == share).groupBy("part").agg(F.count("*").alias("n")).collect()
+                upto = -1
+                for part, n in sorted((r["part"], r["n"]) for r in parts):
+                    if n > room:
+                        break
+                    room, upto = room - n, part
+                choice = (F.col("bin") > share) | (F.col("bin") == share) & (F.col("part") <= upto)
+                break
+            room -= bins[share]
+            choice = F.lit(True)
+        taken = kept.where(choice)
+        return {r["word"]: {number[lang]: n for lang, n in r["by"].items()} for r in sorted(taken.select("word", "by").collect(), key=lambda r: r["word"])}
 
     words = top(counts, F.lit(0), {0: word_totals}, most_words)
     chars = counts.mapInArrow(gram_rows, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     model = Backoff(langs, words, top(chars, F.length("word"), order_totals, most_grams), orders, word_totals, order_totals)
-    counts.unpersist()
     return model
 
 
