@@ -120,6 +120,8 @@ def chi2_quantile(p: float, k: int) -> float:
 
 #: With at most so many groups their rows of parameters are broadcast, else joined by key.
 MOST_GROUPS = 20_000
+#: Tasks for the rows of so many groups at most.
+FEW_TASKS = 8
 
 
 def _grouped(stats: DataFrame, min_group: int) -> tuple[DataFrame, bool]:
@@ -151,7 +153,12 @@ def bounded(cov: np.ndarray) -> tuple[np.ndarray, float]:
     return inverse, float(np.log(raised).sum() + 2 * np.log(least).sum() + (values / raised).sum())
 
 
-def _inverted(moments: DataFrame, factor: float = 1.0) -> DataFrame:
+def _together(rows: DataFrame, few: bool) -> DataFrame:
+    """Rows a group: few groups need no task for each shuffle partition, most of which are empty."""
+    return rows.coalesce(FEW_TASKS) if few else rows
+
+
+def _inverted(moments: DataFrame, few: bool, factor: float = 1.0) -> DataFrame:
     """A parameter row for each row of moments."""
 
     def run(batches):
@@ -165,7 +172,7 @@ def _inverted(moments: DataFrame, factor: float = 1.0) -> DataFrame:
                 out.append((r.lang_g, r.source_g, r.start, mu.tolist(), inverse.ravel().tolist(), goal))
             yield pd.DataFrame(out, columns=["lang_g", "source_g", "start", "mu", "inverse", "goal"])
 
-    return moments.select(*KEYS, "start", "mu", "cross").mapInPandas(run, PARAMS)
+    return _together(moments.select(*KEYS, "start", "mu", "cross"), few).mapInPandas(run, PARAMS)
 
 
 def _moments(rows: DataFrame, x: list, *keys: str) -> DataFrame:
@@ -186,15 +193,15 @@ def starts(rows: DataFrame, few: bool) -> DataFrame:
     hint = F.broadcast if few else lambda x: x
     x = [F.col(f) for f in FEATURES]
     middle = rows.groupBy(*KEYS).agg(*[F.percentile_approx(f, 0.5, ACCURACY).alias(f"m_{f}") for f in FEATURES])
-    middle = stored(middle, "medians")
+    middle = stored(_together(middle, few), "medians")
     m = [F.col(f"m_{f}") for f in FEATURES]
     off = rows.join(hint(middle), list(KEYS)).groupBy(*KEYS).agg(*[F.percentile_approx(F.abs(a - b), 0.5, ACCURACY).alias(f"s_{f}") for a, b, f in zip(x, m, FEATURES)])
-    scale = stored(middle.join(off, list(KEYS)).select(*KEYS, *m, *[F.greatest(1.4826 * F.col(f"s_{f}"), F.lit(least)).alias(f"s_{f}") for f, (_, least) in FEATURES.items()]), "scales")
+    scale = stored(middle.join(_together(off, few), list(KEYS)).select(*KEYS, *m, *[F.greatest(1.4826 * F.col(f"s_{f}"), F.lit(least)).alias(f"s_{f}") for f, (_, least) in FEATURES.items()]), "scales")
     s = [F.col(f"s_{f}") for f in FEATURES]
     plain = scale.select(*KEYS, F.array(*m).alias("mu"), F.array(*[m[i] * m[j] + (s[i] * s[i] if i == j else 0) for i in range(P) for j in range(i, P)]).alias("cross"))
     squashed = _moments(rows.join(hint(scale), list(KEYS)), [F.tanh((a - b) / c) * c + b for a, b, c in zip(x, m, s)], *KEYS)
     every = [plain, _moments(rows, x, *KEYS), squashed]
-    return _inverted(every[0].withColumn("start", F.lit(0)).union(every[1].withColumn("start", F.lit(1))).union(every[2].withColumn("start", F.lit(2))))
+    return _inverted(every[0].withColumn("start", F.lit(0)).union(every[1].withColumn("start", F.lit(1))).union(every[2].withColumn("start", F.lit(2))), few)
 
 
 def concentrated(rows: DataFrame, params: DataFrame, few: bool, share: float, factor: float = 1.0) -> DataFrame:
@@ -202,8 +209,9 @@ def concentrated(rows: DataFrame, params: DataFrame, few: bool, share: float, fa
     keys = [*KEYS, "start"]
     near = _distances(rows, params, few, "start")
     cut = near.groupBy(*keys).agg(F.percentile_approx("d2", share, ACCURACY).alias("cut"))
+    cut = _together(cut, few)
     inner = near.join(F.broadcast(cut) if few else cut, keys).where("d2 <= cut")
-    return stored(_inverted(_moments(inner, [F.col(f) for f in FEATURES], *keys), factor), "mcd")
+    return stored(_inverted(_moments(inner, [F.col(f) for f in FEATURES], *keys), few, factor), "mcd")
 
 
 def estimates(rows: DataFrame, few: bool = False, share: float = SHARE, trial: int = 2, most_steps: int = 100, tolerance: float = 1e-4) -> DataFrame:
@@ -212,7 +220,7 @@ def estimates(rows: DataFrame, few: bool = False, share: float = SHARE, trial: i
     for _ in range(trial):
         params = concentrated(rows, params, few, share)
     best = params.groupBy(*KEYS).agg(F.min_by(F.struct("start", "mu", "inverse", "goal"), F.struct("goal", "start")).alias("p"))
-    params = stored(best.select(*KEYS, "p.*"), "mcd")
+    params = stored(_together(best.select(*KEYS, "p.*"), few), "mcd")
     for _ in range(most_steps):
         following = concentrated(rows, params, few, share)
         old = params.select(*KEYS, F.col("goal").alias("old"))
