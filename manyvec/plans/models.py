@@ -124,6 +124,27 @@ def gaussian_blurred(spark, sf_dir):
     return out.select("id", F.round(F.aggregate(levels, F.lit(0.0), lambda s, x: s + x) / 64, 4).alias("mean"), F.round(F.array_max(levels), 4).alias("top"))
 
 
+BYTES = "string_agg(lower(hex(p::INT))[-2:].lpad(2, '0'), '' ORDER BY y, x) AS data"
+
+
+@query(sql(f"""SELECT id, {BYTES} FROM (SELECT a.id, a.x, a.y, round_even(sum(kx.w * ky.w * b.p), 0) AS p FROM px a, k kx, k ky, px b
+WHERE b.id = a.id AND b.x = {REFLECT.format('a.x + kx.d')} AND b.y = {REFLECT.format('a.y + ky.d')} GROUP BY ALL) GROUP BY id""", PIXELS, KERNEL))
+def blurred_pixels(spark, sf_dir):
+    """Every pixel of every image blurred at sigma 0.5."""
+    out = images.Pipeline([("gaussian_blur", {"sigma": 0.5})], images.EVERY)(pictures(spark, sf_dir))
+    return out.select("id", F.lower(F.hex("data")).alias("data"))
+
+
+TURNED = """turned AS (SELECT id, x, y, round_even(3.5::DOUBLE + sin(radians(15)) * (x - 3.5::DOUBLE) + cos(radians(15)) * (y - 3.5::DOUBLE), 0) AS sy,
+round_even(3.5::DOUBLE + cos(radians(15)) * (x - 3.5::DOUBLE) - sin(radians(15)) * (y - 3.5::DOUBLE), 0) AS sx FROM px)"""
+
+
+@query(sql(f"SELECT id, {BYTES} FROM (SELECT turned.id, turned.x, turned.y, coalesce(px.p, 255) AS p FROM turned LEFT JOIN px ON px.id = turned.id AND px.x = sx AND px.y = sy) GROUP BY id", PIXELS, TURNED))
+def tilted_pixels(spark, sf_dir):
+    """Every pixel of every image turned by 15 degrees, white where nothing comes from."""
+    return images.condition("degraded", "tilt")(pictures(spark, sf_dir)).select("id", F.lower(F.hex("data")).alias("data"))
+
+
 def _shape(name, *args):
     def run(spark, sf_dir):
         return images.condition(name, *args)(pictures(spark, sf_dir)).select("id", "h", "w", "c", F.length("data").cast("long").alias("n_bytes"))
