@@ -76,6 +76,27 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from manyvec.llm import chat
+
+    turns = chat.text_parts(table(spark, sf_dir, "conversations"))
+    text = "</s>[INST] ok [/INST]"
+    more = chat.text_parts(spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string"))
+    return chat.conversations(chat.formatted(turns.unionByName(more)))
+
+
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from manyvec.llm import audit
+
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from manyvec.llm import negatives
+
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -87,6 +108,9 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_langid": op9_langid,
     "op10_rules": op10_rules,
+    "op11_chat": op11_chat,
+    "op12_filters": op12_filters,
+    "op13_negatives": op13_negatives,
 }
 
 OP4_SQL = r"""
@@ -155,9 +179,81 @@ reach(doc_id, r) AS (
 SELECT sets.doc_id, len(s) AS n_shingles, min(r) AS component_id FROM sets JOIN reach USING (doc_id) GROUP BY sets.doc_id, len(s)
 """
 
+#: Escaping and marks as the template of operator 11 has them.
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(i)
+),
+escaped AS (
+  SELECT *, regexp_replace(text, '([<\[])(\\*)(/?s>|/?SYS\]|/?INST\]|ANS\]|/?ROLE\]|IMG:|AUD:|DOC:|ATT:)', '\1\\\2\3', 'g') AS e,
+    regexp_replace(role, '([<\[])(\\*)(/?s>|/?SYS\]|/?INST\]|ANS\]|/?ROLE\]|IMG:|AUD:|DOC:|ATT:)', '\1\\\2\3', 'g') AS r FROM turns
+),
+formatted AS (
+  SELECT *, CASE role WHEN 'system' THEN '[SYS]' || e || '[/SYS]' WHEN 'user' THEN '[INST]' || e || '[/INST]'
+    WHEN 'assistant' THEN '[ANS]' || e || '</s>' ELSE '[ROLE]' || r || '[/ROLE]' || e || '</s>' END AS segment FROM escaped
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, segment)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, segment) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(segment))::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
+FROM formatted GROUP BY conv_id
+"""
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+docs AS (
+  SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+      + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic FROM words
+),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM docs GROUP BY ALL),
+letters AS (SELECT substr('ABCDE', i, 1) AS f FROM range(1, 6) t(i)),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.f NOT IN (b.f, c.f, d.f, e.f) AND b.f NOT IN (c.f, d.f, e.f) AND c.f NOT IN (d.f, e.f) AND d.f <> e.f
+),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS f, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+    list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65)))::INT AS b4 FROM orders, range(1, 6) t(step)
+),
+audit AS (
+  SELECT part, filter_order, step::INT AS step, f, coalesce(sum(n) FILTER (mask & (coalesce(b4, 0) | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & coalesce(b4, 0) = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & coalesce(b4, 0) <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & coalesce(b4, 0) = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & coalesce(b4, 0) = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY ALL
+)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM audit
+"""
+
+OP13_SQL = """
+WITH rows AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.id % 100 = 0 AND a.id <> b.id
+),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
 #: DuckDB SQL for the operators that SQL can express.
 ORACLES: dict[str, str] = {
     "op4_substrings": OP4_SQL,
     "op7_suffixes": OP7_SQL,
     "op8_jaccard": OP8_SQL,
+    "op11_chat": OP11_SQL,
+    "op12_filters": OP12_SQL,
+    "op13_negatives": OP13_SQL,
 }
