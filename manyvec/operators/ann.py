@@ -11,16 +11,25 @@ from manyvec.functions import vectors as V
 from manyvec.operators.scoring import late_interaction
 
 
-def fit_centroids(docs: DataFrame, k: int = 64, sample: int = 20_000, rounds: int = 10, seed: int = 7) -> np.ndarray:
-    """Unit centroids of spherical k-means, fitted on the ``sample`` tokens with the smallest hash."""
+def sampled_tokens(docs: DataFrame, sample: int, seed: int) -> np.ndarray:
+    """Unit vectors: the ``sample`` tokens with the smallest hash."""
     toks = docs.select("pid", F.posexplode("toks").alias("tok", "v"))
     rows = toks.orderBy(F.xxhash64("pid", "tok", F.lit(seed)), "pid", "tok").limit(sample).select("v").toPandas()
     x = np.array(rows["v"].tolist(), float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if len(x) else x
+
+
+def nearest_rows(x: np.ndarray, c: np.ndarray, most: int = 2048) -> np.ndarray:
+    """The number of each row's nearest centroid, ``most`` rows at a time."""
+    return np.concatenate([(x[i : i + most] @ c.T).argmax(axis=1) for i in range(0, len(x), most)]) if len(x) else np.zeros(0, int)
+
+
+def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+    """Unit centroids of spherical k-means; one that gets nothing stays."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        near = (x @ c.T).argmax(axis=1)
+        near = nearest_rows(x, c)
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         sums[np.bincount(near, minlength=len(c)) == 0] = c[np.bincount(near, minlength=len(c)) == 0]
@@ -28,6 +37,11 @@ def fit_centroids(docs: DataFrame, k: int = 64, sample: int = 20_000, rounds: in
     return c
 
 
+def fit_centroids(docs: DataFrame, k: int = 64, sample: int = 20_000, rounds: int = 10, seed: int = 7) -> np.ndarray:
+    """Unit centroids fitted on the ``sample`` tokens with the smallest hash."""
+    return k_means(sampled_tokens(docs, sample, seed), k, rounds, seed)
+
+
 def nearest(v: Column, centroids: np.ndarray, n: int) -> Column:
     """Numbers of the ``n`` nearest centroids."""
     literal = F.array(*[F.array(*map(F.lit, c.tolist())) for c in centroids])

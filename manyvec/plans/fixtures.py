@@ -86,6 +86,16 @@ def negatives(spark, sf_dir) -> DataFrame:
     return q.select("qid", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("j"), "n").selectExpr("qid", "(qid * 7 + j) % n AS pid", "cast(j - 1 as bigint) AS neg")
 
 
+def sixes(spark, sf_dir) -> DataFrame:
+    """Every vector as a token of a page of six in a row; the last page may be shorter."""
+    return bags(vectors(spark, sf_dir).selectExpr("vec_id div 6 AS pid", "vec_id % 6 AS tok", "v"), "pid")
+
+
+def fiftieths(spark, sf_dir) -> DataFrame:
+    """Queries for all pages: each vector whose number is divisible by 50, with the three after it."""
+    return bags(vectors(spark, sf_dir).where("vec_id % 50 < 4").selectExpr("vec_id div 50 AS qid", "vec_id % 50 AS tok", "v"), "qid")
+
+
 BASE = f"""
 e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
 qt AS (SELECT {QID} AS qid, {Q_TOK} AS tok, v, label FROM e WHERE {IS_QUERY}),
