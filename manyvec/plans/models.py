@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from manyvec.functions import vectors as V
 from manyvec.operators import adapter as A
-from manyvec.operators import ann, encoder, images, maps, pooling
+from manyvec.operators import ann, encoder, images, maps, pooling, training
 from manyvec.operators import metrics as M
 from manyvec.operators import scoring as S
 from manyvec.operators import search as P
 from manyvec.plans.algebra import six
 from manyvec.plans.fixtures import bags, d_tokens, degraded_tokens, metrics_sql, qrels, queries_and_docs, query, sql, table, vectors
+from manyvec.session import stored
 
 MAPS = """pg AS (SELECT vec_id // 6 AS page, vec_id % 6 AS tok, v FROM e), fullp AS (SELECT page FROM pg GROUP BY page HAVING count(*) = 6),
 m AS (SELECT page, q.vec_id AS q_tok, tok % 3 AS x, tok // 3 AS y, list_dot_product(q.v, pg.v) AS sim FROM pg JOIN fullp USING (page), e q WHERE q.vec_id % 41 < 8)"""
@@ -177,22 +178,81 @@ def adapted_tokens_at_start(spark, sf_dir):
     return S.unpack(out, "pid").select("pid", F.col("tok").cast("long").alias("tok"), six(F.col("v")).alias("v"))
 
 
-def adapter_examples(spark, sf_dir):
-    """One training batch: all queries, the clean pages as teachers of the degraded ones. A batch is one driver's."""
+def awake_adapter() -> A.Adapter:
+    """An adapter whose every weight matters, by rules that SQL can follow."""
+    h, i = np.mgrid[:4, :64]
+    d = np.arange(64)
+    return A.Adapter(64, 4, weights={
+        "gain": 1 + 0.01 * (d % 5), "shift": 0.02 * (d % 3 - 1), "w1": ((h * 7 + i * 3) % 11 - 5) / 20, "b1": 0.1 * np.arange(4) - 0.15,
+        "w2": (((h * 5 + i * 2) % 13 - 6) / 10).T, "b2": 0.01 * (d % 4 - 1.5), "scale": np.array([0.3]),
+    })
+
+
+def erf_sql(x: str) -> str:
+    """The error function as the adapter has it: fixed values, the published coefficients of the rational form."""
+    c = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    t, p = f"(1 / (1 + 0.5::DOUBLE * abs({x})))", f"({c[-1]}::DOUBLE)"
+    for k in reversed(c[:-1]):
+        p = f"({p} * {t} + ({k}::DOUBLE))"
+    return f"(sign({x}) * (1 - {t} * exp(-{x} * {x} + {p})))"
+
+
+def adapted_sql(tokens: str, name: str) -> str:
+    """CTEs that end in ``name`` (pid, tok, v): ``tokens`` through the adapter above."""
+    second = " + ".join(f"a[{h + 1}] * (((({h} * 5 + (i - 1) * 2) % 13) - 6) / 10::DOUBLE)" for h in range(4))
+    return f"""{name}_c AS (SELECT pid, tok, v, list_transform(v, lambda x: x - list_avg(v)) AS c FROM {tokens}),
+{name}_n AS (SELECT pid, tok, v, list_transform(c, lambda x, i: x / sqrt(list_dot_product(c, c) / 64 + 1e-5::DOUBLE) * (1 + 0.01::DOUBLE * ((i - 1) % 5)) + 0.02::DOUBLE * ((i - 1) % 3 - 1)) AS u FROM {name}_c),
+{name}_p AS (SELECT pid, tok, v, list_transform(range(4), lambda h: list_sum(list_transform(u, lambda x, i: x * (((h * 7 + (i - 1) * 3) % 11 - 5) / 20::DOUBLE))) + 0.1::DOUBLE * h - 0.15::DOUBLE) AS p FROM {name}_n),
+{name}_a AS (SELECT pid, tok, v, list_transform(p, lambda x: x * 0.5::DOUBLE * (1 + {erf_sql("(x / sqrt(2::DOUBLE))")})) AS a FROM {name}_p),
+{name}_r AS (SELECT pid, tok, list_transform(v, lambda x, i: x + 0.3::DOUBLE * ({second} + 0.01::DOUBLE * ((i - 1) % 4 - 1.5::DOUBLE))) AS r FROM {name}_a),
+{name} AS (SELECT pid, tok, list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS v FROM {name}_r)"""
+
+
+@query(sql("SELECT pid, tok, list_transform(v, lambda x: round(x, 6) + 0.0::DOUBLE) AS v FROM adt", adapted_sql("gt", "adt")))
+def adapted_tokens(spark, sf_dir):
+    """Degraded pages through an adapter with weights."""
+    out = awake_adapter().apply(bags(degraded_tokens(spark, sf_dir), "pid"))
+    return S.unpack(out, "pid").select("pid", F.col("tok").cast("long").alias("tok"), six(F.col("v")).alias("v"))
+
+
+def training_tables(spark, sf_dir):
+    """(pages, queries, relevant): clean pages as teachers of two variants, queries in eight groups by number."""
     q, d = queries_and_docs(spark, sf_dir)
-    bad = bags(degraded_tokens(spark, sf_dir), "pid")
-    scores = S.score_multi_vector(q, d).toPandas().pivot(index="qid", columns="pid", values="score").to_numpy()
-    rel = qrels(spark, sf_dir).toPandas().groupby("qid")["pid"].agg(set)
-    bag = lambda frame, key: [np.array([list(v) for v in t], float) for t in frame.orderBy(key).toPandas()["toks"]]
-    return A.Example(bag(q, "qid"), bag(bad, "pid"), scores, [rel.get(i, set()) for i in range(len(scores))])
+    clean = d.withColumnRenamed("toks", "clean")
+    degraded = bags(degraded_tokens(spark, sf_dir), "pid").join(clean, "pid").withColumn("variant", F.lit("degraded"))
+    plain = clean.select("pid", F.col("clean").alias("toks"), "clean").withColumn("variant", F.lit("clean"))
+    return degraded.unionByName(plain), q.withColumn("group", F.col("qid") % 8), qrels(spark, sf_dir)
+
+
+STEP_SQL = """st AS (SELECT qid, tok AS qtok, v FROM qt WHERE qid % 8 < 4), relevant AS (SELECT DISTINCT qid, pid FROM qrels),
+student AS (SELECT qid, pid, sum(m) AS s FROM (SELECT qid, qtok, pid, max(list_dot_product(st.v, adt.v)) AS m FROM st, adt GROUP BY ALL) GROUP BY ALL),
+sides AS (SELECT qid, pid, s, score AS t, r.pid IS NOT NULL AS rel FROM student JOIN scores USING (qid, pid) LEFT JOIN relevant r USING (qid, pid)),
+tops AS (SELECT *, max(s) OVER (PARTITION BY qid) AS ms, max(t) OVER (PARTITION BY qid) AS mt FROM sides),
+norms AS (SELECT qid, max(ms) / 0.07::DOUBLE + ln(sum(exp((s - ms) / 0.07::DOUBLE))) AS ls, max(mt) / 0.07::DOUBLE + ln(sum(exp((t - mt) / 0.07::DOUBLE))) AS lt,
+  max(ms) + ln(sum(exp(s - ms))) AS lp, max(ms) + ln(sum(exp(s - ms)) FILTER (rel)) AS lr FROM tops GROUP BY qid),
+told AS (SELECT qid, sum(exp(t / 0.07::DOUBLE - lt) * (t / 0.07::DOUBLE - lt - s / 0.07::DOUBLE + ls)) AS kl FROM sides JOIN norms USING (qid) GROUP BY qid),
+same AS (SELECT avg(c) AS c FROM (SELECT pid, avg(list_dot_product(adt.v, gt.v) / sqrt(list_dot_product(gt.v, gt.v))) AS c FROM adt JOIN gt USING (pid, tok) GROUP BY pid)),
+parts AS (SELECT (SELECT avg(kl) FROM told) * 0.07::DOUBLE * 0.07::DOUBLE AS d, (SELECT avg(lp - lr) FROM norms WHERE lr IS NOT NULL) AS r, 1 - (SELECT c FROM same) AS i)"""
+
+
+@query(sql("SELECT round(d, 6) AS score_distill, round(r, 6) AS qrels_rank, round(i, 6) AS identity, round(d + 0.5::DOUBLE * r + 0.05::DOUBLE * i, 6) AS total FROM parts", adapted_sql("gt", "adt"), STEP_SQL))
+def adapter_step_losses(spark, sf_dir):
+    """Losses of one distributed training step: half of the query groups over all degraded pages."""
+    pages, queries, relevant = training_tables(spark, sf_dir)
+    pages = stored(pages.where("variant = 'degraded'"), "pages")
+    parts, _ = training.step(pages, relevant, training.Batch.of(queries.where("group < 4")), awake_adapter(), pages.count(), training.Settings())
+    return spark.createDataFrame([parts]).select(*[F.round(n, 6).alias(n) for n in ("score_distill", "qrels_rank", "identity", "total")])
 
 
 @query()
 def adapter_training_history(spark, sf_dir):
-    """Loss and validation score by epoch; rows only, as training has no SQL."""
-    ex = adapter_examples(spark, sf_dir)
-    _, history = A.train(A.Adapter(64, 32), [ex], lambda a: -A.loss_and_gradient(a, ex)[0]["total"], epochs=5)
-    return spark.createDataFrame([(h["epoch"], float(h["loss"]), float(h["score"])) for h in history], "epoch long, loss double, score double")
+    """Losses and held-out score by epoch of training over two variants: six groups teach, two are held out. The
+    tests hold its gradients."""
+    pages, queries, relevant = training_tables(spark, sf_dir)
+    pages, queries, relevant = stored(pages, "pages"), stored(queries, "queries"), stored(relevant, "relevant")
+    taught, held = queries.where("group < 6"), queries.where("group >= 6").select("qid", "toks")
+    state = training.train(pages, taught, relevant, held, pages.where("variant = 'degraded'"), A.Adapter(64, 32), training.Settings(groups_a_batch=3, epochs=2))
+    return spark.createDataFrame(state.history, "epoch long, total double, score_distill double, qrels_rank double, identity double, score double")
 
 
 @query()
@@ -226,9 +286,16 @@ def encoded_queries(spark, sf_dir):
     return out.select("item_id", F.size("toks").cast("long").alias("n_tokens"))
 
 
-@query(sql("SELECT variant, adapted, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr, count(*) AS n_queries FROM (SELECT 'clean' AS variant, * FROM pq UNION ALL SELECT 'degraded', * FROM pq_g), (VALUES (false), (true)) v(adapted) GROUP BY ALL", metrics_sql("ranked"), metrics_sql("granked", "_g")))
+def adapted_ranking(tokens: str, name: str) -> str:
+    """CTEs of the ranking by adapted tokens."""
+    return f"""{adapted_sql(tokens, f"{name}_t")},
+{name}_s AS (SELECT qid, pid, sum(m) AS score FROM (SELECT qid, qt.tok, pid, max(list_dot_product(qt.v, d.v)) AS m FROM qt, {name}_t d GROUP BY ALL) GROUP BY ALL),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, pid) AS rank FROM {name}_s)"""
+
+
+@query(sql("SELECT variant, adapted, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr, count(*) AS n_queries FROM (SELECT 'clean' AS variant, false AS adapted, * FROM pq UNION ALL SELECT 'degraded', false, * FROM pq_g UNION ALL SELECT 'clean', true, * FROM pq_ad UNION ALL SELECT 'degraded', true, * FROM pq_ag) GROUP BY ALL", metrics_sql("ranked"), metrics_sql("granked", "_g"), adapted_ranking("dt", "adr"), adapted_ranking("gt", "agr"), metrics_sql("adr", "_ad"), metrics_sql("agr", "_ag")))
 def adapter_by_variant(spark, sf_dir):
-    """A fresh adapter changes nothing, so raw and adapted metrics agree."""
+    """Raw and adapted pages of two variants, the adapter having weights."""
     q, d = queries_and_docs(spark, sf_dir)
-    out = A.evaluate_variants(A.Adapter(64), q, qrels(spark, sf_dir), {"clean": d, "degraded": bags(degraded_tokens(spark, sf_dir), "pid")})
+    out = A.evaluate_variants(awake_adapter(), q, qrels(spark, sf_dir), {"clean": d, "degraded": bags(degraded_tokens(spark, sf_dir), "pid")})
     return out.select("variant", "adapted", F.round("ndcg", 6).alias("ndcg"), F.round("mrr", 6).alias("mrr"), "n_queries")
