@@ -65,9 +65,9 @@ class Codec:
         return near, np.packbits(planes.reshape(len(tokens), -1), axis=1)
 
     def decode(self, near: np.ndarray, packed: np.ndarray) -> np.ndarray:
-        planes = np.unpackbits(packed, axis=1).reshape(len(near), self.dim, self.bits)
-        buckets = planes @ (1 << np.arange(self.bits)[::-1])
-        return self.centroids[near] + self.values[buckets]
+        shifts = np.arange(8 - self.bits, -1, -self.bits)
+        by_byte = self.values[np.arange(256)[:, None] >> shifts & (len(self.values) - 1)]  # what the components in a byte stand for
+        return self.centroids[near] + by_byte[packed].reshape(len(near), self.dim)
 
     def to_json(self) -> str:
         return json.dumps({"centroids": self.centroids.tolist(), "limits": self.limits.tolist(), "values": self.values.tolist(), "spread": self.spread.tolist()})
@@ -169,19 +169,29 @@ class Chunk:
         self.rests = np.frombuffer(rests, np.uint8).reshape(len(self.near), -1)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.spread = np.maximum.reduceat(codec.spread[self.near], self.starts)
-        self.decompressed = 0
+        self.decompressed, self.tokens = 0, None
 
     def by_centroids(self, table: np.ndarray) -> np.ndarray:
         """Scores of all documents from ``table``: a query's tokens by centroids."""
         return np.maximum.reduceat(table[:, self.near], self.starts, axis=1).sum(axis=0)
 
     def exact(self, query: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Scores of the documents at ``docs`` from their decompressed tokens."""
+        """Scores of the documents at ``docs`` from their decompressed tokens, which are kept for further queries."""
+        if self.tokens is None:
+            self.tokens, self.open = np.zeros((len(self.near), self.codec.dim)), np.zeros(len(self.pids), bool)
+        new = np.zeros(len(self.pids), bool)
+        new[docs] = True
+        if (new := new & ~self.open).any():
+            at = np.flatnonzero(np.repeat(new, self.sizes))
+            self.tokens[at] = self.codec.decode(self.near[at], self.rests[at])
+            self.open |= new
+            self.decompressed += len(at)
+        if 4 * len(docs) > len(self.pids):  # scoring all at once beats gathering most of them
+            return np.maximum.reduceat(query @ self.tokens.T, self.starts, axis=1).sum(axis=0)[docs]
         sizes = self.sizes[docs]
         begins = np.cumsum(sizes) - sizes
         at = np.repeat(self.starts[docs] - begins, sizes) + np.arange(sizes.sum())
-        self.decompressed += len(at)
-        return np.maximum.reduceat(query @ self.codec.decode(self.near[at], self.rests[at]).T, begins, axis=1).sum(axis=0)
+        return np.maximum.reduceat(query @ self.tokens[at].T, begins, axis=1).sum(axis=0)
 
     def best(self, query: np.ndarray, k: int, width: float) -> list[tuple[int, float]]:
         """(pid, score) of the k best by decompressed tokens."""
