@@ -41,9 +41,24 @@ def gaussian_kernel(sigma: float, size: int) -> np.ndarray:
     return k / k.sum()
 
 
-def gaussian_blur(image: np.ndarray, seed: int = 0, sigma: float = 3.0) -> np.ndarray:
+def _edged(stack: np.ndarray, ky: int, kx: int) -> np.ndarray:
+    """``mirrored`` for images (n, h, w, c)."""
+    h, w = stack.shape[1:3]
+    return np.pad(stack, ((0, 0), (ky, ky), (kx, kx), (0, 0)), mode="reflect" if min(h, w) > max(ky, kx) else "symmetric")
+
+
+def gaussian_stack(stack: np.ndarray, sigma: float = 3.0) -> np.ndarray:
+    """Gaussian blur of images (n, h, w, c): along rows, then along columns."""
     k = gaussian_kernel(sigma, int(6 * sigma + 1) | 1)
-    return _clipped(np.rint(_each(image, lambda ch: filtered(filtered(ch, k[None, :]), k[:, None]))))
+    half, (h, w) = len(k) // 2, stack.shape[1:3]
+    wide = _edged(stack.astype(float), 0, half)
+    rows = sum(k[i] * wide[:, :, i : i + w] for i in range(len(k)))
+    wide = _edged(rows, half, 0)
+    return _clipped(np.rint(sum(k[i] * wide[:, i : i + h] for i in range(len(k)))))
+
+
+def gaussian_blur(image: np.ndarray, seed: int = 0, sigma: float = 3.0) -> np.ndarray:
+    return gaussian_stack(image[None], sigma)[0]
 
 
 def gaussian_noise(image: np.ndarray, seed: int = 0, std: float = 25.0) -> np.ndarray:
@@ -149,45 +164,61 @@ def watermark(image: np.ndarray, seed: int = 0, text: str = "DRAFT", opacity: fl
     return _clipped(np.rint(out))
 
 
-def nlmeans(image: np.ndarray, seed: int = 0, h: float = 10.0, template: int = 7, search: int = 21) -> np.ndarray:
-    """Non-local means: averages weighted by the likeness of the surrounding templates."""
+def nlmeans_stack(stack: np.ndarray, h: float = 10.0, template: int = 7, search: int = 21) -> np.ndarray:
+    """Non-local means of images (n, h, w, c): averages weighted by the likeness of the surrounding templates."""
     t, s = template // 2, search // 2
-    wide = np.stack([mirrored(image[..., k].astype(float), s + t, s + t) for k in range(image.shape[2])], axis=2)
-    hh, ww = image.shape[:2]
-    centre = wide[s : s + hh + 2 * t, s : s + ww + 2 * t]
-    total, weights = np.zeros(image.shape), np.zeros((hh, ww, 1))
+    wide = _edged(stack.astype(float), s + t, s + t)
+    hh, ww = stack.shape[1:3]
+    centre = wide[:, s : s + hh + 2 * t, s : s + ww + 2 * t]
+    total, weights = np.zeros(stack.shape), np.zeros((*stack.shape[:3], 1))
     for dy in range(-s, s + 1):
         for dx in range(-s, s + 1):
-            other = wide[s + dy : s + dy + hh + 2 * t, s + dx : s + dx + ww + 2 * t]
-            sums = np.pad(((centre - other) ** 2).mean(axis=2).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-            gap = (sums[template:, template:] - sums[:-template, template:] - sums[template:, :-template] + sums[:-template, :-template]) / template**2
-            w = np.exp(-np.maximum(gap, 0) / (h * h))[:, :, None]
-            total += w * other[t : t + hh, t : t + ww]
+            other = wide[:, s + dy : s + dy + hh + 2 * t, s + dx : s + dx + ww + 2 * t]
+            sums = np.pad(((centre - other) ** 2).mean(axis=3).cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
+            gap = (sums[:, template:, template:] - sums[:, :-template, template:] - sums[:, template:, :-template] + sums[:, :-template, :-template]) / template**2
+            w = np.exp(-np.maximum(gap, 0) / (h * h))[..., None]
+            total += w * other[:, t : t + hh, t : t + ww]
             weights += w
     return _clipped(np.rint(total / weights))
 
 
+def nlmeans(image: np.ndarray, seed: int = 0, h: float = 10.0, template: int = 7, search: int = 21) -> np.ndarray:
+    return nlmeans_stack(image[None], h, template, search)[0]
+
+
 def restore_gaussian(image: np.ndarray, seed: int = 0, sigma: float = 1.5) -> np.ndarray:
     return gaussian_blur(image, seed, sigma)
 
 
 def grey(image: np.ndarray) -> np.ndarray:
-    return image[..., 0].astype(float) if image.shape[2] == 1 else np.rint(image[..., :3] @ np.array([0.299, 0.587, 0.114]))
+    return image[..., 0].astype(float) if image.shape[-1] == 1 else np.rint(image[..., :3] @ np.array([0.299, 0.587, 0.114]))
+
+
+def _box_sums(planes: np.ndarray, size: int) -> np.ndarray:
+    """Sums over size x size neighbourhoods of (n, h, w), with zeros outside."""
+    half = size // 2
+    sums = np.pad(np.pad(planes, ((0, 0), (half, half), (half, half))).cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
+    return sums[:, size:, size:] - sums[:, :-size, size:] - sums[:, size:, :-size] + sums[:, :-size, :-size]
+
+
+def wiener_stack(stack: np.ndarray, noise_power: float = 0.01) -> np.ndarray:
+    """Local 5 x 5 Wiener filter of the grey images (n, h, w), back in their channels. Sums are of whole numbers, so they
+    are exact; ``noise_power`` is for levels from 0 to 1."""
+    x = grey(stack)
+    sums, squares, noise = _box_sums(x, 5), _box_sums(x * x, 5), noise_power * 255 * 255
+    mean, variance = sums / 25, (25 * squares - sums * sums) / 625
+    gain = np.where(variance > noise, 1 - noise / np.where(variance > noise, variance, 1), 0)
+    return np.repeat(_clipped(np.floor(mean + gain * (x - mean)))[..., None], stack.shape[3], axis=3)
 
 
 def wiener(image: np.ndarray, seed: int = 0, noise_power: float = 0.01, local: bool = True) -> np.ndarray:
-    """Local 5 x 5 Wiener filter of the grey image, or its form over frequencies; back in the image's channels."""
-    x = grey(image) / 255
+    """The local Wiener filter, or its form over frequencies."""
     if local:
-        box = lambda a: filtered_zero(a, 5) / 25
-        mean = box(x)
-        variance = np.maximum(box(x * x) - mean**2, 0)
-        gain = np.where(variance > noise_power, 1 - noise_power / np.maximum(variance, 1e-12), 0)
-        out = mean + gain * (x - mean)
-    else:
-        f = np.fft.fft2(x)
-        power = np.abs(f) ** 2
-        out = np.real(np.fft.ifft2(power / (power + noise_power * x.size) * f))
+        return wiener_stack(image[None], noise_power)[0]
+    x = grey(image) / 255
+    f = np.fft.fft2(x)
+    power = np.abs(f) ** 2
+    out = np.real(np.fft.ifft2(power / (power + noise_power * x.size) * f))
     return np.repeat(_clipped(out * 255)[:, :, None], image.shape[2], axis=2)
 
 
@@ -252,6 +283,8 @@ Step = tuple[str, dict]
 DEGRADATIONS = {"gaussian_noise": gaussian_noise, "salt_pepper": salt_pepper, "gaussian_blur": gaussian_blur, "motion_blur": motion_blur, "tilt": tilt, "jpeg_compression": jpeg, "watermark": watermark}
 RESTORATIONS = {"nlmeans": nlmeans, "gaussian": restore_gaussian, "wiener": wiener}
 SEGMENTATIONS = {"adaptive": segmented}
+#: Restorations of many images (n, h, w, c) of one size at once.
+STACKS = {"nlmeans": nlmeans_stack, "gaussian": gaussian_stack, "wiener": wiener_stack}
 # fixed values: named conditions
 DEGRADED: dict[str, list[Step]] = {
     "light_noise": [("gaussian_noise", {"std": 15})],

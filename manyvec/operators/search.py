@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from manyvec.operators import images, metrics, scoring
 from manyvec.operators.encoder import Encoder
+from manyvec.session import held, release, stored
 
 
 class Swarm:
@@ -50,25 +54,94 @@ class Swarm:
         return self.optimize_all(score)
 
 
+@dataclass(frozen=True)
+class Restoration:
+    """Steps of a restoration, each with the option that a search may set and the least value it takes."""
+
+    steps: tuple[tuple[str, str, float], ...] = (("nlmeans", "h", 1.0), ("gaussian", "sigma", 0.1))
+    fixed: tuple[tuple[str, tuple[tuple[str, float], ...]], ...] = ()
+
+    def __post_init__(self):
+        if unknown := [n for n, *_ in self.steps if n not in images.STACKS]:
+            raise ValueError(f"unknown steps {unknown}; there are {sorted(images.STACKS)}")
+
+    def __call__(self, stack: np.ndarray, params: list[float]) -> np.ndarray:
+        more = {name: dict(options) for name, options in self.fixed}
+        for (name, option, least), value in zip(self.steps, params, strict=True):
+            stack = images.STACKS[name](stack, **{option: max(least, float(value))}, **more.get(name, {}))
+        return stack
+
+
+#: Numbers of pixels that are restored at once.
+PIXELS = 4_000_000
+
+
+def restored_bags(degraded: DataFrame, particles: np.ndarray, restoration: Restoration, encoder: Encoder) -> DataFrame:
+    """(particle, doc, pid, toks): every image (id, doc, h, w, c, data) restored by every particle and encoded. The particle
+    travels with the image as a key, so all particles of a generation are one narrow pass."""
+    shared = degraded.sparkSession.sparkContext.broadcast((particles, restoration, encoder))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        particles, restoration, encoder = shared.value
+        for pdf in parts:
+            for (h, w, c), same in pdf.groupby(["h", "w", "c"]):
+                most = max(1, PIXELS // max(1, h * w * c))
+                for at in range(0, len(same), most):
+                    lot = same.iloc[at : at + most]
+                    stack = np.frombuffer(b"".join(lot["data"]), np.uint8).reshape(len(lot), h, w, c)
+                    for n, params in enumerate(particles):
+                        toks = encoder.encode(list(restoration(stack, params)))
+                        yield pd.DataFrame({"particle": n, "doc": lot["doc"].to_numpy(), "pid": lot["id"].to_numpy(), "toks": [m.tolist() for m in toks]})
+
+    return degraded.select("id", "doc", "h", "w", "c", "data").mapInPandas(run, "particle long, doc long, pid long, toks array<array<double>>")
+
+
+def generation_scores(bags: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(particle, score): mean nDCG of queries (qid, doc, toks), query i asking for page i among the pages of its document.
+
+    A query has one relevant page, so its gain follows from how many pages are better: own scores by an equi-join, then a
+    count that each task makes for itself before anything is shuffled. Nothing is sorted. Queries whose page is missing score 0."""
+    q = queries.select("qid", "doc", F.col("toks").alias("q"))
+    score = F.round(scoring.late_interaction(F.col("q"), F.col("toks")), 9)
+    own = bags.join(q.select("qid", "q"), bags["pid"] == F.col("qid")).groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("particle", score.alias("s")))).alias("own"))
+    asked = q.join(own, "qid")  # an entry a particle
+    scored = bags.join(asked, "doc").select("particle", "qid", "pid", score.alias("score"), F.col("own")[F.col("particle")].alias("mine"))
+    better = (F.col("score") > F.col("mine")) | ((F.col("score") == F.col("mine")) & (F.col("pid") < F.col("qid")))
+    ranks = scored.groupBy("particle", "qid").agg(F.count_if(better).alias("before"))
+    gains = ranks.groupBy("particle").agg(F.sum(F.when(F.col("before") < k, metrics.gain(F.col("before") + 1)).otherwise(0.0)).alias("gain"))
+    return gains.crossJoin(F.broadcast(q.agg(F.count("*").alias("n")))).select("particle", (F.col("gain") / F.col("n")).alias("score"))  # one row
+
+
+def restoration_search(degraded: DataFrame, queries: DataFrame, encoder: Encoder, restoration: Restoration, swarm: Swarm, k: int = 5) -> tuple[np.ndarray, float]:
+    """(best parameters, best score): all particles of a generation in one plan, from stored degraded images to a score each."""
+    degraded, queries = stored(degraded, "degraded"), stored(queries, "queries")
+
+    def objective(particles: np.ndarray) -> np.ndarray:
+        before = set(held())
+        bags = stored(restored_bags(degraded, particles, restoration, encoder), "bags")
+        found = {r["particle"]: r["score"] for r in generation_scores(bags, queries, k).collect()}  # a row a particle
+        release(degraded.sparkSession, [p for p in held() if p not in before])
+        return np.array([found.get(i, 0.0) for i in range(len(particles))])
+
+    return swarm.optimize_all(objective)
+
+
 def restoration_objective(pages: DataFrame, queries: DataFrame, encoder: Encoder, std: float = 30.0, k: int = 5) -> Callable[[np.ndarray], float]:
     """Scores (h, sigma): mean nDCG of pages (image rows) that were given noise and restored by both filters, encoded and
     scored against bags of queries, query i belonging to page i. Parameters are held at h >= 1, sigma >= 0.1."""
-    degraded = images.Pipeline([("gaussian_noise", {"std": std})], images.EVERY)(pages)
+    one = F.lit(0).cast("long")
+    degraded = images.Pipeline([("gaussian_noise", {"std": std})], images.EVERY)(pages).withColumn("doc", one)
+    asked = queries.withColumn("doc", one)
 
     def objective(params: np.ndarray) -> float:
-        h, sigma = max(1.0, float(params[0])), max(0.1, float(params[1]))
-        restored = images.Pipeline([("nlmeans", {"h": h}), ("gaussian", {"sigma": sigma})], images.EVERY)(degraded)
-        bags = encoded_images(restored, encoder)
-        scores = scoring.score_multi_vector(queries, bags)
-        return float(metrics.evaluate(scores, metrics.diagonal(scores), k).first()["ndcg"])
+        bags = restored_bags(degraded, np.array([params], float), Restoration(), encoder)
+        return float(generation_scores(bags, asked, k).first()["score"])
 
     return objective
 
 
 def encoded_images(rows: DataFrame, encoder: Encoder) -> DataFrame:
     """(pid, toks) of image rows; the encoder gets (h, w, c) arrays."""
-    import pandas as pd
-
     shared = rows.sparkSession.sparkContext.broadcast(encoder)
 
     def run(parts):

@@ -272,6 +272,58 @@ def swarm_search(spark, sf_dir):
     return spark.createDataFrame([(float(best[0]), score)], "temperature double, ndcg double")
 
 
+BLURRED = f"""bp AS (SELECT a.id, a.x, a.y, round_even(sum(kx.w * ky.w * b.p), 0) AS p FROM px a, k kx, k ky, px b
+  WHERE b.id = a.id AND b.x = {REFLECT.format('a.x + kx.d')} AND b.y = {REFLECT.format('a.y + ky.d')} GROUP BY ALL)"""
+RESTORED_SQL = """noise AS (SELECT * FROM (VALUES (0, 0.0005::DOUBLE), (1, 0.01::DOUBLE), (2, 0.05::DOUBLE)) t(particle, power)),
+boxes AS (SELECT a.id, a.x, a.y, any_value(a.p) AS p, sum(b.p) AS s, 25 * sum(b.p * b.p) - sum(b.p) * sum(b.p) AS v FROM bp a JOIN bp b ON b.id = a.id AND abs(b.x - a.x) <= 2 AND abs(b.y - a.y) <= 2 GROUP BY a.id, a.x, a.y),
+gains AS (SELECT particle, id, x, y, p, s / 25 AS m, CASE WHEN v / 625 > power * 255 * 255 THEN 1 - power * 255 * 255 / (v / 625) ELSE 0 END AS g FROM boxes, noise),
+restored AS (SELECT particle, id, x, y, greatest(0, least(255, floor(m + g * (p - m)))) AS p FROM gains)"""
+
+
+@query(sql(f"SELECT id, {BYTES} FROM restored WHERE particle = 1 GROUP BY id", PIXELS, KERNEL, BLURRED, RESTORED_SQL))
+def wiener_pixels(spark, sf_dir):
+    """Every pixel of every blurred image after the local Wiener filter."""
+    out = images.Pipeline([("gaussian_blur", {"sigma": 0.5}), ("wiener", {"noise_power": 0.01})], images.EVERY)(pictures(spark, sf_dir))
+    return out.select("id", F.lower(F.hex("data")).alias("data"))
+
+
+def asked_pictures(spark, sf_dir, encoder):
+    """Every eighth picture, undisturbed, asks for its page among the 64 of its document."""
+    asked = pictures(spark, sf_dir).where("id % 8 = 0")
+    return P.encoded_images(asked, encoder).select(F.col("pid").alias("qid"), F.expr("pid div 64").alias("doc"), "toks")
+
+
+def tokens_sql(pixels: str, name: str) -> str:
+    """CTEs that end in ``name`` (particle, id, tok, v): pixel rows, centred and at unit length."""
+    return f"""{name}_r AS (SELECT particle, id, y AS tok, list(c ORDER BY x) AS r FROM (SELECT *, p - avg(p) OVER (PARTITION BY particle, id) AS c FROM {pixels}) GROUP BY ALL),
+{name} AS (SELECT particle, id, tok, list_transform(r, lambda x: x / greatest(sqrt(list_dot_product(r, r)), 1e-12::DOUBLE)) AS v FROM {name}_r)"""
+
+
+RANKED_PAGES = """asks AS (SELECT id AS qid, tok AS qtok, v AS q FROM clean WHERE id % 8 = 0),
+pairs AS (SELECT particle, qid, pid, round(sum(m), 9) AS s FROM (SELECT particle, qid, qtok, id AS pid, max(list_dot_product(q, v)) AS m FROM asks JOIN pages ON qid // 64 = id // 64 GROUP BY ALL) GROUP BY ALL),
+placed AS (SELECT particle, qid, pid, row_number() OVER (PARTITION BY particle, qid ORDER BY s DESC, pid) AS rank FROM pairs)"""
+
+
+@query(sql("SELECT particle, round(avg(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS score FROM placed WHERE pid = qid GROUP BY particle",
+           PIXELS, KERNEL, BLURRED, RESTORED_SQL, tokens_sql("restored", "pages"), "px0 AS (SELECT 0 AS particle, * FROM px)", tokens_sql("px0", "clean"), RANKED_PAGES))
+def restoration_generation(spark, sf_dir):
+    """One generation of a search: three strengths of the Wiener filter on all blurred pages, in one plan."""
+    rows, rule = encoder.RowEncoder(8), P.Restoration((("wiener", "noise_power", 0.0),))
+    degraded = images.Pipeline([("gaussian_blur", {"sigma": 0.5})], images.EVERY)(pictures(spark, sf_dir)).withColumn("doc", F.expr("id div 64"))
+    bags_ = stored(P.restored_bags(degraded, np.array([[0.0005], [0.01], [0.05]]), rule, rows), "bags")
+    return P.generation_scores(bags_, asked_pictures(spark, sf_dir, rows)).select("particle", F.round("score", 6).alias("score"))
+
+
+@query()
+def restoration_search(spark, sf_dir):
+    """Strengths of non-local means and Gaussian filter that rank noisy pages best; rows only, as the noise has no SQL."""
+    rows = encoder.RowEncoder(8)
+    degraded = images.Pipeline([("gaussian_noise", {"std": 30})], images.EVERY)(pictures(spark, sf_dir)).withColumn("doc", F.expr("id div 64"))
+    rule = P.Restoration(fixed=(("nlmeans", (("template", 3), ("search", 5))),))
+    best, score = P.restoration_search(degraded, asked_pictures(spark, sf_dir, rows), rows, rule, P.Swarm([(1, 30), (0.1, 5)], particles=4, iters=3))
+    return spark.createDataFrame([(float(best[0]), float(best[1]), score)], "h double, sigma double, ndcg double")
+
+
 @query()
 def approximate_top10(spark, sf_dir):
     """Inverted lists over token centroids with exact reranking; the tests hold its recall."""
