@@ -78,17 +78,52 @@ class Batch:
     def starts(self) -> np.ndarray:
         return np.cumsum(self.sizes) - self.sizes
 
-    def scores(self, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(scores of the queries, the page token that each query token likes best)."""
-        sims = self.tokens @ page.T
-        best = sims.argmax(axis=1)
-        return np.add.reduceat(sims[np.arange(len(best)), best], self.starts), best
+    def scores(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Scores of the queries (rows) over pages (columns) whose tokens begin at ``starts``."""
+        return np.add.reduceat(np.maximum.reduceat(self.tokens @ tokens.T, starts, axis=1), self.starts, axis=0)
 
+    def liked(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, the token of each page that each query token likes best)."""
+        sims, ends = self.tokens @ tokens.T, [*starts[1:], len(tokens)]
+        best = np.stack([sims[:, a:b].argmax(axis=1) + a for a, b in zip(starts, ends)], axis=1)
+        return np.add.reduceat(np.take_along_axis(sims, best, axis=1), self.starts, axis=0), best
 
-def _pages(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-    """(clean tokens, tokens, relevant qids) of each page."""
-    for clean, toks, rel in zip(pdf["clean"], pdf["toks"], pdf["rel"]):
-        yield np.array(clean.tolist(), float), np.array(toks.tolist(), float), [] if rel is None else list(rel)
+
+#: Similarities that a task holds at once.
+HELD = 2_000_000
+
+
+@dataclass
+class Lot:
+    """Some pages: clean tokens and tokens, each with where its pages begin, and by query which pages answer it."""
+
+    clean: np.ndarray
+    clean_starts: np.ndarray
+    toks: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    own: np.ndarray
+
+
+def _lots(pdf: pd.DataFrame, batch: Batch) -> Iterator[Lot]:
+    most = max(1, HELD // max(1, len(batch.tokens)))
+    clean, toks, rel, n = [], [], [], 0
+
+    def made() -> Lot:
+        sizes, clean_sizes = np.array([len(t) for t in toks]), np.array([len(t) for t in clean])
+        own = np.stack([np.isin(batch.qids, r) for r in rel], axis=1)
+        return Lot(np.concatenate(clean), np.cumsum(clean_sizes) - clean_sizes, np.concatenate(toks), np.cumsum(sizes) - sizes, sizes, own)
+
+    for c, t, r in zip(pdf["clean"], pdf["toks"], pdf["rel"]):
+        clean.append(np.array(c.tolist(), float))
+        toks.append(np.array(t.tolist(), float))
+        rel.append([] if r is None else list(r))
+        n += max(len(clean[-1]), len(toks[-1]))
+        if n >= most:
+            yield made()
+            clean, toks, rel, n = [], [], [], 0
+    if toks:
+        yield made()
 
 
 def merged(parts: pd.DataFrame) -> dict[str, float]:
@@ -117,20 +152,15 @@ def softmax_sums(rows: DataFrame, adapter: Adapter, batch: Batch, settings: Sett
 
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         adapter, batch = shared.value
-        n, lots = len(batch.qids), []
+        lots = []
         for pdf in parts:
-            taught, scored, own = [], [], []
-            for clean, toks, rel in _pages(pdf):
-                taught.append(batch.scores(clean)[0])
-                scored.append(batch.scores(adapter.forward(toks))[0])
-                own.append(np.isin(batch.qids, rel))
-            if scored:
-                lots.append(sums_of(np.array(taught), np.array(scored), np.array(own), t))
+            for lot in _lots(pdf, batch):
+                scored = batch.scores(adapter.forward(lot.toks), lot.starts)
+                lots.append(sums_of(batch.scores(lot.clean, lot.clean_starts).T, scored.T, lot.own.T, t).assign(qid=batch.qids))
+            if len(lots) > 1:
+                lots = [pd.DataFrame([{"qid": q} | merged(g) for q, g in pd.concat(lots).groupby("qid")], columns=NAMES)]
         for lot in lots:
-            lot.insert(0, "qid", batch.qids)
-        if lots and n:
-            whole = pd.concat(lots)
-            yield pd.DataFrame([{"qid": q} | merged(g) for q, g in whole.groupby("qid")], columns=NAMES)
+            yield lot[NAMES]
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"qid": pdf["qid"].iloc[0]} | merged(pdf)], columns=NAMES)
@@ -187,24 +217,25 @@ def gradient(rows: DataFrame, adapter: Adapter, batch: Batch, sums: list[dict],
 
         adapter, batch, s = shared.value
         total, identity, n = None, 0.0, 0
+        of_query = lambda name: s[name][:, None]
         for pdf in parts:
-            for clean, toks, rel in _pages(pdf):
+            for lot in _lots(pdf, batch):
                 tape: dict = {}
-                adapted = adapter.forward(toks, tape)
-                taught = batch.scores(clean)[0]
-                scored, best = batch.scores(adapted)
-                student, teacher = np.exp(scored / t - s["m_s"]) / s["s_s"], np.exp(taught / t - s["m_t"]) / s["s_t"]
-                plain, own = np.exp(scored - s["m_p"]) / s["s_p"], np.isin(batch.qids, rel)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    mine = np.where(own, np.exp(scored - s["m_r"]) / s["s_r"], 0.0)
-                d = w_distill * (student - teacher) * t / len(batch.qids) + w_rank * np.where(s["n_rel"] > 0, plain - mine, 0.0) / counted
-                norms = np.maximum(np.linalg.norm(toks, axis=1, keepdims=True), 1e-12)
-                grad = -w_identity * toks / norms / len(toks) / n_pages
-                np.add.at(grad, best, np.repeat(d, batch.sizes)[:, None] * batch.tokens)
-                part = flat(adapter.backward(tape, grad))
+                adapted = adapter.forward(lot.toks, tape)
+                taught, (scored, best) = batch.scores(lot.clean, lot.clean_starts), batch.liked(adapted, lot.starts)
+                student, teacher = np.exp(scored / t - of_query("m_s")) / of_query("s_s"), np.exp(taught / t - of_query("m_t")) / of_query("s_t")
+                plain = np.exp(scored - of_query("m_p")) / of_query("s_p")
+                with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                    mine = np.where(lot.own, np.exp(scored - of_query("m_r")) / of_query("s_r"), 0.0)
+                d = w_distill * (student - teacher) * t / len(batch.qids) + w_rank * np.where(of_query("n_rel") > 0, plain - mine, 0.0) / counted
+                norms = np.maximum(np.linalg.norm(lot.toks, axis=1, keepdims=True), 1e-12)
+                share = 1 / np.repeat(lot.sizes, lot.sizes)
+                pull = np.zeros((len(batch.tokens), len(adapted)))  # a query token pulls one token of each page
+                np.put_along_axis(pull, best, np.repeat(d, batch.sizes, axis=0), axis=1)
+                part = flat(adapter.backward(tape, pull.T @ batch.tokens - w_identity * lot.toks / norms * share[:, None] / n_pages))
                 total = part if total is None else total + part
-                identity += float((toks / norms * adapted).sum(axis=1).mean())
-                n += 1
+                identity += float(((lot.toks / norms * adapted).sum(axis=1) * share).sum())
+                n += len(lot.sizes)
         if total is not None:
             yield pd.DataFrame([(TaskContext.get().partitionId(), n, identity, total.tobytes())], columns=["part", "n_pages", "identity", "gradient"])
 

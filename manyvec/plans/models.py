@@ -216,15 +216,17 @@ def adapted_tokens(spark, sf_dir):
 
 
 def training_tables(spark, sf_dir):
-    """(pages, queries, relevant): clean pages as teachers of two variants, queries in eight groups by number."""
+    """(pages, queries, relevant): clean pages as teachers of two variants; queries in groups of four by number; a query is
+    answered by the pages of its own 41 vectors."""
     q, d = queries_and_docs(spark, sf_dir)
     clean = d.withColumnRenamed("toks", "clean")
     degraded = bags(degraded_tokens(spark, sf_dir), "pid").join(clean, "pid").withColumn("variant", F.lit("degraded"))
     plain = clean.select("pid", F.col("clean").alias("toks"), "clean").withColumn("variant", F.lit("clean"))
-    return degraded.unionByName(plain), q.withColumn("group", F.col("qid") % 8), qrels(spark, sf_dir)
+    answers = q.select("qid", F.explode(F.sequence(F.expr("qid div 2 * 6"), F.expr("qid div 2 * 6 + 5"))).alias("pid"))
+    return degraded.unionByName(plain), q.withColumn("group", F.expr("qid div 40")), answers
 
 
-STEP_SQL = """st AS (SELECT qid, tok AS qtok, v FROM qt WHERE qid % 8 < 4), relevant AS (SELECT DISTINCT qid, pid FROM qrels),
+STEP_SQL = """st AS (SELECT qid, tok AS qtok, v FROM qt WHERE qid % 50 = 0), relevant AS (SELECT DISTINCT qid, pid FROM qt, dt WHERE qid // 2 = pid // 6),
 student AS (SELECT qid, pid, sum(m) AS s FROM (SELECT qid, qtok, pid, max(list_dot_product(st.v, adt.v)) AS m FROM st, adt GROUP BY ALL) GROUP BY ALL),
 sides AS (SELECT qid, pid, s, score AS t, r.pid IS NOT NULL AS rel FROM student JOIN scores USING (qid, pid) LEFT JOIN relevant r USING (qid, pid)),
 tops AS (SELECT *, max(s) OVER (PARTITION BY qid) AS ms, max(t) OVER (PARTITION BY qid) AS mt FROM sides),
@@ -237,21 +239,22 @@ parts AS (SELECT (SELECT avg(kl) FROM told) * 0.07::DOUBLE * 0.07::DOUBLE AS d,
 
 @query(sql("SELECT round(d, 6) AS score_distill, round(r, 6) AS qrels_rank, round(i, 6) AS identity, round(d + 0.5::DOUBLE * r + 0.05::DOUBLE * i, 6) AS total FROM parts", adapted_sql("gt", "adt"), STEP_SQL))
 def adapter_step_losses(spark, sf_dir):
-    """Losses of one distributed training step: half of the query groups over all degraded pages."""
+    """Losses of one distributed training step: every fiftieth query, over all degraded pages."""
     pages, queries, relevant = training_tables(spark, sf_dir)
     pages = stored(pages.where("variant = 'degraded'"), "pages")
-    parts, _ = training.step(pages, relevant, training.Batch.of(queries.where("group < 4")), awake_adapter(), pages.count(), training.Settings())
+    parts, _ = training.step(pages, relevant, training.Batch.of(queries.where("qid % 50 = 0")), awake_adapter(), pages.count(), training.Settings())
     return spark.createDataFrame([parts]).select(*[F.round(n, 6).alias(n) for n in ("score_distill", "qrels_rank", "identity", "total")])
 
 
 @query()
 def adapter_training_history(spark, sf_dir):
-    """Losses and held-out score by epoch of training over two variants: six groups teach, two are held out. The
-    tests hold its gradients."""
+    """Losses and held-out score by epoch of training over two variants of all pages: every tenth query teaches, every
+    fiftieth is held out. The tests hold its gradients."""
     pages, queries, relevant = training_tables(spark, sf_dir)
     pages, queries, relevant = stored(pages, "pages"), stored(queries, "queries"), stored(relevant, "relevant")
-    taught, held = queries.where("group < 6"), queries.where("group >= 6").select("qid", "toks")
-    state = training.train(pages, taught, relevant, held, pages.where("variant = 'degraded'"), A.Adapter(64, 32), training.Settings(groups_a_batch=3, epochs=2))
+    taught, held = queries.where("qid % 10 = 0"), queries.where("qid % 50 = 1").select("qid", "toks")
+    settings = training.Settings(groups_a_batch=64, epochs=2)
+    state = training.train(pages, taught, relevant, held, pages.where("variant = 'degraded'"), A.Adapter(64, 32), settings)
     return spark.createDataFrame(state.history, "epoch long, total double, score_distill double, qrels_rank double, identity double, score double")
 
 
