@@ -90,13 +90,18 @@ def chat_query(text: Column) -> Column:
     return F.concat(F.lit("Query: "), text)
 
 
+def plain_base64(data: Column) -> Column:
+    """Base64 in one line; Spark's own breaks it after every 76 characters."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
 def payload(images: Column | None, queries: Column | None, most: int = 8) -> Column:
     """The request body of exactly one kind of input, or its error."""
     if (images is None) == (queries is None):
         raise ValueError("give either images or queries")
     if queries is not None:
         return F.to_json(F.struct(queries.alias("queries")))
-    body = F.to_json(F.struct(F.transform(images, F.base64).alias("images")))
+    body = F.to_json(F.struct(F.transform(images, plain_base64).alias("images")))
     return F.when(F.size(images) <= most, body).otherwise(F.to_json(F.struct(F.lit(f"at most {most} images").alias("error"))))
 
 

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from manyvec.functions.glyphs import text_mask
+
 IMAGE = "id long, h int, w int, c int, data binary"
 
 
@@ -124,43 +126,77 @@ CHROMINANCE = np.array([
 COSINES = np.array([[np.sqrt((1 if u == 0 else 2) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
 
 
+def chroma(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(luminance, blue and red difference) of (h, w, 3 or more), the differences around 128 as whole numbers."""
+    r, g, b = image[..., 0].astype(float), image[..., 1].astype(float), image[..., 2].astype(float)
+    y = 0.299 * r + 0.587 * g + 0.114 * b
+    return y, *(np.clip(np.rint(d), 0, 255).astype(int) for d in ((b - y) / 1.772 + 128, (r - y) / 1.402 + 128))
+
+
+def subsampled(plane: np.ndarray) -> np.ndarray:
+    """Every 2 x 2 cells as their mean, rounded down and up in turn from column to column; edges are repeated."""
+    wide = np.pad(plane, ((0, plane.shape[0] % 2), (0, plane.shape[1] % 2)), mode="edge")
+    sums = wide[::2, ::2] + wide[1::2, ::2] + wide[::2, 1::2] + wide[1::2, 1::2]
+    return (sums + 1 + np.arange(sums.shape[1]) % 2) >> 2
+
+
+def upsampled(plane: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Twice the size, each cell three parts of its own and one of the nearest neighbour, first down, then across."""
+    wide = np.pad(plane, 1, mode="edge")
+    rows = np.empty((2 * plane.shape[0], wide.shape[1]), int)
+    rows[::2], rows[1::2] = 3 * wide[1:-1] + wide[:-2], 3 * wide[1:-1] + wide[2:]
+    out = np.empty((rows.shape[0], 2 * plane.shape[1]), int)
+    out[:, ::2], out[:, 1::2] = (3 * rows[:, 1:-1] + rows[:, :-2] + 8) >> 4, (3 * rows[:, 1:-1] + rows[:, 2:] + 7) >> 4
+    return out[:h, :w]
+
+
+def _quantised(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """What cosine blocks leave of a plane when each coefficient is a multiple of the table's entry."""
+    h, w = plane.shape
+    wide = np.pad(plane.astype(float), ((0, -h % 8), (0, -w % 8)), mode="edge") - 128
+    blocks = wide.reshape(wide.shape[0] // 8, 8, -1, 8).transpose(0, 2, 1, 3)
+    coded = np.rint(COSINES @ blocks @ COSINES.T / table) * table
+    return ((COSINES.T @ coded @ COSINES).transpose(0, 2, 1, 3).reshape(wide.shape) + 128)[:h, :w]
+
+
 def jpeg(image: np.ndarray, seed: int = 0, quality: int = 10) -> np.ndarray:
-    """What quantised cosine blocks of this quality leave of the image (chroma isn't subsampled)."""
+    """What quantised cosine blocks of this quality leave of the image; colour differences are kept for every second row and
+    column only."""
     scale = 5000 / quality if quality < 50 else 200 - 2 * quality
+    light, colour = (np.clip(np.floor((t * scale + 50) / 100), 1, 255) for t in (LUMINANCE, CHROMINANCE))
     h, w, c = image.shape
-    planes = image.astype(float)
-    if c >= 3:
-        r, g, b = planes[..., 0], planes[..., 1], planes[..., 2]
-        y = 0.299 * r + 0.587 * g + 0.114 * b
-        planes = np.stack([y, (b - y) / 1.772 + 128, (r - y) / 1.402 + 128], axis=2)
-    out = np.empty_like(planes)
-    for k in range(planes.shape[2]):
-        table = np.clip(np.floor(((LUMINANCE if k == 0 else CHROMINANCE) * scale + 50) / 100), 1, 255)
-        wide = np.pad(planes[..., k], ((0, -h % 8), (0, -w % 8)), mode="edge") - 128
-        blocks = wide.reshape(wide.shape[0] // 8, 8, -1, 8).transpose(0, 2, 1, 3)
-        coded = np.rint(COSINES @ blocks @ COSINES.T / table) * table
-        back = (COSINES.T @ coded @ COSINES).transpose(0, 2, 1, 3).reshape(wide.shape)
-        out[..., k] = back[:h, :w] + 128
-    if c >= 3:
-        y, cb, cr = out[..., 0], out[..., 1] - 128, out[..., 2] - 128
-        rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
-        out = np.concatenate([rgb, image[..., 3:].astype(float)], axis=2)
-    return _clipped(np.rint(out))
+    if c < 3:
+        return _clipped(np.rint(np.stack([_quantised(image[..., k], light) for k in range(c)], axis=2)))
+    y, *differences = chroma(image)
+    y = np.clip(np.rint(_quantised(np.rint(y), light)), 0, 255)
+    cb, cr = (upsampled(np.clip(np.rint(_quantised(subsampled(d), colour)), 0, 255).astype(int), h, w) - 128 for d in differences)
+    rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
+    return _clipped(np.rint(np.concatenate([rgb, image[..., 3:].astype(float)], axis=2)))
 
 
-#: fixed values: rows of 5 bits for the watermark's letters
-GLYPHS = {"D": (30, 17, 17, 17, 17, 17, 30), "R": (30, 17, 17, 30, 20, 18, 17), "A": (14, 17, 17, 31, 17, 17, 17), "F": (31, 16, 16, 30, 16, 16, 16), "T": (31, 4, 4, 4, 4, 4, 4)}
+def colour_planes(rows: DataFrame) -> DataFrame:
+    """(id, cb, cr, cb_full, cr_full): colour differences of three-channel images as they are subsampled, and brought back
+    to full size, row after row."""
 
+    def run(parts):
+        for pdf in parts:
+            out = []
+            for key, h, w, c, data in zip(pdf["id"], pdf["h"], pdf["w"], pdf["c"], pdf["data"]):
+                small = [subsampled(d) for d in chroma(np.frombuffer(data, np.uint8).reshape(h, w, c))[1:]]
+                out.append((key, *[p.ravel().tolist() for p in small], *[upsampled(p, h, w).ravel().tolist() for p in small]))
+            yield pd.DataFrame(out, columns=["id", "cb", "cr", "cb_full", "cr_full"])
 
-def watermark(image: np.ndarray, seed: int = 0, text: str = "DRAFT", opacity: float = 0.3) -> np.ndarray:
-    """The text in grey across the middle, as large as fits, blended in."""
-    marks = np.concatenate([np.pad(np.array([[r >> (4 - i) & 1 for i in range(5)] for r in GLYPHS[ch]]), ((0, 0), (0, 1))) for ch in text if ch in GLYPHS], axis=1)
-    k = max(1, min(image.shape[0] // 2 // marks.shape[0], image.shape[1] // marks.shape[1]))
-    marks = np.kron(marks, np.ones((k, k)))[: image.shape[0], : image.shape[1]]
-    y, x = (image.shape[0] - marks.shape[0]) // 2, (image.shape[1] - marks.shape[1]) // 2
-    out = image.astype(float)
-    part = out[y : y + marks.shape[0], x : x + marks.shape[1]]
-    part += marks[:, :, None] * opacity * (128 - part)
+    return rows.select("id", "h", "w", "c", "data").mapInPandas(run, "id long, cb array<int>, cr array<int>, cb_full array<int>, cr_full array<int>")
+
+
+def watermark(image: np.ndarray, seed: int = 0, text: str = "WATERMARK", alpha: float = 0.3, size: int = 1) -> np.ndarray:
+    """The text in red, its corner a quarter across and half down, blended in at ``alpha``; what does not fit is cut off."""
+    h, w, c = image.shape
+    mask = text_mask(text, size)[: h - h // 2, : w - w // 4]
+    at = (slice(h // 2, h // 2 + mask.shape[0]), slice(w // 4, w // 4 + mask.shape[1]))
+    red = np.array([255, 0, 0][:c] if c >= 3 else [76] * c, float)  # 76: red as a grey level
+    share, out = int(255 * alpha) / 255, image.astype(float)
+    out[(*at, slice(0, len(red)))] += mask[..., None] * share * (red - out[(*at, slice(0, len(red)))])
     return _clipped(np.rint(out))
 
 

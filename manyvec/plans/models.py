@@ -62,6 +62,35 @@ def overlay_levels(spark, sf_dir):
     return maps.overlay(maps.normalized(page_maps(spark, sf_dir), value_range=(-1.0, 1.0))).select("page", "q_tok", "x", "y", "level")
 
 
+#: Each page of six with the first token of the next one.
+NEXT_MAPS = """pg AS (SELECT vec_id // 6 AS page, vec_id % 6 AS tok, v FROM e), fullp AS (SELECT page FROM pg GROUP BY page HAVING count(*) = 6),
+m AS (SELECT page, q.vec_id AS q_tok, tok % 3 AS x, tok // 3 AS y, list_dot_product(q.v, pg.v) AS sim FROM pg JOIN fullp USING (page) JOIN e q ON q.vec_id = page * 6 + 6)"""
+
+
+def cubic_sql(n_in: int, n_out: int, name: str) -> str:
+    """A CTE (i, j, w): the whole weight of input cell j for output cell i."""
+    d = f"abs((j + 0.5::DOUBLE - (i + 0.5::DOUBLE) * {n_in} / {n_out}) / {max(n_in / n_out, 1.0)}::DOUBLE)"
+    reach = 2 * max(n_in / n_out, 1.0)
+    return f"""{name}_raw AS (SELECT i, j, CASE WHEN {d} < 1 THEN 1.5::DOUBLE * {d} ** 3 - 2.5::DOUBLE * {d} ** 2 + 1 WHEN {d} < 2 THEN -0.5::DOUBLE * {d} ** 3 + 2.5::DOUBLE * {d} ** 2 - 4 * {d} + 2 ELSE 0 END AS r
+  FROM range({n_out}) a(i), range({n_in}) b(j) WHERE j >= floor((i + 0.5::DOUBLE) * {n_in} / {n_out} - {reach} + 0.5) AND j < floor((i + 0.5::DOUBLE) * {n_in} / {n_out} + {reach} + 0.5)),
+{name} AS (SELECT i, j, (CASE WHEN r >= 0 THEN floor(r / sum(r) OVER (PARTITION BY i) * 4194304 + 0.5) ELSE ceil(r / sum(r) OVER (PARTITION BY i) * 4194304 - 0.5) END)::BIGINT AS w FROM {name}_raw)"""
+
+
+LEVEL = "greatest(0, least(255, (sum(level * w)::BIGINT + 2097152) >> 22))"
+
+
+@query(sql("SELECT page, q_tok, list(levels ORDER BY y) AS image FROM (SELECT page, q_tok, y, list(level ORDER BY x) AS levels FROM resized GROUP BY page, q_tok, y) GROUP BY page, q_tok",
+           NEXT_MAPS, SCALED, "cells AS (SELECT page, q_tok, x, y, floor(s * 255)::INT AS level FROM n)", cubic_sql(3, 13, "across"), cubic_sql(2, 7, "down"),
+           f"wide AS (SELECT page, q_tok, i AS x, y, {LEVEL} AS level FROM cells JOIN across ON x = j GROUP BY page, q_tok, i, y)",
+           f"resized AS (SELECT page, q_tok, x, i AS y, {LEVEL}::INT AS level FROM wide JOIN down ON y = j GROUP BY page, q_tok, x, i)"))
+def overlay_images(spark, sf_dir):
+    """Maps of each page's six patches for the next page's first token, resampled to pages of 13 x 7 pixels."""
+    every = vectors(spark, sf_dir)
+    pages = bags(every.selectExpr("vec_id div 6 AS page", "vec_id % 6 AS tok", "v"), "page").where(F.size("toks") == 6)
+    q = every.where("vec_id % 6 = 0 AND vec_id > 0").select((F.expr("vec_id div 6") - 1).alias("page"), F.col("vec_id").alias("q_tok"), F.col("v").alias("q"))
+    return maps.overlay_images(maps.normalized(maps.similarity_maps(q, pages, 3, 2)), 3, 2, 13, 7)
+
+
 @query(sql("SELECT page, x, y, round(avg(sim), 6) AS mean, round(max(sim), 6) AS max FROM m GROUP BY ALL", MAPS))
 def heatmaps(spark, sf_dir):
     return maps.heatmap(page_maps(spark, sf_dir)).select("page", "x", "y", F.round("mean", 6).alias("mean"), F.round("max", 6).alias("max"))
@@ -146,6 +175,30 @@ def tilted_pixels(spark, sf_dir):
     return images.condition("degraded", "tilt")(pictures(spark, sf_dir)).select("id", F.lower(F.hex("data")).alias("data"))
 
 
+#: Three vectors in a row as the channels of an image; a channel that is missing at the end is black.
+COLOURS = """rgb AS (SELECT id // 3 AS id, x, y, coalesce(max(p) FILTER (id % 3 = 0), 0)::DOUBLE AS r, coalesce(max(p) FILTER (id % 3 = 1), 0)::DOUBLE AS g, coalesce(max(p) FILTER (id % 3 = 2), 0)::DOUBLE AS b FROM px GROUP BY ALL),
+lum AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS l FROM rgb),
+diff AS (SELECT id, x, y, unnest(['cb', 'cr']) AS plane, unnest([greatest(0, least(255, round_even((b - l) / 1.772::DOUBLE + 128, 0)))::INT, greatest(0, least(255, round_even((r - l) / 1.402::DOUBLE + 128, 0)))::INT]) AS d FROM lum),
+small AS (SELECT id, plane, x // 2 AS x, y // 2 AS y, ((sum(d) + 1 + (x // 2) % 2)::BIGINT >> 2)::INT AS d FROM diff GROUP BY id, plane, x // 2, y // 2),
+down AS (SELECT s.id, s.plane, s.x, 2 * s.y + k AS y, 3 * s.d + o.d AS d FROM small s, range(2) t(k), small o WHERE o.id = s.id AND o.plane = s.plane AND o.x = s.x AND o.y = greatest(0, least(3, s.y + 2 * k - 1))),
+large AS (SELECT s.id, s.plane, 2 * s.x + k AS x, s.y, ((3 * s.d + o.d + 8 - k)::BIGINT >> 4)::INT AS d FROM down s, range(2) t(k), down o WHERE o.id = s.id AND o.plane = s.plane AND o.y = s.y AND o.x = greatest(0, least(3, s.x + 2 * k - 1)))"""
+
+
+def coloured(spark, sf_dir):
+    """Three pictures in a row as the channels of one."""
+    shots = pictures(spark, sf_dir).select(F.expr("id div 3").alias("id"), F.expr("id % 3").alias("channel"), F.hex("data").alias("hex"))
+    by = shots.groupBy("id").agg(*[F.coalesce(F.max(F.when(F.col("channel") == k, F.col("hex"))), F.lit("0" * 128)).alias(f"c{k}") for k in range(3)])
+    data = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(*[F.substr(f"c{k}", i * 2 + 1, F.lit(2)) for k in range(3)])), "")
+    return by.select("id", F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(3).alias("c"), F.unhex(data).alias("data"))
+
+
+@query(sql("""SELECT * FROM (SELECT id, list(d ORDER BY y, x) FILTER (plane = 'cb') AS cb, list(d ORDER BY y, x) FILTER (plane = 'cr') AS cr FROM small GROUP BY id)
+JOIN (SELECT id, list(d ORDER BY y, x) FILTER (plane = 'cb') AS cb_full, list(d ORDER BY y, x) FILTER (plane = 'cr') AS cr_full FROM large GROUP BY id) USING (id)""", PIXELS, COLOURS))
+def colour_planes(spark, sf_dir):
+    """Colour differences subsampled by two, and brought back to full size."""
+    return images.colour_planes(coloured(spark, sf_dir))
+
+
 def _shape(name, *args):
     def run(spark, sf_dir):
         return images.condition(name, *args)(pictures(spark, sf_dir)).select("id", "h", "w", "c", F.length("data").cast("long").alias("n_bytes"))

@@ -112,3 +112,13 @@ def test_wrong_settings_are_refused(spark):
         client.Endpoint("x", in_flight=0)
     with pytest.raises(ValueError):
         client.encoded_remotely(spark.range(1), "id", "id", "sounds", client.Endpoint("x"))
+
+
+def test_payloads_hold_whole_images_in_one_line(spark):
+    from pyspark.sql import functions as F
+
+    from manyvec.functions import texts
+
+    data = bytes(range(256)) * 3
+    body = spark.createDataFrame([([bytearray(data)],)], "i array<binary>").select(texts.payload(F.col("i"), None)).first()[0]
+    assert json.loads(body)["images"] == [base64.b64encode(data).decode()]
