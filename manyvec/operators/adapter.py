@@ -179,16 +179,16 @@ def train(adapter: Adapter, examples: list[Example], validate, epochs: int = 20,
 
 
 def evaluate_variants(adapter: Adapter, queries: DataFrame, qrels: DataFrame, variants: dict[str, DataFrame], k: int = 5) -> DataFrame:
-    """(variant, adapted, ndcg, recall, mrr, n_queries, n_docs): raw and adapted pages of each variant, scored in one plan."""
+    """(variant, adapted, ndcg, recall, mrr, n_queries, n_docs): raw and adapted pages of each variant."""
     from functools import reduce
 
     from pyspark.sql import functions as F
 
-    from manyvec.operators import metrics, scoring
+    from manyvec.operators import evaluation
 
     parts = []
     for name, pages in variants.items():
         for adapted in (False, True):
-            scores = scoring.score_multi_vector(queries, adapter.apply(pages) if adapted else pages)
-            parts.append(scores.withColumns({"variant": F.lit(name), "adapted": F.lit(adapted)}))
-    return metrics.evaluate(reduce(DataFrame.unionByName, parts), qrels, k, by=("variant", "adapted"))
+            means = evaluation.evaluate(queries, adapter.apply(pages) if adapted else pages, qrels, k)
+            parts.append(means.withColumns({"variant": F.lit(name), "adapted": F.lit(adapted)}))
+    return reduce(DataFrame.unionByName, parts)

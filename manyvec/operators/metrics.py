@@ -28,6 +28,11 @@ def gain(rank: Column) -> Column:
     return 1 / F.log2(rank + 1)
 
 
+def ideal(n_rel: Column, k: int) -> Column:
+    """The gains of a ranking that begins with all relevant documents."""
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(n_rel, F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + gain(i))
+
+
 def per_query(scores: DataFrame, qrels: DataFrame, k: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
     """(qid, ndcg, recall, mrr, n_rel) with binary gains; queries without relevant documents score 0.
 
@@ -40,12 +45,11 @@ def per_query(scores: DataFrame, qrels: DataFrame, k: int = 5, by: tuple[str, ..
         F.min(F.when(rel, F.col("rank"))).alias("first"),
     )
     sizes = qrels.select("qid", "pid").distinct().groupBy("qid").agg(F.count("*").alias("n_rel"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_rel"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + gain(i))
     out = found.join(sizes, "qid", "left").withColumn("n_rel", F.coalesce("n_rel", F.lit(0)))
     some = F.col("n_rel") > 0
     return out.select(
         "qid", *by,
-        F.when(some, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"),
+        F.when(some, F.col("dcg") / ideal(F.col("n_rel"), k)).otherwise(0.0).alias("ndcg"),
         F.when(some, F.col("hits") / F.col("n_rel")).otherwise(0.0).alias("recall"),
         F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"),
         "n_rel",

@@ -22,14 +22,13 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyvec.operators import metrics, prefix, scoring
+from manyvec.operators import evaluation, prefix, scoring
 from manyvec.operators.adapter import Adapter
 from manyvec.session import held, release, stored
 
@@ -347,9 +346,8 @@ def ordered(names: list[str], settings: Settings, epoch: int) -> list[str]:
 
 def validated(adapter: Adapter, queries: DataFrame, relevant: DataFrame, pages: DataFrame, variants: list[str], settings: Settings) -> float:
     """Mean over variants of the mean nDCG of adapted pages."""
-    parts = [scoring.score_multi_vector(queries, adapter.apply(pages.where(F.col("variant") == v))).withColumn("variant", F.lit(v)) for v in variants]
-    scored = metrics.per_query(reduce(DataFrame.unionByName, parts), relevant, settings.k, by=("variant",))
-    return float(scored.groupBy("variant").agg(F.avg("ndcg").alias("n")).agg(F.avg("n").alias("n")).first()["n"] or 0.0)
+    found = [evaluation.evaluate(queries, adapter.apply(pages.where(F.col("variant") == v)), relevant, settings.k).first()["ndcg"] for v in variants]
+    return float(np.mean([x or 0.0 for x in found])) if found else 0.0
 
 
 def train(pages: DataFrame, queries: DataFrame, relevant: DataFrame, held_out: DataFrame, held_pages: DataFrame, adapter: Adapter, settings: Settings = Settings(), checkpoint: str | None = None) -> State:

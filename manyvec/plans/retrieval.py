@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from manyvec.functions import vectors as V
+from manyvec.operators import evaluation as E
 from manyvec.operators import metrics as M
 from manyvec.operators import scoring as S
 from manyvec.plans.fixtures import bags, d_tokens, degraded_tokens, metrics_sql, negatives, q_tokens, qrels, queries_and_docs, query, sql, vectors
@@ -24,13 +25,13 @@ PQ = metrics_sql("ranked")
 @query(sql("SELECT round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, count(*) AS n_queries, (SELECT count(DISTINCT pid) FROM scores) AS n_docs FROM pq", PQ))
 def retrieval_metrics(spark, sf_dir):
     q, d = queries_and_docs(spark, sf_dir)
-    return M.evaluate(S.score_multi_vector(q, d), qrels(spark, sf_dir)).select(*means(), "n_queries", "n_docs")
+    return E.evaluate(q, d, qrels(spark, sf_dir)).select(*means(), "n_queries", "n_docs")
 
 
 @query(sql("SELECT qid, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(mrr, 6) AS mrr, n_rel FROM pq", PQ))
 def per_query_metrics(spark, sf_dir):
     q, d = queries_and_docs(spark, sf_dir)
-    return M.per_query(S.score_multi_vector(q, d), qrels(spark, sf_dir)).select("qid", *means(), "n_rel")
+    return E.per_query(q, d, qrels(spark, sf_dir)).select("qid", *means(), "n_rel")
 
 
 @query(sql("SELECT qid, pid, round(score, 6) AS score FROM scores"))
@@ -112,13 +113,11 @@ def negative_pair_scores(spark, sf_dir):
 
 
 def conditions(spark, sf_dir):
-    """Scores of three conditions: clean, degraded, and degraded with top-k means."""
+    """Metrics of three conditions: clean, degraded, and degraded with top-k means."""
     q, d = queries_and_docs(spark, sf_dir)
     g = bags(degraded_tokens(spark, sf_dir), "pid")
-    clean = S.score_multi_vector(q, d).withColumn("condition", F.lit("clean"))
-    degraded = S.score_multi_vector(q, g).withColumn("condition", F.lit("degraded"))
-    topk = S.score_multi_vector(q, g, reduction="topk_mean", top_k=3).withColumn("condition", F.lit("topk3"))
-    return clean.unionByName(degraded).unionByName(topk)
+    named = {"clean": (d, {}), "degraded": (g, {}), "topk3": (g, {"reduction": "topk_mean", "top_k": 3})}
+    return E.evaluate_conditions(q, named, qrels(spark, sf_dir))
 
 
 CONDITIONS = (
@@ -133,30 +132,30 @@ tranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,
 
 @query(sql("SELECT condition, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(mrr, 6) AS mrr FROM means", *CONDITIONS))
 def condition_metrics(spark, sf_dir):
-    return M.evaluate(conditions(spark, sf_dir), qrels(spark, sf_dir), by=("condition",)).select("condition", *means())
+    return conditions(spark, sf_dir).select("condition", *means())
 
 
 @query(sql("SELECT m.condition, round(m.ndcg - b.ndcg, 6) AS delta_ndcg, round(m.recall - b.recall, 6) AS delta_recall, round(m.mrr - b.mrr, 6) AS delta_mrr FROM means m, means b WHERE b.condition = 'degraded'", *CONDITIONS))
 def condition_deltas(spark, sf_dir):
-    out = M.metric_deltas(M.evaluate(conditions(spark, sf_dir), qrels(spark, sf_dir), by=("condition",)), "degraded")
+    out = M.metric_deltas(conditions(spark, sf_dir), "degraded")
     return out.select("condition", *[(F.round(f"delta_{m}", 6) + 0.0).alias(f"delta_{m}") for m in M.NAMES])
 
 
 @query(sql("SELECT m.condition, round(m.ndcg, 6) AS ndcg, round(m.recall, 6) AS recall, round(m.mrr, 6) AS mrr, round(m.ndcg - b.ndcg, 6) AS gain FROM means m, means b WHERE b.condition = 'degraded'", *CONDITIONS))
 def condition_summary(spark, sf_dir):
-    out = M.summary(M.evaluate(conditions(spark, sf_dir), qrels(spark, sf_dir), by=("condition",)))
+    out = M.summary(conditions(spark, sf_dir))
     return out.select("condition", *means(), (F.round("gain", 6) + 0.0).alias("gain"))
 
 
 @query(sql("SELECT round(avg(ndcg), 6) AS avg_ndcg FROM means", *CONDITIONS))
 def average_over_conditions(spark, sf_dir):
-    out = M.average_metric(M.evaluate(conditions(spark, sf_dir), qrels(spark, sf_dir), by=("condition",)), "ndcg")
+    out = M.average_metric(conditions(spark, sf_dir), "ndcg")
     return out.select(F.round("avg_ndcg", 6).alias("avg_ndcg"))
 
 
 @query(sql("SELECT qid, min(rank) FILTER (rel) AS first FROM rel GROUP BY qid", PQ))
 def first_relevant_ranks(spark, sf_dir):
-    return M.first_relevant_rank(S.score_multi_vector(*queries_and_docs(spark, sf_dir)), qrels(spark, sf_dir))
+    return E.per_query(*queries_and_docs(spark, sf_dir), qrels(spark, sf_dir)).select("qid", "first")
 
 
 @query(sql("""SELECT count(*) FILTER (b < a) AS improved, count(*) FILTER (b > a) AS worsened, count(*) FILTER (b = a) AS unchanged FROM
@@ -164,13 +163,13 @@ def first_relevant_ranks(spark, sf_dir):
 def rank_delta_counts(spark, sf_dir):
     q, d = queries_and_docs(spark, sf_dir)
     g, rel = bags(degraded_tokens(spark, sf_dir), "pid"), qrels(spark, sf_dir)
-    return M.rank_delta(M.first_relevant_rank(S.score_multi_vector(q, d), rel), M.first_relevant_rank(S.score_multi_vector(q, g), rel))
+    return M.rank_delta(E.per_query(q, d, rel), E.per_query(q, g, rel))
 
 
 @query(sql("""SELECT count(*) AS n_queries, round(avg(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END), 4) AS ndcg, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 4) AS recall, round(avg(1 / rank), 4) AS mrr FROM ranked WHERE pid = qid"""))
 def diagonal_benchmark(spark, sf_dir):
-    scores = S.score_multi_vector(*queries_and_docs(spark, sf_dir))
-    out = M.evaluate(scores, M.diagonal(scores))
+    q, d = queries_and_docs(spark, sf_dir)
+    out = E.evaluate(q, d, q.select("qid", F.col("qid").alias("pid")))
     return out.select("n_queries", *[F.round(m, 4).alias(m) for m in M.NAMES])
 
 
