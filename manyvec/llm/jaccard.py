@@ -6,9 +6,10 @@
    batch counts once.
 2. Of the rest, documents with equal sets become one. The ``|x| - need + 1`` rarest shingles of a set are its
    prefix; sets that link share a prefix shingle. Components of "shares a prefix shingle" bound the search.
-3. Within a component, sets lie in tries, most frequent shingle first, so near copies share paths. A set walks the
-   trie of each class it isn't linked with yet, carrying the overlap so far; a subtree is left when the
-   overlap and what remains on both sides can't reach the need. The first link found joins the classes.
+3. Within a component, all sets lie in one trie, most frequent shingle first, so sets share paths. A set walks the trie
+   once, carrying the overlap so far, which counts for all sets below; a subtree is left when the overlap and what
+   remains on both sides can't reach the need, or when all its sets are in the walking set's class. A link joins two
+   classes, and the walk goes on for the others.
 4. Components too large for one task are dealt into blocks; what doesn't join its block's largest class through it
    or through the component's first sets is then walked against every block, so no link between classes is lost
    and no pair within a class is repeated.
@@ -59,6 +60,12 @@ def need(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def prefix_length(size: int, shared: int, percent: int) -> int:
+    """How many of a set's ``shared`` tokens, rarest first, two linked sets have one in common of. Tokens that nobody shares
+    are the rarest of all and not among these, so they use up the prefix first."""
+    return max(0, size - need(size, -(-percent * size // 100), percent) + 1 - (size - shared))
+
+
 class Table:
     """The sets of a batch, those of equal texts once."""
 
@@ -131,104 +138,129 @@ def _candidates(n: int, percent: int, sizes: Sizes):
 
 
 class Node:
-    __slots__ = ("edge", "least", "longest", "sizes", "children", "sets")
+    """Part of a path, with what holds for all sets below: their least size, the longest rest of one, and their class
+    where it is the same for all (else None). ``kin`` names the children below which a set has a token in its prefix."""
 
-    def __init__(self, edge: np.ndarray):
-        self.edge, self.children, self.sets = edge, {}, []
-        self.least, self.longest = 1 << 60, 0
+    __slots__ = ("edge", "least", "longest", "label", "children", "sets", "kin")
 
+    def __init__(self, edge: np.ndarray, size: int, longest: int, label: int):
+        self.edge, self.least, self.longest, self.label = edge, size, longest, label
+        self.children: dict[int, Node] = {}
+        self.sets: list[tuple[int, int, int, list[int]]] = []
+        self.kin: dict[int, set[int]] = {}
 
-class Trie:
-    """Sets by their tokens, most frequent first, on compressed paths; each node knows the least set size and
-    the longest rest below it."""
+    def end(self, item: int, size: int, label: int, prefix: list[int]) -> None:
+        self.sets.append((item, size, label, prefix))
+
+    def below(self) -> Iterator[int]:
+        """The prefix tokens of all sets here and below."""
+        yield from self.kin
+        for *_, prefix in self.sets:
+            yield from prefix
 
-    def __init__(self):
-        self.root = Node(np.zeros(0, U64))
-        self.items: list[tuple[int, int, np.ndarray]] = []
 
-    def add(self, item: int, size: int, tokens: np.ndarray) -> None:
-        self.items.append((item, size, tokens))
-        node, at = self.root, 0
-        node.least, node.longest = min(node.least, size), max(node.longest, len(tokens))
+class Trie:
+    """All sets of a block by their tokens, most frequent first, on compressed paths; classes of sets that are joined."""
+
+    def __init__(self, percent: int):
+        self.percent, self.root, self.above, self.visited = percent, None, {}, 0
+
+    def find(self, label: int) -> int:
+        above = self.above
+        above.setdefault(label, label)
+        while above[label] != label:
+            above[label] = label = above[above[label]]
+        return label
+
+    def common(self, a: int | None, b: int | None) -> int | None:
+        return a if a is not None and b is not None and self.find(a) == self.find(b) else None
+
+    def add(self, item: int, size: int, tokens: np.ndarray, label: int) -> None:
+        if self.root is None:
+            self.root = Node(np.zeros(0, U64), size, len(tokens), label)
+        node, at, prefix = self.root, 0, self.prefix(size, tokens)
+        self._pass(node, size, len(tokens), label)
         while at < len(tokens):
-            child = node.children.get(int(tokens[at]))
+            first = int(tokens[at])
+            for token in prefix:
+                node.kin.setdefault(token, set()).add(first)
+            child = node.children.get(first)
             if child is None:
-                leaf = Node(tokens[at:])
-                leaf.least, leaf.longest = size, 0
-                leaf.sets.append((item, size))
-                node.children[int(tokens[at])] = leaf
+                leaf = node.children[first] = Node(tokens[at:], size, 0, label)
+                leaf.end(item, size, label, prefix)
                 return
             k = min(len(child.edge), len(tokens) - at)
             off = np.flatnonzero(child.edge[:k] != tokens[at : at + k])
             same = int(off[0]) if len(off) else k
             if same < len(child.edge):  # the path parts within this edge
-                upper = Node(child.edge[:same])
-                upper.least, upper.longest = child.least, child.longest + len(child.edge) - same
+                upper = Node(child.edge[:same], child.least, child.longest + len(child.edge) - same, child.label)
                 child.edge = child.edge[same:]
                 upper.children[int(child.edge[0])] = child
-                node.children[int(tokens[at])] = upper
-                child = upper
+                upper.kin = {token: {int(child.edge[0])} for token in child.below()}
+                node.children[first] = child = upper
             at += same
             node = child
-            node.least, node.longest = min(node.least, size), max(node.longest, len(tokens) - at)
-        node.sets.append((item, size))
-
-    def partner(self, size: int, tokens: np.ndarray, percent: int) -> int | None:
-        """Some set that links with this one, found by a walk that shares overlaps and prunes by bounds.
+            self._pass(node, size, len(tokens) - at, label)
+        node.end(item, size, label, prefix)
+
+    def prefix(self, size: int, tokens: np.ndarray) -> list[int]:
+        """The rarest tokens of the set, of which every set that links has one in its own prefix."""
+        return tokens[::-1][: prefix_length(size, len(tokens), self.percent)].tolist()
+
+    def _pass(self, node: Node, size: int, rest: int, label: int) -> None:
+        node.least, node.longest, node.label = min(node.least, size), max(node.longest, rest), self.common(node.label, label)
+
+    def _label(self, node: Node) -> int | None:
+        """The class of all below, looked at anew where there were several: they may have been joined since."""
+        if node.label is None:
+            labels = [c.label for c in node.children.values()] + [s[2] for s in node.sets]
+            if None not in labels and len({self.find(x) for x in labels}) == 1:
+                node.label = labels[0]
+        return node.label
+
+    def links(self, size: int, tokens: np.ndarray, label: int) -> list[int]:
+        """A set of each other class that links with this one; these classes become one. One walk: what a path has in
+        common with the set is counted once for all sets below it; a subtree is left when the overlap and what remains on both
+        sides can't reach the need, when no prefix below has a token of this one's, or when all of it is joined already.
         ``tokens`` descend, as the paths do."""
-        stack = [(c, 0, 0) for c in self.root.children.values()]
-        ascending = tokens[::-1]
-        n = len(tokens)
+        prefix = self.prefix(size, tokens)
+        if self.root is None or not prefix:
+            return []
+        found, ascending, n, held = [], tokens[::-1], len(tokens), set(tokens.tolist())
+        stack = [(self.root, 0, 0)]
         while stack:
             node, at, overlap = stack.pop()
-            least = max(node.least, -(-percent * size // 100))
-            target = need(size, least, percent)
+            own = self._label(node)
+            if own is not None and self.find(own) == self.find(label):
+                continue
+            self.visited += 1
+            target = need(size, max(node.least, -(-self.percent * size // 100)), self.percent)
             edge = node.edge
             if overlap + min(n - at, len(edge) + node.longest) < target:
                 continue
-            # how many of the edge's tokens the probe has, and where it stands after the last of them
-            where = np.searchsorted(ascending, edge)
-            where[where == n] = 0
-            overlap += int((ascending[where] == edge).sum()) if n else 0
-            at = n - int(np.searchsorted(ascending, edge[-1]))
-            for item, other in node.sets:
-                if overlap >= need(size, other, percent):
-                    return item
+            if len(edge):  # how many of its tokens the set has, and where the set stands after the last of them
+                where = np.searchsorted(ascending, edge)
+                where[where == n] = 0
+                overlap += int((ascending[where] == edge).sum())
+                at = n - int(np.searchsorted(ascending, edge[-1]))
+            for item, other, of, _ in node.sets:
+                if overlap >= need(size, other, self.percent) and self.find(of) != self.find(label):
+                    found.append(item)
+                    self.above[self.find(of)] = self.find(label)
             if node.children and overlap + min(n - at, node.longest) >= target:
-                stack += [(c, at, overlap) for c in node.children.values()]
-        return None
+                near = set().union(*(node.kin.get(token, ()) for token in prefix))
+                for token in sorted(near, key=held.__contains__):  # the likeliest last, so first
+                    stack.append((node.children[token], at, overlap))
+        return found
 
 
-def spanning_links(items: list[tuple[int, int, np.ndarray, int]], percent: int) -> list[tuple[int, int]]:
+def spanning_links(items: list[tuple[int, int, np.ndarray, int]], percent: int, trie: Trie | None = None) -> list[tuple[int, int]]:
     """Links that join all linked items (id, size, descending tokens, class), of which those of one class count
-    as joined already. Each class has a trie; a set walks the tries of the other classes until each has linked or
-    been ruled out."""
-    tries: dict[int, list[Trie]] = {}
-    root: dict[int, int] = {}
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    links = []
+    as joined already. All sets lie in one trie; each walks it once and then becomes part of it."""
+    trie, links = trie or Trie(percent), []
     for item, size, tokens, label in sorted(items, key=lambda x: (x[1], x[0])):
-        if label not in root:
-            root[label] = label
-            tries[label] = [Trie()]
-        mine = find(label)
-        for other in list(tries):
-            if other == mine or root.get(other) != other:
-                continue
-            for trie in tries[other]:
-                if (found := trie.partner(size, tokens, percent)) is not None:
-                    links.append((item, found))
-                    root[other] = mine
-                    tries[mine] += tries.pop(other)
-                    break
-        # the larger trie takes the set
-        max(tries[mine], key=lambda t: len(t.items)).add(item, size, tokens)
+        links += [(item, other) for other in trie.links(size, tokens, label)]
+        trie.add(item, size, tokens, label)
     return links
 
 
@@ -314,11 +346,9 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, block_tokens: int =
 
 
 def _prefix(size: int, data: bytes, percent: int) -> np.ndarray:
-    """The rarest tokens of which any linked set has one. Tokens that nobody shares are the rarest of all and
-    are not in ``data``, so they use up the prefix first."""
+    """The rarest tokens of which any linked set has one in its own prefix."""
     tokens = np.frombuffer(data, U64)
-    length = size - need(size, -(-percent * size // 100), percent) + 1 - (size - len(tokens))
-    return tokens[: max(0, length)].astype(np.int64)
+    return tokens[: prefix_length(size, len(tokens), percent)].astype(np.int64)
 
 
 def keep_first(docs: DataFrame, n: int = 3, percent: int = 90, block_tokens: int = 1_000_000, pivots: int = 8) -> DataFrame:

@@ -257,18 +257,81 @@ def test_classes_of_odd_rows(docs, odd, none):
     assert jaccard.classes(none).count() == 0
 
 
-def test_trie_finds_a_partner_exactly_when_there_is_one():
+def descending(tokens):
+    return np.array(sorted(tokens, reverse=True), np.uint64)
+
+
+def linked_groups(sets, percent, labels):
+    """Groups of sets joined by links or a label, by comparing every pair."""
+    top = list(range(len(sets)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if labels[i] == labels[j] or 100 * len(a & b) >= percent * len(a | b):
+                top[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_one_trie_joins_exactly_what_links():
     rng = random.Random(8)
-    for _ in range(200):
-        trie, sets = jaccard.Trie(), []
-        for i in range(rng.randint(1, 12)):
-            s = sorted(rng.sample(range(30), rng.randint(3, 20)), reverse=True)
-            sets.append(s)
-            trie.add(i, len(s), np.array(s, np.uint64))
-        probe = sorted(rng.sample(range(30), rng.randint(3, 20)), reverse=True)
-        linked = {i for i, s in enumerate(sets) if 100 * len(set(s) & set(probe)) >= 60 * len(set(s) | set(probe))}
-        found = trie.partner(len(probe), np.array(probe, np.uint64), 60)
-        assert (found in linked) if linked else found is None
+    for _ in range(300):
+        pool, percent = rng.choice([12, 30]), rng.choice([50, 60, 80, 90])
+        sets = [set(rng.sample(range(pool), rng.randint(3, 11))) for _ in range(rng.randint(1, 14))]
+        sets += [s ^ {rng.randrange(pool)} or s for s in sets[:5]]
+        sets = [s if s else {1} for s in sets]
+        labels = [rng.choice([i, i, 100]) for i in range(len(sets))]
+        links = jaccard.spanning_links([(i, len(s), descending(s), c) for i, (s, c) in enumerate(zip(sets, labels))], percent)
+        assert all(100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) for a, b in links)
+        want = linked_groups(sets, percent, labels)
+        # each link joins two classes, and together they join all
+        classes = {c: i for i, c in enumerate(dict.fromkeys(labels))}
+        top = list(range(len(classes)))
+
+        def find(x, top=top):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for a, b in links:
+            x, y = find(classes[labels[a]]), find(classes[labels[b]])
+            assert x != y
+            top[x] = y
+        got = [find(classes[c]) for c in labels]
+        assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(sets)) for j in range(i))
+
+
+@pytest.mark.parametrize("count", [200, 1600])
+def test_sets_that_share_paths_and_prefixes_are_walked_together(count):
+    """Sets that do not link: frequent tokens in eight arrangements, others from a pool, and rare ones that each set
+    shares with the next, so all of them are one candidate. The larger a token, the more frequent."""
+    rng = random.Random(count)
+    items = []
+    for i in range(count):
+        common = [10**6 + t for t in range(100) if (t * 7 + i % 8) % 5]
+        own = common + [10**5 + t for t in rng.sample(range(200), 30)] + [10 * i + k for k in range(5)] + [10 * i + 10 + k for k in range(5)]
+        items.append((i, len(own), descending(own), i))
+    rng.shuffle(items)
+    trie = jaccard.Trie(90)
+    assert jaccard.spanning_links(items, 90, trie) == []
+    pairs, nodes_a_path = count * (count - 1) // 2, 3
+    assert trie.visited * 5 <= pairs * nodes_a_path
+
+
+def test_a_cluster_of_near_copies_is_left_once_it_is_joined():
+    rng = random.Random(3)
+    base = rng.sample(range(100_000), 200)
+    items = []
+    for i in range(1500):
+        own = set(base) - set(rng.sample(base, 3)) | {200_000 + rng.randrange(10**6) for _ in range(3)}
+        items.append((i, len(own), descending(own), i))
+    trie = jaccard.Trie(90)
+    assert len(jaccard.spanning_links(items, 90, trie)) == 1499
+    assert trie.visited < 1500 * 60
 
 
 @pytest.mark.parametrize("flip", [False, True])
