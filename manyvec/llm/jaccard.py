@@ -24,6 +24,7 @@ returns the given columns, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -213,9 +214,12 @@ class Trie:
     def _label(self, node: Node) -> int | None:
         """The class of all below, looked at anew where there were several: they may have been joined since."""
         if node.label is None:
-            labels = [c.label for c in node.children.values()] + [s[2] for s in node.sets]
-            if None not in labels and len({self.find(x) for x in labels}) == 1:
-                node.label = labels[0]
+            one = None
+            for label in chain((s[2] for s in node.sets), (c.label for c in node.children.values())):
+                if label is None or one is not None and self.find(label) != one:
+                    return None  # mostly after a few
+                one = self.find(label)
+            node.label = one
         return node.label
 
     def links(self, size: int, tokens: np.ndarray, label: int) -> list[int]:
