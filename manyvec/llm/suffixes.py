@@ -8,8 +8,8 @@ document has are dropped (see ``exchange``), equal runs of a batch are sent once
 A minimizer that ``HOT`` documents or more have is split further by a second minimizer of each window, so one common
 passage doesn't fill one bucket.
 
-A bucket holds a collection of short strings, equal ones once, with the documents that have them as membership; a string
-that is the only one with its minimizer needs no more than that. The others enter the transform. A symbol
+A bucket holds a collection of short strings, equal ones once, with the documents that have them as membership. All of them
+enter the transform; it names the windows that are equal, and only then membership tells whose they are. A symbol
 is ``WIDE`` = 5 bytes, numbered in their order; a string enters the transform as five documents, which begin at its first
 five bytes. So a window is 10 symbols of one of them, and a fifth of the rounds does. The suffix order is built column by column from the right: each round inserts
 one symbol of every document, at the place that the last round's transform gives it, and updates the common prefix
@@ -48,14 +48,16 @@ LENGTH, SEED, SPAN = 50, 24, 32
 HOT = 4096
 #: Bytes of a symbol, symbols of a window, and entries of the transform that a round holds at a time.
 WIDE, SYMBOLS, BLOCK = 5, LENGTH // 5, 1 << 18
+#: Stands for the owner of a window that the transform does not name.
+NO_OWNER = np.iinfo(np.int64).max
 #: Stands for a null doc_id within a batch.
 NO_ID = -(2**63)
 #: Bytes hashed at a time.
 CHUNK = 32_768
 RUNS = "bucket long, batch long, runs binary"
-#: Arrays of a message. For each distinct string: length, occurrences, smallest doc_id, key; for each occurrence: its place
-#: in the batch, and whether its doc_id is larger than that; then the bytes.
-SENT = ("u1", "<u4", "<i8", "<u8", "<u4", "u1", "u1")
+#: Arrays of a message. For each distinct string: length, occurrences, smallest doc_id; for each occurrence: its place in the
+#: batch, and whether its doc_id is larger than that; then the bytes.
+SENT = ("u1", "<u4", "<i8", "<u4", "u1", "u1")
 #: Arrays of an answer, for each occurrence that loses windows: place, number of windows, a bit for each that goes.
 GONE = ("<u4", "u1", "<u4")
 
@@ -191,7 +193,7 @@ def _run_messages(sizes: Sizes, buckets: int, limit: int):
             mine = by[edges[k] : edges[k + 1]]
             at = np.repeat(first[mine] - np.cumsum(occurs[mine]) + occurs[mine], occurs[mine]) + np.arange(occurs[mine].sum())
             text = [strings[i] for i in mine.tolist()]
-            arrays = [np.array(list(map(len, text))), occurs[mine], doc[first[mine]], key[first[mine]], begin[at], later[at], np.frombuffer(b"".join(text), np.uint8)]
+            arrays = [np.array(list(map(len, text))), occurs[mine], doc[first[mine]], begin[at], later[at], np.frombuffer(b"".join(text), np.uint8)]
             rows.append((int(k), batch, pack_arrays(arrays, SENT)))
         yield pd.DataFrame(rows, columns=["bucket", "batch", "runs"])
 
@@ -391,7 +393,8 @@ def collection_order(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarra
 
 
 def least_owners(strings: list[bytes], owner: np.ndarray, folder: str | None) -> np.ndarray:
-    """For each string, the smallest owner of each of its windows, from the groups of the collection's transform."""
+    """For each string, the smallest owner of each of its windows, from the groups of the collection's transform; what the
+    transform does not name has no owner."""
     size = np.array(list(map(len, strings)), np.int64)
     begin = np.cumsum(size) - size
     data = np.frombuffer(b"".join(strings) + bytes(WIDE - 1), np.uint8).astype(U64)
@@ -406,7 +409,7 @@ def least_owners(strings: list[bytes], owner: np.ndarray, folder: str | None) ->
     doc = np.repeat(np.arange(len(length)), length)
     offset = WIDE * (np.arange(len(doc)) - start[doc]) + doc % WIDE
     origin, lcp = collection_order(numbers[begin[doc // WIDE] + offset], start, length, folder=folder)
-    out = np.repeat(owner[:, None], SPAN, axis=1)
+    out = np.full((len(strings), SPAN), NO_OWNER)
     if len(origin):
         group = np.cumsum(lcp < SYMBOLS)
         string, place = doc[origin] // WIDE, offset[origin]
@@ -423,22 +426,16 @@ def _earlier(root: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         folder = mounted(root)
         seen: dict[bytes, int] = {}
-        sent, numbers, keys = [], [], []
+        sent, numbers = [], []
         for data in pdf["runs"]:
-            size, occurs, least, key, begin, later, text = unpack_arrays(data, SENT)
+            size, occurs, least, begin, later, text = unpack_arrays(data, SENT)
             raw, ends = text.tobytes(), np.cumsum(size.astype(np.int64))
             numbers.append(np.array([seen.setdefault(raw[j - n : j], len(seen)) for n, j in zip(size.tolist(), ends.tolist())], np.int64))
             sent.append((size, occurs, least, begin, later))
-            keys.append(key)
-        owner = np.full(len(seen), np.iinfo(np.int64).max)
+        owner = np.full(len(seen), NO_OWNER)
         for number, (_, _, least, _, _) in zip(numbers, sent):
             np.minimum.at(owner, number, least)
-        # a string without another of its minimizer has no window in common with any but itself: its members decide
-        first = np.unique(np.concatenate(numbers), return_index=True)[1]
-        kind, many = np.unique(np.concatenate(keys)[first], return_inverse=True, return_counts=True)[1:]
-        windows = np.repeat(owner[:, None], SPAN, axis=1)
-        strings, some = list(seen), np.flatnonzero(many[kind] > 1)
-        windows[some] = least_owners([strings[i] for i in some.tolist()], owner[some], folder)
+        windows = least_owners(list(seen), owner, folder)
         bits = U64(1) << np.arange(SPAN, dtype=U64)
         rows = []
         for batch, number, (size, occurs, least, begin, later) in zip(pdf["batch"], numbers, sent):

@@ -187,17 +187,26 @@ def test_collection_order(monkeypatch, tmp_path):
             assert k == n
 
 
-def test_byte_repeats_come_through_the_transform(spark, docs, monkeypatch):
-    """Without the buckets' answers nothing goes, not even within a batch; without the transform no window finds another
-    string's owner."""
+def test_byte_repeats_come_through_the_transform(spark, docs, odd, monkeypatch):
+    """Nothing goes that the transform has not named, not even of exact copies or within a batch."""
     passage = b"the passage that both of these texts share, as they are, and that goes"
     strings = [b"x" * 5 + passage, passage + b"y" * 5]
     found = suffixes.least_owners(strings, np.array([4, 3]), None)
     assert found[0, :26].tolist() == [4] * 5 + [3] * 21 and found[1, :21].tolist() == [3] * 21
     monkeypatch.setattr(suffixes, "collection_order", lambda *_, **__: (np.zeros(0, np.uint32), np.zeros(0, np.uint8)))
-    assert (suffixes.least_owners(strings, np.array([4, 3]), None)[0] == 4).all()
-    monkeypatch.setattr(suffixes, "_earlier", lambda root: lambda pdf: pdf[["batch"]].assign(gone=b"").head(0))
+    assert (suffixes.least_owners(strings, np.array([4, 3]), None) == suffixes.NO_OWNER).all()
+    real = suffixes._earlier
+
+    def without(root):
+        def run(pdf):
+            suffixes.collection_order = lambda *_, **__: (np.zeros(0, np.uint32), np.zeros(0, np.uint8))  # in the worker
+            return real(root)(pdf)
+
+        return run
+
+    monkeypatch.setattr(suffixes, "_earlier", without)
     assert {r["n_removed"] for r in suffixes.digests(docs).collect()} == {0}
+    assert sum(r[2] for r in byte_digests(odd)) > 0
 
 
 def test_byte_repeats_with_hot_minimizers(odd, docs):
