@@ -24,8 +24,8 @@ from manyvec.operators import metrics, scoring
 from manyvec.session import stored
 
 DOCS = "pids array<long>, sizes array<int>, dim int, vectors binary"
-QUERIES = "qids array<long>, lengths array<int>, best array<double>, best_pids array<long>, qdim int, qvectors binary"
-FOUND = "qid long, pid long, score double, before long"
+QUERIES = "qids array<long>, lengths array<int>, best array<array<double>>, best_pids array<array<long>>, qdim int, qvectors binary"
+FOUND = "setting long, qid long, pid long, score double, before long"
 CHUNK, BLOCK = 2048, 256
 
 
@@ -67,58 +67,62 @@ def _laid(rows: DataFrame, most: int, schema: str, columns: list[str]) -> DataFr
     return rows.where(F.size("toks") > 0).select(*columns).mapInPandas(run, schema)
 
 
-def best_relevant(queries: DataFrame, docs: DataFrame, qrels: DataFrame, **options) -> DataFrame:
-    """(qid, best, best_pid): each query's relevant document that comes first."""
+def best_relevant(queries: DataFrame, docs: DataFrame, qrels: DataFrame, settings: list[dict]) -> DataFrame:
+    """(qid, best, best_pids): by setting, the score and pid of each query's relevant document that comes first."""
     pairs = qrels.select("qid", "pid").distinct()
-    own = scoring.negative_scores(queries.where(F.size("toks") > 0), pairs, docs.where(F.size("toks") > 0), **options)
-    first = F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("pid")).alias("back")))
-    return own.groupBy("qid").agg(first.alias("b")).select("qid", F.col("b.score").alias("best"), (-F.col("b.back")).alias("best_pid"))
-
-
-def places(queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 5, reduction: str = "max", top_k: int = 3, temperature: float = 0.1) -> DataFrame:
-    """(qid, pid, score, before): a row for each of a query's ``k`` best, and one without pid that says how many documents
-    come before its best relevant one (null where none is scored)."""
-    scoring.check(reduction, top_k, temperature)
-    known = queries.select("qid", "toks").join(best_relevant(queries, docs, qrels, reduction=reduction, top_k=top_k, temperature=temperature), "qid", "left")
-    blocks = stored(_laid(known, BLOCK, QUERIES, ["qid", "best", "best_pid", "toks"]), "blocks")
+    q, d = queries.where(F.size("toks") > 0).select("qid", F.col("toks").alias("q")), docs.where(F.size("toks") > 0).select("pid", F.col("toks").alias("d"))
+    scored = [F.struct(F.round(scoring.late_interaction(F.col("q"), F.col("d"), **s), 9).alias("score"), (-F.col("pid")).alias("back")) for s in settings]
+    own = pairs.join(q, "qid").join(d, "pid").groupBy("qid").agg(*[F.max(s).alias(f"b{i}") for i, s in enumerate(scored)])
+    return own.select("qid", *[F.array(*[F.col(f"b{i}")[f] * sign for i in range(len(settings))]).alias(name) for name, f, sign in (("best", "score", 1), ("best_pids", "back", -1))])
+
+
+def places(queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 5, settings: list[dict] | None = None) -> DataFrame:
+    """(setting, qid, pid, score, before): by setting (scoring options, plain late interaction if none), a row for each of a
+    query's ``k`` best, and one without pid that says how many documents come before its best relevant one (null where none is
+    scored). Similarities are computed once for all settings."""
+    settings = settings or [{}]
+    for s in settings:
+        scoring.check(**{"reduction": "max"} | s)
+    known = queries.select("qid", "toks").join(best_relevant(queries, docs, qrels, settings), "qid", "left")
+    blocks = stored(_laid(known, BLOCK, QUERIES, ["qid", "best", "best_pids", "toks"]), "blocks")
     chunks = _laid(docs.select("pid", "toks"), CHUNK, DOCS, ["pid", "toks"])
     names = [c.split()[0] for c in FOUND.split(", ")]
+    full = [{"reduction": "max", "top_k": 3, "temperature": 0.1} | s for s in settings]
 
     def meet(row) -> Iterator[tuple]:
         pids, starts = np.asarray(row.pids, np.int64), np.cumsum(row.sizes) - row.sizes
         docs_of, asked = np.frombuffer(row.vectors).reshape(-1, row.dim), np.frombuffer(row.qvectors).reshape(-1, row.qdim)
-        ends = np.cumsum(row.lengths)
-        for qid, n, end, best, best_pid in zip(row.qids, row.lengths, ends, row.best, row.best_pids):
-            scores = np.round(reduced(asked[end - n : end] @ docs_of.T, starts, reduction, top_k, temperature).sum(axis=0), 9)
-            for i in np.lexsort((pids, -scores))[:k]:
-                yield qid, pids[i], scores[i], None
-            if best is not None and not np.isnan(best):
-                yield qid, None, None, int(((scores > best) | ((scores == best) & (pids < best_pid))).sum())
-            else:
-                yield qid, None, None, None
+        for qid, n, end, best, best_pids in zip(row.qids, row.lengths, np.cumsum(row.lengths), row.best, row.best_pids):
+            sims = asked[end - n : end] @ docs_of.T
+            for i, options in enumerate(full):
+                scores = np.round(reduced(sims, starts, **options).sum(axis=0), 9)
+                for at in np.lexsort((pids, -scores))[:k]:
+                    yield i, qid, pids[at], scores[at], None
+                known = best is not None and best[i] is not None and not np.isnan(best[i])
+                yield i, qid, None, None, int(((scores > best[i]) | ((scores == best[i]) & (pids < best_pids[i]))).sum()) if known else None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for row in pdf.itertuples(index=False):
                 if row.dim == row.qdim:
-                    yield pd.DataFrame(meet(row), columns=names).astype({"qid": "int64", "pid": "Int64", "score": "float64", "before": "Int64"})
+                    yield pd.DataFrame(meet(row), columns=names).astype({"setting": "int64", "qid": "int64", "pid": "Int64", "score": "float64", "before": "Int64"})
 
     return scoring.pairs(blocks, chunks).mapInPandas(run, FOUND)
 
 
-def per_query(queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 5, **options) -> DataFrame:
-    """(qid, ndcg, recall, mrr, n_rel, first): ``first`` is the place of the first relevant document, null where none is
-    scored. What the chunks sent, a few rows a query, is laid down once for both that is made of it."""
-    met = stored(places(queries, docs, qrels, k, **options), "places")
-    counts = met.where("pid is null").groupBy("qid").agg((F.sum("before") + 1).alias("first"))
-    by = W.partitionBy("qid").orderBy(F.col("score").desc(), "pid")
+def per_query_settings(queries: DataFrame, docs: DataFrame, qrels: DataFrame, settings: list[dict], k: int = 5) -> DataFrame:
+    """(setting, qid, ndcg, recall, mrr, n_rel, first): ``first`` is the place of the first relevant document, null where
+    none is scored. What the chunks sent, a few rows a query, is laid down once for both that is made of it."""
+    met = stored(places(queries, docs, qrels, k, settings), "places")
+    counts = met.where("pid is null").groupBy("setting", "qid").agg((F.sum("before") + 1).alias("first"))
+    by = W.partitionBy("setting", "qid").orderBy(F.col("score").desc(), "pid")
     top = met.where("pid is not null").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     marks = qrels.select("qid", "pid").distinct()
-    hits = top.join(marks, ["qid", "pid"]).groupBy("qid").agg(F.sum(metrics.gain(F.col("rank"))).alias("dcg"), F.count("*").alias("hits"))
+    hits = top.join(marks, ["qid", "pid"]).groupBy("setting", "qid").agg(F.sum(metrics.gain(F.col("rank"))).alias("dcg"), F.count("*").alias("hits"))
     sizes = marks.groupBy("qid").agg(F.count("*").alias("n_rel"))
-    rows = counts.join(hits, "qid", "left").join(sizes, "qid", "left").withColumn("n_rel", F.coalesce("n_rel", F.lit(0)))
+    rows = counts.join(hits, ["setting", "qid"], "left").join(sizes, "qid", "left").withColumn("n_rel", F.coalesce("n_rel", F.lit(0)))
     return rows.select(
-        "qid",
+        "setting", "qid",
         F.coalesce(F.col("dcg") / metrics.ideal(F.col("n_rel"), k), F.lit(0.0)).alias("ndcg"),
         F.coalesce(F.col("hits") / F.col("n_rel"), F.lit(0.0)).alias("recall"),
         F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"),
@@ -126,6 +130,11 @@ def per_query(queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 5,
     )
 
 
+def per_query(queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 5, **options) -> DataFrame:
+    """(qid, ndcg, recall, mrr, n_rel, first) of one setting."""
+    return per_query_settings(queries, docs, qrels, [options], k).drop("setting")
+
+
 def evaluate(queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 5, **options) -> DataFrame:
     """One row of means with n_queries and n_docs; documents are counted where they are, not among the pairs."""
     means = metrics.macro(per_query(queries, docs, qrels, k, **options))
@@ -134,7 +143,16 @@ def evaluate(queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 5,
 
 
 def evaluate_conditions(queries: DataFrame, conditions: dict[str, tuple[DataFrame, dict]], qrels: DataFrame, k: int = 5) -> DataFrame:
-    """(condition, means, n_queries, n_docs) of named conditions (documents, scoring options). The few rows are laid down,
-    so deltas and summaries that use them more than once score nothing again."""
-    rows = [evaluate(queries, docs, qrels, k, **options).withColumn("condition", F.lit(name)) for name, (docs, options) in conditions.items()]
+    """(condition, means, n_queries, n_docs) of named conditions (documents, scoring options). Conditions of the same
+    documents share their similarities; the few rows are laid down, so deltas and summaries that use them more than once score
+    nothing again."""
+    groups: dict[int, list[str]] = {}
+    for name, (docs, _) in conditions.items():
+        groups.setdefault(id(docs), []).append(name)
+    rows = []
+    for names in groups.values():
+        docs = conditions[names[0]][0]
+        found = per_query_settings(queries, docs, qrels, [conditions[n][1] for n in names], k)
+        means = metrics.macro(found, "setting").withColumn("condition", F.get(F.array(*map(F.lit, names)), F.col("setting").cast("int"))).drop("setting")
+        rows.append(means.crossJoin(F.broadcast(docs.where(F.size("toks") > 0).agg(F.count("*").alias("n_docs")))))  # one row
     return stored(reduce(DataFrame.unionByName, rows), "conditions")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyvec.operators import images, metrics, scoring
+from manyvec.operators import evaluation, images, metrics, scoring
 from manyvec.operators.encoder import Encoder
 from manyvec.session import held, release, stored
 
@@ -54,6 +54,23 @@ class Swarm:
         return self.optimize_all(score)
 
 
+def temperature_search(queries: DataFrame, docs: DataFrame, qrels: DataFrame, swarm: Swarm, reduction: str = "smoothmax", k: int = 5) -> tuple[float, float]:
+    """(temperature, mean nDCG) of the best softened scoring: each generation is one pass over the pairs, which computes
+    their similarities once for all particles."""
+    queries, docs, qrels = (stored(df, name) for df, name in ((queries, "queries"), (docs, "docs"), (qrels, "qrels")))
+
+    def objective(particles: np.ndarray) -> np.ndarray:
+        before = set(held())
+        settings = [{"reduction": reduction, "temperature": float(p[0])} for p in particles]
+        found = evaluation.per_query_settings(queries, docs, qrels, settings, k).groupBy("setting").agg(F.avg("ndcg").alias("score"))
+        scores = {r["setting"]: r["score"] for r in found.collect()}  # a row a particle
+        release(queries.sparkSession, [p for p in held() if p not in before])
+        return np.array([scores.get(i, 0.0) for i in range(len(particles))])
+
+    best, score = swarm.optimize_all(objective)
+    return float(best[0]), score
+
+
 @dataclass(frozen=True)
 class Restoration:
     """Steps of a restoration, each with the option that a search may set and the least value it takes."""

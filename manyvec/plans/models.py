@@ -12,7 +12,7 @@ from manyvec.operators import metrics as M
 from manyvec.operators import scoring as S
 from manyvec.operators import search as P
 from manyvec.plans.algebra import six
-from manyvec.plans.fixtures import bags, d_tokens, degraded_tokens, metrics_sql, qrels, queries_and_docs, query, sql, table, vectors
+from manyvec.plans.fixtures import bags, d_tokens, degraded_tokens, fiftieths, metrics_sql, qrels, queries_and_docs, query, sixes, sql, table, vectors
 from manyvec.session import stored
 
 MAPS = """pg AS (SELECT vec_id // 6 AS page, vec_id % 6 AS tok, v FROM e), fullp AS (SELECT page FROM pg GROUP BY page HAVING count(*) = 6),
@@ -313,19 +313,30 @@ def adapter_training_history(spark, sf_dir):
 
 @query()
 def swarm_search(spark, sf_dir):
-    """Best top_k temperature for smoothed scoring, all particles of a generation in one job."""
-    q, d = queries_and_docs(spark, sf_dir)
-    rel = qrels(spark, sf_dir)
-    base = S.pairs(q.select("qid", F.col("toks").alias("q")), d.select("pid", F.col("toks").alias("d"))).persist()
-
-    def objective(frame):
-        rows = base.crossJoin(F.broadcast(frame))  # a row a particle
-        scored = rows.select("particle", "qid", "pid", S.late_interaction(F.col("q"), F.col("d"), "smoothmax", temperature=F.col("params")[0]).alias("score"))
-        return M.per_query(scored, rel, by=("particle",)).groupBy("particle").agg(F.avg("ndcg").alias("score"))
-
-    best, score = P.Swarm([(0.01, 1.0)], particles=10, iters=20).optimize_frame(spark, objective)
-    base.unpersist()
-    return spark.createDataFrame([(float(best[0]), score)], "temperature double, ndcg double")
+    """Best temperature for smoothed scoring of every fiftieth vector's bag over all pages, all particles of a generation
+    in one pass; a bag is answered by those pages of its own fifty vectors that share its first label."""
+    every = vectors(spark, sf_dir).selectExpr("vec_id div 50 AS qid", "vec_id % 50 AS at", "vec_id div 6 AS pid", "label")
+    answers = every.join(every.where("at = 0").select("qid", "label"), ["qid", "label"]).select("qid", "pid").distinct()
+    q = fiftieths(spark, sf_dir)
+    best, score = P.temperature_search(q, sixes(spark, sf_dir), answers, P.Swarm([(0.01, 1.0)], particles=6, iters=3))
+    return spark.createDataFrame([(best, score)], "temperature double, ndcg double")
+
+
+#: Segmentation of 8 x 8 images: blocks of 5, closing by 3, regions of a tenth of the image, one pixel around their box.
+INK = """k5 AS (SELECT d, w / sum(w) OVER () AS w FROM (SELECT d, exp(-(d * d) / (2 * 1.1::DOUBLE * 1.1::DOUBLE)) AS w FROM range(-2, 3) t(d))),
+means AS (SELECT a.id, a.x, a.y, any_value(a.p) AS p, sum(kx.w * ky.w * b.p) AS m FROM px a, k5 kx, k5 ky, px b WHERE b.id = a.id AND b.x = greatest(0, least(7, a.x + kx.d)) AND b.y = greatest(0, least(7, a.y + ky.d)) GROUP BY a.id, a.x, a.y),
+ink AS (SELECT id, x, y, p <= round_even(m, 0) - 2 AS on_ FROM means),
+grown AS (SELECT a.id, a.x, a.y, bool_or(b.on_) AS on_ FROM ink a JOIN ink b ON b.id = a.id AND abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1 GROUP BY ALL),
+closed AS (SELECT id, x, y FROM (SELECT a.id, a.x, a.y, bool_and(b.on_) AS on_ FROM grown a JOIN grown b ON b.id = a.id AND abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1 GROUP BY ALL) WHERE on_),
+reach(id, x, y, p, q) AS (SELECT id, x, y, x, y FROM closed UNION SELECT r.id, r.x, r.y, c.x, c.y FROM reach r JOIN closed c ON c.id = r.id AND abs(c.x - r.p) <= 1 AND abs(c.y - r.q) <= 1),
+box AS (SELECT id, greatest(0, min(x) - 1) AS x1, greatest(0, min(y) - 1) AS y1, max(x) - min(x) + 3 AS w, max(y) - min(y) + 3 AS h FROM (SELECT id, x, y, count(*) AS area FROM reach GROUP BY ALL) WHERE area >= 6.4::DOUBLE GROUP BY id)"""
+
+
+@query("WITH RECURSIVE " + sql(f"SELECT id, {BYTES} FROM (SELECT px.id, px.x, px.y, CASE WHEN x1 IS NULL OR (px.x >= x1 AND px.x < x1 + w AND px.y >= y1 AND px.y < y1 + h) THEN px.p ELSE 255 END AS p FROM px LEFT JOIN box USING (id)) GROUP BY id", PIXELS, INK).removeprefix("WITH "))
+def segmented_pixels(spark, sf_dir):
+    """Every pixel of every image, white outside the box of its large dark regions."""
+    out = images.condition("segmented", block_size=5, morph_kernel_size=3, min_area_ratio=0.1, padding=1)(pictures(spark, sf_dir))
+    return out.select("id", F.lower(F.hex("data")).alias("data"))
 
 
 BLURRED = f"""bp AS (SELECT a.id, a.x, a.y, round_even(sum(kx.w * ky.w * b.p), 0) AS p FROM px a, k kx, k ky, px b

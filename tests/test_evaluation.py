@@ -36,6 +36,29 @@ def test_metrics_equal_those_of_a_ranked_table(spark, monkeypatch, options):
             assert all(found[qid][m] == pytest.approx(row[m], abs=1e-12) for m in metrics.NAMES)
 
 
+def test_settings_share_one_pass(spark):
+    q, d, rel = made(spark, seed=4)
+    settings = [{}, {"reduction": "smoothmax", "temperature": 0.2}, {"reduction": "smoothmax", "temperature": 0.9}, {"reduction": "topk_mean", "top_k": 2}]
+    found = {(r["setting"], r["qid"]): r for r in E.per_query_settings(q, d, rel, settings).collect()}
+    assert len(found) == 4 * 10
+    for i, options in enumerate(settings):
+        for r in E.per_query(q, d, rel, **options).collect():
+            assert found[i, r["qid"]].asDict() == {"setting": i} | r.asDict()
+    p = E.places(q, d, rel, settings=settings)._jdf.queryExecution().executedPlan().toString()
+    assert p.count("NestedLoopJoin") == 1
+
+
+def test_temperature_search_finds_what_trying_all_finds(spark):
+    from manyvec.operators import search
+
+    q, d, rel = made(spark, seed=7)
+    swarm = search.Swarm([(0.05, 2.0)], particles=3, iters=2)
+    best, score = search.temperature_search(q, d, rel, swarm)
+    tried = lambda t: E.evaluate(q, d, rel, reduction="smoothmax", temperature=float(t)).first()["ndcg"]
+    want, top = swarm.optimize(lambda p: tried(p[0]))
+    assert best == want[0] and score == pytest.approx(top)
+
+
 def test_means_count_queries_and_documents_once(spark):
     q, d, rel = made(spark)
     row = E.evaluate(q, d, rel).first()
