@@ -40,6 +40,8 @@ EXACT = 2.0**53
 
 
 LONGEST = 2**63 - 1
+#: Vectors too long for doubles have no distances; what comes of it bounds nothing.
+BOUNDLESS = np.errstate(over="ignore", invalid="ignore")
 
 
 def usable(vectors: DataFrame, shift_every: int = 7, labels: int = 10) -> DataFrame:
@@ -52,6 +54,15 @@ def usable(vectors: DataFrame, shift_every: int = 7, labels: int = 10) -> DataFr
     return rows.select("id", moved.alias("label"), whole.alias("v"), F.size("v").alias("dim"))
 
 
+def laid_down(v: np.ndarray) -> bytes:
+    """Whole numbers in two bytes each where they fit, else as doubles."""
+    return (v.astype("<i2") if len(v) and np.abs(v).max() < 2**15 else v.astype("<f8")).tobytes()
+
+
+def taken_up(data: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(data, "<i2" if len(data) == 2 * dim else "<f8").astype(float)
+
+
 @dataclass
 class Pivots:
     """Points (a row each, without the added component), that component, and the square of the largest length."""
@@ -61,6 +72,7 @@ class Pivots:
     square: float
 
     @classmethod
+    @BOUNDLESS
     def farthest(cls, sample: list[np.ndarray], square: float, n: int) -> Pivots:
         """The sample's first vector, then always the one farthest from those taken; shorter ones are padded with zeros."""
         wide = np.zeros((len(sample), max(map(len, sample))))
@@ -77,19 +89,21 @@ class Pivots:
         common = min(len(v), self.points.shape[1])
         return self.points[:, :common] @ v[:common]
 
+    @BOUNDLESS
     def of_row(self, v: np.ndarray) -> np.ndarray:
         """Distances of a row: both ends have the length sqrt(square)."""
         added = math.sqrt(max(self.square - float(v @ v), 0))
         return np.sqrt(np.maximum(2 * self.square - 2 * (self.inner(v) + added * self.added), 0))
 
+    @BOUNDLESS
     def of_anchor(self, q: np.ndarray) -> np.ndarray:
         """Distances of an anchor, whose added component is 0."""
         return np.sqrt(np.maximum(float(q @ q) + self.square - 2 * self.inner(q), 0))
 
 
 def pivot_table(vectors: DataFrame, n_pivots: int, sample: int) -> tuple[DataFrame, Pivots] | None:
-    """(row, id, label, dim, cell, v, near): each row with its distances to the pivots, laid down once; ``v`` and
-    ``near`` are packed doubles, ``cell`` is the nearest pivot. Pivots come from the ``sample`` rows with the smallest hash."""
+    """(row, id, label, dim, cell, v, near): each row with its distances to the pivots, laid down once; ``v`` is
+    packed by ``laid_down``, ``near`` are doubles, ``cell`` is the nearest pivot. Pivots come from the ``sample`` rows with the smallest hash."""
     rows = usable(vectors)
     square = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()["m"]
     if square is None:
@@ -102,7 +116,7 @@ def pivot_table(vectors: DataFrame, n_pivots: int, sample: int) -> tuple[DataFra
             vs = [np.asarray(v, float) for v in pdf["v"]]
             near = [pivots.of_row(v) for v in vs]
             cells = [int(np.argmin(x)) if np.isfinite(x).all() else 0 for x in near]
-            yield pdf.assign(cell=cells, v=[v.tobytes() for v in vs], near=[x.tobytes() for x in near])[["row", "id", "label", "dim", "cell", "v", "near"]]
+            yield pdf.assign(cell=cells, v=[laid_down(v) for v in vs], near=[x.tobytes() for x in near])[["row", "id", "label", "dim", "cell", "v", "near"]]
 
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     return stored(numbered.mapInPandas(run, "row long, id long, label long, dim int, cell int, v binary, near binary"), "pivots"), pivots
@@ -114,7 +128,7 @@ class Block:
     def __init__(self, pivots: Pivots, dim: int, rows: list[tuple]):
         self.pivots = pivots
         self.row, self.id, self.label = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        self.v = np.frombuffer(b"".join(r[3] for r in rows)).reshape(len(rows), dim)
+        self.v = np.array([taken_up(r[3], dim) for r in rows]).reshape(len(rows), dim)
         self.near = np.ascontiguousarray(np.frombuffer(b"".join(r[4] for r in rows)).reshape(len(rows), -1).T)
         self.largest = float(np.abs(self.v).max(initial=0))
         self.of_label = {x: np.flatnonzero(self.label == x) for x in np.unique(self.label)}
@@ -198,7 +212,7 @@ def meetings(table: DataFrame, anchors: DataFrame, pivots: Pivots, block_rows: i
                     continue
                 if block is None:
                     block, rows = Block(pivots, dim, rows), []
-                out += meet(block, (row, id_, label, np.frombuffer(v), more))
+                out += meet(block, (row, id_, label, taken_up(v, dim), more))
             yield pd.DataFrame(out, columns=names).astype("int64")
 
     return arranged.mapInPandas(run, schema)

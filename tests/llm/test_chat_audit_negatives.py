@@ -236,6 +236,12 @@ def test_negatives_of_huge_components(spark):
     assert found[100, 101, 102] == 2**63 - 1
 
 
+@pytest.mark.parametrize("v, n", [([], 0), ([0, -5, 32767], 6), ([-32768, 1], 16), ([1e300, -1.0], 16)])
+def test_vectors_are_packed_exactly(v, n):
+    data = negatives.laid_down(np.array(v, float))
+    assert len(data) == n and negatives.taken_up(data, len(v)).tolist() == v
+
+
 def test_brackets_hold_the_scores():
     rng = np.random.default_rng(2)
     rows = np.floor(rng.normal(size=(300, 16)) * 100)
