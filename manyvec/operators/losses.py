@@ -1,28 +1,29 @@
 """Contrastive and distillation losses as aggregates over a long score table (qid, pid, score).
 
-``offset`` says that query i belongs to document i + offset. Sums of exponentials are taken against a maximum: first
-within ``PARTS`` parts of each group, which are dealt by hash so that few queries still fill many tasks, then over the
-parts' rows. All return one row with ``loss``."""
+``offset`` says that query i belongs to document i + offset. Sums of exponentials never overflow, yet need no maximum
+beforehand: a group's rows are summed by steps of ``STEP`` in the exponent, each sum relative to its step, and the few steps
+of a group are put together against the highest. So every task sums what it has before anything is shuffled, and no
+pair is sorted. All return one row with ``loss``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from manyvec.functions import vectors as V
 
 
-#: Parts that a group's rows are dealt into.
-PARTS = 64
+#: Exponents of one sum lie within this of each other.
+STEP = 64.0
 
 
-def _parted(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("__part", F.pmod(F.xxhash64("qid", "pid"), F.lit(PARTS)))
+def _step(x: Column) -> Column:
+    """What the exponent of ``x`` is taken relative to."""
+    return F.floor(x / STEP) * STEP
 
 
 def _whole(parts: DataFrame, group: str, tops: dict[str, tuple[str, ...]], *plain: str) -> DataFrame:
-    """One row a group from those of its parts: each maximum, the sums that are relative to it, and plain sums."""
+    """One row a group from those of its steps: the highest of each, the sums that are relative to it, and plain sums."""
     names = [n for top, sums in tops.items() for n in (top, *sums)]
     rows = parts.groupBy(group).agg(F.collect_list(F.struct(*names)).alias("__p"), *[F.max(t).alias(t) for t in tops], *[F.sum(n).alias(n) for n in plain])
 
@@ -53,8 +54,8 @@ def down_weight_negatives(scores: DataFrame, offset: int = 0, threshold: float =
 
 def _cross_entropy(rows: DataFrame, group: str, positive: Column) -> DataFrame:
     """Mean of log-sum-exp minus the positive, over groups of ``x``."""
-    top = _parted(rows).withColumn("__top", F.max("x").over(W.partitionBy(group, "__part")))
-    parts = top.groupBy(group, "__part").agg(F.max("__top").alias("m"), F.sum(F.exp(F.col("x") - F.col("__top"))).alias("z"), F.sum(F.when(positive, F.col("x"))).alias("own"))
+    steps = rows.withColumn("m", _step(F.col("x")))
+    parts = steps.groupBy(group, "m").agg(F.sum(F.exp(F.col("x") - F.col("m"))).alias("z"), F.sum(F.when(positive, F.col("x"))).alias("own"))
     each = _whole(parts, group, {"m": ("z",)}, "own")
     return each.agg(F.avg(F.col("m") + F.log("z") - F.col("own")).alias("loss"))
 
@@ -95,17 +96,12 @@ def negatives(positives: DataFrame, negative: DataFrame, scores: DataFrame, temp
 
 
 def pairwise(scores: DataFrame, temperature: float = 1.0, offset: int = 0) -> DataFrame:
-    """Softplus of the hardest in-batch document over the positive; where the highest score equals the positive's,
-    the second highest takes its place."""
+    """Softplus of the hardest in-batch document over the positive: the highest score, or where that equals the positive's the
+    second highest, which is the highest of all documents but the positive in either case."""
     _check(temperature)
-    by = W.partitionBy("qid", "__part").orderBy(F.col("score").desc(), "pid")
-    rows = _parted(scores).withColumn("__r", F.row_number().over(by)).where((F.col("__r") <= 2) | _positive(offset))
-    # the two highest of each part hold those of the whole
-    top = F.slice(F.sort_array(F.collect_list(F.when(F.col("__r") <= 2, F.col("score"))), asc=False), 1, 2)
-    each = rows.groupBy("qid").agg(F.max(F.when(_positive(offset), F.col("score"))).alias("pos"), top.alias("top"))
-    each = each.select("pos", F.get("top", F.lit(0)).alias("one"), F.get("top", F.lit(1)).alias("two"))
-    hardest = F.when(F.col("one") == F.col("pos"), F.col("two")).otherwise(F.col("one"))
-    return each.agg(F.avg(V.softplus((hardest - F.col("pos")) / temperature)).alias("loss"))
+    own = _positive(offset)
+    each = scores.groupBy("qid").agg(F.max(F.when(own, F.col("score"))).alias("pos"), F.max(F.when(~own, F.col("score"))).alias("hardest"))
+    return each.agg(F.avg(V.softplus((F.col("hardest") - F.col("pos")) / temperature)).alias("loss"))
 
 
 def pairwise_negatives(positives: DataFrame, negative: DataFrame, scores: DataFrame, temperature: float = 0.02, offset: int = 0, weight: float = 0.5) -> DataFrame:
@@ -136,12 +132,11 @@ def block_sigmoid(scores: DataFrame, temperature: float = 0.02, offset: int = 0)
 def distillation(student: DataFrame, teacher: DataFrame, temperature: float = 0.07) -> DataFrame:
     """KL(teacher || student) of the softmaxes over documents, summed over pairs and averaged over queries, times T squared."""
     _check(temperature)
-    by = W.partitionBy("qid", "__part")
     rows = student.select("qid", "pid", (F.col("score") / temperature).alias("s")).join(teacher.select("qid", "pid", (F.col("score") / temperature).alias("t")), ["qid", "pid"], "full")
-    rows = _parted(rows).withColumns({"ms": F.max("s").over(by), "mt": F.max("t").over(by)})
+    rows = rows.withColumns({"ms": _step(F.col("s")), "mt": _step(F.col("t"))})
     weight = F.exp(F.col("t") - F.col("mt"))
-    parts = rows.groupBy("qid", "__part").agg(
-        F.max("ms").alias("ms"), F.max("mt").alias("mt"), F.sum(F.exp(F.col("s") - F.col("ms"))).alias("zs"), F.sum(weight).alias("zt"),
+    parts = rows.groupBy("qid", "ms", "mt").agg(
+        F.sum(F.exp(F.col("s") - F.col("ms"))).alias("zs"), F.sum(weight).alias("zt"),
         F.sum(weight * (F.col("t") - F.col("s"))).alias("gap"), F.count_if(F.col("s").isNull() | F.col("t").isNull()).alias("odd"),
     )
     each = _whole(parts, "qid", {"ms": ("zs",), "mt": ("zt", "gap")}, "odd")
@@ -154,9 +149,9 @@ def distillation(student: DataFrame, teacher: DataFrame, temperature: float = 0.
 def multi_positive(scores: DataFrame, qrels: DataFrame) -> DataFrame:
     """Mean over queries with a ranked positive of log-sum-exp of all scores minus that of the positives; 0 without any."""
     marks = qrels.select("qid", "pid").distinct().withColumn("rel", F.lit(True))
-    rows = _parted(scores.join(marks, ["qid", "pid"], "left")).withColumn("__top", F.max("score").over(W.partitionBy("qid", "__part")))
-    e = F.exp(F.col("score") - F.col("__top"))
-    parts = rows.groupBy("qid", "__part").agg(F.max("__top").alias("m"), F.sum(e).alias("every"), F.sum(F.when(F.col("rel"), e)).alias("own"), F.count("rel").alias("n"))
+    rows = scores.join(marks, ["qid", "pid"], "left").withColumn("m", _step(F.col("score")))
+    e = F.exp(F.col("score") - F.col("m"))
+    parts = rows.groupBy("qid", "m").agg(F.sum(e).alias("every"), F.sum(F.when(F.col("rel"), e)).alias("own"), F.count("rel").alias("n"))
     each = _whole(parts, "qid", {"m": ("every", "own")}, "n")
     return each.agg(F.coalesce(F.avg(F.when(F.col("n") > 0, F.log(F.col("every") / F.col("own")))), F.lit(0.0)).alias("loss"))
 
