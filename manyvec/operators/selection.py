@@ -4,7 +4,7 @@ corpus (corpus_id, doc_id, page_number_in_doc), queries (query_id, query, langua
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -80,11 +80,19 @@ def validated_methods(methods: list[str], allowed: tuple[str, ...]) -> list[str]
     return list(dict.fromkeys(methods))
 
 
-def all_variants(spark) -> DataFrame:
-    """Every non-empty combination of the components."""
-    bits = spark.range(1, 1 << len(COMPONENTS))
-    picked = F.filter(F.array(*[F.when((F.col("id").bitwiseAND(1 << i)) > 0, F.lit(c)) for i, c in enumerate(COMPONENTS)]), lambda x: x.isNotNull())
-    return bits.select(F.array_join(picked, "_").alias("variant")).withColumn("n_components", F.size(components(F.col("variant"))).cast("long"))
+def variant_of(bits: Column) -> Column:
+    """The variant with the components whose bits are set."""
+    picked = F.filter(F.array(*[F.when(bits.bitwiseAND(1 << i) > 0, F.lit(c)) for i, c in enumerate(COMPONENTS)]), lambda x: x.isNotNull())
+    return F.array_join(picked, "_")
+
+
+def with_components(variants: DataFrame) -> DataFrame:
+    return variants.withColumn("n_components", F.size(components(F.col("variant"))).cast("long"))
+
+
+def all_variants(spark: SparkSession) -> DataFrame:
+    """(variant, n_components) of every non-empty combination."""
+    return with_components(spark.range(1, 1 << len(COMPONENTS)).select(variant_of(F.col("id")).alias("variant")))
 
 
 def hard_variants(variants: DataFrame, n: int) -> DataFrame:

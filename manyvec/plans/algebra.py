@@ -116,11 +116,12 @@ def local_image_masks(spark, sf_dir):
     return G.local_image_mask(page_tokens(spark, sf_dir), "page", F.col("image"), 2).select("page", "pos", "local")
 
 
-@query("""SELECT t AS tok, t % 12 AS x, t // 12 AS y, ((t // 16) % 3) * 4 + (t % 16) % 4 AS tile_x, ((t // 16) // 3) * 4 + (t % 16) // 4 AS tile_y FROM range(0, 96) r(t)""")
+@query("""SELECT vec_id, t % 12 AS x, t // 12 AS y, ((t // 16) % 3) * 4 + (t % 16) % 4 AS tile_x, ((t // 16) // 3) * 4 + (t % 16) // 4 AS tile_y FROM (SELECT vec_id, vec_id % 96 AS t FROM embeddings)""")
 def token_places(spark, sf_dir):
-    t = F.col("id")
+    """Every vector as a token of a page of 96, placed row by row and in tiles of 4 x 4."""
+    t = F.col("vec_id") % 96
     (x, y), (tx, ty) = G.row_major(t, 12), G.tile_order(t, 4, 3)
-    return spark.range(96).select(t.alias("tok"), x.alias("x"), y.alias("y"), tx.alias("tile_x"), ty.alias("tile_y"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"), y.alias("y"), tx.alias("tile_x"), ty.alias("tile_y"))
 
 
 SHAPES = "d AS (SELECT doc_id, 40 + n_chars % 900 AS h, 60 + (n_chars * 7) % 1500 AS w FROM documents)"
@@ -153,10 +154,11 @@ def smart_resize_grids(spark, sf_dir):
     return shapes(spark, sf_dir).select("doc_id", x.alias("x"), y.alias("y"))
 
 
-@query("SELECT n * n AS tokens, n AS side, 448 // 14 AS fixed_x, n * 28 * 28 AS max_pixels FROM range(1, 40) t(n)")
+@query("SELECT doc_id, n * n AS tokens, n AS side, (448 // 14)::BIGINT AS fixed_x, n * 28 * 28 AS max_pixels FROM (SELECT doc_id, 1 + n_chars % 39 AS n FROM documents)")
 def fixed_grids(spark, sf_dir):
-    n = F.col("id")
-    return spark.range(1, 40).select((n * n).alias("tokens"), G.square_side(n * n).alias("side"), F.lit(G.patches_fixed(448, 14)[0]).cast("long").alias("fixed_x"), G.max_pixels(n).alias("max_pixels"))
+    """Sides of square grids, of as many tokens as each document's length gives."""
+    n = 1 + F.col("n_chars") % 39
+    return table(spark, sf_dir, "documents").select("doc_id", (n * n).alias("tokens"), G.square_side(n * n).alias("side"), F.lit(G.patches_fixed(448, 14)[0]).cast("long").alias("fixed_x"), G.max_pixels(n).alias("max_pixels"))
 
 
 @query("""WITH k AS (SELECT doc_id, i AS pos, i % 2 = 0 AS image FROM documents, range(0, 8) t(i) WHERE i < 4 * (1 + doc_id % 2)),

@@ -100,25 +100,33 @@ def labelled_in_languages(spark, sf_dir):
     return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", "lang")
 
 
-VARIANTS = """bits AS (SELECT list_filter([CASE WHEN i & 1 > 0 THEN 'PD' END, CASE WHEN i & 2 > 0 THEN 'MB' END, CASE WHEN i & 4 > 0 THEN 'GN' END, CASE WHEN i & 8 > 0 THEN 'JC' END, CASE WHEN i & 16 > 0 THEN 'LR' END, CASE WHEN i & 32 > 0 THEN 'CS' END], lambda x: x IS NOT NULL) AS p FROM range(1, 64) t(i)),
-v AS (SELECT array_to_string(p, '_') AS variant, len(p) AS n_components FROM bits)"""
+VARIANTS = """pages AS (SELECT doc_id, array_to_string(list_filter([CASE WHEN i & 1 > 0 THEN 'PD' END, CASE WHEN i & 2 > 0 THEN 'MB' END, CASE WHEN i & 4 > 0 THEN 'GN' END, CASE WHEN i & 8 > 0 THEN 'JC' END, CASE WHEN i & 16 > 0 THEN 'LR' END, CASE WHEN i & 32 > 0 THEN 'CS' END], lambda x: x IS NOT NULL), '_') AS variant FROM (SELECT doc_id, 1 + doc_id % 63 AS i FROM documents)),
+v AS (SELECT variant, len(string_split(variant, '_')) AS n_components, count(*) AS n_pages FROM pages GROUP BY ALL)"""
 
 
-@query(f"WITH {VARIANTS} SELECT variant, n_components FROM v")
+def degraded_pages(spark, sf_dir):
+    """Every document as a page of one of the variants, by its number."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.variant_of(1 + F.col("doc_id") % 63).alias("variant"))
+
+
+@query(f"WITH {VARIANTS} SELECT variant, n_components, n_pages FROM v")
 def degradation_variants(spark, sf_dir):
-    return X.all_variants(spark)
+    return X.with_components(degraded_pages(spark, sf_dir).groupBy("variant").agg(F.count("*").alias("n_pages"))).select("variant", "n_components", "n_pages")
 
 
 @query(f"WITH {VARIANTS} SELECT variant FROM v ORDER BY n_components DESC, variant LIMIT 7")
 def hard_variants(spark, sf_dir):
-    """The hardest seven; the limit is the feature."""
-    return X.hard_variants(X.all_variants(spark), 7).select("variant")
+    """The hardest seven of the pages' variants; the limit is the feature."""
+    return X.hard_variants(X.with_components(degraded_pages(spark, sf_dir).select("variant").distinct()), 7).select("variant")
 
 
-@query(f"""WITH {VARIANTS}, r AS (SELECT *, row_number() OVER (PARTITION BY n_components ORDER BY sha1('13:' || variant), variant) AS r FROM v WHERE n_components < 6)
-SELECT variant, CASE WHEN n_components <= 2 OR n_components = 3 AND r <= 9 THEN 'train' WHEN n_components = 3 OR n_components = 4 AND r <= 5 THEN 'val' ELSE 'test' END AS split FROM r WHERE n_components <= 3 OR r <= 5 UNION ALL SELECT 'PD_MB_GN_JC_LR_CS', 'test'""")
+@query(f"""WITH {VARIANTS}, r AS (SELECT *, row_number() OVER (PARTITION BY n_components ORDER BY sha1('13:' || variant), variant) AS r FROM v WHERE n_components < 6),
+splits AS (SELECT variant, CASE WHEN n_components <= 2 OR n_components = 3 AND r <= 9 THEN 'train' WHEN n_components = 3 OR n_components = 4 AND r <= 5 THEN 'val' ELSE 'test' END AS split FROM r WHERE n_components <= 3 OR r <= 5 UNION ALL SELECT 'PD_MB_GN_JC_LR_CS', 'test')
+SELECT doc_id, variant, split FROM pages JOIN splits USING (variant)""")
 def variant_splits(spark, sf_dir):
-    return X.split_variants(X.all_variants(spark))
+    """The split of each page whose variant is in one."""
+    pages = degraded_pages(spark, sf_dir)
+    return pages.join(X.split_variants(X.with_components(pages.select("variant").distinct())), "variant").select("doc_id", "variant", "split")
 
 
 GROUPS = "g AS (SELECT raw_answers::VARCHAR AS group_key, list(query_id ORDER BY query_id) AS query_ids FROM queries GROUP BY raw_answers), p AS (SELECT *, sha1('13:' || group_key) AS group_hash, row_number() OVER (ORDER BY sha1('13:' || group_key), group_key) AS place FROM g)"

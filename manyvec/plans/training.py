@@ -156,6 +156,15 @@ def epoch_losses(spark, sf_dir):
     return L.epoch_mean(docs).select("epoch", loss())
 
 
-@query("SELECT s AS step, round(CASE WHEN s < 10 THEN s / 10 ELSE greatest(0.1, (100 - s) / 90) END, 6) AS rate FROM range(0, 121) t(s)")
+@query("SELECT doc_id, s AS step, round(CASE WHEN s < 10 THEN s / 10 ELSE greatest(0.1, (100 - s) / 90) END, 6) AS rate FROM (SELECT doc_id, doc_id % 121 AS s FROM documents)")
 def learning_rate_schedule(spark, sf_dir):
-    return spark.range(121).select(F.col("id").alias("step"), F.round(L.learning_rate(F.col("id"), 10, 100), 6).alias("rate"))
+    """The rate at which each document is learned, in runs of 121 steps."""
+    step = F.col("doc_id") % 121
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", step.alias("step"), F.round(L.learning_rate(step, 10, 100), 6).alias("rate"))
+
+
+@query(sql(f"SELECT round((1 - 0.5) * (SELECT avg({softplus('(n.score - p.score) / 0.02')}) FROM s p JOIN s n ON n.qid = p.qid AND n.pid - n.qid IN (20, 21) WHERE p.pos) + 0.5 * (SELECT avg({softplus('(h.hard - h.x) / 0.02')}) FROM (SELECT qid, max(score) FILTER (pos) AS x, max(score) FILTER (NOT pos) AS hard FROM s GROUP BY qid) h), 6) AS loss", SINGLE))
+def loss_bi_pairwise_negatives(spark, sf_dir):
+    """The hardest in-batch document and explicit negatives of single vectors."""
+    rows = single(spark, sf_dir)
+    return L.pairwise_negatives(rows.where("pid = qid + 3"), rows.where("pid - qid IN (20, 21)"), rows, 0.02, 3).select(loss())
