@@ -27,7 +27,8 @@ U64 = np.uint64
 
 def packed(docs: DataFrame, count: Callable[[str], int], batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(batch, first, n, data): all columns of ``docs`` as compressed Arrow batches, ``n`` the sum of ``count(text)``.
-    Rows are numbered through the table: a batch's rows from ``first`` on, no number twice."""
+    Rows are numbered through the table: a batch's rows from ``first`` on, no number twice. A batch ends with the 500 rows in
+    which it comes to ``batch_bytes``, or at the text with which it comes to twice as much."""
     at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -47,14 +48,17 @@ def packed(docs: DataFrame, count: Callable[[str], int], batch_bytes: int = BATC
 
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                texts = part.column(at).to_pylist()
-                held.append(part)
-                size += sum(len(t or "") for t in texts)
-                total += sum(count(t or "") for t in texts)
-                if size >= batch_bytes:
-                    yield flush()
-                    made, row, held, size, total = made + 1, row + sum(b.num_rows for b in held), [], 0, 0
+                piece = batch.slice(start, 500)
+                texts, begin = piece.column(at).to_pylist(), 0
+                for end, text in enumerate(texts, 1):
+                    size += len(text or "")
+                    total += count(text or "")
+                    if size >= 2 * batch_bytes or end == len(texts):
+                        held.append(piece.slice(begin, end - begin))
+                        begin = end
+                        if size >= batch_bytes:
+                            yield flush()
+                            made, row, held, size, total = made + 1, row + sum(b.num_rows for b in held), [], 0, 0
         if held:
             yield flush()
 

@@ -209,6 +209,25 @@ def test_byte_repeats_come_through_the_transform(spark, docs, odd, monkeypatch):
     assert sum(r[2] for r in byte_digests(odd)) > 0
 
 
+def test_batches_of_very_long_texts_stay_bounded(spark):
+    """A batch ends at the text that fills it, wherever it stands among the 500 rows that are read together."""
+    df = spark.range(50).selectExpr("id AS doc_id", "repeat(chr(cast(97 + id % 26 as int)), 2000000) AS text").coalesce(1)
+    rows = exchange.packed(df, len).collect()
+    tables = [exchange.unpacked(r["data"]) for r in sorted(rows, key=lambda r: r["batch"])]
+    assert all(sum(map(len, t.column("text").to_pylist())) <= 2 * exchange.BATCH_BYTES for t in tables)
+    assert [i for t in tables for i in t.column("doc_id").to_pylist()] == list(range(50))
+    firsts = sorted((r["first"], len(t)) for r, t in zip(sorted(rows, key=lambda r: r["batch"]), tables))
+    assert all(a + n == b for (a, n), (b, _) in zip(firsts, firsts[1:]))
+
+
+def test_long_texts_lose_their_repeats(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=400_000))
+    df = spark.createDataFrame([(i, "".join(rng.choices("ijklmnop ", k=100)) + passage) for i in range(6)], "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r["n_removed"] for r in suffixes.digests(df).collect()}
+    assert found[0] == 0 and all(found[i] >= 400_000 for i in range(1, 6))
+
+
 def test_byte_repeats_with_hot_minimizers(odd, docs):
     assert sorted(map(tuple, suffixes.digests(docs, bucket_bytes=5000, hot=2).collect()), key=key) == sorted(byte_digests(odd), key=key)
 
