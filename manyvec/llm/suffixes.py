@@ -10,13 +10,14 @@ passage doesn't fill one bucket.
 
 A bucket holds a collection of short strings, equal ones once, with the documents that have them as membership. All of them
 enter the transform; it names the windows that are equal, and only then membership tells whose they are. A symbol
-is ``WIDE`` = 5 bytes, numbered in their order; a string enters the transform as five documents, which begin at its first
-five bytes. So a window is 10 symbols of one of them, and a fifth of the rounds does. The suffix order is built column by column from the right: each round inserts
+is ``WIDE`` = 10 bytes, numbered in their order; a string enters the transform as ten documents, which begin at its first
+ten bytes. So a window is 5 symbols of one of them, and a tenth of the rounds does. Strings of a bucket are taken ``LOT`` bytes
+at a time, those with one minimizer together, so memory does not follow the bucket. The suffix order is built column by column from the right: each round inserts
 one symbol of every document, at the place that the last round's transform gives it, and updates the common prefix
 lengths of the neighbours it parts. The transform, the prefix lengths and the origin of each suffix lie in sequential
 files of the shared folder: a round reads the last one's block by block, counting symbols as it goes, and writes the
 next. In memory are only a block, the places of the documents and a count for each symbol. Suffixes whose neighbours
-share 10 symbols are equal windows; each group's smallest doc_id keeps them.
+share 5 symbols are equal windows; each group's smallest doc_id keeps them.
 
 Edge cases: null text is empty; rows with null doc_id keep all bytes and are no reference; rows that share a doc_id
 don't remove each other's bytes; texts under 50 bytes are kept; long texts are read whole, and periodic ones give
@@ -47,7 +48,9 @@ LENGTH, SEED, SPAN = 50, 24, 32
 #: Documents from which on a minimizer counts as hot.
 HOT = 4096
 #: Bytes of a symbol, symbols of a window, and entries of the transform that a round holds at a time.
-WIDE, SYMBOLS, BLOCK = 5, LENGTH // 5, 1 << 18
+WIDE, SYMBOLS, BLOCK = 10, LENGTH // 10, 1 << 18
+#: Bytes of strings from which on a bucket's strings make a further collection.
+LOT = 1_500_000
 #: Stands for the owner of a window that the transform does not name.
 NO_OWNER = np.iinfo(np.int64).max
 #: Stands for a null doc_id within a batch.
@@ -55,9 +58,9 @@ NO_ID = -(2**63)
 #: Bytes hashed at a time.
 CHUNK = 32_768
 RUNS = "bucket long, batch long, runs binary"
-#: Arrays of a message. For each distinct string: length, occurrences, smallest doc_id; for each occurrence: its place in the
-#: batch, and whether its doc_id is larger than that; then the bytes.
-SENT = ("u1", "<u4", "<i8", "<u4", "u1", "u1")
+#: Arrays of a message. For each distinct string: length, occurrences, smallest doc_id, a byte that follows from its
+#: minimizer; for each occurrence: its place in the batch, and whether its doc_id is larger than that; then the bytes.
+SENT = ("u1", "<u4", "<i8", "u1", "<u4", "u1", "u1")
 #: Arrays of an answer, for each occurrence that loses windows: place, number of windows, a bit for each that goes.
 GONE = ("<u4", "u1", "<u4")
 
@@ -193,7 +196,7 @@ def _run_messages(sizes: Sizes, buckets: int, limit: int):
             mine = by[edges[k] : edges[k + 1]]
             at = np.repeat(first[mine] - np.cumsum(occurs[mine]) + occurs[mine], occurs[mine]) + np.arange(occurs[mine].sum())
             text = [strings[i] for i in mine.tolist()]
-            arrays = [np.array(list(map(len, text))), occurs[mine], doc[first[mine]], begin[at], later[at], np.frombuffer(b"".join(text), np.uint8)]
+            arrays = [np.array(list(map(len, text))), occurs[mine], doc[first[mine]], mix(key[first[mine]]) >> U64(56), begin[at], later[at], np.frombuffer(b"".join(text), np.uint8)]
             rows.append((int(k), batch, pack_arrays(arrays, SENT)))
         yield pd.DataFrame(rows, columns=["bucket", "batch", "runs"])
 
@@ -392,17 +395,35 @@ def collection_order(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarra
     return np.concatenate([np.zeros(0, np.uint32), *(o for o, _ in parts)])[n:], np.concatenate([np.zeros(0, np.uint8), *(p for _, p in parts)])[n:]
 
 
+def symbols_of(data: bytes) -> np.ndarray:
+    """At each byte, the number of the WIDE bytes from there on (zeros after the end), in their order."""
+    half = WIDE // 2
+    padded = np.frombuffer(data + bytes(WIDE - 1), np.uint8).astype(U64)
+    n = len(padded) - half + 1
+    parts = np.zeros(n, U64)
+    for i in range(half):
+        parts = (parts << U64(8)) | padded[i : i + n]
+    parts = np.unique(parts, return_inverse=True)[1].astype(U64)
+    return np.unique((parts[:-half] << U64(32)) | parts[half:], return_inverse=True)[1].astype(np.uint32)
+
+
+def lots(part: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Strings by their byte ``part``, gathered to at least LOT bytes: strings with one minimizer stay together."""
+    order = np.argsort(part, kind="stable")
+    ends = np.flatnonzero(np.append(part[order][1:] != part[order][:-1], True)) + 1
+    begin, upto = 0, np.cumsum(size[order])
+    for end in ends:
+        if upto[end - 1] - (upto[begin - 1] if begin else 0) >= LOT or end == len(order):
+            yield order[begin:end]
+            begin = end
+
+
 def least_owners(strings: list[bytes], owner: np.ndarray, folder: str | None) -> np.ndarray:
     """For each string, the smallest owner of each of its windows, from the groups of the collection's transform; what the
     transform does not name has no owner."""
     size = np.array(list(map(len, strings)), np.int64)
     begin = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(strings) + bytes(WIDE - 1), np.uint8).astype(U64)
-    n = len(data) - WIDE + 1
-    wide = np.zeros(n, U64)
-    for i in range(WIDE):
-        wide = (wide << U64(8)) | data[i : i + n]
-    numbers = np.unique(wide, return_inverse=True)[1].astype(np.uint32)
+    numbers = symbols_of(b"".join(strings))
     # documents: the readings of each string from its first bytes on
     length = ((size[:, None] - np.arange(WIDE)) // WIDE).ravel()
     start = np.cumsum(length) - length
@@ -426,16 +447,20 @@ def _earlier(root: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         folder = mounted(root)
         seen: dict[bytes, int] = {}
-        sent, numbers = [], []
+        sent, numbers, parts = [], [], []
         for data in pdf["runs"]:
-            size, occurs, least, begin, later, text = unpack_arrays(data, SENT)
+            size, occurs, least, part, begin, later, text = unpack_arrays(data, SENT)
             raw, ends = text.tobytes(), np.cumsum(size.astype(np.int64))
             numbers.append(np.array([seen.setdefault(raw[j - n : j], len(seen)) for n, j in zip(size.tolist(), ends.tolist())], np.int64))
             sent.append((size, occurs, least, begin, later))
-        owner = np.full(len(seen), NO_OWNER)
-        for number, (_, _, least, _, _) in zip(numbers, sent):
+            parts.append(part)
+        owner, of = np.full(len(seen), NO_OWNER), np.zeros(len(seen), np.uint8)
+        for number, part, (_, _, least, _, _) in zip(numbers, parts, sent):
             np.minimum.at(owner, number, least)
-        windows = least_owners(list(seen), owner, folder)
+            of[number] = part
+        strings, windows = list(seen), np.full((len(seen), SPAN), NO_OWNER)
+        for some in lots(of, np.array(list(map(len, strings)))):
+            windows[some] = least_owners([strings[i] for i in some.tolist()], owner[some], folder)
         bits = U64(1) << np.arange(SPAN, dtype=U64)
         rows = []
         for batch, number, (size, occurs, least, begin, later) in zip(pdf["batch"], numbers, sent):
