@@ -50,7 +50,7 @@ HOT = 4096
 #: Bytes of a symbol, symbols of a window, and entries of the transform that a round holds at a time.
 WIDE, SYMBOLS, BLOCK = 10, LENGTH // 10, 1 << 18
 #: Bytes of strings from which on a bucket's strings make a further collection.
-LOT = 1_500_000
+LOT = 250_000
 #: Stands for the owner of a window that the transform does not name.
 NO_OWNER = np.iinfo(np.int64).max
 #: Stands for a null doc_id within a batch.
@@ -308,7 +308,10 @@ class Scan:
         self.at += n
         order = stable_order(bwt)
         ordered = bwt[order]
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        new = np.empty(n, bool)
+        new[0] = True
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        edge = np.flatnonzero(new)
         kinds = ordered[edge].astype(np.int64)
         head = np.minimum.accumulate(lcp)[order[edge]]
         reach = np.minimum(self.carry[kinds], head)  # from each symbol's last place to its first one here
@@ -322,10 +325,10 @@ class Scan:
             mine = np.arange(lo, hi)
             place = self.active[lo:hi] - at
             number[place] = mine
-            rank = np.empty(n, np.int64)
-            rank[order] = np.arange(n)
-            own = rank[place]
-            kind = np.searchsorted(edge, own, side="right") - 1
+            rank = np.empty(n, np.int32)
+            rank[order] = np.arange(n, dtype=np.int32)
+            own = rank[place].astype(np.int64)
+            kind = np.cumsum(new, dtype=np.int32)[own] - 1
             self.symbol[mine] = bwt[place]
             self.before[mine] = self.seen[kinds[kind]] + own - edge[kind]
             least = RangeMin(lcp)
@@ -424,17 +427,20 @@ def least_owners(strings: list[bytes], owner: np.ndarray, folder: str | None) ->
     size = np.array(list(map(len, strings)), np.int64)
     begin = np.cumsum(size) - size
     numbers = symbols_of(b"".join(strings))
-    # documents: the readings of each string from its first bytes on
-    length = ((size[:, None] - np.arange(WIDE)) // WIDE).ravel()
+    # documents: the readings of each string from its first bytes on, those that are long enough to hold a window
+    every = (size[:, None] - np.arange(WIDE)).ravel() // WIDE
+    reading = np.flatnonzero(every >= SYMBOLS)
+    length = every[reading]
     start = np.cumsum(length) - length
-    doc = np.repeat(np.arange(len(length)), length)
-    offset = WIDE * (np.arange(len(doc)) - start[doc]) + doc % WIDE
-    origin, lcp = collection_order(numbers[begin[doc // WIDE] + offset], start, length, folder=folder)
+    doc = np.repeat(reading, length)
+    offset = (WIDE * (np.arange(len(doc)) - np.repeat(start, length)) + doc % WIDE).astype(np.uint8)
+    doc //= WIDE
+    origin, lcp = collection_order(numbers[begin[doc] + offset], start, length, folder=folder)
     out = np.full((len(strings), SPAN), NO_OWNER)
     if len(origin):
         group = np.cumsum(lcp < SYMBOLS)
-        string, place = doc[origin] // WIDE, offset[origin]
-        window = np.flatnonzero(place + LENGTH <= size[string])
+        string, place = doc[origin], offset[origin]
+        window = np.flatnonzero(place <= size[string] - LENGTH)
         group, string, place = group[window], string[window], place[window]
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         out[string, place] = np.repeat(np.minimum.reduceat(owner[string], first), np.diff(np.append(first, len(group))))
