@@ -1,9 +1,10 @@
 """Retrieval metrics straight from queries, documents and relevance, every pair scored once and no ranking sorted.
 
-For a query the metrics need its k best documents and the place of its first relevant one. The best relevant document is known
-beforehand, from scoring the relevant pairs alone (equi-joins). Then blocks of queries meet chunks of documents; a chunk sends,
-for each query, its k best and how many of its documents come before the best relevant one. Limits and sums before the
-shuffle merge a task's chunks, so a query and task move k + 1 rows however many documents there are, and a place is a sum.
+For a query the metrics need its k best documents and the place of its first relevant one. Blocks of queries meet chunks of
+documents twice. First a chunk scores the relevant pairs alone, of which its documents carry the query numbers, and sends each
+query's best one. Then it scores all, and sends, for each query, its k best and how many of its documents come before the best
+relevant one. So a query and chunk move k + 1 rows however many pairs there are, a place is a sum, and no vector is moved for
+a pair.
 
 Scores are rounded to nine digits, ties go to the smaller pid. Queries and documents without tokens are scored with nothing: such
 queries have no metrics, such documents no place. Relevant pairs of documents that are not there count for ``n_rel`` alone, as in
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 from manyvec.operators import metrics, scoring
 from manyvec.session import stored
 
-DOCS = "pids array<long>, sizes array<int>, dim int, vectors binary"
+DOCS = "pids array<long>, sizes array<int>, rel array<array<long>>, dim int, vectors binary"
 QUERIES = "qids array<long>, lengths array<int>, best array<array<double>>, best_pids array<array<long>>, qdim int, qvectors binary"
 FOUND = "setting long, qid long, pid long, score double, before long"
 CHUNK, BLOCK = 2048, 256
+#: Numbers of relevant queries that a chunk's documents carry, but for the last one's.
+CARRIED = 1_000_000
 
 
 def reduced(sims: np.ndarray, starts: np.ndarray, reduction: str, top_k: int, temperature: float) -> np.ndarray:
@@ -45,10 +48,11 @@ def reduced(sims: np.ndarray, starts: np.ndarray, reduction: str, top_k: int, te
 
 def _laid(rows: DataFrame, most: int, schema: str, columns: list[str]) -> DataFrame:
     """Bags of vectors of one dimension gathered ``most`` at a time within a task: keys, lengths, what else, dimension, vectors."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    names, with_rel = [c.split()[0] for c in schema.split(", ")], "rel" in columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[tuple]] = {}
+        carried: dict[int, int] = {}
 
         def sent(dim: int, lot: list[tuple]) -> pd.DataFrame:
             bags = [row[-1] for row in lot]
@@ -59,21 +63,69 @@ def _laid(rows: DataFrame, most: int, schema: str, columns: list[str]) -> DataFr
                 bag = np.array(row[-1].tolist(), float)
                 lot = held.setdefault(bag.shape[1], [])
                 lot.append((*row[:-1], bag))
-                if len(lot) == most:
+                if with_rel and row[1] is not None:
+                    carried[bag.shape[1]] = carried.get(bag.shape[1], 0) + len(row[1])
+                if len(lot) == most or carried.get(bag.shape[1], 0) >= CARRIED:
                     yield sent(bag.shape[1], held.pop(bag.shape[1]))
+                    carried[bag.shape[1]] = 0
         for dim, lot in held.items():
             yield sent(dim, lot)
 
     return rows.where(F.size("toks") > 0).select(*columns).mapInPandas(run, schema)
 
 
-def best_relevant(queries: DataFrame, docs: DataFrame, qrels: DataFrame, settings: list[dict]) -> DataFrame:
+def with_relevant(docs: DataFrame, qrels: DataFrame) -> DataFrame:
+    """(pid, rel, toks): documents with the numbers of the queries they answer; numbers alone are moved, or broadcast while
+    they measure little."""
+    by = qrels.select("qid", "pid").distinct().groupBy("pid").agg(F.collect_list("qid").alias("rel"))
+    if scoring.measured_bytes(by) <= scoring.BROADCAST_BYTES:
+        by = F.broadcast(by)
+    return docs.select("pid", "toks").join(by, "pid", "left").select("pid", "rel", "toks")
+
+
+def best_relevant(blocks: DataFrame, chunks: DataFrame, settings: list[dict]) -> DataFrame:
     """(qid, best, best_pids): by setting, the score and pid of each query's relevant document that comes first."""
-    pairs = qrels.select("qid", "pid").distinct()
-    q, d = queries.where(F.size("toks") > 0).select("qid", F.col("toks").alias("q")), docs.where(F.size("toks") > 0).select("pid", F.col("toks").alias("d"))
-    scored = [F.struct(F.round(scoring.late_interaction(F.col("q"), F.col("d"), **s), 9).alias("score"), (-F.col("pid")).alias("back")) for s in settings]
-    own = pairs.join(q, "qid").join(d, "pid").groupBy("qid").agg(*[F.max(s).alias(f"b{i}") for i, s in enumerate(scored)])
-    return own.select("qid", *[F.array(*[F.col(f"b{i}")[f] * sign for i in range(len(settings))]).alias(name) for name, f, sign in (("best", "score", 1), ("best_pids", "back", -1))])
+
+    def meet(row) -> Iterator[tuple]:
+        known = {q: i for i, q in enumerate(row.qids)}
+        of: dict[int, list[int]] = {}
+        for j, rel in enumerate(row.rel):
+            for q in rel if rel is not None else ():
+                if q in known:
+                    of.setdefault(known[q], []).append(j)
+        if not of:
+            return
+        pids, sizes = np.asarray(row.pids, np.int64), np.asarray(row.sizes)
+        starts, ends = np.cumsum(sizes) - sizes, np.cumsum(row.lengths)
+        docs_of, asked = np.frombuffer(row.vectors).reshape(-1, row.dim), np.frombuffer(row.qvectors).reshape(-1, row.qdim)
+        for i, docs in of.items():
+            n = sizes[docs]
+            begins = np.cumsum(n) - n
+            tokens = docs_of[np.repeat(starts[docs] - begins, n) + np.arange(n.sum())]
+            sims = asked[ends[i] - row.lengths[i] : ends[i]] @ tokens.T
+            for setting, options in enumerate(settings):
+                scores = np.round(reduced(sims, begins, **options).sum(axis=0), 9)
+                at = np.lexsort((pids[docs], -scores))[0]
+                yield setting, row.qids[i], pids[docs][at], scores[at], None
+
+    first = F.max(F.struct("score", (-F.col("pid")).alias("back")))
+    best = _met(blocks, chunks, meet).groupBy("qid", "setting").agg(first.alias("b"))
+    held = best.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("setting", "b"))).alias("m"))  # an entry a setting
+    at = lambda i: F.col("m")[F.lit(i).cast("long")]
+    return held.select("qid", F.array(*[at(i)["score"] for i in range(len(settings))]).alias("best"), F.array(*[-at(i)["back"] for i in range(len(settings))]).alias("best_pids"))
+
+
+def _met(blocks: DataFrame, chunks: DataFrame, meet) -> DataFrame:
+    """What ``meet`` gives for each block and chunk of one dimension, as FOUND."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for row in pdf.itertuples(index=False):
+                if row.dim == row.qdim:
+                    yield pd.DataFrame(meet(row), columns=names).astype({"setting": "int64", "qid": "int64", "pid": "Int64", "score": "float64", "before": "Int64"})
+
+    return scoring.pairs(blocks, chunks).mapInPandas(run, FOUND)
 
 
 def places(queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 5, settings: list[dict] | None = None) -> DataFrame:
@@ -83,11 +135,12 @@ def places(queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 5, se
     settings = settings or [{}]
     for s in settings:
         scoring.check(**{"reduction": "max"} | s)
-    known = queries.select("qid", "toks").join(best_relevant(queries, docs, qrels, settings), "qid", "left")
-    blocks = stored(_laid(known, BLOCK, QUERIES, ["qid", "best", "best_pids", "toks"]), "blocks")
-    chunks = _laid(docs.select("pid", "toks"), CHUNK, DOCS, ["pid", "toks"])
-    names = [c.split()[0] for c in FOUND.split(", ")]
     full = [{"reduction": "max", "top_k": 3, "temperature": 0.1} | s for s in settings]
+    columns = ["qid", "best", "best_pids", "toks"]
+    unknown = queries.select("qid", F.lit(None).cast("array<double>").alias("best"), F.lit(None).cast("array<long>").alias("best_pids"), "toks")
+    chunks = stored(_laid(with_relevant(docs, qrels), CHUNK, DOCS, ["pid", "rel", "toks"]), "chunks")
+    best = best_relevant(stored(_laid(unknown, BLOCK, QUERIES, columns), "blocks"), chunks, full)
+    blocks = stored(_laid(queries.select("qid", "toks").join(best, "qid", "left"), BLOCK, QUERIES, columns), "blocks")
 
     def meet(row) -> Iterator[tuple]:
         pids, starts = np.asarray(row.pids, np.int64), np.cumsum(row.sizes) - row.sizes
@@ -101,13 +154,7 @@ def places(queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 5, se
                 known = best is not None and best[i] is not None and not np.isnan(best[i])
                 yield i, qid, None, None, int(((scores > best[i]) | ((scores == best[i]) & (pids < best_pids[i]))).sum()) if known else None
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for row in pdf.itertuples(index=False):
-                if row.dim == row.qdim:
-                    yield pd.DataFrame(meet(row), columns=names).astype({"setting": "int64", "qid": "int64", "pid": "Int64", "score": "float64", "before": "Int64"})
-
-    return scoring.pairs(blocks, chunks).mapInPandas(run, FOUND)
+    return _met(blocks, chunks.drop("rel"), meet)
 
 
 def per_query_settings(queries: DataFrame, docs: DataFrame, qrels: DataFrame, settings: list[dict], k: int = 5) -> DataFrame:
