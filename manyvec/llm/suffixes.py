@@ -48,9 +48,9 @@ LENGTH, SEED, SPAN = 50, 24, 32
 #: Documents from which on a minimizer counts as hot.
 HOT = 4096
 #: Bytes of a symbol, symbols of a window, and entries of the transform that a round holds at a time.
-WIDE, SYMBOLS, BLOCK = 10, LENGTH // 10, 1 << 18
-#: Bytes of strings from which on a bucket's strings make a further collection.
-LOT = 250_000
+WIDE, SYMBOLS, BLOCK = 10, LENGTH // 10, 1 << 17
+#: Bytes of strings from which on a bucket's strings make a further collection: few enough to be numbered in 16 bits each
+LOT = 64_000
 #: Stands for the owner of a window that the transform does not name.
 NO_OWNER = np.iinfo(np.int64).max
 #: Stands for a null doc_id within a batch.
@@ -204,24 +204,36 @@ def _run_messages(sizes: Sizes, buckets: int, limit: int):
 
 
 class Files:
-    """The arrays of a round in sequential files, one for each kind; the next round reads them front to back, ``BLOCK``
-    entries at a time. Files lie, unnamed, in ``folder``, so they end with the task; where that is no mounted folder,
+    """The arrays of a round in two sequential files: symbol and origin of each place as halves of one number, and the prefix
+    lengths; the next round reads them front to back, ``BLOCK`` entries at a time. Files lie, unnamed, in ``folder``, so they end with the task; where that is no mounted folder,
     in memory."""
 
-    KINDS = (np.dtype(np.uint32), np.dtype(np.uint8), np.dtype(np.uint32))
+    KINDS = (np.dtype("<u8"), np.dtype(np.uint8))
 
     def __init__(self, folder: str | None = None):
         self.files = [tempfile.TemporaryFile(dir=folder) if folder else io.BytesIO() for _ in self.KINDS]
 
-    def write(self, bwt: np.ndarray, lcp: np.ndarray, origin: np.ndarray) -> None:
-        for file, a in zip(self.files, (bwt, lcp, origin)):
+    @staticmethod
+    def both(bwt: np.ndarray, origin: np.ndarray) -> np.ndarray:
+        return bwt.astype("<u8") << U64(32) | origin
+
+    @staticmethod
+    def symbol(both: np.ndarray) -> np.ndarray:
+        return both.view("<u4")[1::2]
+
+    @staticmethod
+    def origin(both: np.ndarray) -> np.ndarray:
+        return both.view("<u4")[::2]
+
+    def write(self, both: np.ndarray, lcp: np.ndarray) -> None:
+        for file, a in zip(self.files, (both, lcp)):
             file.write(a.data if len(a) else b"")
 
-    def read(self, kinds: int = 3) -> Iterator[list[np.ndarray]]:
-        for file in self.files[:kinds]:
+    def read(self) -> Iterator[list[np.ndarray]]:
+        for file in self.files:
             file.seek(0)
         while True:
-            part = [np.frombuffer(f.read(BLOCK * k.itemsize), k) for f, k in zip(self.files[:kinds], self.KINDS)]
+            part = [np.frombuffer(f.read(BLOCK * k.itemsize), k) for f, k in zip(self.files, self.KINDS)]
             if not len(part[0]):
                 return
             yield part
@@ -357,13 +369,13 @@ def collection_order(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarra
     last, kinds = Files(folder), int(symbols.max()) + 2 if n else 1
     bwt = symbols[starts + lengths - 1].astype(np.uint32) + np.uint32(1)
     # round 0: the empty suffixes, in the documents' order
-    last.write(bwt, np.zeros(n, np.uint8), np.zeros(n, np.uint32))
+    last.write(Files.both(bwt, np.zeros(n, np.uint32)), np.zeros(n, np.uint8))
     totals = np.bincount(bwt, minlength=kinds)
     active, own = np.arange(n), np.arange(n)
     for j in range(1, int(lengths.max()) + 1 if n else 1):
         scan = Scan(active, kinds, most)
-        for b, p in last.read(2):
-            scan.block(b, p)
+        for both, p in last.read():
+            scan.block(np.ascontiguousarray(Files.symbol(both)), p)
         smaller = np.cumsum(totals) - totals - totals[0]  # symbols before each, without the 0
         fresh = n + smaller[scan.symbol] + scan.before
         order = np.argsort(fresh)
@@ -371,29 +383,31 @@ def collection_order(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarra
         rest = lengths[own] - j
         prior = np.where(rest > 0, symbols[np.maximum(starts[own] + rest - 1, 0)].astype(np.uint32) + np.uint32(1), np.uint32(0)).astype(np.uint32)
         origin = (starts[own] + rest).astype(np.uint32)
+        added = Files.both(prior, origin)
         gap = fresh - np.arange(len(fresh))  # the old entry before which it comes
         following, at = Files(folder), 0
-        for b, p, o in last.read():
+        for b, p in last.read():
             lo, hi = np.searchsorted(gap, (at, at + len(b)))
             here = gap[lo:hi] - at
             p = p.copy()
             p[here] = down[lo:hi]
+            come = here + np.arange(hi - lo)
             old = np.ones(len(b) + hi - lo, bool)
-            old[here + np.arange(hi - lo)] = False
+            old[come] = False
             merged = []
-            for before, new in ((b, prior), (p, up), (o, origin)):
+            for before, new in ((b, added), (p, up)):
                 whole = np.empty(len(old), before.dtype)
-                whole[old], whole[~old] = before, new[lo:hi]
+                whole[old], whole[come] = before, new[lo:hi]
                 merged.append(whole)
             following.write(*merged)
             at += len(b)
         lo = int(np.searchsorted(gap, at))
-        following.write(prior[lo:], up[lo:], origin[lo:])
+        following.write(added[lo:], up[lo:])
         last.close()
         last = following
         totals += np.bincount(prior, minlength=kinds)
         active, own = fresh[prior > 0], own[prior > 0]
-    parts = [(o, p) for _, p, o in last.read()]
+    parts = [(Files.origin(both), p) for both, p in last.read()]
     last.close()
     return np.concatenate([np.zeros(0, np.uint32), *(o for o, _ in parts)])[n:], np.concatenate([np.zeros(0, np.uint8), *(p for _, p in parts)])[n:]
 
