@@ -199,8 +199,12 @@ def test_byte_repeats_come_through_the_transform(spark, docs, odd, monkeypatch):
 
     def without(root):
         def run(pdf):
-            suffixes.collection_order = lambda *_, **__: (np.zeros(0, np.uint32), np.zeros(0, np.uint8))  # in the worker
-            return real(root)(pdf)
+            held = suffixes.collection_order
+            suffixes.collection_order = lambda *_, **__: (np.zeros(0, np.uint32), np.zeros(0, np.uint8))
+            try:
+                return real(root)(pdf)
+            finally:
+                suffixes.collection_order = held  # workers are used again
 
         return run
 
