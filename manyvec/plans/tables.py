@@ -181,7 +181,7 @@ MINED = "gold AS (SELECT qid, min(pid) AS gold FROM qrels GROUP BY qid), top AS
 
 
 def mined(spark, sf_dir):
-    scores = S.score_multi_vector(*queries_and_docs(spark, sf_dir))
+    scores = S.score_multi_vector(*queries_and_docs(spark, sf_dir), best=100)
     return D.mine_negatives(scores, qrels(spark, sf_dir).groupBy("qid").agg(F.min("pid").alias("pid")), 100)
 
 
