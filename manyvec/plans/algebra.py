@@ -8,6 +8,7 @@ from manyvec.functions import grids as G
 from manyvec.functions import texts as T
 from manyvec.functions import vectors as V
 from manyvec.operators import scoring as S
+from manyvec.operators.blocks import rounded_column
 from manyvec.plans.fixtures import bags, d_tokens, query, sql, table, vectors
 
 
@@ -30,7 +31,8 @@ def weights(rows: int, dim: int = 64) -> list[list[float]]:
 
 @query(sql("SELECT vec_id, [" + ", ".join(f"round(list_dot_product(v, [{', '.join(map(str, w))}]::DOUBLE[]), 6)" for w in weights(4)) + "] AS v FROM e"))
 def projected_vectors(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", six(V.project(F.col("v"), weights(4))).alias("v"))
+    out = V.project(F.col("v"), weights(4))
+    return vectors(spark, sf_dir).select("vec_id", F.transform(out, lambda x: rounded_column(x, 6)).alias("v"))
 
 
 @query(sql(f"SELECT vec_id, {SIX.format('list_transform(v[1:16], lambda y: y / sqrt(list_dot_product(v[1:16], v[1:16])))')} AS v FROM e"))
