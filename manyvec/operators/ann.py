@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from manyvec.functions import vectors as V
-from manyvec.operators.scoring import late_interaction
+from manyvec.operators import blocks as B
+from manyvec.operators import scoring
 
 
 def sampled_tokens(docs: DataFrame, sample: int, seed: int) -> np.ndarray:
@@ -56,10 +60,36 @@ def build(docs: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def search(queries: DataFrame, docs: DataFrame, index: DataFrame, centroids: np.ndarray, k: int = 10, nprobe: int = 4) -> DataFrame:
-    """(qid, rank, pid, score)."""
-    probes = queries.select("qid", F.explode("toks").alias("v")).select("qid", F.explode(nearest(F.col("v"), centroids, nprobe)).alias("centroid")).distinct()
-    pairs = probes.join(index, "centroid").select("qid", "pid").distinct()
-    scored = pairs.join(queries.select("qid", F.col("toks").alias("q")), "qid").join(docs.select("pid", F.col("toks").alias("d")), "pid")
-    scored = scored.select("qid", "pid", late_interaction(F.col("q"), F.col("d")).alias("score"))
+    """(qid, rank, pid, score): exact ranking of the documents that share a probed centroid. Blocks of queries with their
+    probes meet chunks of documents with their lists, which score what meets and give k rows a query; no candidate pair is
+    made before it is scored, however many share a centroid."""
+    sets = lambda rows, key, name: rows.groupBy(key).agg(F.collect_set("centroid").alias(name))  # noqa: E731  at most a number a centroid
+    probes = sets(queries.select("qid", F.explode("toks").alias("v")).select("qid", F.explode(nearest(F.col("v"), centroids, nprobe)).alias("centroid")), "qid", "probes")
+    asked = queries.select("qid", "toks").join(scoring.small(probes), "qid")
+    held = docs.select("pid", "toks").join(scoring.small(sets(index, "pid", "lists")), "pid")
+    n_lists = len(centroids)
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, pid {docs.schema['pid'].dataType.simpleString()}, score double"
+
+    def marks(lists: pa.ListArray) -> np.ndarray:
+        out = np.zeros((len(lists), n_lists), np.float32)
+        sizes = np.diff(lists.offsets.to_numpy())
+        out[np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy()] = 1
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in B.met(batches):
+            m = B.Met(row)
+            if not m.fit:
+                continue
+            bags = m.bags()
+            pids, lists, wanted = row["dkeys"].take(pa.array(bags.order)), marks(row["dlists"])[bags.order], marks(row["qprobes"])
+            ids = pids.to_numpy(zero_copy_only=False)
+            for a, b, tokens in m.queries(len(bags.vectors)):
+                (found,) = B.scores(tokens, m.lengths[a:b], bags, [{"reduction": "max"}])
+                meets = wanted[a:b] @ lists.T > 0
+                i, j = np.nonzero(B.best_of(np.where(meets, np.round(found, 9), -np.inf), ids, k) & meets)
+                yield pa.RecordBatch.from_arrays([row["qkeys"].take(pa.array(i + a)), pids.take(pa.array(j)), pa.array(found[i, j])], ["qid", "pid", "score"])
+
+    scored = scoring.pairs(B.laid(asked, "qid", "q"), B.laid(held, "pid", "d", spread=True)).mapInArrow(run, schema)
     by = W.partitionBy("qid").orderBy(F.round("score", 9).desc(), "pid")
     return scored.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k).select("qid", "rank", "pid", "score")
