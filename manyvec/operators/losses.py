@@ -80,9 +80,11 @@ def symmetric(scores: DataFrame, temperature: float = 0.02, offset: int = 0, que
 
 
 def _blend(loss: DataFrame, scores: DataFrame, temperature: float, offset: int, weight: float, inner) -> DataFrame:
-    if not weight:
-        return loss
-    parts = loss.select((F.col("loss") * (1 - weight)).alias("x")).union(inner(scores, temperature, offset).select((F.col("loss") * weight).alias("x")))
+    return _blended(loss, inner(scores, temperature, offset), weight) if weight else loss
+
+
+def _blended(loss: DataFrame, inner: DataFrame, weight: float) -> DataFrame:
+    parts = loss.select((F.col("loss") * (1 - weight)).alias("x")).union(inner.select((F.col("loss") * weight).alias("x")))
     return parts.agg(F.sum("x").alias("loss"))
 
 
@@ -148,7 +150,11 @@ def distilled(both: DataFrame, temperature: float = 0.07) -> DataFrame:
         F.sum(F.exp(F.col("s") - F.col("ms"))).alias("zs"), F.sum(weight).alias("zt"),
         F.sum(weight * (F.col("t") - F.col("s"))).alias("gap"), F.count_if(F.col("s").isNull() | F.col("t").isNull()).alias("odd"),
     )
-    each = _whole(parts, "qid", {"ms": ("zs",), "mt": ("zt", "gap")}, "odd")
+    return _divergence(parts, "qid", temperature)
+
+
+def _divergence(parts: DataFrame, group: str, temperature: float) -> DataFrame:
+    each = _whole(parts, group, {"ms": ("zs",), "mt": ("zt", "gap")}, "odd")
     shapes = F.sum("odd")
     # the sum of p (log p - log q), with both normalisations taken out of it
     total = F.avg(F.col("gap") / F.col("zt") - F.col("mt") - F.log("zt") + F.col("ms") + F.log("zs")) * temperature**2
