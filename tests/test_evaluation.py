@@ -120,3 +120,31 @@ def test_shared_relevance_makes_no_pairs(spark, sf_dir):
     q, d = queries_and_docs(spark, sf_dir)
     p = E.per_query(q, d, shared(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert "mark" in p and "qid" in p and not any("mark" in line and "qid" in line and "pid" in line for line in p.splitlines() if "Join" in line)
+
+
+@pytest.mark.parametrize("options", [{}, {"reduction": "topk_mean", "top_k": 2}, {"reduction": "smoothmax", "temperature": 0.05}, {"reduction": "lse"}])
+def test_pairs_below_their_bounds_change_nothing(spark, monkeypatch, options):
+    """The same metrics as from a whole ranking, with and without bounds, and with rows merged often."""
+    rng = np.random.default_rng(3)
+    bag = lambda n: (rng.integers(-2, 3, size=(n, 3)) / 2).tolist()  # noqa: E731  many ties
+    q = spark.createDataFrame([(i, bag(1 + i % 3)) for i in range(12)], "qid long, toks array<array<double>>")
+    d = spark.createDataFrame([(i, bag(1 + i % 5)) for i in range(120)], "pid long, toks array<array<double>>")
+    rel = spark.createDataFrame([(i, (i * 17 + 40 * j) % 120) for i in range(11) for j in range(3)], "qid long, pid long")
+    want = {r["qid"]: r for r in metrics.per_query(scoring.score_multi_vector(q, d, **options), rel, 5).collect()}
+    for many, loose in ((1.0, 1 << 18), (0.0, 7)):
+        monkeypatch.setattr(E, "MANY", many)
+        monkeypatch.setattr(E.Best, "LOOSE", loose)
+        found = {r["qid"]: r for r in E.per_query(q, d, rel, 5, **options).collect()}
+        assert found.keys() == want.keys()
+        for qid, r in want.items():
+            assert [found[qid][m] for m in ("ndcg", "recall", "mrr")] == pytest.approx([r[m] for m in ("ndcg", "recall", "mrr")]), (qid, many)
+
+
+def test_tasks_give_k_rows_a_query_and_nothing_large_is_sorted(spark):
+    q = spark.createDataFrame([(i, [[1.0, i / 9]]) for i in range(9)], "qid long, toks array<array<double>>")
+    d = spark.range(900).selectExpr("id AS pid", "array(array(rand(1), rand(2))) AS toks")
+    rel = q.select("qid", F.col("qid").alias("pid"))
+    found = E.places(q, d, rel, 2)
+    assert found.where("pid is not null").count() == 9 * 2 and found.where("pid is null").count() == 9
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
