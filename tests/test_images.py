@@ -77,3 +77,28 @@ def test_pipelines(spark):
         out = pipe(rows).collect()[0]
         got = np.frombuffer(out["data"], np.uint8).reshape(out["h"], out["w"], out["c"])
         assert (got == pipe.one(image, 1)).all()
+
+
+def test_many_images_are_restored_at_once_as_one_by_one(monkeypatch):
+    rng, calls = np.random.default_rng(2), []
+    shapes = [(8, 8, 1)] * 300 + [(5, 9, 1), (8, 8, 3), (1, 1, 1)] * 3
+    pictures = [rng.integers(0, 256, shapes[i]).astype(np.uint8) for i in rng.permutation(len(shapes))]
+    monkeypatch.setitem(I.AT_ONCE, I.nlmeans, lambda stack, **options: calls.append(len(stack)) or I.nlmeans_stack(stack, **options))
+    small = {"template": 3, "search": 5}
+    for steps in ([("gaussian_noise", {"std": 15}), ("nlmeans", small)], [("gaussian_blur", {}), ("gaussian", {}), ("wiener", {})], [("gaussian", {"sigma": 0.7}), ("adaptive", {"mode": "crop"}), ("nlmeans", small)]):
+        p = I.Pipeline(steps, I.EVERY)
+        for key, (image, got) in enumerate(zip(pictures, p.many(pictures, range(len(pictures))), strict=True)):
+            want = p.one(image, key)
+            assert got.shape == want.shape and got.dtype == want.dtype and (got == want).all()
+    assert len(calls) < 60 and max(calls) * 64 <= I.CELLS  # 618 images
+    assert p.many([], []) == []
+
+
+def test_restored_images_are_dealt_out_and_taken_in_stacks(spark, monkeypatch):
+    image = np.arange(64, dtype=np.uint8).reshape(8, 8, 1) * 3
+    rows = spark.createDataFrame([(i, 8, 8, 1, bytearray(np.roll(image, i).tobytes())) for i in range(400)], I.IMAGE).coalesce(1)
+    p = I.condition("restored", "light_noise", "nlmeans")
+    out = p(rows)
+    assert out.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    got = {r["id"]: r["data"] for r in out.collect()}
+    assert sorted(got) == list(range(400)) and all(bytes(got[i]) == p.one(np.roll(image, i), i).tobytes() for i in range(0, 400, 40))
