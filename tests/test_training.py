@@ -147,3 +147,36 @@ def test_steps_move_no_vectors(spark):
     rows = T.with_relevant(pages, rel, T.Batch.of(q))
     p = rows._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+
+
+class Narrow(A.Adapter):
+    """Refuses more tokens at once than executors may hold."""
+
+    def forward(self, e, tape=None):
+        assert len(e) <= 4096, len(e)
+        return super().forward(e, tape)
+
+
+def test_an_executor_holds_few_tokens_at_once(spark):
+    n, rng = 3000, np.random.default_rng(8)
+    toks = rng.normal(size=(n, 2, 4))
+    pages = spark.createDataFrame([(i, t.tolist(), t.tolist(), "a") for i, t in enumerate(toks)], PAGES).coalesce(1)
+    a = awake(4, 3)
+    narrow = Narrow(4, 3, weights=a.weights)
+    got = {r["pid"]: r["toks"] for r in narrow.apply(pages).collect()}
+    assert len(got) == n and np.allclose([got[i] for i in range(n)], a.forward(toks.reshape(-1, 4)).reshape(n, 2, 4), rtol=0, atol=1e-15)
+    queries = [toks[0] * 0.1, toks[1] * 0.1]
+    batch = T.Batch(np.array([0, 1]), np.array([2, 2]), np.concatenate(queries))
+    rel = spark.createDataFrame([(0, 0), (1, 1), (1, 2999)], "qid long, pid long")
+    parts, grads = T.step(pages, rel, batch, narrow, n, T.Settings())
+    teacher = np.array([[(q @ c.T).max(axis=1).sum() for c in toks] for q in queries])
+    want, want_grads = A.loss_and_gradient(a, A.Example(queries, list(toks), teacher, [{0}, {1, 2999}]), 0.07, T.Settings().weights)
+    assert all(abs(parts[k] - want[k]) < 1e-9 for k in want)
+    assert all(np.allclose(grads[k], want_grads[k], rtol=0, atol=1e-9) for k in want_grads)
+
+
+def test_apply_keeps_pages_without_tokens(spark):
+    a = awake(2, 3)
+    rows = [(1, [[1.0, 2.0]]), (2, []), (3, None), (4, [[0.5, 0.1], [3.0, 1.0]])]
+    got = {r["pid"]: r["toks"] for r in a.apply(spark.createDataFrame(rows, "pid long, toks array<array<double>>").coalesce(1)).collect()}
+    assert got[2] == [] and got[3] is None and np.allclose(got[4], a.forward(np.array(rows[3][1])), atol=1e-15) and np.allclose(got[1], a.forward(np.array(rows[0][1])), atol=1e-15)
